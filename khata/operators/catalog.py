@@ -1,14 +1,299 @@
-"""Table profiles and catalog jobs (started here, filled below)."""
+"""Table profiles, catalog texts, families and table choice for questions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from khata.functions import fixed_values as fv
+from khata.functions.text import contains_any, file_stem, month_index_in
+from khata.operators.lookups import containing
+
+CATALOG_BLOCK = 500
+
+
+# --- columns and their kinds ---------------------------------------------------------
+
+def kind_of(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        return "text"
+    if isinstance(dtype, T.NumericType):
+        return "number"
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "date"
+    return "other"
+
+
+def columns_of_kind(df: DataFrame, kind: str) -> list[str]:
+    return [f.name for f in df.schema.fields if kind_of(f.dataType) == kind]
+
+
+def column_info(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per column of the given tables: name, type, place, nullable, kind."""
+    rows = [(t, f.name, i, f.dataType.simpleString().upper(), f.nullable, kind_of(f.dataType))
+            for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(
+        rows, "table_name string, column_name string, pos int, type string, nullable boolean, kind string")
+
+
+def date_column(df: DataFrame) -> str | None:
+    """A column of a date type first, else one whose name speaks of a date or period."""
+    typed = columns_of_kind(df, "date")
+    named = [c for c in df.columns if any(w in c.lower() for w in ("date", "period"))]
+    return next(iter(typed + named), None)
+
+
+# --- profiles ------------------------------------------------------------------------
 
 def null_totals(df: DataFrame, columns: list[str], table: str = "source_table") -> DataFrame:
     """Missing cells of ``columns`` per table, in one pass."""
     total = reduce(Column.__add__, [F.count_if(F.col(c).isNull()) for c in columns])
     return df.groupBy(table).agg(total.alias("total_nulls"))
+
+
+def null_counts(df: DataFrame, columns: list[str], table: str = "source_table") -> DataFrame:
+    """Missing cells per table and column, only where there are any: one pass, then unpivoted."""
+    wide = df.groupBy(table).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    return (wide.unpivot([table], columns, "column_name", "nulls").where(F.col("nulls") > 0))
+
+
+def profile(df: DataFrame, table: str = "source_table", approximate: bool = False) -> DataFrame:
+    """Rows, date range, distinct counts, sums and null shares per table of a family.
+
+    Everything comes from one aggregation. Distinct counts cover the first two
+    text columns, sums the first two numeric ones. ``approximate`` swaps exact
+    distinct counts for sketches, which spares the extra shuffle of the exact ones.
+    """
+    data = [c for c in df.columns if c != table]
+    body = df.select(*data)
+    texts, numbers = columns_of_kind(body, "text")[:2], columns_of_kind(body, "number")[:2]
+    day = date_column(body)
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    rows = F.count(F.lit(1))
+    aggs = [rows.alias("row_count")]
+    if day:
+        aggs += [F.min(day).cast("date").alias("min_date"), F.max(day).cast("date").alias("max_date")]
+    aggs += [distinct(F.col(c)).alias(f"_u_{c}") for c in texts]
+    aggs += [F.sum(c).cast("double").alias(f"_s_{c}") for c in numbers]
+    aggs += [(F.count_if(F.col(c).isNull()) * F.lit(100.0) / rows).alias(f"_n_{c}") for c in data]
+    out = df.groupBy(table).agg(*aggs)
+
+    def as_map(prefix, names):
+        pairs = [x for c in names for x in (F.lit(c), F.col(f"{prefix}{c}"))]
+        return F.create_map(*pairs) if pairs else F.create_map()
+
+    keep = [table, "row_count"] + (["min_date", "max_date"] if day else [])
+    return out.select(*keep, F.lit(len(data)).cast("bigint").alias("column_count"), F.lit("unknown").alias("data_type"),
+                      as_map("_u_", texts).alias("unique_counts"), as_map("_s_", numbers).alias("numeric_sums"),
+                      as_map("_n_", data).alias("null_percentages"))
+
+
+def overview(df: DataFrame, table: str = "source_table", first_columns: int = 5) -> DataFrame:
+    """Rows, columns, date range and null counts of the first columns per table."""
+    data = [c for c in df.columns if c != table]
+    dated = next((c for c in data if any(w in c.lower() for w in ("date", "time", "created", "invoice"))), None)
+    aggs = [F.count(F.lit(1)).alias("row_count")]
+    if dated:
+        aggs += [F.min(dated).cast("string").alias("min_date"), F.max(dated).cast("string").alias("max_date")]
+    aggs += [F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in data[:first_columns]]
+    out = df.groupBy(table).agg(*aggs)
+    nulls = F.array_compact(F.array(*[
+        F.when(F.col(f"_n_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"_n_{c}"))) for c in data[:first_columns]]))
+    return out.select(table, "row_count", F.lit(len(data)).cast("bigint").alias("column_count"),
+                      *(["min_date", "max_date"] if dated else []), nulls.alias("null_columns"))
+
+
+def period_label(first: Column, last: Column) -> Column:
+    """One month, a span inside a year, or the fiscal years touched (from April)."""
+    same_year = F.year(first) == F.year(last)
+    fy_start = F.year(first) - F.when(F.month(first) >= 4, 0).otherwise(1)
+    fy_end = F.year(last) + F.when(F.month(last) >= 4, 1).otherwise(0)
+    return (F.when(first.isNull() | last.isNull(), F.lit(""))
+             .when(same_year & (F.month(first) == F.month(last)), F.date_format(first, "MMMM yyyy"))
+             .when(same_year, F.concat(F.date_format(first, "MMM"), F.lit(" - "), F.date_format(last, "MMM yyyy")))
+             .otherwise(F.concat(F.lit("FY "), fy_start, F.lit("-"), F.substring(fy_end.cast("string"), -2, 2))))
+
+
+# --- texts ---------------------------------------------------------------------------
+
+def keywords(source_file: Column, table_name: Column, columns: Column, cap: int = 15) -> Column:
+    """Sorted words of more than two letters from file, table and column names, plus named months."""
+    def words(text, marks):
+        return F.split(F.translate(F.lower(text), marks, " " * len(marks)), r"\s+")
+
+    both = F.lower(F.concat(table_name, F.lit(" "), source_file))
+    months = F.array_compact(F.array(*[F.when(both.contains(m[:3]), F.lit(m)) for m in fv.MONTHS]))
+    parts = F.concat(words(file_stem(source_file), "_-"), words(table_name, "_"),
+                     F.flatten(F.transform(columns, lambda c: words(c, "_"))))
+    long_ones = F.filter(parts, lambda w: F.length(w) > 2)
+    return F.slice(F.array_sort(F.array_distinct(F.concat(long_ones, months))), 1, cap)
+
+
+def description(source_file: Column) -> Column:
+    year = F.regexp_extract(source_file, r"20\d{2}", 0)
+    month = month_index_in(F.lower(source_file), fv.MONTHS, short=False)
+    named = F.element_at(F.array(*[F.lit(m.capitalize()) for m in fv.MONTHS]), month)
+    return (F.when((year != "") & month.isNotNull(), F.concat(F.lit("Data for "), named, F.lit(" "), year))
+             .when(year != "", F.concat(F.lit("Data from "), year))
+             .otherwise(F.concat(F.lit("Data from "), F.translate(file_stem(source_file), "_-", "  "))))
+
+
+def example_questions(columns: DataFrame) -> DataFrame:
+    """Up to five example questions per table from its column kinds."""
+    def first(kind):
+        return F.min_by(F.when(F.col("kind") == kind, F.lower("column_name")),
+                        F.when(F.col("kind") == kind, F.col("pos")))
+
+    by = columns.groupBy("table_name").agg(first("number").alias("n"), first("text").alias("t"), first("date").alias("d"))
+    made = F.array_compact(F.array(
+        F.when(F.col("n").isNotNull(), F.concat(F.lit("Total of "), F.col("n"))),
+        F.when(F.col("n").isNotNull() & F.col("t").isNotNull(),
+               F.concat(F.lit("Sum of "), F.col("n"), F.lit(" by "), F.col("t"))),
+        F.when(F.col("t").isNotNull(), F.concat(F.lit("Count by "), F.col("t"))),
+        F.when(F.col("d").isNotNull() & F.col("n").isNotNull(),
+               F.concat(F.lit("Trend of "), F.col("n"), F.lit(" over time"))),
+        F.concat(F.lit("Show all data from "), F.col("table_name"))))
+    return by.select("table_name", F.slice(made, 1, 5).alias("example_questions"))
+
+
+def brief_line(description: Column, columns: Column, rows: Column) -> Column:
+    return F.concat(description, F.lit(" ("), columns.cast("string"), F.lit(" columns, "), rows.cast("string"), F.lit(" rows)"))
+
+
+def schema_text(catalog: DataFrame, columns: DataFrame) -> DataFrame:
+    """Full schema text per table: source, description, range, columns, row count."""
+    lines = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "column_name", "type"))),
+        lambda c: F.concat(F.lit('    "'), c["column_name"], F.lit('" ('), c["type"], F.lit(")"))), "\n")
+    body = columns.groupBy("table_name").agg(lines.alias("column_lines"))
+    return catalog.join(body, "table_name").select("table_name", F.concat_ws(
+        "\n", F.concat(F.lit("TABLE: "), "table_name"), F.concat(F.lit("  Source: "), "source_file"),
+        F.concat(F.lit("  Description: "), "description"),
+        F.concat(F.lit("  Date range: "), "min_date", F.lit(" to "), "max_date", F.lit(" ("), "period", F.lit(")")),
+        F.lit("  Columns:"), F.col("column_lines"),
+        F.concat(F.lit("  Total rows: "), F.col("row_count").cast("string"))).alias("schema_text"))
+
+
+# --- families and relations ----------------------------------------------------------
+
+def family_of(table_name: Column) -> Column:
+    """Name without its date or number suffix, or the name itself."""
+    dated = F.regexp_extract(table_name, fv.FAMILY_SUFFIX, 1)
+    numbered = F.regexp_extract(table_name, fv.FAMILY_NUMBER, 1)
+    return (F.when(dated != "", F.concat(dated, F.lit("_")))
+             .when(numbered != "", F.concat(numbered, F.lit("_"))).otherwise(table_name))
+
+
+def families(tables: DataFrame) -> DataFrame:
+    """Tables of families with more than one member, with the family size."""
+    named = tables.select("table_name", family_of(F.col("table_name")).alias("family"))
+    sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    return named.join(sizes, "family")
+
+
+def family_for_questions(questions: DataFrame, question: str, key: str, tables: DataFrame) -> DataFrame:
+    """For questions that want everything: the first family whose base word they mention, or the only family."""
+    sizes = families(tables).groupBy("family").agg(F.min("table_name").alias("first"), F.max("members").alias("members"))
+    # trailing underscores go first, then trailing digits
+    base = F.regexp_replace(F.regexp_replace("family", "_+$", ""), "[0-9]+$", "")
+    bases = sizes.groupBy(base.alias("base")).agg(F.min_by("family", "first").alias("family"), F.min("first").alias("first"))
+    wants = (questions.withColumn("_q", F.lower(question))
+             .where(contains_any(F.col("_q"), fv.WANT_ALL_WORDS)).select(key, "_q"))
+    hits = containing(wants, "_q", bases, "base").groupBy(key).agg(F.min_by("family", "first").alias("family"))
+    only = sizes.agg(F.when(F.count(F.lit(1)) == 1, F.max("family"))).scalar()
+    return (wants.select(key).join(hits, key, "left").withColumn("family", F.coalesce("family", only))
+            .where(F.col("family").isNotNull()))
+
+
+def schema_classes(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables grouped by the set of their telling column names.
+
+    Returns (table_name, class) and (class, names, tables). Generic names such as
+    ``id`` or ``date`` do not count.
+    """
+    name = F.lower("column_name")
+    telling = F.array_sort(F.collect_set(F.when(~name.isin(*fv.GENERIC_COLUMNS), name)))
+    members = (columns.groupBy("table_name").agg(telling.alias("names"))
+               .withColumn("class", F.md5(F.array_join("names", "\x01"))))
+    classes = members.groupBy("class").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("tables"))
+    return members.select("table_name", "class"), classes
+
+
+def related_classes(classes: DataFrame) -> DataFrame:
+    """Pairs of schema classes that share column names, with those names.
+
+    A family of thousands of like tables is one class, so its pairs are one row
+    here; :func:`related_to` turns classes back into tables for one table.
+    """
+    a = classes.select(F.col("class").alias("a"), F.explode("names").alias("name"))
+    b = classes.select(F.col("class").alias("b"), F.explode("names").alias("name"), F.col("tables").alias("b_tables"))
+    return (a.join(b, "name").groupBy("a", "b", "b_tables")
+            .agg(F.array_sort(F.collect_set("name")).alias("via")))
+
+
+def related_counts(columns: DataFrame) -> DataFrame:
+    """Per table: how many other tables share a telling column, and through which names."""
+    members, classes = schema_classes(columns)
+    links = related_classes(classes)
+    per_class = links.groupBy("a").agg(
+        F.sum(F.col("b_tables") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("related"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+            F.when((F.col("a") != F.col("b")) | (F.col("b_tables") > 1), F.col("via")))))).alias("via"))
+    out = members.join(per_class, members["class"] == per_class["a"], "left")
+    return out.select("table_name", F.coalesce("related", F.lit(0)).cast("bigint").alias("related"),
+                      F.coalesce("via", F.array().cast("array<string>")).alias("via"))
+
+
+def related_to(columns: DataFrame, table_name: str) -> DataFrame:
+    """The tables related to one table, with the shared names."""
+    members, classes = schema_classes(columns)
+    own = members.where(F.col("table_name") == table_name).select(F.col("class").alias("a"))
+    links = related_classes(classes).join(own, "a")
+    return (links.join(members.withColumnRenamed("class", "b"), "b")
+            .where(F.col("table_name") != table_name).select("table_name", "via"))
+
+
+# --- choosing tables for a question --------------------------------------------------
+
+def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` best scoring tables per question, or the first table if none scores.
+
+    Five points per keyword in the question, three per part of the table name,
+    two for a consolidated table, four for a word of its period. ``catalog`` has
+    pos, table_name, keywords and period. The catalog travels to the questions as
+    an array constant, block by block, so questions are only projected: no pair
+    of question and table is ever a row.
+    """
+    size = catalog.count()
+    parts = catalog.select("pos", "table_name", "keywords", F.split(F.lower("table_name"), "_").alias("parts"),
+                           F.split(F.lower("period"), " ").alias("period"),
+                           F.when(F.lower("table_name").rlike("consolidated|all"), 2).otherwise(0).alias("bonus"))
+    order = Window.orderBy("pos")
+    parts = parts.withColumn("_block", F.floor((F.row_number().over(order) - 1) / CATALOG_BLOCK))
+    out = questions.select(key, F.lower(question).alias("_q"))
+    tops = []
+    for b in range(max(1, -(-size // CATALOG_BLOCK))):
+        block = parts.where(F.col("_block") == b).agg(F.array_sort(F.collect_list(
+            F.struct("pos", "table_name", "keywords", "parts", "period", "bonus"))))
+        out = out.withColumn(f"_cat{b}", block.scalar())
+        tops.append(f"_cat{b}")
+
+    def score(t):
+        def hits(words):
+            return F.size(F.filter(words, lambda w: F.col("_q").contains(w)))
+        period = F.when(F.array_join(t["period"], "") == "", 0).otherwise(
+            F.when(F.exists(t["period"], lambda w: F.col("_q").contains(w)), 4).otherwise(0))
+        return hits(F.transform(t["keywords"], F.lower)) * 5 + hits(t["parts"]) * 3 + t["bonus"] + period
+
+    for c in tops:
+        scored = F.transform(F.col(c), lambda t: F.struct((-score(t)).alias("k"), t["pos"].alias("pos"),
+                                                          t["table_name"].alias("table_name")))
+        out = out.withColumn(c, F.slice(F.array_sort(scored), 1, n))
+    best = F.slice(F.array_sort(F.concat(*tops)), 1, n)
+    good = F.filter(best, lambda t: t["k"] < 0)
+    chosen = F.when(F.size(good) > 0, good).otherwise(F.slice(best, 1, 1))
+    return out.select(key, F.transform(chosen, lambda t: F.struct(
+        t["table_name"].alias("table_name"), (-t["k"]).cast("bigint").alias("score"))).alias("tables"))

@@ -12,6 +12,9 @@ MODULES = [
     "lookup_queries",
     "rule_queries",
     "audit_queries",
+    "screening_queries",
+    "shape_queries",
+    "catalog_queries",
 ]
 
 QUERIES: dict[str, Query] = {}
