@@ -15,6 +15,9 @@ MODULES = [
     "screening_queries",
     "shape_queries",
     "catalog_queries",
+    "retrieval_queries",
+    "ingest_queries",
+    "stream_queries",
 ]
 
 QUERIES: dict[str, Query] = {}
