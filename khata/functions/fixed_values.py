@@ -264,6 +264,15 @@ DEFINITION_QUESTION_PATTERNS = [
     r"meaning of (.+?)(?:\?|$)",
 ]
 
+# words without which the pattern at the same place cannot match
+RATE_QUESTION_WORDS = ["rate|%", "gst|tax", "gst rate|tax rate", "rate"]
+CODE_QUESTION_WORDS = ["hsn", "sac", " hsn ", " sac "]
+DEFINITION_QUESTION_WORDS = ["what", "explain|define|describe", "tell me about|what do you mean by", "how", "meaning of"]
+LEGAL_QUESTION_WORDS = [
+    "section", "rule", "can i claim", "allowed|eligible|applicable", "itc|input tax credit",
+    "blocked credit", "time limit", "penalty", "filing", "due date",
+]
+
 # --- Fixed values: intents -----------------------------------------------------------
 
 INTENT_PATTERNS = [
@@ -341,6 +350,9 @@ QUERY_EXPANSIONS = [
 
 # --- Fixed values: screening patterns ------------------------------------------------
 
+# Each list of words stands beside its patterns: without the word (or one of the words,
+# lower case) the pattern at the same place cannot match.
+
 OVERRIDE_PATTERNS = [
     r"ignore\s+(all\s+)?(previous|prior|above|your|my|the|these)?\s*(instructions?|prompts?|rules?|guidelines?)",
     r"disregard\s+(all\s+)?(previous|prior|above|your|the)?\s*(instructions?|prompts?|rules?)",
@@ -365,6 +377,11 @@ OVERRIDE_PATTERNS = [
     r"do\s+not\s+follow\s+(your|the|any)\s+(rules?|instructions?)",
     r"stop\s+being\s+(an?\s+)?(ai|assistant|helpful)",
 ]
+OVERRIDE_WORDS = [
+    "ignore", "disregard", "forget", "override", "new", "system", "from", "ignore",
+    "you", "act", "pretend", "roleplay", "switch",
+    "dan", "jailbreak", "bypass", "unlock", "developer", "sudo", "admin", "follow", "stop",
+]
 LEAK_PATTERNS = [
     r"(show|reveal|display|print|output|repeat)\s+(your\s+)?(system\s+)?(prompt|instructions?)",
     r"what\s+(are|is)\s+your\s+(system\s+)?(prompt|instructions?)",
@@ -373,6 +390,7 @@ LEAK_PATTERNS = [
     r"above\s+(instructions?|text|prompt)\s+verbatim",
     r"beginning\s+of\s+(this\s+)?(conversation|prompt)",
 ]
+LEAK_WORDS = ["prompt|instruction", "your", "me", "instruction", "verbatim", "beginning"]
 ENCODING_PATTERNS = [
     r"\\x[0-9a-fA-F]{2}",
     r"\\u[0-9a-fA-F]{4}",
@@ -381,6 +399,7 @@ ENCODING_PATTERNS = [
     r"base64\s*:",
     r"\[char\s*\d+\]",
 ]
+ENCODING_WORDS = ["\\x", "\\u", "&#", "%", "base64", "[char"]
 ENCODING_ALLOWED = 3
 DELIMITER_PATTERNS = [
     r"```\s*(system|assistant|user|human)",
@@ -396,6 +415,10 @@ DELIMITER_PATTERNS = [
     r"\[SYSTEM\]",
     r"###\s*(System|User|Assistant|Human)\s*:",
 ]
+DELIMITER_WORDS = [
+    "```", "[inst]", "[/inst]", "<|im_start|>", "<|im_end|>", "<|system|>", "<|user|>", "<|assistant|>",
+    "<<sys>>", "<</sys>>", "[system]", "###",
+]
 CONTEXT_PATTERNS = [
     r"(previous|above)\s+(response|output|answer)\s+was\s+(wrong|incorrect)",
     r"actually\s*,?\s+the\s+(correct|right)\s+(answer|response)",
@@ -404,6 +427,7 @@ CONTEXT_PATTERNS = [
     r"that\s+was\s+a\s+test",
     r"training\s+mode\s+(on|enabled)",
 ]
+CONTEXT_WORDS = ["was", "actually", "correction", "correct", "test", "training"]
 REMOVED_DELIMITERS = [
     r"\[INST\]",
     r"\[/INST\]",

@@ -19,9 +19,22 @@ def _text(v) -> Column:
     return v.cast("string") if isinstance(v, Column) else F.lit(v).cast("string")
 
 
-def verdict(ok: bool, level: str, message, field=None, value=None, suggestion=None) -> Column:
-    return F.struct(F.lit(ok).alias("is_valid"), F.lit(level).alias("level"), _text(message).alias("message"),
-                    _text(field).alias("field"), _text(value).alias("value"), _text(suggestion).alias("suggestion"))
+FIELDS = ("is_valid", "level", "message", "field", "value", "suggestion")
+# The extra field ``tally`` counts errors in its upper part and warnings in its lower
+# part, so that the sum over many verdicts holds both counts.
+ERROR_UNIT = 1 << 16
+
+
+def _verdicts(fields):
+    """Maker of verdict structs with just ``fields``: texts nobody reads are never built."""
+    def verdict(ok: bool, level: str, message, field=None, value=None, suggestion=None) -> Column:
+        tally = ERROR_UNIT if level == "error" and not ok else int(level == "warning")
+        parts = {"is_valid": F.lit(ok), "level": F.lit(level), "tally": F.lit(tally)}
+        texts = {"message": message, "field": field, "value": value, "suggestion": suggestion}
+        parts |= {name: _text(v) for name, v in texts.items() if name in fields}
+        return F.struct(*[parts[name].alias(name) for name in fields])
+
+    return verdict
 
 
 def first_that_holds(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -35,7 +48,8 @@ def _missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-def gstin_rule(gstin: Column) -> Column:
+def gstin_rule(gstin: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     v = strip(F.upper(gstin))
     state = F.substring(v, 1, 2).cast("int")
     return first_that_holds([
@@ -51,7 +65,8 @@ def gstin_rule(gstin: Column) -> Column:
     ], verdict(True, "info", "Valid GSTIN", "gstin", v))
 
 
-def hsn_rule(hsn: Column) -> Column:
+def hsn_rule(hsn: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     v = strip(hsn)
     return first_that_holds([
         (_missing(hsn), verdict(True, "warning", "HSN code not provided", "hsn_code")),
@@ -61,7 +76,8 @@ def hsn_rule(hsn: Column) -> Column:
     ], verdict(True, "info", "Valid HSN code", "hsn_code", v))
 
 
-def invoice_number_rule(number: Column) -> Column:
+def invoice_number_rule(number: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     raw = number.cast("string")
     v, field = strip(raw), "invoice_number"
     return first_that_holds([
@@ -72,8 +88,9 @@ def invoice_number_rule(number: Column) -> Column:
     ], verdict(True, "info", "Valid invoice number", field, v))
 
 
-def amount_rule(amount: Column, field: str = "amount") -> Column:
+def amount_rule(amount: Column, field: str = "amount", fields=FIELDS) -> Column:
     """``amount`` may be a number or text; text that is no number is an error."""
+    verdict = _verdicts(fields)
     number = amount.try_cast("double")
     return first_that_holds([
         (number.isNull(), verdict(False, "error", f"{field} must be a valid number", field, amount)),
@@ -85,8 +102,9 @@ def amount_rule(amount: Column, field: str = "amount") -> Column:
 
 
 def tax_total_rule(taxable: Column, cgst: Column, sgst: Column, igst: Column, total: Column,
-                   tolerance: float = fv.TAX_TOLERANCE) -> Column:
+                   tolerance: float = fv.TAX_TOLERANCE, fields=FIELDS) -> Column:
     """Parts against the total; a missing tax counts as zero."""
+    verdict = _verdicts(fields)
     def money(c):
         return F.coalesce(c.cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
 
@@ -108,8 +126,9 @@ def tax_total_rule(taxable: Column, cgst: Column, sgst: Column, igst: Column, to
 
 
 def date_rule(value: Column, as_of: Column, field: str = "date",
-              earliest: Column | None = None, latest: Column | None = None, is_text: bool = False) -> Column:
+              earliest: Column | None = None, latest: Column | None = None, is_text: bool = False, fields=FIELDS) -> Column:
     """``value`` is a date, or text in ``yyyy-mm-dd`` with ``is_text``."""
+    verdict = _verdicts(fields)
     d = F.try_to_date(value, "yyyy-M-d") if is_text else value
     cases = [(value.isNull(), verdict(False, "error", f"{field} is required", field))]
     if is_text:
@@ -133,7 +152,8 @@ def itc_deadline(invoice_date: Column, strict: bool = False) -> Column:
     return F.make_date(year_end if strict else year_end + 1, F.lit(11), F.lit(30))
 
 
-def itc_limit_rule(invoice_date: Column, as_of: Column, strict: bool = False) -> Column:
+def itc_limit_rule(invoice_date: Column, as_of: Column, strict: bool = False, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     deadline = itc_deadline(invoice_date, strict)
     left, field = F.datediff(deadline, as_of), "itc_eligibility"
     return first_that_holds([
@@ -146,8 +166,9 @@ def itc_limit_rule(invoice_date: Column, as_of: Column, strict: bool = False) ->
     ], verdict(True, "info", F.concat(F.lit("ITC can be claimed. Deadline: "), deadline), field))
 
 
-def payment_rule(invoice_date: Column, payment_date: Column, is_msme: Column, as_of: Column) -> Column:
+def payment_rule(invoice_date: Column, payment_date: Column, is_msme: Column, as_of: Column, fields=FIELDS) -> Column:
     """Small and micro vendors are to be paid within 45 days."""
+    verdict = _verdicts(fields)
     paid_after = F.datediff(payment_date, invoice_date)
     age = F.datediff(as_of, invoice_date)
     left = F.lit(fv.PAYMENT_LIMIT_DAYS) - age
@@ -168,7 +189,8 @@ def payment_rule(invoice_date: Column, payment_date: Column, is_msme: Column, as
     ], verdict(True, "info", F.concat(F.lit("Payment due in "), left, F.lit(" days"))))
 
 
-def no_arithmetic_rule(answer: Column) -> Column:
+def no_arithmetic_rule(answer: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     field = "llm_response"
     return first_that_holds([
         (matches_any(answer, fv.ARITHMETIC_PATTERNS), verdict(
@@ -176,7 +198,8 @@ def no_arithmetic_rule(answer: Column) -> Column:
     ], verdict(True, "info", "LLM response does not contain arithmetic"))
 
 
-def citation_rule(answer: Column) -> Column:
+def citation_rule(answer: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     return first_that_holds([
         (~contains_any(F.lower(answer), fv.RULE_WORDS), verdict(True, "info", "Response does not discuss rules")),
         (~matches_any(answer, fv.CITATION_PATTERNS), verdict(
@@ -190,7 +213,8 @@ def tenant_id(raw: Column) -> Column:
     return F.translate(strip(F.lower(raw)), " -", "__")
 
 
-def tenant_rule(raw: Column) -> Column:
+def tenant_rule(raw: Column, fields=FIELDS) -> Column:
+    verdict = _verdicts(fields)
     v, field = tenant_id(raw), "customer_id"
     return first_that_holds([
         (_missing(v), verdict(False, "error", "Customer ID cannot be empty", field)),

@@ -28,6 +28,20 @@ def matches_any(c: Column, patterns: list[str], flags: str = "i") -> Column:
     return c.rlike(f"(?{flags}){joined}" if flags else joined)
 
 
+def has_word(low: Column, words: str) -> Column:
+    """One of the ``|``-separated words is in the lower-case text."""
+    return contains_any(low, words.split("|"))
+
+
+def found(text: Column, low: Column, patterns: list[str], words: list[str], flags: str = "i") -> list[Column]:
+    """A test per pattern, run only where a word it cannot do without is there.
+
+    Looking for a word costs a fraction of a regular expression, and most texts
+    hold none of the words.
+    """
+    return [has_word(low, w) & text.rlike(f"(?{flags}){p}") for p, w in zip(patterns, words, strict=True)]
+
+
 def first_match_index(c: Column, patterns: list[str], flags: str = "i") -> Column:
     """0-based index of the first pattern in list order found in ``c``; null if none is."""
     out = None
@@ -37,14 +51,15 @@ def first_match_index(c: Column, patterns: list[str], flags: str = "i") -> Colum
     return out
 
 
-def captured(c: Column, patterns: list[str], flags: str = "i") -> Column:
-    """Stripped first group of the first pattern in list order found in ``c``; null if none is."""
-    out = None
-    for p in patterns:
-        rx = f"(?{flags}){p}"
-        value = strip(F.regexp_extract(c, rx, 1))
-        out = F.when(c.rlike(rx), value) if out is None else out.when(c.rlike(rx), value)
-    return out
+def captured(low: Column, patterns: list[str], words: list[str]) -> Column:
+    """Stripped first group of the first pattern in list order found in a lower-case text.
+
+    Null if none is found. The groups match at least one character, so an empty
+    extract means no match.
+    """
+    return strip(F.coalesce(*[
+        F.when(has_word(low, w), F.nullif(F.regexp_extract(low, p, 1), F.lit("")))
+        for p, w in zip(patterns, words, strict=True)]))
 
 
 def file_stem(filename: Column) -> Column:

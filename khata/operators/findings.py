@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,34 +12,39 @@ from khata.functions import rules
 AMOUNT_FIELDS = ["taxable_value", "total_value", "cgst_amount", "sgst_amount", "igst_amount"]
 
 
-def transaction_rules(columns: list[str], as_of: Column) -> list[Column]:
+def transaction_rules(columns: list[str], as_of: Column, fields=rules.FIELDS) -> list[Column]:
     """The rules that apply to a table with these columns, in a fixed order."""
     have = set(columns)
     out = []
     if "gstin" in have:
-        out.append(rules.gstin_rule(F.col("gstin")))
+        out.append(rules.gstin_rule(F.col("gstin"), fields=fields))
     if "hsn_code" in have:
-        out.append(rules.hsn_rule(F.col("hsn_code")))
+        out.append(rules.hsn_rule(F.col("hsn_code"), fields=fields))
     if "invoice_number" in have:
-        out.append(rules.invoice_number_rule(F.col("invoice_number")))
+        out.append(rules.invoice_number_rule(F.col("invoice_number"), fields=fields))
     if "invoice_date" in have:
-        out.append(rules.date_rule(F.col("invoice_date"), as_of, "invoice_date"))
-    out += [rules.amount_rule(F.col(f), f) for f in AMOUNT_FIELDS if f in have]
+        out.append(rules.date_rule(F.col("invoice_date"), as_of, "invoice_date", fields=fields))
+    out += [rules.amount_rule(F.col(f), f, fields=fields) for f in AMOUNT_FIELDS if f in have]
     if {"taxable_value", "total_value"} <= have:
         def tax(name):
             return F.col(name) if name in have else F.lit(0)
         out.append(rules.tax_total_rule(F.col("taxable_value"), tax("cgst_amount"), tax("sgst_amount"),
-                                        tax("igst_amount"), F.col("total_value")))
+                                        tax("igst_amount"), F.col("total_value"), fields=fields))
     return out
 
 
-def check_transactions(df: DataFrame, as_of: Column, keep: list[str], only_problems: bool = False) -> DataFrame:
-    """One row per rule and transaction. With ``only_problems`` plain info verdicts are
-    filtered inside the array, before the explode multiplies the rows."""
-    verdicts = F.array(*[v.cast(rules.VERDICT) for v in transaction_rules(df.columns, as_of)])
+def check_transactions(df: DataFrame, as_of: Column, keep: list[str], only_problems: bool = False,
+                       fields=rules.FIELDS) -> DataFrame:
+    """One row per rule and transaction, with just ``fields`` of the verdicts. With
+    ``only_problems`` plain info verdicts are filtered inside the array, before the
+    explode multiplies the rows."""
+    asked = list(fields) + (["level"] if only_problems and "level" not in fields else [])
+    found = transaction_rules(df.columns, as_of, asked)
     if only_problems:
-        verdicts = F.filter(verdicts, lambda v: v["level"] != "info")
-    return (df.select(*keep, F.explode(verdicts).alias("_v")).select(*keep, "_v.*"))
+        found = [F.when(v["level"] != "info", v) for v in found]
+    listed = F.array(*found)
+    return df.select(*keep, F.explode(F.array_compact(listed) if only_problems else listed).alias("_v")).select(
+        *keep, *[f"_v.{f}" for f in fields])
 
 
 def summarize(findings: DataFrame, *keys: str) -> DataFrame:
@@ -50,8 +57,8 @@ def summarize(findings: DataFrame, *keys: str) -> DataFrame:
 
 def summarize_rows(df: DataFrame, as_of: Column, keep: list[str]) -> DataFrame:
     """The same summary per transaction, inside the row: nothing is exploded or shuffled."""
-    verdicts = F.array(*[v.cast(rules.VERDICT) for v in transaction_rules(df.columns, as_of)])
-    errors = F.size(F.filter(verdicts, lambda v: (v["level"] == "error") & ~v["is_valid"]))
-    warnings = F.size(F.filter(verdicts, lambda v: v["level"] == "warning"))
-    return df.select(*keep, errors.cast("bigint").alias("error_count"), warnings.cast("bigint").alias("warning_count")
-                     ).withColumn("is_valid", F.col("error_count") == 0)
+    tally = reduce(Column.__add__, [v["tally"] for v in transaction_rules(df.columns, as_of, ("tally",))])
+    errors = F.floor(F.col("_tally") / rules.ERROR_UNIT).cast("bigint")
+    warnings = F.pmod(F.col("_tally"), F.lit(rules.ERROR_UNIT)).cast("bigint")
+    return df.select(*keep, tally.alias("_tally")).select(
+        *keep, errors.alias("error_count"), warnings.alias("warning_count"), (errors == 0).alias("is_valid"))

@@ -15,12 +15,13 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 
 def ledger_checks(df: DataFrame, years: tuple[int, int] = (2000, 2100), table: str = "source_table") -> DataFrame:
     """Per table: rows, totals that do not add up, zero and negative amounts, bad GSTINs and odd years."""
-    total = tax_total_rule(*[F.col(c) for c in ("taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "total_value")])
+    total = tax_total_rule(*[F.col(c) for c in ("taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "total_value")],
+                           fields=("is_valid", "field"))
     mismatch = ~total["is_valid"] & (total["field"] == "total_value")
     return df.groupBy(table).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(mismatch).alias("total_mismatch"),
         F.count_if(F.col("total_value") == 0).alias("zero_amount"), F.count_if(F.col("total_value") < 0).alias("negative_amount"),
-        F.count_if(~gstin_rule(F.col("gstin"))["is_valid"]).alias("bad_gstin"),
+        F.count_if(~gstin_rule(F.col("gstin"), fields=("is_valid",))["is_valid"]).alias("bad_gstin"),
         F.count_if(~F.year("invoice_date").between(*years)).alias("odd_year"))
 
 

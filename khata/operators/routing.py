@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
-from khata.functions.text import captured, contains_any, first_match_index, matches_any, strip
+from khata.functions.text import any_of, captured, contains_any, first_match_index, found, matches_any, strip
 
 
 def classify_questions(df: DataFrame, question: str) -> DataFrame:
@@ -19,12 +19,15 @@ def classify_questions(df: DataFrame, question: str) -> DataFrame:
     """
     q = strip(F.lower(F.col(question)))
 
-    def phrase(patterns):
-        return F.nullif(captured(q, patterns), F.lit(""))
+    def phrase(patterns, words):
+        return F.nullif(captured(F.col("_q"), patterns, words), F.lit(""))
 
-    work = df.withColumns({
-        "_rate": phrase(fv.RATE_QUESTION_PATTERNS), "_code": phrase(fv.CODE_QUESTION_PATTERNS),
-        "_term": phrase(fv.DEFINITION_QUESTION_PATTERNS)})
+    work = df.withColumn("_q", q).withColumns({
+        "_rate": phrase(fv.RATE_QUESTION_PATTERNS, fv.RATE_QUESTION_WORDS),
+        "_code": phrase(fv.CODE_QUESTION_PATTERNS, fv.CODE_QUESTION_WORDS),
+        "_term": phrase(fv.DEFINITION_QUESTION_PATTERNS, fv.DEFINITION_QUESTION_WORDS)})
+    q = F.col("_q")
+    legal = any_of(found(q, q, fv.LEGAL_QUESTION_PATTERNS, fv.LEGAL_QUESTION_WORDS))
 
     def row(name, confidence, source, entity=None):
         return F.struct(F.lit(name).alias("question_class"), confidence.cast("double").alias("confidence"),
@@ -35,7 +38,7 @@ def classify_questions(df: DataFrame, question: str) -> DataFrame:
     out = (F.when(matches_any(q, fv.DATA_QUESTION_PATTERNS), row("data_query", F.lit(0.9), "duckdb"))
             .when(F.col("_rate").isNotNull(), row("rate_lookup", F.lit(0.85), "csv", F.col("_rate")))
             .when(F.col("_code").isNotNull(), row("hsn_sac_lookup", F.lit(0.85), "csv", F.col("_code")))
-            .when(matches_any(q, fv.LEGAL_QUESTION_PATTERNS), row("legal_rule", F.lit(0.8), "chromadb"))
+            .when(legal, row("legal_rule", F.lit(0.8), "chromadb"))
             .when(F.col("_term").isNotNull(), row("definition", known, "llm", F.col("_term")))
             .when(contains_any(q, fv.ITC_CONCEPTS), row("definition", F.lit(0.6), "llm"))
             .when(contains_any(q, fv.TAX_WORDS), row("general", F.lit(0.5), "chromadb"))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
-from khata.functions.text import contains_any, matches_any, strip
+from khata.functions.text import any_of, contains_any, found, has_word, matches_any, strip
 
 LEVELS = ["none", "low", "medium", "high", "critical"]
 
 
-def _reasons(text: Column, label: str, patterns: list[str], flags: str = "im", shown: int = 50) -> Column:
-    """Texts of the patterns found; they are tried one by one only where any of them hits."""
-    each = F.array_compact(F.array(*[
-        F.when(text.rlike(f"(?{flags}){p}"), F.lit(f"{label}: {p[:shown]}")) for p in patterns]))
-    return F.when(matches_any(text, patterns, flags), each).otherwise(F.array().cast("array<string>"))
+NONE = "array<string>"
+
+
+def _reasons(label: str, patterns: list[str], tests: list[Column], shown: int = 50) -> Column:
+    """Texts of the patterns found."""
+    return F.array_compact(F.array(*[F.when(t, F.lit(f"{label}: {p[:shown]}")) for p, t in zip(patterns, tests)]))
+
+
+def _encoded(text: Column, low: Column) -> Column:
+    """How many encoded pieces the text has."""
+    parts = [F.when(has_word(low, w), F.regexp_count(text, F.lit(f"(?im){p}"))).otherwise(0)
+             for p, w in zip(fv.ENCODING_PATTERNS, fv.ENCODING_WORDS, strict=True)]
+    return reduce(Column.__add__, parts)
 
 
 def screen_prompts(df: DataFrame, prompt: str, custom: list[str] | None = None,
@@ -24,48 +34,50 @@ def screen_prompts(df: DataFrame, prompt: str, custom: list[str] | None = None,
 
     A text beyond ``max_chars`` counts as a low threat; it is still screened whole.
     """
-    text = F.col(prompt)
-    encoded = None
-    for p in fv.ENCODING_PATTERNS:
-        n = F.regexp_count(text, F.lit(f"(?im){p}"))
-        encoded = n if encoded is None else encoded + n
+    text, low = F.col(prompt), F.col("_low")
+    empty = F.array().cast(NONE)
+
+    def group(label, patterns, words):
+        return _reasons(label, patterns, found(text, low, patterns, words, "im"))
+
     groups = [
-        (4, _reasons(text, "System override attempt", fv.OVERRIDE_PATTERNS)),
-        (3, _reasons(text, "Prompt leak attempt", fv.LEAK_PATTERNS)),
-        (3, _reasons(text, "Delimiter injection", fv.DELIMITER_PATTERNS)),
+        (1, F.when(F.length(text) > max_chars, F.array(F.concat(
+            F.lit("Input too long ("), F.length(text), F.lit(f" > {max_chars})")))).otherwise(empty)),
+        (4, group("System override attempt", fv.OVERRIDE_PATTERNS, fv.OVERRIDE_WORDS)),
+        (3, group("Prompt leak attempt", fv.LEAK_PATTERNS, fv.LEAK_WORDS)),
+        (3, group("Delimiter injection", fv.DELIMITER_PATTERNS, fv.DELIMITER_WORDS)),
         (2, F.when(F.col("_encoded") > fv.ENCODING_ALLOWED, F.array(F.concat(
-            F.lit("Suspicious encoding ("), F.col("_encoded"), F.lit(" patterns)")))).otherwise(F.array().cast("array<string>"))),
-        (2, _reasons(text, "Context manipulation", fv.CONTEXT_PATTERNS)),
+            F.lit("Suspicious encoding ("), F.col("_encoded"), F.lit(" patterns)")))).otherwise(empty)),
+        (2, group("Context manipulation", fv.CONTEXT_PATTERNS, fv.CONTEXT_WORDS)),
     ]
     if custom:
-        groups.append((2, _reasons(text, "Custom pattern match", custom)))
-    too_long = F.when(F.length(text) > max_chars, F.array(F.concat(
-        F.lit("Input too long ("), F.length(text), F.lit(f" > {max_chars})")))).otherwise(F.array().cast("array<string>"))
-    groups.insert(0, (1, too_long))
+        groups.append((2, _reasons("Custom pattern match", custom, [text.rlike(f"(?im){p}") for p in custom])))
 
-    found = df.withColumn("_encoded", encoded)
-    found = found.withColumns({f"_g{i}": reasons for i, (_, reasons) in enumerate(groups)})
+    out = df.withColumn("_low", F.lower(text)).withColumn("_encoded", _encoded(text, low))
+    out = out.withColumns({f"_g{i}": reasons for i, (_, reasons) in enumerate(groups)})
     rank = F.greatest(*[F.when(F.size(f"_g{i}") > 0, level).otherwise(0) for i, (level, _) in enumerate(groups)])
     names = F.array(*[F.lit(name) for name in LEVELS])
-    return (found.withColumn("threats", F.concat(*[F.col(f"_g{i}") for i in range(len(groups))]))
-                 .withColumn("_rank", rank)
-                 .withColumn("threat_level", F.element_at(names, F.col("_rank") + 1))
-                 .withColumn("is_safe", F.size("threats") == 0)
-                 .withColumn("blocked", F.col("_rank") >= LEVELS.index(block_from))
-                 .withColumn("sanitized", clean_prompt(text))
-                 .drop("_encoded", "_rank", *[f"_g{i}" for i in range(len(groups))]))
-
-
-def threat_level(prompt: Column) -> Column:
-    """Only the level, without reasons: one alternation per level."""
-    encoded = None
-    for p in fv.ENCODING_PATTERNS:
-        n = F.regexp_count(prompt, F.lit(f"(?im){p}"))
-        encoded = n if encoded is None else encoded + n
-    return (F.when(matches_any(prompt, fv.OVERRIDE_PATTERNS, "im"), "critical")
-             .when(matches_any(prompt, fv.LEAK_PATTERNS + fv.DELIMITER_PATTERNS, "im"), "high")
-             .when((encoded > fv.ENCODING_ALLOWED) | matches_any(prompt, fv.CONTEXT_PATTERNS, "im"), "medium")
-             .when(F.length(prompt) > fv.PROMPT_MAX_CHARS, "low").otherwise("none"))
+    return (out.withColumn("threats", F.concat(*[F.col(f"_g{i}") for i in range(len(groups))]))
+               .withColumn("_rank", rank)
+               .withColumn("threat_level", F.element_at(names, F.col("_rank") + 1))
+               .withColumn("is_safe", F.size("threats") == 0)
+               .withColumn("blocked", F.col("_rank") >= LEVELS.index(block_from))
+               .withColumn("sanitized", clean_prompt(text))
+               .drop("_low", "_encoded", "_rank", *[f"_g{i}" for i in range(len(groups))]))
+
+
+def threat_levels(df: DataFrame, prompt: str) -> DataFrame:
+    """Add only ``threat_level``: the first group that hits decides, no reasons are listed."""
+    text, low = F.col(prompt), F.col("_low")
+
+    def hit(patterns, words):
+        return any_of(found(text, low, patterns, words, "im"))
+
+    level = (F.when(hit(fv.OVERRIDE_PATTERNS, fv.OVERRIDE_WORDS), "critical")
+              .when(hit(fv.LEAK_PATTERNS, fv.LEAK_WORDS) | hit(fv.DELIMITER_PATTERNS, fv.DELIMITER_WORDS), "high")
+              .when((_encoded(text, low) > fv.ENCODING_ALLOWED) | hit(fv.CONTEXT_PATTERNS, fv.CONTEXT_WORDS), "medium")
+              .when(F.length(text) > fv.PROMPT_MAX_CHARS, "low").otherwise("none"))
+    return df.withColumn("_low", F.lower(text)).withColumn("threat_level", level).drop("_low")
 
 
 def clean_prompt(text: Column, allow_code: bool = False) -> Column:
@@ -77,37 +89,38 @@ def clean_prompt(text: Column, allow_code: bool = False) -> Column:
 
 # --- SQL texts -----------------------------------------------------------------------
 
-def check_sql(sql: Column, max_chars: int = fv.SQL_MAX_CHARS) -> Column:
-    """Struct ``is_valid, sql, issues`` for a read-only query text."""
-    none = F.array().cast("array<string>")
-
-    def result(ok, text, issues):
-        return F.struct(ok.alias("is_valid"), text.alias("sql"), issues.alias("issues"))
-
-    whole = strip(sql)
+def screen_sql(df: DataFrame, sql: str, max_chars: int = fv.SQL_MAX_CHARS) -> DataFrame:
+    """Add ``is_valid``, ``clean`` and ``issues`` for read-only query texts, step by step."""
+    text, whole, first, without = F.col(sql), F.col("_whole"), F.col("_first"), F.col("_without")
     parts = F.filter(F.transform(F.split(whole, ";"), strip), lambda s: s != "")
-    stacked = F.size(parts) > 1
-    first = F.when(stacked, F.get(parts, F.lit(0))).otherwise(whole)
-    stacked_issue = F.when(stacked, F.array(F.lit("Multiple statements detected (potential stacked query injection)"))).otherwise(none)
-    reads = F.upper(first).startswith("SELECT") | F.upper(first).startswith("WITH")
-
-    dangers = F.when(matches_any(first, fv.SQL_DANGER_PATTERNS), F.array_compact(F.array(*[
-        F.when(first.rlike(f"(?i){p}"), F.concat(F.lit("Dangerous SQL pattern detected: "),
-                                                F.regexp_extract(first, f"(?i){p}", 0)))
-        for p in fv.SQL_DANGER_PATTERNS]))).otherwise(none)
-    trailing = first.rlike(r"--\s*$")
-    without = F.when(trailing, strip(F.regexp_replace(first, r"--\s*$", ""))).otherwise(first)
-    block = without.contains("/*")
-    clean = strip(F.when(block, F.regexp_replace(without, r"(?s)/\*.*?\*/", "")).otherwise(without))
-    comments = F.array_compact(F.array(F.when(trailing, F.lit("Trailing comment detected")),
-                                       F.when(block, F.lit("Block comment detected and removed"))))
-    return (F.when(sql.isNull() | (whole == ""), result(F.lit(False), F.lit(""), F.array(F.lit("Empty SQL query"))))
-             .when(F.length(whole) > max_chars, result(F.lit(False), whole, F.array(F.concat(
-                 F.lit("Query too long ("), F.length(whole), F.lit(f" > {max_chars})")))))
-             .when(~reads, result(F.lit(False), first, F.concat(
-                 stacked_issue, F.array(F.lit("Query must start with SELECT or WITH")))))
-             .otherwise(result(~stacked & (F.size(dangers) == 0) & ~trailing, clean,
-                               F.concat(stacked_issue, dangers, comments))))
+    stacked, dashed, reads = F.col("_stacked"), F.col("_dashed"), F.col("_reads")
+    step = (df.withColumn("_whole", F.coalesce(strip(text), F.lit("")))
+            .withColumn("_parts", F.when(whole.contains(";"), parts).otherwise(F.array(whole)))
+            .withColumn("_stacked", F.size("_parts") > 1)
+            .withColumn("_first", F.when(stacked, F.get("_parts", F.lit(0))).otherwise(whole))
+            .withColumn("_long", F.length(whole) > max_chars)
+            .withColumn("_reads", F.upper(F.substring(first, 1, 6)).startswith("SELECT")
+                        | F.upper(F.substring(first, 1, 4)).startswith("WITH"))
+            .withColumn("_dangers", F.when(~F.col("_long") & reads & matches_any(first, fv.SQL_DANGER_PATTERNS), F.array_compact(F.array(*[
+                F.when(first.rlike(f"(?i){p}"), F.concat(F.lit("Dangerous SQL pattern detected: "),
+                                                        F.regexp_extract(first, f"(?i){p}", 0)))
+                for p in fv.SQL_DANGER_PATTERNS]))).otherwise(F.array().cast(NONE)))
+            .withColumn("_dashed", first.rlike(r"--\s*$"))
+            .withColumn("_without", F.when(dashed, strip(F.regexp_replace(first, r"--\s*$", ""))).otherwise(first))
+            .withColumn("_block", without.contains("/*")))
+
+    issues = F.array_compact(F.concat(
+        F.array(F.when(stacked, F.lit("Multiple statements detected (potential stacked query injection)"))),
+        F.when(~reads, F.array(F.lit("Query must start with SELECT or WITH"))).otherwise(F.concat(F.col("_dangers"), F.array(
+            F.when(dashed, F.lit("Trailing comment detected")),
+            F.when(F.col("_block"), F.lit("Block comment detected and removed")))))))
+    out = (step.withColumn("is_valid", (whole != "") & ~F.col("_long") & reads & ~stacked & (F.size("_dangers") == 0) & ~dashed)
+           .withColumn("clean", F.when((whole == "") | F.col("_long"), whole).when(~reads, first).otherwise(
+               strip(F.when(F.col("_block"), F.regexp_replace(without, r"(?s)/\*.*?\*/", "")).otherwise(without))))
+           .withColumn("issues", F.when(whole == "", F.array(F.lit("Empty SQL query")))
+                       .when(F.col("_long"), F.array(F.concat(
+                           F.lit("Query too long ("), F.length(whole), F.lit(f" > {max_chars})")))).otherwise(issues)))
+    return out.select(*df.columns, "is_valid", "clean", "issues")
 
 
 def clean_sql(text: Column) -> Column:
@@ -134,15 +147,15 @@ def strict_sql(text: Column) -> Column:
 
 def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
                 row_cap: int | None = None) -> DataFrame:
-    """Run a query text only if :func:`check_sql` passes it.
+    """Run a query text only if :func:`screen_sql` passes it.
 
     ``tables`` are the frames the text may name in braces. ``row_cap`` limits an
     answer that is meant for reading.
     """
-    ok = spark.range(1).select(check_sql(F.lit(sql)).alias("v")).select("v.*").first()
+    ok = screen_sql(spark.range(1).select(F.lit(sql).alias("text")), "text").first()
     if not ok["is_valid"]:
         raise ValueError("; ".join(ok["issues"]))
-    out = spark.sql(ok["sql"].rstrip(";"), **(tables or {}))
+    out = spark.sql(ok["clean"].rstrip(";"), **(tables or {}))
     return out if row_cap is None else out.limit(row_cap)
 
 
@@ -177,7 +190,8 @@ def check_path(path: Column, base: str | None = None, allowed: list[str] | None
             hit = resolved.startswith(a)
             inside = hit if inside is None else inside | hit
         extra.insert(0, F.when(~inside, F.lit("Path outside allowed directories")))
-    issues = F.concat(_reasons(path, "Path traversal pattern detected", fv.PATH_TRAVERSAL_PATTERNS, "i", 30),
+    tests = [path.rlike(f"(?i){p}") for p in fv.PATH_TRAVERSAL_PATTERNS]
+    issues = F.concat(_reasons("Path traversal pattern detected", fv.PATH_TRAVERSAL_PATTERNS, tests, 30),
                       F.array_compact(F.array(*extra)))
     return F.struct((F.size(issues) == 0).alias("is_valid"), resolved.alias("resolved"), issues.alias("issues"))
 

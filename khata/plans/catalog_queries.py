@@ -9,6 +9,7 @@ from khata.operators import catalog, roles
 from khata.plans import standins as st
 from khata.plans.duck import any_contains, lit
 from khata.plans.registry import query
+from khata.session import spread
 
 # --- inputs --------------------------------------------------------------------------
 
@@ -20,7 +21,7 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Purchase ', strftime(
 
 
 def source_files(spark, d):
-    orders = st.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(st.table(spark, d, "orders"), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderdate")
     m = F.col("o_orderkey") % 4
     name = (F.when(m == 0, F.concat(F.lit("Purchase "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(".xlsx")))
              .when(m == 1, F.concat(F.lit("sales-"), F.date_format("o_orderdate", "yyyy"), F.lit(".csv")))
@@ -202,7 +203,7 @@ SELECT * FROM (SELECT q.question_id, coalesce(h.family, CASE WHEN (SELECT count(
                FROM q LEFT JOIN hit h USING (question_id)) WHERE family IS NOT NULL
 """)
 def m9_family_for_question(spark, d):
-    return catalog.family_for_questions(st.from_sql(spark, d, st.QUESTIONS_SQL), "question", "question_id",
+    return catalog.family_for_questions(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question", "question_id",
                                         st.from_sql(spark, d, st.CATALOG_SQL))
 
 
@@ -247,14 +248,14 @@ SELECT question_id, string_agg(concat(table_name, ':', score), ',' ORDER BY plac
 FROM placed WHERE place <= 3 AND (score > 0 OR place = 1) GROUP BY 1
 """)
 def m10_table_choice(spark, d):
-    chosen = catalog.choose_tables(st.from_sql(spark, d, st.QUESTIONS_SQL), "question", "question_id", month_catalog(spark, d))
+    chosen = catalog.choose_tables(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question", "question_id", month_catalog(spark, d))
     return chosen.select("question_id", F.array_join(F.transform(
         "tables", lambda t: F.concat(t["table_name"], F.lit(":"), t["score"])), ",").alias("tables"))
 
 
 @query("t5_best_table", _CHOICE + "SELECT question_id, table_name, CAST(score AS BIGINT) AS score FROM placed WHERE place = 1")
 def t5_best_table(spark, d):
-    chosen = catalog.choose_tables(st.from_sql(spark, d, st.QUESTIONS_SQL), "question", "question_id", month_catalog(spark, d), n=1)
+    chosen = catalog.choose_tables(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question", "question_id", month_catalog(spark, d), n=1)
     return chosen.select("question_id", F.col("tables")[0]["table_name"].alias("table_name"), F.col("tables")[0]["score"].alias("score"))
 
 

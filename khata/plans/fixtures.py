@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.plans import standins as st
-from khata.session import shared_dir
+from khata.session import shared_dir, spread
 
 ORDERS_CSV = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate DATE"
 
@@ -77,5 +77,5 @@ def customer_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "content": [workbook_bytes([["Statement"], [], ["Cust Key", "Customer Name", "Acct Bal"], [int(k), n, float(b)]])
                             for k, n, b in zip(pdf["c_custkey"], pdf["c_name"], pdf["c_acctbal"])]})
 
-    return (st.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return (spread(st.table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
             .mapInPandas(build, "path string, content binary"))

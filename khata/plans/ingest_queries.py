@@ -10,7 +10,7 @@ from khata.plans import fixtures
 from khata.plans import standins as st
 from khata.plans.duck import strip
 from khata.plans.registry import query
-from khata.session import shared_dir
+from khata.session import shared_dir, written
 from khata.sources import csv_source, manifest, stores, workbook
 
 _BY_STATUS = """
@@ -68,7 +68,7 @@ def s3_messy_csv(spark, d):
 SELECT concat('cust_', c_custkey, '.xlsx') AS source_file, c_custkey AS cust_key, c_name AS customer_name, c_acctbal AS acct_bal FROM customer
 """)
 def s4_workbooks(spark, d):
-    cells = workbook.workbook_cells(fixtures.customer_workbooks(spark, d))
+    cells = written(workbook.workbook_cells(fixtures.customer_workbooks(spark, d)), "cells")
     return workbook.tables_from_workbooks(cells, {"cust_key": "bigint", "customer_name": "string", "acct_bal": "double"})
 
 

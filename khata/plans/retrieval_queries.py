@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from khata.operators import retrieval
 from khata.plans import standins as st
 from khata.plans.registry import query
+from khata.session import spread
 
 
 def _last(marker):
@@ -38,7 +39,7 @@ WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {_cuts("s
 SELECT doc_id, chunk_index, chunk, md5(chunk) AS chunk_id FROM chunks
 """)
 def k1_chunks(spark, d):
-    return retrieval.chunk_documents(st.table(spark, d, "documents"), "doc_id", "text")
+    return retrieval.chunk_documents(spread(st.table(spark, d, "documents"), "doc_id"), "doc_id", "text")
 
 
 @query("s27_document_ingest", f"""

@@ -250,7 +250,7 @@ SELECT field, NOT bad AS is_valid, CASE WHEN bad THEN bad_level ELSE 'info' END
 FROM found GROUP BY 1, 2, 3
 """)
 def v9_transaction_findings(spark, d):
-    found = findings.check_transactions(_transactions(spark, d), st.as_of(), [])
+    found = findings.check_transactions(_transactions(spark, d), st.as_of(), [], fields=("field", "is_valid", "level"))
     return found.groupBy("field", "is_valid", "level").agg(F.count(F.lit(1)).alias("findings"))
 
 

@@ -12,6 +12,7 @@ from khata.operators import routing, screening
 from khata.plans import standins as st
 from khata.plans.duck import any_contains, any_match, lit, strip
 from khata.plans.registry import query
+from khata.session import spread
 
 
 def _capture(column, patterns):
@@ -42,7 +43,7 @@ SELECT question_id,
 FROM facts
 """)
 def c1_question_class(spark, d):
-    return routing.classify_questions(st.from_sql(spark, d, st.QUESTIONS_SQL), "question").drop("question", "entity")
+    return routing.classify_questions(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question").drop("question", "entity")
 
 
 @query("c2_matched_phrase", _CLASSES + """
@@ -50,7 +51,7 @@ SELECT question_id, CASE WHEN is_data THEN NULL WHEN rate IS NOT NULL THEN rate
   WHEN is_legal THEN NULL ELSE term END AS entity FROM facts
 """)
 def c2_matched_phrase(spark, d):
-    return routing.classify_questions(st.from_sql(spark, d, st.QUESTIONS_SQL), "question").select("question_id", "entity")
+    return routing.classify_questions(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question").select("question_id", "entity")
 
 
 _FLAT = [(name, p) for name, patterns in fv.INTENT_PATTERNS for p in patterns]
@@ -83,7 +84,7 @@ SELECT question_id,
 FROM g
 """)
 def c3_intent(spark, d):
-    return routing.route_intents(st.from_sql(spark, d, st.QUESTIONS_SQL), "question").drop("question")
+    return routing.route_intents(spread(st.from_sql(spark, d, st.QUESTIONS_SQL)), "question").drop("question")
 
 
 @query("c4_looks_like_path", f"""
@@ -91,7 +92,7 @@ SELECT question_id, {_PATH} AS is_path FROM (SELECT question_id, question AS t F
 UNION ALL SELECT concat('u', CAST(path_id AS VARCHAR)), {_PATH} FROM (SELECT path_id, path AS t FROM ({st.duck(st.PATHS_SQL)}))
 """)
 def c4_looks_like_path(spark, d):
-    questions = st.from_sql(spark, d, st.QUESTIONS_SQL).select("question_id", F.col("question").alias("t"))
+    questions = spread(st.from_sql(spark, d, st.QUESTIONS_SQL)).select("question_id", F.col("question").alias("t"))
     paths = st.from_sql(spark, d, st.PATHS_SQL).select(F.concat(F.lit("u"), F.col("path_id")).alias("question_id"),
                                                        F.col("path").alias("t"))
     return questions.unionByName(paths).select("question_id", routing.looks_like_path(F.col("t")).alias("is_path"))
@@ -103,7 +104,7 @@ SELECT question_id, concat_ws(' ', question, {", ".join(
 FROM ({st.duck(st.QUESTIONS_SQL)})
 """)
 def k6_expanded_query(spark, d):
-    return st.from_sql(spark, d, st.QUESTIONS_SQL).select("question_id", routing.expand_query(F.col("question")).alias("expanded"))
+    return spread(st.from_sql(spark, d, st.QUESTIONS_SQL)).select("question_id", routing.expand_query(F.col("question")).alias("expanded"))
 
 
 def _count(column, patterns):
@@ -138,14 +139,14 @@ SELECT prompt_id, threat_level, threat_level IN ('high', 'critical') AS blocked,
 FROM levels
 """)
 def c5_prompt_screen(spark, d):
-    out = screening.screen_prompts(st.from_sql(spark, d, st.PROMPTS_SQL), "prompt")
+    out = screening.screen_prompts(spread(st.from_sql(spark, d, st.PROMPTS_SQL)), "prompt")
     return out.select("prompt_id", "threat_level", "blocked", "is_safe", F.array_join("threats", "; ").alias("threats"))
 
 
 @query("c5_threat_levels", _SCREEN + "SELECT threat_level, count(*) AS prompts FROM levels GROUP BY 1")
 def c5_threat_levels(spark, d):
-    level = screening.threat_level(F.col("prompt")).alias("threat_level")
-    return st.from_sql(spark, d, st.PROMPTS_SQL).groupBy(level).agg(F.count(F.lit(1)).alias("prompts"))
+    levels = screening.threat_levels(spread(st.from_sql(spark, d, st.PROMPTS_SQL)), "prompt")
+    return levels.groupBy("threat_level").agg(F.count(F.lit(1)).alias("prompts"))
 
 
 @query("c6_clean_prompt", f"""
@@ -154,7 +155,7 @@ SELECT prompt_id, regexp_replace(trim(regexp_replace(regexp_replace(prompt, {lit
 FROM ({st.duck(st.PROMPTS_SQL)})
 """)
 def c6_clean_prompt(spark, d):
-    return st.from_sql(spark, d, st.PROMPTS_SQL).select("prompt_id", screening.clean_prompt(F.col("prompt")).alias("sanitized"))
+    return spread(st.from_sql(spark, d, st.PROMPTS_SQL)).select("prompt_id", screening.clean_prompt(F.col("prompt")).alias("sanitized"))
 
 
 _DANGERS = ", ".join(
@@ -184,8 +185,8 @@ SELECT text_id,
 FROM facts
 """)
 def c7_sql_screen(spark, d):
-    checked = st.from_sql(spark, d, st.SQL_TEXTS_SQL).select("text_id", screening.check_sql(F.col("sql_text")).alias("v"))
-    return checked.select("text_id", "v.is_valid", F.col("v.sql").alias("clean"), F.array_join("v.issues", "; ").alias("issues"))
+    checked = screening.screen_sql(spread(st.from_sql(spark, d, st.SQL_TEXTS_SQL)), "sql_text")
+    return checked.select("text_id", "is_valid", "clean", F.array_join("issues", "; ").alias("issues"))
 
 
 _NORMAL = """
@@ -220,13 +221,13 @@ SELECT prompt_id, replace(replace(replace(replace(replace(prompt, '&', '&amp;'),
 FROM ({st.duck(st.PROMPTS_SQL)})
 """)
 def c9_escaped_output(spark, d):
-    return st.from_sql(spark, d, st.PROMPTS_SQL).select(
+    return spread(st.from_sql(spark, d, st.PROMPTS_SQL)).select(
         "prompt_id", tx.html_escape(F.col("prompt")).alias("html"), tx.json_escape(F.col("prompt")).alias("json"))
 
 
 @query("c9_without_artifacts")
 def c9_without_artifacts(spark, d):
-    return st.from_sql(spark, d, st.PROMPTS_SQL).select(
+    return spread(st.from_sql(spark, d, st.PROMPTS_SQL)).select(
         "prompt_id", screening.without_artifacts(F.col("prompt")).alias("clean"))
 
 

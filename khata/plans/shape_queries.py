@@ -8,6 +8,7 @@ from khata.functions import fixed_values as fv
 from khata.operators import family, metrics, names, roles, screening
 from khata.plans import standins as st
 from khata.plans.registry import query
+from khata.session import spread
 
 ORDERS_SQL = ("SELECT o_orderstatus, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total "
               "FROM {orders} GROUP BY o_orderstatus")
@@ -335,9 +336,9 @@ ORDER BY 2 DESC, 1 LIMIT 5
 """)
 def x4_sql_success(spark, d):
     from khata.operators.ledger_checks import outcome_shares
-    issues = screening.check_sql(F.col("sql_text"))["issues"]
+    issues = F.col("issues")
     outcome = (F.when(F.array_contains(issues, "Empty SQL query"), "empty")
                .when(F.exists(issues, lambda i: i.startswith("Query too long")), "too long")
                .when(F.array_contains(issues, "Query must start with SELECT or WITH"), "not a query").otherwise("query"))
-    runs = st.from_sql(spark, d, st.SQL_TEXTS_SQL).select(outcome.alias("outcome"))
+    runs = screening.screen_sql(spread(st.from_sql(spark, d, st.SQL_TEXTS_SQL)), "sql_text").select(outcome.alias("outcome"))
     return outcome_shares(runs, "outcome")

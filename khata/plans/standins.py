@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from khata.session import spread
+
 AS_OF = "1998-09-01"
 
 
@@ -142,7 +144,7 @@ def purchase_ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
                 base.append(b)
     needed = {t for b in base for t in _BASE[b][1]}
 
-    out = table(spark, sf_dir, "lineitem")
+    out = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     for name, on in _LOOKUPS:
         if name in needed:
             out = out.join(table(spark, sf_dir, name), F.expr(on), "left")

@@ -49,3 +49,24 @@ def rows_if_small(df: DataFrame, bound: int) -> list | None:
     """
     rows = df.limit(bound + 1).collect()
     return rows if len(rows) <= bound else None
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For results of costly steps that several branches of a plan read. Unlike a
+    cache it survives lost executors.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give idle cores work when a scan has fewer splits than there are cores.
+
+    Costly row work on a small file would otherwise run in one task. A scan that
+    already has a split per core, as any large one does, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

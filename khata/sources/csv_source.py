@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from khata.functions import fixed_values as fv
 from khata.functions.text import clean_name, clean_name_py, file_extension, strip
+from khata.session import written
 
 COLUMN_BOUND = 5000
 
@@ -89,16 +90,26 @@ def column_names(header: Column, filled: Column) -> Column:
         F.concat(n, F.lit("_"), F.size(F.filter(F.slice(named, F.lit(1), i), lambda o: o == n)).cast("string"))).otherwise(n))
 
 
-def tables_from_cells(rows: DataFrame, headers: DataFrame, width: int) -> DataFrame:
+def numbers_places(columns: dict[str, str] | None) -> bool:
+    """Whether the wanted columns may include nameless ones, which are called after their place."""
+    return columns is None or any(c.startswith("col_") for c in columns)
+
+
+def tables_from_cells(rows: DataFrame, headers: DataFrame, width: int, count_filled: bool = True) -> DataFrame:
     """Rows of cell arrays to rows of name -> text maps, cleaned.
 
     ``rows`` has source_file and cells, ``headers`` has source_file and header.
-    Columns and rows without any value go, as do repeated header rows.
+    Columns and rows without any value go, as do repeated header rows. Which
+    columns hold anything only matters for naming nameless ones; without
+    ``count_filled`` that extra pass over the rows is spared.
     """
-    some = F.array(*[(F.count(F.get("cells", F.lit(i))) > 0) for i in range(width)])
-    filled = rows.groupBy("source_file").agg(some.alias("filled"))
-    named = (headers.join(filled, "source_file")
-             .select("source_file", column_names(F.col("header"), F.col("filled")).alias("names")))
+    if count_filled:
+        some = F.array(*[(F.count(F.get("cells", F.lit(i))) > 0) for i in range(width)])
+        filled = rows.groupBy("source_file").agg(some.alias("filled"))
+        headers = headers.join(filled, "source_file")
+    else:
+        headers = headers.withColumn("filled", F.array_repeat(F.lit(True), width))
+    named = headers.select("source_file", column_names(F.col("header"), F.col("filled")).alias("names"))
     pairs = F.filter(F.arrays_zip(F.col("names"), F.col("cells")),
                      lambda p: p["names"].isNotNull() & p["cells"].isNotNull())
     out = rows.join(named, "source_file").withColumn("pairs", pairs)
@@ -109,14 +120,14 @@ def tables_from_cells(rows: DataFrame, headers: DataFrame, width: int) -> DataFr
 
 def read_messy(spark: SparkSession, path: str | list[str], columns: dict[str, str] | None = None,
                glob: str | None = None) -> DataFrame:
-    """CSV files of any preamble, in one scan over many files.
+    """CSV files with any preamble, many files at once.
 
     Files may differ in header and columns. The result has ``source_file`` and
     the named columns; without ``columns`` all names that occur, as text. A value
-    that does not fit its type is null.
+    that does not fit its type is null. One pass finds the headers, one reads.
     """
     lines = lines_of(spark, path, glob)
-    heads = header_lines(lines)
+    heads = written(header_lines(lines), "headers")
     width = (heads.agg(F.max(F.length("header_line") - F.length(F.replace("header_line", F.lit(","), F.lit("")))))
              .first()[0] or 0) + 1
     if width > COLUMN_BOUND:
@@ -125,7 +136,7 @@ def read_messy(spark: SparkSession, path: str | list[str], columns: dict[str, st
             .where(((F.col("block") > 0) | (F.col("line_id") > F.col("header_id"))) & (strip(F.col("line")) != ""))
             .select("source_file", _cells(F.col("line"), width).alias("cells")))
     headers = heads.select("source_file", _cells(F.col("header_line"), width).alias("header"))
-    return with_columns(tables_from_cells(body, headers, width), columns)
+    return with_columns(tables_from_cells(body, headers, width, numbers_places(columns)), columns)
 
 
 def with_columns(cells: DataFrame, columns: dict[str, str] | None) -> DataFrame:

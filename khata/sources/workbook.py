@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
 from khata.functions.text import strip
-from khata.sources.csv_source import tables_from_cells, with_columns
+from khata.session import written
+from khata.sources.csv_source import numbers_places, tables_from_cells, with_columns
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -110,40 +111,46 @@ def workbook_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
 
 
 def header_scores(cells: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
-    """How much each of the first rows of a sheet looks like a header."""
-    top = cells.where(F.col("row_no") < look_at)
-    sheet_width = top.groupBy("source_file").agg(F.max(F.size("cells")).alias("width"))
-    pairs = F.filter(F.arrays_zip("cells", "texts"), lambda p: p["cells"].isNotNull() & (p["cells"] != ""))
-    top = top.join(sheet_width, "source_file").withColumn("v", pairs).withColumn("n", F.size("v"))
-    earlier = Window.partitionBy("source_file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    top = top.withColumn("after_sparse", F.coalesce(F.max(F.col("n") <= 2).over(earlier), F.lit(False)))
-    t = F.transform(F.filter("v", lambda p: p["texts"]), lambda p: strip(p["cells"]))
+    """How much each of the first rows of a sheet looks like a header.
+
+    The windows only ever see the first ``look_at`` rows of a sheet.
+    """
+    sheet = Window.partitionBy("source_file")
+    earlier = sheet.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.filter(F.arrays_zip("cells", "texts"), lambda p: p["cells"].isNotNull() & (p["cells"] != ""))
+    texts = F.transform(F.filter("v", lambda p: p["texts"]), lambda p: strip(p["cells"]))
+    top = (cells.where(F.col("row_no") < look_at).withColumn("v", filled).withColumn("t", texts)
+           .withColumn("n", F.size("v").cast("double")).withColumn("s", F.size("t"))
+           .withColumn("width", F.max(F.size("cells")).over(sheet))
+           .withColumn("after_sparse", F.coalesce(F.max(F.col("n") <= 2).over(earlier), F.lit(False))))
 
     def count(test):
         return F.size(F.filter("t", test))
 
-    top = top.withColumn("t", t).withColumn("s", F.size("t"))
-    digits = lambda x: F.regexp_replace(x, "[.,]", "").rlike("^[0-9]+$")
-    mixed = lambda x: x.contains("_") | ((x != F.lower(x)) & (x != F.upper(x)))
-    n = F.col("n").cast("double")
-    score = (F.col("n") / F.col("width") * 20 + F.col("s") / n * 25 + count(lambda x: F.length(x) <= 30) / n * 20
+    def is_number(x):
+        return F.regexp_replace(x, "[.,]", "").rlike("^[0-9]+$")
+
+    def is_mixed(x):
+        return x.contains("_") | ((x != F.lower(x)) & (x != F.upper(x)))
+
+    n = F.col("n")
+    score = (n / F.col("width") * 20 + F.col("s") / n * 25 + count(lambda x: F.length(x) <= 30) / n * 20
              - count(lambda x: F.length(x) > 60) * 5
              + F.when(F.col("s") > 0, F.size(F.array_distinct(F.transform("t", F.lower))) / F.col("s") * 15).otherwise(0)
-             + F.when(F.col("after_sparse"), 10).otherwise(0) - count(digits) * 8 + count(mixed) * 2)
-    return top.where(F.col("n") > 2).select("source_file", "row_no", "cells", score.alias("score"))
+             + F.when(F.col("after_sparse"), 10).otherwise(0) - count(is_number) * 8 + count(is_mixed) * 2)
+    return top.select("source_file", "row_no", "cells", F.when(n > 2, score).otherwise(-1.0).alias("score"))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """The best scoring row of each sheet, the first of equals; the first row where none scores."""
-    rank = F.struct("score", (-F.col("row_no")).alias("r"))
-    best = header_scores(cells).where(F.col("score") > -1).groupBy("source_file").agg(
-        F.max_by(F.struct("row_no", "cells"), rank).alias("h"))
-    first = cells.where(F.col("row_no") == 0).select("source_file", F.struct("row_no", "cells").alias("f"))
-    both = first.join(best, "source_file", "full").withColumn("h", F.coalesce("h", "f"))
-    return both.select("source_file", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
+    good = F.col("score") > -1
+    rank = F.struct(good.alias("good"), F.when(good, F.col("score")).alias("score"), (-F.col("row_no")).alias("r"))
+    best = header_scores(cells).groupBy("source_file").agg(F.max_by(F.struct("row_no", "cells"), rank).alias("h"))
+    return best.select("source_file", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
 
 
 def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """``cells`` is read several times here; hand in a written frame, not the parsing plan itself."""
     heads = header_rows(cells)
     width = cells.agg(F.max(F.size("cells"))).first()[0] or 1
 
@@ -153,11 +160,11 @@ def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = Non
     body = (cells.join(heads.select("source_file", "header_row"), "source_file")
             .where(F.col("row_no") > F.col("header_row")).select("source_file", padded(F.col("cells")).alias("cells")))
     headers = heads.select("source_file", padded(F.col("header")).alias("header"))
-    return with_columns(tables_from_cells(body, headers, width), columns)
+    return with_columns(tables_from_cells(body, headers, width, numbers_places(columns)), columns)
 
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None,
                    columns: dict[str, str] | None = None) -> DataFrame:
     """Workbooks below ``path``: first or named sheet, header found, cleaned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return tables_from_workbooks(workbook_cells(files, sheet), columns)
+    return tables_from_workbooks(written(workbook_cells(files, sheet), "cells"), columns)
