@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from khata.functions import fixed_values as fv
 from khata.functions.text import contains_any, file_stem, month_index_in
 from khata.operators.lookups import containing
+from khata.session import written
 
 CATALOG_BLOCK = 500
 
@@ -196,7 +197,9 @@ def families(tables: DataFrame) -> DataFrame:
 
 def family_for_questions(questions: DataFrame, question: str, key: str, tables: DataFrame) -> DataFrame:
     """For questions that want everything: the first family whose base word they mention, or the only family."""
-    sizes = families(tables).groupBy("family").agg(F.min("table_name").alias("first"), F.max("members").alias("members"))
+    sizes = (tables.groupBy(family_of(F.col("table_name")).alias("family"))
+             .agg(F.min("table_name").alias("first"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1))
+    sizes = written(sizes.select("family", "first"), "families")
     # trailing underscores go first, then trailing digits
     base = F.regexp_replace(F.regexp_replace("family", "_+$", ""), "[0-9]+$", "")
     bases = sizes.groupBy(base.alias("base")).agg(F.min_by("family", "first").alias("family"), F.min("first").alias("first"))

@@ -98,12 +98,22 @@ def rate_in_description(df: DataFrame, description: str, card: DataFrame | list[
 
 
 def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """All (text, needle) rows where the needle occurs in the text, without comparing all pairs.
+    """All (text, needle) rows where the needle occurs in the text.
 
-    Every text is cut into its distinct pieces of each needle length; pieces and
-    needles then meet on equality, so only true hits are ever produced.
+    A small set of needles is tested inside each text row. Otherwise every text is
+    cut into its distinct pieces of each needle length, and pieces and needles
+    meet on equality: only true hits are ever produced, never all pairs.
     """
     needles = needles.where(F.length(needle) > 0)
+    if rows_if_small(needles.select(needle), CARD_BOUND) is not None:
+        listed = needles.agg(F.collect_list(F.struct(*needles.columns))).scalar()
+        hits = F.filter("_needles", lambda n: F.col(text).contains(n[needle]))
+        return (texts.withColumn("_needles", listed).withColumn("_hit", F.explode(hits))
+                     .select(*texts.columns, "_hit.*"))
+    return pieces_join(texts, text, needles, needle)
+
+
+def pieces_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     lengths = needles.agg(F.collect_set(F.length(needle))).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_n") + 1, F.lit(1)))
     pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.col("_n"))))

@@ -46,7 +46,13 @@ def recommendations(null_counts: DataFrame, critical: DataFrame, forecast: DataF
                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("net")).alias("total"),
                     F.array_sort(F.collect_list(F.struct("month_no", "period"))).alias("months"))
                .where(F.col("n") > 0))
-    weak = scores.where(F.col("score") < fv.VENDOR_RISK_SCORE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    # both vendor rules come from one row of counts, so the scores are worked out once
+    counted = scores.agg(F.count_if(F.col("score") < fv.VENDOR_RISK_SCORE).alias("weak"),
+                         F.count_if(F.col("total_value") > fv.MAJOR_VENDOR_VALUE).alias("major"))
+    rules = F.array_compact(F.array(
+        F.when(F.col("weak") >= 2, F.struct(F.lit("weak").alias("rule"), F.col("weak").alias("n"))),
+        F.when((F.col("major") > 0) & F.lit(with_msme_check), F.struct(F.lit("major").alias("rule"), F.col("major").alias("n")))))
+    vendors = counted.select(F.explode(rules).alias("r")).select("r.*")
     parts = [
         _rec(gaps, 1, F.col("source_table"),
              F.concat(F.lit("Address missing data in "), F.col("source_table")),
@@ -62,19 +68,25 @@ def recommendations(null_counts: DataFrame, critical: DataFrame, forecast: DataF
                       F.array_join(F.transform(F.slice("months", 1, 3), lambda m: m["period"]), ", "),
                       F.lit(". Total deficit: ₹"), F.format_number(F.bround("total", 0).cast("bigint"), 0)),
              "cash_flow", "high", 85, 60, "deficit"),
-        _rec(weak, 4, F.lit(1), F.lit("Diversify vendor base to reduce risk"),
-             F.concat(F.col("n").cast("string"), F.lit(" vendors have low reliability scores. "
-                      "Over-reliance on few vendors increases supply chain risk.")),
-             "vendor", "medium", 60, 40, "vendor_risk"),
     ]
-    if with_msme_check:
-        major = (scores.where(F.col("total_value") > fv.MAJOR_VENDOR_VALUE)
-                 .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0))
-        parts.append(_rec(
-            major, 5, F.lit(1), F.lit("Verify MSME status of major vendors"),
-            F.concat(F.lit("Section 43B(h) requires payment to MSME vendors within 45 days. "),
-                     F.col("n").cast("string"), F.lit(" major vendors have unverified MSME status.")),
-            "compliance", "high", 70, 30, "msme_check", deadline="Before next filing"))
+    weak = F.col("rule") == "weak"
+    vendor_recs = vendors.select(
+        F.when(weak, 4).otherwise(5).alias("grp"), F.lit("1").alias("seq"),
+        F.when(weak, "Diversify vendor base to reduce risk").otherwise("Verify MSME status of major vendors").alias("title"),
+        F.when(weak, F.concat(F.col("n").cast("string"), F.lit(
+            " vendors have low reliability scores. Over-reliance on few vendors increases supply chain risk."))
+        ).otherwise(F.concat(
+            F.lit("Section 43B(h) requires payment to MSME vendors within 45 days. "), F.col("n").cast("string"),
+            F.lit(" major vendors have unverified MSME status."))).alias("description"),
+        F.when(weak, "vendor").otherwise("compliance").alias("category"),
+        F.when(weak, "medium").otherwise("high").alias("priority"),
+        F.when(weak, 60).otherwise(70).cast("bigint").alias("impact"),
+        F.when(weak, 40).otherwise(30).cast("bigint").alias("effort"),
+        F.when(weak, F.array(*[F.lit(a) for a in fv.ACTIONS["vendor_risk"]])).otherwise(
+            F.array(*[F.lit(a) for a in fv.ACTIONS["msme_check"]])).alias("actions"),
+        F.array().cast("array<string>").alias("related"),
+        F.when(~weak, F.lit("Before next filing")).alias("deadline"), F.lit(None).cast("double").alias("savings"))
+    parts.append(vendor_recs)
     return with_ids(reduce(DataFrame.unionByName, parts))
 
 

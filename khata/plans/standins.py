@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def from_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a shared text whose tables are written ``{name}``."""
     names = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(text, **{n: spread(table(spark, sf_dir, n)) for n in names})
 
 
 def duck(text: str) -> str:
