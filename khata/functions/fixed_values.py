@@ -326,6 +326,18 @@ INTENT_PATTERNS = [
         r"^commands?$",
     ]),
 ]
+# words without which the pattern at the same place cannot match
+INTENT_PATTERN_WORDS = [
+    "analyze", "load", "scan", "process",
+    "my|our", "total|sum|count|average", "how much|how many", "show|list|get", "what", "last|latest|recent",
+    "balance|entries|transactions|records",
+    "compliance", "check|find", "compliance", "gst|tax|itc",
+    "vendor", "forecast|predict", "strategic", "analysis",
+    "analysis|report|review", "everything|all", "report", "suggest|recommend|create|generate", "deep|thorough", "report",
+    "what|explain|describe|define", "section|rule|act", "rule|section|law", "can i|is it allowed|eligible", "gst|return",
+    "due date|deadline|last date", "gstr",
+    "help", "what can you do", "command",
+]
 INTENT_DATA_WORDS = [
     "balance", "entries", "transactions", "invoices", "sales",
     "purchases", "vendors", "bank", "ledger", "records", "rows",

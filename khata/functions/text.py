@@ -42,11 +42,10 @@ def found(text: Column, low: Column, patterns: list[str], words: list[str], flag
     return [has_word(low, w) & text.rlike(f"(?{flags}){p}") for p, w in zip(patterns, words, strict=True)]
 
 
-def first_match_index(c: Column, patterns: list[str], flags: str = "i") -> Column:
-    """0-based index of the first pattern in list order found in ``c``; null if none is."""
+def first_match_index(text: Column, low: Column, patterns: list[str], words: list[str]) -> Column:
+    """0-based index of the first pattern in list order found in ``text``; null if none is."""
     out = None
-    for i, p in enumerate(patterns):
-        hit = c.rlike(f"(?{flags}){p}")
+    for i, hit in enumerate(found(text, low, patterns, words)):
         out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
     return out
 

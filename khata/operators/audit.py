@@ -75,8 +75,10 @@ def ageing_issue(columns: list[str], as_of: Column, fields: list[str] = ISSUE_FI
 
 
 def issues_from(df: DataFrame, checks: list[Column], keep: list[str]) -> DataFrame:
-    found = F.array_compact(F.array(*checks))
-    return df.select(*keep, F.explode(found).alias("_i")).select(*keep, "_i.*")
+    """One row per check that struck. The nulls go after the explode: a function over the
+    array would take the checks out of the generated code."""
+    each = df.select(*keep, F.explode(F.array(*checks)).alias("_i"))
+    return each.where(F.col("_i").isNotNull()).select(*keep, "_i.*")
 
 
 def check_rates(ledger: DataFrame, card, keep: list[str]) -> DataFrame:

@@ -270,13 +270,19 @@ def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFr
     an array constant, block by block, so questions are only projected: no pair
     of question and table is ever a row.
     """
+    catalog = written(catalog.select("pos", "table_name", "keywords", "period"), "catalog")
     size = catalog.count()
     parts = catalog.select("pos", "table_name", "keywords", F.split(F.lower("table_name"), "_").alias("parts"),
                            F.split(F.lower("period"), " ").alias("period"),
                            F.when(F.lower("table_name").rlike("consolidated|all"), 2).otherwise(0).alias("bonus"))
     order = Window.orderBy("pos")
     parts = parts.withColumn("_block", F.floor((F.row_number().over(order) - 1) / CATALOG_BLOCK))
-    out = questions.select(key, F.lower(question).alias("_q"))
+    # each distinct word is looked for in a question once, however many tables have it
+    words = catalog.select(F.explode(F.concat(F.transform("keywords", F.lower), F.split(F.lower("table_name"), "_"),
+                                              F.split(F.lower("period"), " "))).alias("w"))
+    out = (questions.select(key, F.lower(question).alias("_q"))
+           .withColumn("_words", words.agg(F.collect_set("w")).scalar())
+           .withColumn("_hits", F.filter("_words", lambda w: F.col("_q").contains(w))))
     tops = []
     for b in range(max(1, -(-size // CATALOG_BLOCK))):
         block = parts.where(F.col("_block") == b).agg(F.array_sort(F.collect_list(
@@ -286,9 +292,9 @@ def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFr
 
     def score(t):
         def hits(words):
-            return F.size(F.filter(words, lambda w: F.col("_q").contains(w)))
+            return F.size(F.filter(words, lambda w: F.array_contains("_hits", w)))
         period = F.when(F.array_join(t["period"], "") == "", 0).otherwise(
-            F.when(F.exists(t["period"], lambda w: F.col("_q").contains(w)), 4).otherwise(0))
+            F.when(F.exists(t["period"], lambda w: F.array_contains("_hits", w)), 4).otherwise(0))
         return hits(F.transform(t["keywords"], F.lower)) * 5 + hits(t["parts"]) * 3 + t["bonus"] + period
 
     for c in tops:

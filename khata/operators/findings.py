@@ -36,15 +36,13 @@ def transaction_rules(columns: list[str], as_of: Column, fields=rules.FIELDS) ->
 def check_transactions(df: DataFrame, as_of: Column, keep: list[str], only_problems: bool = False,
                        fields=rules.FIELDS) -> DataFrame:
     """One row per rule and transaction, with just ``fields`` of the verdicts. With
-    ``only_problems`` plain info verdicts are filtered inside the array, before the
-    explode multiplies the rows."""
+    ``only_problems`` plain info verdicts are left out."""
     asked = list(fields) + (["level"] if only_problems and "level" not in fields else [])
-    found = transaction_rules(df.columns, as_of, asked)
+    found = F.array(*transaction_rules(df.columns, as_of, asked))
+    each = df.select(*keep, F.explode(found).alias("_v"))
     if only_problems:
-        found = [F.when(v["level"] != "info", v) for v in found]
-    listed = F.array(*found)
-    return df.select(*keep, F.explode(F.array_compact(listed) if only_problems else listed).alias("_v")).select(
-        *keep, *[f"_v.{f}" for f in fields])
+        each = each.where(F.col("_v.level") != "info")
+    return each.select(*keep, *[f"_v.{f}" for f in fields])
 
 
 def summarize(findings: DataFrame, *keys: str) -> DataFrame:

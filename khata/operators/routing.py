@@ -55,9 +55,10 @@ def looks_like_path(text: Column) -> Column:
 def route_intents(df: DataFrame, text: str) -> DataFrame:
     """Add ``intent``, ``confidence``, ``intent_path`` and ``intent_query``."""
     t = strip(F.col(text))
-    low = F.lower(t)
     flat = [(name, p) for name, patterns in fv.INTENT_PATTERNS for p in patterns]
-    work = df.withColumn("_i", first_match_index(t, [p for _, p in flat]))
+    work = df.withColumn("_t", t).withColumn("_low", F.lower("_t"))
+    t, low = F.col("_t"), F.col("_low")
+    work = work.withColumn("_i", first_match_index(t, low, [p for _, p in flat], fv.INTENT_PATTERN_WORDS))
 
     names = F.array(*[F.lit(name) for name, _ in flat])
     groups = None

@@ -19,6 +19,8 @@ def build_session(app: str = "khata", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # generated methods beyond this size are not compiled by the JVM; smaller pieces are
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
