@@ -15,7 +15,7 @@ def latency_overall(log: DataFrame) -> DataFrame:
         F.coalesce(fn(v), F.lit(0.0)).alias(name) for fn, name in ((F.avg, "avg_ms"), (F.max, "max_ms"), (F.min, "min_ms"))])
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, widths: tuple[float, ...] = (1000.0, 1.0)) -> DataFrame:
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, widths: tuple[float, ...] = (1000.0, 1.0, 0.001)) -> DataFrame:
     """Exact value at a 1-based rank per key, for groups of any size.
 
     ``rank`` is an expression over ``n``, the group size. The rows are first

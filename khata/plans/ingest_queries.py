@@ -46,7 +46,7 @@ def _nation():
 SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(c_nationkey % 3 AS BIGINT) AS skip_rows FROM customer GROUP BY c_nationkey
 """)
 def s2_header_rows(spark, d):
-    heads = csv_source.header_lines(csv_source.lines_of(spark, fixtures.messy_csv(spark, d)))
+    heads = csv_source.find_headers(spark, fixtures.messy_csv(spark, d))
     return heads.select(_nation(), F.col("skip_rows").cast("bigint").alias("skip_rows"))
 
 

@@ -123,14 +123,6 @@ _DERIVED = {
     "source_month": ("concat('purchase_', date_format(invoice_date, 'yyyy_MM'))", ("invoice_date",)),
 }
 
-_LOOKUPS = [
-    ("orders", "l_orderkey = o_orderkey"),
-    ("customer", "o_custkey = c_custkey"),
-    ("supplier", "l_suppkey = s_suppkey"),
-    ("part", "l_partkey = p_partkey"),
-]
-
-
 def purchase_ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The purchase ledger with just ``columns``.
 
@@ -144,10 +136,19 @@ def purchase_ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFram
                 base.append(b)
     needed = {t for b in base for t in _BASE[b][1]}
 
+    def lookup(df, name, on):
+        return df.join(table(spark, sf_dir, name), F.expr(on), "left")
+
     out = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    for name, on in _LOOKUPS:
-        if name in needed:
-            out = out.join(table(spark, sf_dir, name), F.expr(on), "left")
+    if "orders" in needed:
+        orders = table(spark, sf_dir, "orders")
+        if "customer" in needed:  # joined to the orders, so the far more numerous lines move once less
+            orders = lookup(orders, "customer", "o_custkey = c_custkey")
+        out = out.join(orders, F.expr("l_orderkey = o_orderkey"), "left")
+    if "supplier" in needed:
+        out = lookup(out, "supplier", "l_suppkey = s_suppkey")
+    if "part" in needed:
+        out = lookup(out, "part", "l_partkey = p_partkey")
     out = out.select(*[F.expr(_BASE[b][0]).alias(b) for b in base])
     return out.select(*[F.expr(_DERIVED[c][0]).alias(c) if c in _DERIVED else F.col(c) for c in columns])
 

@@ -13,6 +13,8 @@ from khata.functions.text import clean_name, clean_name_py, file_extension, stri
 from khata.session import written
 
 COLUMN_BOUND = 5000
+# larger files are read in blocks; accepted uploads are never larger
+SMALL_FILE = 64 * 1024 * 1024
 
 
 def read_clean(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
@@ -37,39 +39,84 @@ def read_by_extension(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 # --- header detection ----------------------------------------------------------------
+#
+# The header of a file is the first of its top lines with the most usual number of
+# commas. Lines without commas do not count, of equally usual numbers the one seen first
+# wins, and a file without commas has its header in the first line.
 
-def lines_of(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Lines with their file, the block they stand in and an id that grows along the file."""
+def _commas(line: Column) -> Column:
+    return F.when(strip(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))))
+
+
+def split_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> tuple[list[str] | str | None, list[str]]:
+    """(paths read whole, paths read in blocks): files beyond ``SMALL_FILE`` bytes are read in blocks."""
+    reader = spark.read.format("binaryFile")
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    files = reader.load(path).select("path", "length")
+    large = [r["path"] for r in files.where(F.col("length") > SMALL_FILE).collect()]
+    if not large:
+        return path, []
+    return [r["path"] for r in files.where(F.col("length") <= SMALL_FILE).select("path").collect()] or None, large
+
+
+def whole_files(spark: SparkSession, path: str | list[str], glob: str | None = None,
+                look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
+    """One row per small file: source_file, skip_rows, header_line and the lines below as ``body``.
+
+    All of it is worked out inside the row, so there is one scan and no shuffle.
+    """
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    return reader.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"))
+    seen = (reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", "\r\n|\n|\r").alias("lines"))
+            .withColumn("commas", F.transform(F.slice("lines", 1, look_at), _commas))
+            .withColumn("ranked", F.filter(F.transform("commas", lambda c, i: F.struct(
+                F.size(F.filter("commas", lambda o: o == c)).alias("n"), (-i).alias("i"), c.alias("c"))), lambda r: r["c"] > 0))
+            .withColumn("skip_rows", F.coalesce(-F.array_max("ranked")["i"], F.lit(0))))
+    return seen.select("source_file", "skip_rows", F.get("lines", F.col("skip_rows")).alias("header_line"),
+                       F.slice("lines", F.col("skip_rows") + 2, F.size("lines")).alias("body"))
 
 
-def header_lines(lines: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
-    """Header line of each file: the first of its top lines with the most usual number of commas.
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of large files with their block; lines of the first block are numbered from zero.
 
-    Only lines without commas are left out of the count; of equally usual numbers the
-    one seen first wins; a file without commas has its header in the first line.
+    Only the first block of a file is shuffled for the numbers, the rest stays null.
     """
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("line_id"))
-    top = (lines.where(F.col("block") == 0).withColumn("i", place - 1).where(F.col("i") < look_at)
-           .withColumn("commas", F.when(strip(F.col("line")) == "", 0).otherwise(
-               F.length("line") - F.length(F.replace("line", F.lit(","), F.lit(""))))))
+    lines = spark.read.text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"))
+    number = F.row_number().over(Window.partitionBy("source_file").orderBy("line_id")) - 1
+    first = lines.where(F.col("block") == 0).withColumn("number", number)
+    return first.unionByName(lines.where(F.col("block") > 0).withColumn("number", F.lit(None).cast("int"))).drop("line_id", "block")
+
+
+def header_of_lines(lines: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
+    top = lines.where(F.col("number") < look_at).withColumn("commas", _commas(F.col("line")))
     by_count = top.groupBy("source_file", "commas").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "line_id", "line")).alias("first"))
-    rank = F.struct((F.col("commas") > 0).alias("some"), F.when(F.col("commas") > 0, F.col("n")).otherwise(0).alias("n"),
-                    (-F.col("first.i")).alias("i"))
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "line")).alias("first"))
+    some = F.col("commas") > 0
+    rank = F.struct(some.alias("some"), F.when(some, F.col("n")).otherwise(0).alias("n"), (-F.col("first.number")).alias("i"))
     return (by_count.groupBy("source_file").agg(F.max_by("first", rank).alias("h"))
-            .select("source_file", F.col("h.i").alias("skip_rows"), F.col("h.line_id").alias("header_id"),
-                    F.col("h.line").alias("header_line")))
+            .select("source_file", F.col("h.number").alias("skip_rows"), F.col("h.line").alias("header_line")))
+
 
+def find_headers(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """source_file, skip_rows and header_line of every file."""
+    small, large = split_files(spark, path, glob)
+    parts = []
+    if small:
+        parts.append(whole_files(spark, small, glob if small is path else None).drop("body"))
+    if large:
+        parts.append(header_of_lines(numbered_lines(spark, large)))
+    return reduce(DataFrame.unionByName, parts)
 
-def _cells(line: Column, width: int) -> Column:
-    """A CSV line as an array of ``width`` texts; quoted commas are respected."""
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
-    parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE"})
-    return F.array(*[F.nullif(strip(parsed[f"c{i}"]), F.lit("")) for i in range(width)])
+
+def cells_of(line: Column) -> Column:
+    """A CSV line as an array of texts, empty ones as null; quotes are only looked at where there are any."""
+    def unquoted(c):
+        return F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+
+    quoted = F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: unquoted(strip(c)))
+    parts = F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
+    return F.transform(parts, lambda c: F.nullif(strip(c), F.lit("")))
 
 
 def column_names(header: Column, filled: Column) -> Column:
@@ -95,26 +142,29 @@ def numbers_places(columns: dict[str, str] | None) -> bool:
     return columns is None or any(c.startswith("col_") for c in columns)
 
 
-def tables_from_cells(rows: DataFrame, headers: DataFrame, width: int, count_filled: bool = True) -> DataFrame:
-    """Rows of cell arrays to rows of name -> text maps, cleaned.
+def tables_from_cells(rows: DataFrame, headers: DataFrame, count_filled: bool = True) -> DataFrame:
+    """Rows of (source_file, cells) and headers of (source_file, header) to name -> text maps.
 
-    ``rows`` has source_file and cells, ``headers`` has source_file and header.
-    Columns and rows without any value go, as do repeated header rows. Which
-    columns hold anything only matters for naming nameless ones; without
+    Which columns hold anything only matters for naming nameless ones; without
     ``count_filled`` that extra pass over the rows is spared.
     """
     if count_filled:
-        some = F.array(*[(F.count(F.get("cells", F.lit(i))) > 0) for i in range(width)])
-        filled = rows.groupBy("source_file").agg(some.alias("filled"))
-        headers = headers.join(filled, "source_file")
+        used = (rows.select("source_file", F.posexplode("cells").alias("i", "c")).where(F.col("c").isNotNull())
+                .groupBy("source_file").agg(F.collect_set("i").alias("used")))
+        headers = headers.join(used, "source_file").withColumn(
+            "filled", F.transform("header", lambda h, i: F.array_contains("used", i)))
     else:
-        headers = headers.withColumn("filled", F.array_repeat(F.lit(True), width))
+        headers = headers.withColumn("filled", F.transform("header", lambda h: F.lit(True)))
     named = headers.select("source_file", column_names(F.col("header"), F.col("filled")).alias("names"))
+    return named_cells(rows.join(named, "source_file"))
+
+
+def named_cells(rows: DataFrame) -> DataFrame:
+    """Rows of names and cells to maps; rows without values and repeated headers go."""
     pairs = F.filter(F.arrays_zip(F.col("names"), F.col("cells")),
                      lambda p: p["names"].isNotNull() & p["cells"].isNotNull())
-    out = rows.join(named, "source_file").withColumn("pairs", pairs)
     repeated = F.forall("pairs", lambda p: F.lower(p["cells"]) == F.lower(p["names"]))
-    return (out.where((F.size("pairs") > 0) & ~repeated)
+    return (rows.withColumn("pairs", pairs).where((F.size("pairs") > 0) & ~repeated)
             .select("source_file", F.map_from_entries("pairs").alias("cells")))
 
 
@@ -124,19 +174,26 @@ def read_messy(spark: SparkSession, path: str | list[str], columns: dict[str, st
 
     Files may differ in header and columns. The result has ``source_file`` and
     the named columns; without ``columns`` all names that occur, as text. A value
-    that does not fit its type is null. One pass finds the headers, one reads.
+    that does not fit its type is null. Files of ordinary size are handled inside
+    one row each: one scan, no join. Larger ones are read in blocks.
     """
-    lines = lines_of(spark, path, glob)
-    heads = written(header_lines(lines), "headers")
-    width = (heads.agg(F.max(F.length("header_line") - F.length(F.replace("header_line", F.lit(","), F.lit("")))))
-             .first()[0] or 0) + 1
-    if width > COLUMN_BOUND:
-        raise ValueError(f"{width} columns, more than {COLUMN_BOUND}")
-    body = (lines.join(heads.select("source_file", "header_id"), "source_file")
-            .where(((F.col("block") > 0) | (F.col("line_id") > F.col("header_id"))) & (strip(F.col("line")) != ""))
-            .select("source_file", _cells(F.col("line"), width).alias("cells")))
-    headers = heads.select("source_file", _cells(F.col("header_line"), width).alias("header"))
-    return with_columns(tables_from_cells(body, headers, width, numbers_places(columns)), columns)
+    small, large = split_files(spark, path, glob)
+    nameless, parts = numbers_places(columns), []
+    if small:
+        files = (whole_files(spark, small, glob if small is path else None)
+                 .withColumn("header", cells_of(F.col("header_line")))
+                 .withColumn("rows", F.transform(F.filter("body", lambda l: strip(l) != ""), cells_of)))
+        filled = F.transform("header", lambda h, i: F.exists("rows", lambda r: F.get(r, i).isNotNull()) if nameless else F.lit(True))
+        named = files.withColumn("filled", filled).withColumn("names", column_names(F.col("header"), F.col("filled")))
+        parts.append(named_cells(named.select("source_file", "names", F.explode("rows").alias("cells"))))
+    if large:
+        lines = numbered_lines(spark, large)
+        heads = written(header_of_lines(lines), "headers").withColumn("header", cells_of(F.col("header_line")))
+        body = (lines.join(heads.select("source_file", "skip_rows"), "source_file")
+                .where((F.col("number").isNull() | (F.col("number") > F.col("skip_rows"))) & (strip(F.col("line")) != ""))
+                .select("source_file", cells_of(F.col("line")).alias("cells")))
+        parts.append(tables_from_cells(body, heads.select("source_file", "header"), nameless))
+    return with_columns(reduce(DataFrame.unionByName, parts), columns)
 
 
 def with_columns(cells: DataFrame, columns: dict[str, str] | None) -> DataFrame:

@@ -151,16 +151,14 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """``cells`` is read several times here; hand in a written frame, not the parsing plan itself."""
-    heads = header_rows(cells)
-    width = cells.agg(F.max(F.size("cells"))).first()[0] or 1
-
-    def padded(c):
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.nullif(strip(F.get(c, i)), F.lit("")))
+    def texts(c):
+        return F.transform(c, lambda x: F.nullif(strip(x), F.lit("")))
 
+    heads = header_rows(cells)
     body = (cells.join(heads.select("source_file", "header_row"), "source_file")
-            .where(F.col("row_no") > F.col("header_row")).select("source_file", padded(F.col("cells")).alias("cells")))
-    headers = heads.select("source_file", padded(F.col("header")).alias("header"))
-    return with_columns(tables_from_cells(body, headers, width, numbers_places(columns)), columns)
+            .where(F.col("row_no") > F.col("header_row")).select("source_file", texts(F.col("cells")).alias("cells")))
+    headers = heads.select("source_file", texts(F.col("header")).alias("header"))
+    return with_columns(tables_from_cells(body, headers, numbers_places(columns)), columns)
 
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None,

@@ -28,14 +28,18 @@ def test_clean_csv_keeps_names(spark, tmp_path):
     assert df.columns == ["Bill No", "Total"] and df.first()["Total"] == 5
 
 
-def test_header_detection(spark, tmp_path):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_header_detection(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(csv_source, "SMALL_FILE", small)
     d = write(tmp_path / "h", plain__csv="a,b,c\n1,2,3\n", title__csv="Acme Ltd\nPeriod, 2021\n\na,b,c\n1,2,3\n4,5,6\n",
               none__csv="x\ny\n", tie__csv="a,b\nc,d,e\n1,2\n1,2,3\n")
-    got = {r.source_file.rsplit("/", 1)[1]: r.skip_rows for r in csv_source.header_lines(csv_source.lines_of(spark, d)).collect()}
+    got = {r.source_file.rsplit("/", 1)[1]: r.skip_rows for r in csv_source.find_headers(spark, d).collect()}
     assert got == {"plain.csv": 0, "title.csv": 3, "none.csv": 0, "tie.csv": 0}
 
 
-def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path):
+@pytest.mark.parametrize("small", [1 << 20, 60, 0])
+def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(csv_source, "SMALL_FILE", small)
     d = write(tmp_path / "m", a__csv='Acme\n\nBill No,Total Amt,,\nB1,"5",,x\nB2,7,,\nbill_no,total_amt,,\n,,,\n',
               b__csv='Bill No,Other,Other\n"B3, x",1,2\n')
     got = sorted(tuple(r)[1:] for r in csv_source.read_messy(spark, d, {
@@ -44,7 +48,8 @@ def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path):
     assert csv_source.read_messy(spark, d).columns == ["source_file", "bill_no", "col_2", "other", "other_1", "total_amt"]
 
 
-def test_large_file_in_several_blocks(spark, tmp_path):
+def test_large_file_in_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_source, "SMALL_FILE", 1000)
     d = write(tmp_path / "l", big__csv="Title\nk,v\n" + "".join(f"{i},{i}\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
