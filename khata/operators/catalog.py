@@ -240,12 +240,13 @@ def related_classes(classes: DataFrame) -> DataFrame:
 def related_counts(columns: DataFrame) -> DataFrame:
     """Per table: how many other tables share a telling column, and through which names."""
     members, classes = schema_classes(columns)
-    links = related_classes(classes)
-    per_class = links.groupBy("a").agg(
-        F.sum(F.col("b_tables") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("related"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.when((F.col("a") != F.col("b")) | (F.col("b_tables") > 1), F.col("via")))))).alias("via"))
-    out = members.join(per_class, members["class"] == per_class["a"], "left")
+    others = F.sum(F.col("b_tables") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("related")
+    per_class = related_classes(classes).groupBy(F.col("a").alias("class")).agg(others)
+    # a name relates tables as soon as two tables have it
+    names = classes.select("class", "tables", F.explode("names").alias("name"))
+    shared = names.groupBy("name").agg(F.sum("tables").alias("_n")).where(F.col("_n") > 1)
+    via = names.join(shared, "name").groupBy("class").agg(F.array_sort(F.collect_set("name")).alias("via"))
+    out = members.join(per_class, "class", "left").join(via, "class", "left")
     return out.select("table_name", F.coalesce("related", F.lit(0)).cast("bigint").alias("related"),
                       F.coalesce("via", F.array().cast("array<string>")).alias("via"))
 

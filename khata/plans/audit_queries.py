@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
-from khata.operators import audit, catalog, recommend, strategy
+from khata.operators import audit, catalog, recommend, report, strategy
 from khata.plans import standins as st
-from khata.plans.duck import any_contains, lit, values
+from khata.plans.duck import any_contains, lit
 from khata.plans.lookup_queries import GOODS, ITEM_RATES
 from khata.plans.registry import query
 
@@ -452,8 +452,13 @@ def b15_parsed_replies(spark, d):
 
 @query("b9_strategy_report")
 def b9_strategy_report(spark, d):
-    parts = strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of())
-    return (parts["vendors"].select(F.lit("vendors").alias("section"), F.to_json(F.struct("*")).alias("row"))
-            .unionByName(parts["forecast"].select(F.lit("forecast").alias("section"), F.to_json(F.struct("*")).alias("row")))
-            .unionByName(parts["insights"].select(F.lit("insights").alias("section"), F.to_json(F.struct("*")).alias("row")))
-            .unionByName(parts["notes"].select(F.lit("notes").alias("section"), F.to_json(F.struct("*")).alias("row"))))
+    return report.as_rows(strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of()))
+
+
+@query("b16_full_report")
+def b16_full_report(spark, d):
+    purchases = ledger(spark, d, "source_table", "bill_no", "invoice_date", "payment_date", "description", "gst_rate",
+                       "taxable_value", "cgst_amount", "total_value", "vendor")
+    parts = report.full_report(purchases, sales(spark, d), ITEM_RATES, st.as_of(),
+                               ["source_table", "description", "amount_impact"], ["payment_date"])
+    return report.as_rows(parts)

@@ -342,3 +342,37 @@ def x4_sql_success(spark, d):
                .when(F.array_contains(issues, "Query must start with SELECT or WITH"), "not a query").otherwise("query"))
     runs = screening.screen_sql(spread(st.from_sql(spark, d, st.SQL_TEXTS_SQL)), "sql_text").select(outcome.alias("outcome"))
     return outcome_shares(runs, "outcome")
+
+
+# --- scalar functions ----------------------------------------------------------------
+
+@query("f_scalar_functions", """
+SELECT c_custkey, lower(c_name) AS f1, replace(upper(trim(concat('  ', c_mktsegment, ' '))), 'I', '') AS f2, left(c_name, 9) AS f3, length(c_name) AS f4,
+       starts_with(c_mktsegment, 'B') OR contains(c_name, '77') AS f5, array_to_string(string_split(c_name, '#'), '|') AS f6,
+       regexp_extract(c_name, '([1-9][0-9]*)$', 1) AS f7, regexp_matches(CAST(c_custkey AS VARCHAR), '^[0-9]+$') AS f8, md5(c_name) AS f10,
+       sha256(c_name) AS f10b, try_cast(concat(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '' END, c_custkey) AS DOUBLE) AS f11,
+       CAST(try_strptime(concat('1998-', 1 + c_custkey % 14, '-28'), '%Y-%m-%d') AS DATE) AS f12,
+       date_diff('day', DATE '1998-01-31', DATE '1998-01-31' + CAST(c_custkey % 400 AS INT)) AS f13,
+       make_date(1998 + c_custkey % 3, 1 + c_custkey % 12, 28) AS f14, strftime(make_date(1998, 1 + c_custkey % 12, 1), '%B %Y %b') AS f15,
+       CAST(greatest(abs(CAST(c_acctbal AS DECIMAL(12,2))), 100) AS DOUBLE) AS f16, format('{:,}', c_custkey * 1234567) AS f17,
+       coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS f18, to_json(c_name) AS f19, array_to_string(([c_custkey, 2, 3])[1:2], ',') AS f20
+FROM customer
+""")
+def f_scalar_functions(spark, d):
+    name, seg, key = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey")
+    small = (key % 12).cast("int")
+    start = F.lit("1998-01-31").cast("date")
+    return st.table(spark, d, "customer").select(
+        "c_custkey", F.lower(name).alias("f1"), F.translate(F.upper(F.trim(F.concat(F.lit("  "), seg, F.lit(" ")))), "I", "").alias("f2"),
+        F.left(name, F.lit(9)).alias("f3"), F.length(name).cast("bigint").alias("f4"), (seg.startswith("B") | name.contains("77")).alias("f5"),
+        F.array_join(F.split(name, "#"), "|").alias("f6"), F.regexp_extract(name, "([1-9][0-9]*)$", 1).alias("f7"),
+        key.cast("string").rlike("^[0-9]+$").alias("f8"), F.md5(name).alias("f10"), F.sha2(name, 256).alias("f10b"),
+        F.concat(F.when(key % 3 == 0, F.lit("x")).otherwise(""), key).try_cast("double").alias("f11"),
+        F.try_to_date(F.concat(F.lit("1998-"), key % 14 + 1, F.lit("-28")), "yyyy-M-d").alias("f12"),
+        F.datediff(F.date_add(start, (key % 400).cast("int")), start).cast("bigint").alias("f13"),
+        F.make_date((key % 3 + 1998).cast("int"), small + 1, F.lit(28)).alias("f14"),
+        F.date_format(F.make_date(F.lit(1998), small + 1, F.lit(1)), "MMMM yyyy MMM").alias("f15"),
+        F.greatest(F.abs(F.col("c_acctbal").cast("decimal(12,2)")), F.lit(100)).cast("double").alias("f16"),
+        F.format_number(key * 1234567, 0).alias("f17"), F.coalesce(F.nullif(seg, F.lit("BUILDING")), F.lit("none")).alias("f18"),
+        F.regexp_extract(F.to_json(F.struct(name.alias("v"))), r'^\{"v":(.*)\}$', 1).alias("f19"),
+        F.array_join(F.slice(F.array(key, F.lit(2), F.lit(3)), 1, 2).cast("array<string>"), ",").alias("f20"))
