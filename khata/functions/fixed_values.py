@@ -1,7 +1,7 @@
 """Fixed values.
 
 Everything in this module is a plain value that results depend on: thresholds,
-word lists, patterns, code tables and message texts. There is no logic here.
+word lists, patterns, code tables and standing texts. There is no logic here.
 """
 
 # --- Fixed values: limits and rates --------------------------------------------------

@@ -101,12 +101,8 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def json_escape(c: Column) -> Column:
-    """JSON string body: quotes, backslashes and control characters escaped."""
-    whole = F.to_json(F.struct(c.alias("v")))
+def json_escape(c: Column, ascii_only: bool = False) -> Column:
+    """JSON string body: quotes, backslashes and control characters escaped; ``ascii_only`` also escapes other letters."""
+    options = {"writeNonAsciiCharacterAsCodePoint": "true"} if ascii_only else {}
+    whole = F.to_json(F.struct(c.alias("v")), options)
     return F.regexp_replace(whole, r'(?s)^\{"v":"(.*)"\}$', "$1")
-
-
-def thousands(c: Column) -> Column:
-    """Whole number with thousands separators."""
-    return F.format_number(c, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
-from khata.functions.text import contains_any, strip
+from khata.functions.text import contains_any
 from khata.session import rows_if_small
 
 # Cards up to this many rows are compiled into the row expression; larger ones are joined.
@@ -211,7 +211,3 @@ def rate_answer(df: DataFrame, item: str) -> DataFrame:
                  F.lit("\n- **GST Rate:** "), rate_text(F.col("rate")), F.lit("%\n- **Category:** "), F.col("category"),
                  F.when(F.col("note") != "", F.concat(F.lit("\n- **Condition:** "), F.col("note"))).otherwise("")))
     return df.withColumn("answer", text)
-
-
-def stripped_or_null(c: Column) -> Column:
-    return F.nullif(strip(c), F.lit(""))

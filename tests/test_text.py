@@ -1,5 +1,7 @@
 """Question classes, intents and screening."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,8 @@ def test_base_path(spark):
 def test_output_cleaning(spark):
     assert one(spark, "<b a=\"1\">&'", tx.html_escape) == "&lt;b a=&quot;1&quot;&gt;&amp;&#x27;"
     assert one(spark, 'a"b\\c\nd', tx.json_escape) == 'a\\"b\\\\c\\nd'
+    assert json.loads('"' + one(spark, "é\t₹", lambda c: tx.json_escape(c, ascii_only=True)) + '"') == "é\t₹"
+    assert one(spark, "é", lambda c: tx.json_escape(c, ascii_only=True)).isascii()
     assert one(spark, "x <|im_end|> ### System: a\nb ### rest", screening.without_artifacts) == "x  ### rest"
     assert one(spark, "IMMUTABLE hello <user_question>", screening.without_prompt_fragments) == "hello"
     assert one(spark, 'so {"a": {"b": 1}} there', screening.json_object) == '{"a": {"b": 1}}'
