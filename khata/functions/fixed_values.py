@@ -273,6 +273,12 @@ LEGAL_QUESTION_WORDS = [
     "blocked credit", "time limit", "penalty", "filing", "due date",
 ]
 
+# where the answer to a question comes from
+SOURCE_OF_DATA = "duckdb"
+SOURCE_OF_RATES = "csv"
+SOURCE_OF_RULES = "chromadb"
+SOURCE_OF_TERMS = "llm"
+
 # --- Fixed values: intents -----------------------------------------------------------
 
 INTENT_PATTERNS = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.functions import fixed_values as fv
-from khata.session import rows_if_small
+from khata.session import rows_if_small, written
 
-QUERY_BOUND = 4096
+# a task compares a batch of chunks with all query vectors of a pass at once
+QUERY_BOUND = 1024
 
 
 # --- chunks --------------------------------------------------------------------------
@@ -79,22 +81,24 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int = fv.NEAREST_DEFAULT,
 
     ``where`` filters the chunks first. A limited number of query vectors goes to
     every task, which keeps its own best ``n`` per query; only those meet in the
-    final ranking. More queries than fit are worked off in several passes.
+    final ranking. More queries than that are worked off in passes, each written
+    before the next begins, so the driver never holds more than one pass.
     """
     pool = chunks if where is None else chunks.where(where)
-    rows = rows_if_small(queries.select(query_id, vector), QUERY_BOUND)
-    if rows is not None:
+    wanted = queries.select(query_id, vector)
+
+    def ranked(rows):
         best = _best_per_task(pool, rows, queries, n, chunk_id, vector, query_id)
-    else:
-        passes = math.ceil(queries.count() / (QUERY_BOUND // 2))
-        bucket = F.pmod(F.xxhash64(query_id), F.lit(passes))
-        best = None
-        for p in range(passes):
-            some = queries.where(bucket == p).select(query_id, vector).collect()
-            part = _best_per_task(pool, some, queries, n, chunk_id, vector, query_id)
-            best = part if best is None else best.unionByName(part)
-    place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", chunk_id))
-    return best.withColumn("place", place).where(F.col("place") <= n)
+        place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", chunk_id))
+        return best.withColumn("place", place).where(F.col("place") <= n)
+
+    rows = rows_if_small(wanted, QUERY_BOUND)
+    if rows is not None:
+        return ranked(rows)
+    passes = math.ceil(wanted.count() / (QUERY_BOUND // 2))
+    bucket = F.pmod(F.xxhash64(query_id), F.lit(passes))
+    done = [written(ranked(wanted.where(bucket == p).collect()), "nearest") for p in range(passes)]
+    return reduce(DataFrame.unionByName, done)
 
 
 def _best_per_task(pool, query_rows, queries, n, chunk_id, vector, query_id):

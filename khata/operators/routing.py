@@ -35,14 +35,14 @@ def classify_questions(df: DataFrame, question: str) -> DataFrame:
                         F.lit(source).alias("answer_source"))
 
     known = F.when(contains_any(F.col("_term"), fv.ITC_CONCEPTS), 0.9).otherwise(0.7)
-    out = (F.when(matches_any(q, fv.DATA_QUESTION_PATTERNS), row("data_query", F.lit(0.9), "duckdb"))
-            .when(F.col("_rate").isNotNull(), row("rate_lookup", F.lit(0.85), "csv", F.col("_rate")))
-            .when(F.col("_code").isNotNull(), row("hsn_sac_lookup", F.lit(0.85), "csv", F.col("_code")))
-            .when(legal, row("legal_rule", F.lit(0.8), "chromadb"))
-            .when(F.col("_term").isNotNull(), row("definition", known, "llm", F.col("_term")))
-            .when(contains_any(q, fv.ITC_CONCEPTS), row("definition", F.lit(0.6), "llm"))
-            .when(contains_any(q, fv.TAX_WORDS), row("general", F.lit(0.5), "chromadb"))
-            .otherwise(row("general", F.lit(0.4), "llm")))
+    out = (F.when(matches_any(q, fv.DATA_QUESTION_PATTERNS), row("data_query", F.lit(0.9), fv.SOURCE_OF_DATA))
+            .when(F.col("_rate").isNotNull(), row("rate_lookup", F.lit(0.85), fv.SOURCE_OF_RATES, F.col("_rate")))
+            .when(F.col("_code").isNotNull(), row("hsn_sac_lookup", F.lit(0.85), fv.SOURCE_OF_RATES, F.col("_code")))
+            .when(legal, row("legal_rule", F.lit(0.8), fv.SOURCE_OF_RULES))
+            .when(F.col("_term").isNotNull(), row("definition", known, fv.SOURCE_OF_TERMS, F.col("_term")))
+            .when(contains_any(q, fv.ITC_CONCEPTS), row("definition", F.lit(0.6), fv.SOURCE_OF_TERMS))
+            .when(contains_any(q, fv.TAX_WORDS), row("general", F.lit(0.5), fv.SOURCE_OF_RULES))
+            .otherwise(row("general", F.lit(0.4), fv.SOURCE_OF_TERMS)))
     return work.withColumn("_c", out).select(*df.columns, "_c.*")
 
 
