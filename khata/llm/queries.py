@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import quality, secret_scan, sharding, url_filter
+from khata.llm import quality, secret_scan, sharding, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdicts of the quality rules for every document."""
     return quality.rate(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score(docs, model).select("row.doc_id", "score", "abuse_hits", "misspelled_hits", "quoted_hits")
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                         "abuse_hits", "misspelled_hits", "quoted_hits")
