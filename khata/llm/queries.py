@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import quality, secret_scan, sharding, toxicity, url_filter
+from khata.llm import bpe, quality, secret_scan, sharding, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
                          "abuse_hits", "misspelled_hits", "quoted_hits")
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document: their number, and digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("word_bpe_49k.json"), outputs=digests)
+    return coded.select("row.doc_id", *digests)
