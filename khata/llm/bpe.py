@@ -224,8 +224,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                found = [[make[o](*own.encode(t or "")) for o in outputs] if len(outputs) == 1 else
- XX
+                found = [[make[o](*e) for o in outputs] for e in (own.encode(t or "") for t in batch["text"].to_pylist())]
                 columns = [pa.array([f[i] for f in found], types.get(o, pa.string())) for i, o in enumerate(outputs)]
                 yield pa.RecordBatch.from_arrays([batch["row"], *columns], schema.fieldNames())
 
