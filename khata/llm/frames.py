@@ -36,18 +36,19 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
     grouping and a join, with its rows written to the shared folder; a component of n nodes takes about log(n) steps,
     and no step collects the neighbours of a node.
     """
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     links = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    while True:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    before = mark(links)
+    while before[0]:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = kept(large.where("a <> b").distinct(), label)
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = kept(large, label)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = kept(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
-        changed = after.join(links, ["a", "b"], "left_anti").isEmpty() and links.join(after, ["a", "b"], "left_anti").isEmpty()
-        links = after
-        if changed:
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = kept(small.union(low.select("a", F.col("m").alias("b"))).distinct(), label)
+        if (after := mark(links)) == before:
             break
+        before = after
     stars = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
