@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import bpe, jaccard_join, quality, secret_scan, sharding, toxicity, url_filter
+from khata.llm import bpe, decontaminate, jaccard_join, quality, secret_scan, sharding, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles overlap to nine tenths."""
     found = jaccard_join.join(table(spark, sf_dir, "documents"), like=CONTRACT_LIKENESS)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its place and edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    one = found.select("row.doc_id", F.explode("leaks").alias("leak"))
+    return one.select("doc_id", F.col("leak.item").alias("item_id"), "leak.start", "leak.end", "leak.edits")
