@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import bpe, decontaminate, jaccard_join, quality, secret_scan, sharding, toxicity, url_filter
+from khata.llm import bpe, decontaminate, fixity, jaccard_join, quality, secret_scan, sharding, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
     one = found.select("row.doc_id", F.explode("leaks").alias("leak"))
     return one.select("doc_id", F.col("leak.item").alias("item_id"), "leak.start", "leak.end", "leak.edits")
+
+
+#: The second replica of the pages: every 97th record has a byte turned, every 193rd has been lost.
+TURNED, LOST = (97, 13), (193, 7)
+
+_FIXITY_SQL = f"""WITH records AS (SELECT page_id, page_id // {fixity.PER_ARCHIVE} AS archive,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10)
+    || chr(13) || chr(10) AS r FROM pages),
+placed AS (SELECT page_id, archive, row_number() OVER w - 1 AS number, CAST(sum(strlen(r)) OVER w - strlen(r) AS BIGINT) AS "start",
+    CAST(sum(strlen(r)) OVER w AS BIGINT) AS "end", sha256(r) AS first_digest FROM records
+    WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256(r) ROWS UNBOUNDED PRECEDING))
+SELECT page_id, archive, number, "start", "end", CASE WHEN page_id % {LOST[0]} = {LOST[1]} THEN 'missing' ELSE 'changed' END AS status,
+    first_digest FROM placed WHERE page_id % {LOST[0]} = {LOST[1]} OR page_id % {TURNED[0]} = {TURNED[1]}"""
+
+
+@query("op4_merkle_fixity", _FIXITY_SQL)
+def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage of a second replica of all pages, located by Merkle trees. The replica's records keep their places."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    every = lambda column, n: F.coalesce(F.pmod(column, F.lit(n[0])) == n[1], F.lit(False))
+    turned = pages.withColumn("html", F.when(every("page_id", TURNED), F.overlay("html", F.lit("~"), F.lit(1))).otherwise(F.col("html")))
+    whole = fixity.manifest(pages, "page_id", "url", "html")
+    damaged = fixity.manifest(turned, "page_id", "url", "html").where(~every("key", LOST))
+    first = fixity.tree(whole.drop("key"), "replica1")
+    found = fixity.audit(first, fixity.tree(damaged.drop("key"), "replica2", first.top))
+    return found.join(whole.select("archive", "number", "start", "end", F.col("key").alias("page_id")), ["archive", "number"]).select(
+        "page_id", "archive", "number", "start", "end", "status", "first_digest")
