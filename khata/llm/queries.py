@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import bpe, decontaminate, fixity, jaccard_join, quality, secret_scan, sharding, toxicity, url_filter
+from khata.llm import bpe, decontaminate, fixity, jaccard_join, quality, secret_scan, sharding, substrings, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,24 @@ def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fixity.audit(first, fixity.tree(damaged.drop("key"), "replica2", first.top))
     return found.join(whole.select("archive", "number", "start", "end", F.col("key").alias("page_id")), ["archive", "number"]).select(
         "page_id", "archive", "number", "start", "end", "status", "first_digest")
+
+
+_SUBSTRING_SQL = r"""WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') AS w FROM documents),
+runs AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words)),
+firsts AS (SELECT g, min(doc_id) AS first FROM runs GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS spot FROM runs JOIN firsts USING (g) WHERE doc_id > first),
+lists AS (SELECT doc_id, list(spot) AS places, count(*) AS n_removed FROM gone GROUP BY doc_id),
+stays AS (SELECT w.doc_id, w, coalesce(n_removed, 0) AS n_removed, coalesce(places, []) AS places FROM words w LEFT JOIN lists USING (doc_id)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM stays),
+left_over AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.spot) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.spot = g.spot
+    GROUP BY e.doc_id)
+SELECT s.doc_id, len(w) AS n_words, n_removed, sha256(coalesce(l.text, '')) AS kept_sha256 FROM stays s LEFT JOIN left_over l USING (doc_id)"""
+
+
+@query("op6_substring_dedup", _SUBSTRING_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document earlier documents already have, in windows of 13 words."""
+    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
