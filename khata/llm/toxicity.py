@@ -247,9 +247,9 @@ def needed(terms: list[tuple[str, bool]], rows: list[tuple[list[int], int, int]]
 
 def regression(cells: list[tuple[tuple[int, int, int, int], int, int]]) -> list[float]:
     """Ridge logistic regression by Newton steps over (counts, label, documents)."""
-    x = np.array([features(c) for c, _, _ in cells], float).reshape(len(cells), -1)
-    if not len(x):
+    if not cells:
         return [-2.0] + [0.0] * (len(features((0, 0, 0, 0))) - 1)
+    x = np.array([features(c) for c, _, _ in cells], float)
     y, n = np.array([label for _, label, _ in cells], float), np.array([k for _, _, k in cells], float)
     ridge = np.full(x.shape[1], 0.5)
     w = np.zeros(x.shape[1])

@@ -31,7 +31,7 @@ class GlobRule(NamedTuple):
 def site_rule(verdict: str, rule: str) -> GlobRule:
     """Rule ``host/path``: that host and all its subdomains, if the path starts with the rule's."""
     host, _, path = rule.partition("/")
-    return GlobRule(rule, verdict, f"**.{host}/{path}**")
+    return GlobRule(rule, verdict, f"*.{host}/{path}**")
 
 
 #: The longest name wins among these.
@@ -39,7 +39,7 @@ SITE_RULES = [site_rule("block", "net/"), site_rule("allow", "example.net/en/"),
               site_rule("block", "example.com/de/"), site_rule("allow", "org/fr/")]
 #: For URLs that no site rule fits: blocked where one of these fits, and else allowed.
 WORD_RULES = [GlobRule(g, "block", g) for g in (
-    "*spam*", "*spam*/**", "*adult*", "*adult*/**", "*casino*", "*casino*/**", "**.xxx", "**.xxx/**",
+    "*spam*", "*spam*/**", "*adult*", "*adult*/**", "*casino*", "*casino*/**", "*.xxx", "*.xxx/**",
     "**/login/**", "**/wp-admin/**", "**/ads/**", "**.exe", "**.zip")]
 
 
