@@ -27,12 +27,20 @@ def _issue(fields: list[str], **values: Column | str | None) -> Column:
     return F.struct(*parts)
 
 
+def no_issue(fields: list[str]) -> Column:
+    """The check of a ledger that lacks a column it needs: it never strikes."""
+    return F.when(F.lit(False), _issue(fields, **dict.fromkeys(ISSUE_FIELDS)))
+
+
 def rate_issue(columns: list[str], fields: list[str] = ISSUE_FIELDS) -> Column:
     """Charged rate against ``correct_rate``, which a lookup has added."""
+    if not role_column(columns, "description") or not role_column(columns, "rate"):
+        return no_issue(fields)
     item = F.lower(F.coalesce(F.col(role_column(columns, "description")), F.lit("none")))
     charged = role_number(columns, "rate").cast("decimal(6,2)")
     correct = F.col("correct_rate")
-    taxable = F.coalesce(role_number(columns, "taxable"), F.lit(0)).cast("decimal(14,2)")
+    taxable = role_number(columns, "taxable")
+    taxable = (F.lit(0) if taxable is None else F.coalesce(taxable, F.lit(0))).cast("decimal(14,2)")
     diff = (charged - correct) * taxable * F.lit("0.01").cast("decimal(2,2)")
     over = diff > 0
     text = F.concat(F.lit("Item '"), F.substring(item, 1, 50), F.lit("' charged at "), charged.cast("double").cast("string"),
@@ -49,6 +57,8 @@ def rate_issue(columns: list[str], fields: list[str] = ISSUE_FIELDS) -> Column:
 
 def blocked_issue(columns: list[str], fields: list[str] = ISSUE_FIELDS, strict: bool = False) -> Column:
     """Items whose input credit is blocked; ``strict`` asks for a whole item name."""
+    if not role_column(columns, "description"):
+        return no_issue(fields)
     item = F.lower(role_text(columns, "description"))
     tax = role_number(columns, "tax_amount")
     hit = is_blocked_item(item) if strict else has_blocked_keyword(item)
@@ -62,9 +72,11 @@ def blocked_issue(columns: list[str], fields: list[str] = ISSUE_FIELDS, strict:
 
 def ageing_issue(columns: list[str], as_of: Column, fields: list[str] = ISSUE_FIELDS) -> Column:
     """Invoices older than 45 days, whoever the vendor and whether paid or not."""
+    if not role_column(columns, "invoice_date"):
+        return no_issue(fields)
     age = F.datediff(as_of, F.col(role_column(columns, "invoice_date")))
-    vendor = F.coalesce(role_text(columns, "vendor"), F.lit(""))
-    amount = F.coalesce(role_number(columns, "total"), F.lit(0))
+    vendor = F.coalesce(role_text(columns, "vendor"), F.lit("")) if role_column(columns, "vendor") else F.lit("")
+    amount = F.coalesce(role_number(columns, "total"), F.lit(0)) if role_column(columns, "total") else F.lit(0)
     return F.when(age > fv.PAYMENT_LIMIT_DAYS, _issue(
         fields, issue_type="section_43b_h", severity="critical",
         description=F.concat(F.lit("Payment to '"), F.substring(vendor, 1, 30), F.lit("' overdue by "),
@@ -81,9 +93,14 @@ def issues_from(df: DataFrame, checks: list[Column], keep: list[str]) -> DataFra
     return each.where(F.col("_i").isNotNull()).select(*keep, "_i.*")
 
 
+def _with_rate(ledger: DataFrame, card) -> DataFrame:
+    """The ledger with ``correct_rate``; without a description column there is nothing to look up."""
+    item = role_column(ledger.columns, "description")
+    return rate_in_description(ledger, item, card) if item else ledger
+
+
 def check_rates(ledger: DataFrame, card, keep: list[str]) -> DataFrame:
-    with_rate = rate_in_description(ledger, role_column(ledger.columns, "description"), card)
-    return issues_from(with_rate, [rate_issue(ledger.columns)], keep)
+    return issues_from(_with_rate(ledger, card), [rate_issue(ledger.columns)], keep)
 
 
 def check_blocked(ledger: DataFrame, keep: list[str], strict: bool = False) -> DataFrame:
@@ -98,9 +115,8 @@ def audit(ledger: DataFrame, card, as_of: Column, keep: list[str] | None = None,
           fields: list[str] = ISSUE_FIELDS) -> DataFrame:
     """All checks, one row per issue. Name only the ``fields`` you need: texts that
     nobody reads are then never built."""
-    with_rate = rate_in_description(ledger, role_column(ledger.columns, "description"), card)
     cols = ledger.columns
-    return issues_from(with_rate, [
+    return issues_from(_with_rate(ledger, card), [
         rate_issue(cols, fields), blocked_issue(cols, fields), ageing_issue(cols, as_of, fields)], keep or [])
 
 

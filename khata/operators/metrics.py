@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from khata.operators.windows import null_safe_join
+
 
 def latency_overall(log: DataFrame) -> DataFrame:
     v = F.when(F.col("type") == "latency", F.col("value"))
@@ -15,45 +17,39 @@ def latency_overall(log: DataFrame) -> DataFrame:
         F.coalesce(fn(v), F.lit(0.0)).alias(name) for fn, name in ((F.avg, "avg_ms"), (F.max, "max_ms"), (F.min, "min_ms"))])
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, widths: tuple[float, ...] = (1000.0, 1.0, 0.001)) -> DataFrame:
-    """Exact value at a 1-based rank per key, for groups of any size.
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, width: float = 1.0) -> DataFrame:
+    """Per key: ``n``, ``_sum``, ``_max``, ``_min`` and the exact value at a 1-based rank, for groups of any size.
 
-    ``rank`` is an expression over ``n``, the group size. The rows are first
-    counted per distinct value. Then the search goes from wide to narrow value
-    bands: band totals tell which band holds the rank, and only that band is
-    looked at more closely. No group is ever collected or sorted as a whole.
+    ``rank`` is an expression over ``n``, the group size. One pass counts the rows per distinct value. A first running sum
+    goes over bands of values, of which a key has few, a second one over the values of each band; so no key is collected or
+    sorted as a whole. Null keys are keys; null values do not count.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    todo = (counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
-            .select(*keys, "n", rank.cast("bigint").alias("_rank")))
-    bands: list[str] = []
-
-    def narrow(todo, step):
-        by = keys + bands
-        inside = counts.withColumns({b: F.floor(F.col("_v") / w) for b, w in zip([f"_b{i}" for i in range(len(widths))], widths)})
-        sums = inside.join(todo, by).groupBy(*by, "n", "_rank", step).agg(F.sum("_c").alias("_s"))
-        upto = F.sum("_s").over(Window.partitionBy(*by).orderBy(step))
-        return (sums.withColumn("_upto", upto)
-                .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_s") < F.col("_rank")))
-                .withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_s"))).drop("_upto", "_s"))
-
-    for i in range(len(widths)):
-        todo = narrow(todo, f"_b{i}")
-        bands.append(f"_b{i}")
-    return narrow(todo, "_v").select(*keys, "n", F.col("_v").alias(value))
+    band = Window.partitionBy(*keys, "_b")
+    inner = counts.withColumn("_b", F.floor(F.col("_v") / width)).select(
+        "*", F.sum("_c").over(band.orderBy("_v")).alias("_in"))
+    sums = inner.groupBy(*keys, "_b").agg(
+        F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_v")).alias("_t"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    key = Window.partitionBy(*keys)
+    placed = sums.select(
+        *keys, "_b", "_s", F.sum("_s").over(key.orderBy("_b")).alias("_upto"), F.sum("_s").over(key).alias("n"),
+        F.sum("_t").over(key).alias("_sum"), F.max("_hi").over(key).alias("_max"), F.min("_lo").over(key).alias("_min"))
+    wanted = rank.cast("bigint") - (F.col("_upto") - F.col("_s"))
+    hits = placed.withColumn("_w", wanted).where((F.col("_w") >= 1) & (F.col("_w") <= F.col("_s")))
+    found = null_safe_join(inner, hits.drop("_s", "_upto"), [*keys, "_b"]).where(F.col("_in") >= F.col("_w"))
+    return found.groupBy(*keys, "n", "_sum", "_max", "_min").agg(F.min("_v").alias(value))
 
 
 def latency_by_operation(log: DataFrame) -> DataFrame:
-    """Count, average, extremes and p95 per operation.
+    """Count, average, extremes and p95 per operation, in one pass over the log.
 
     p95 is the value at position int(n * 0.95) of the sorted values, counted from
     zero; below twenty values it is the maximum.
     """
     v = log.where(F.col("type") == "latency").select(F.replace(F.col("name"), F.lit("latency."), F.lit("")).alias("op"), "value")
-    basic = v.groupBy("op").agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("avg_ms"),
-                                F.max("value").alias("max_ms"), F.min("value").alias("min_ms"))
-    p95 = value_at_rank(v, ["op"], "value", F.when(F.col("n") >= 20, F.floor(F.col("n") * F.lit(0.95)) + 1).otherwise(F.col("n")))
-    return basic.join(p95.select("op", F.col("value").alias("p95_ms")), "op")
+    found = value_at_rank(v, ["op"], "value", F.when(F.col("n") >= 20, F.floor(F.col("n") * F.lit(0.95)) + 1).otherwise(F.col("n")))
+    return found.select("op", F.col("n").alias("count"), (F.col("_sum") / F.col("n")).alias("avg_ms"), F.col("_max").alias("max_ms"),
+                        F.col("_min").alias("min_ms"), F.col("value").alias("p95_ms"))
 
 
 def compliance_by_type(log: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def full_report(purchases: DataFrame, sales: DataFrame, card, as_of: Column, iss
     issues = audit.audit(purchases, card, as_of, ["source_table"])
     parts = strategy.strategy_report(sales, purchases, as_of)
     critical = recommend.first_critical(audit.check_ageing(purchases, as_of, ["source_table"]), issue_order)
-    recs = recommend.recommendations(catalog.null_totals(purchases, null_columns), critical, parts["forecast"], parts["vendors"])
+    recs = recommend.recommendations(catalog.null_totals(purchases, null_columns), critical, parts["forecast"], parts["scores"])
     chosen = recommend.prioritized(recommend.without_repeats(recs), top)
     return {
         "overview": catalog.overview(purchases),

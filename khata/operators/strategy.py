@@ -15,6 +15,8 @@ def vendor_scores(ledger: DataFrame, by_table: bool = True) -> DataFrame:
     """Transactions, value, score and risk per vendor, per table or over the whole family."""
     vendor = role_column(ledger.columns, "vendor")
     amount = role_column(ledger.columns, "total")
+    if vendor is None:  # nothing to score
+        ledger, vendor = ledger.withColumn("vendor", F.lit(None).cast("string")), "vendor"
     keys = (["source_table"] if by_table else []) + [vendor]
     n = F.count(F.lit(1))
     total = F.coalesce(F.sum(amount), F.lit(0)) if amount else F.lit(0)
@@ -39,12 +41,12 @@ def monthly_average(ledger: DataFrame, name: str, mode: str = "rows") -> DataFra
     ``rows`` takes thirty rows for a month, ``calendar`` counts the months that occur.
     """
     amount = role_column(ledger.columns, "total")
-    total = F.coalesce(F.sum(amount), F.lit(0)).cast("double")
+    total = (F.coalesce(F.sum(amount), F.lit(0)) if amount else F.lit(0)).cast("double")
     if mode == "rows":
         months = F.count(F.lit(1)).cast("double") / F.lit(30.0)
     elif mode == "calendar":
         day = role_column(ledger.columns, "invoice_date")
-        months = F.count_distinct(F.trunc(F.col(day), "month")).cast("double")
+        months = (F.count_distinct(F.trunc(F.col(day), "month")) if day else F.lit(0)).cast("double")
     else:
         raise ValueError(f"unknown mode {mode}")
     return ledger.agg((total / F.greatest(F.lit(1.0), months)).alias(name))
@@ -71,6 +73,8 @@ def cash_flow(sales: DataFrame, purchases: DataFrame, as_of: Column,
 def top_items(sales: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` items with the highest revenue of each table, with the insight text."""
     item, amount = role_column(sales.columns, "product"), role_column(sales.columns, "total")
+    if item is None or amount is None:  # no revenue by item
+        sales, item, amount = sales.withColumns({"item": F.lit(None).cast("string"), "value": F.lit(0)}), "item", "value"
     revenue = sales.where(F.col(item).isNotNull()).groupBy("source_table", F.col(item).alias("item")).agg(
         F.sum(amount).alias("revenue"))
     place = F.row_number().over(Window.partitionBy("source_table").orderBy(F.desc("revenue"), "item"))
@@ -121,8 +125,11 @@ def strategy_notes(scores: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def strategy_report(sales: DataFrame, purchases: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """Vendor ranking, forecast, revenue insights and notes; nothing runs yet."""
-    ranking = top_vendors(vendor_scores(purchases))
+    """Vendor ranking, all scores, forecast, revenue insights and notes; nothing runs yet.
+
+    The ranking is the list to show; the notes count over all vendors.
+    """
+    scores = vendor_scores(purchases)
     forecast = cash_flow(sales, purchases, as_of)
-    return {"vendors": ranking, "forecast": forecast, "insights": top_items(sales),
-            "notes": strategy_notes(ranking, forecast)}
+    return {"vendors": top_vendors(scores), "scores": scores, "forecast": forecast, "insights": top_items(sales),
+            "notes": strategy_notes(scores, forecast)}

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key is a key like any other."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    if not keys:
+        return left.join(renamed)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def running_total(df: DataFrame, value: str, time: str, order: list[str], name: str,
                   keys: list[str] | None = None, levels: tuple[str, ...] = ("day", "minute")) -> DataFrame:
     """Add ``name``: sum of ``value`` over all rows up to this one in (time, order).
@@ -13,6 +25,7 @@ def running_total(df: DataFrame, value: str, time: str, order: list[str], name:
     A plain unbounded window would sort a whole key in one task. Here rows are
     split into time buckets, coarse to fine; each bucket adds up on its own, and
     the totals of the buckets before it, which are few, are added as an offset.
+    Rows with a null time come first; a null key is a key of its own.
     """
     keys = keys or []
     buckets = [f"_b{i}" for i in range(len(levels))]
@@ -28,11 +41,10 @@ def running_total(df: DataFrame, value: str, time: str, order: list[str], name:
         if depth == 0:
             offsets = step
         else:
-            offsets = (step.withColumnRenamed("_o", "_n").join(offsets, inside)
+            offsets = (null_safe_join(step.withColumnRenamed("_o", "_n"), offsets, inside)
                        .withColumn("_o", F.col("_o") + F.col("_n")).drop("_n"))
 
     inside = Window.partitionBy(*keys, *buckets).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, 0)
-    return (work.withColumn("_r", F.sum(value).over(inside))
-                .join(offsets, keys + buckets)
+    return (null_safe_join(work.withColumn("_r", F.sum(value).over(inside)), offsets, keys + buckets)
                 .withColumn(name, F.col("_r") + F.col("_o"))
                 .drop("_r", "_o", *buckets))

@@ -263,8 +263,7 @@ def a13_revenue_by_item(spark, d):
 
 
 @query("b8_strategy_notes", WITH_CASH + "," + _MONTHLY + """,
-top AS (SELECT * FROM vendor_scores ORDER BY score, source_table, vendor LIMIT 50),
-v AS (SELECT count(*) FILTER (WHERE score < 60) AS weak, count(*) FILTER (WHERE total_value > 100000) AS major FROM top),
+v AS (SELECT count(*) FILTER (WHERE score < 60) AS weak, count(*) FILTER (WHERE total_value > 100000) AS major FROM vendor_scores),
 f AS (SELECT count(*) FILTER (WHERE net < 0) AS deficits, count(*) AS months, sum(tax) AS tax FROM forecast),
 notes AS (
   SELECT 1 AS pos, concat(weak, ' vendors have low reliability scores. Consider diversifying supplier base.') AS note FROM v WHERE weak > 0
@@ -275,9 +274,7 @@ SELECT CAST(pos AS BIGINT) AS pos, note FROM notes
 UNION ALL SELECT 0, 'No immediate strategic concerns identified.' WHERE (SELECT count(*) FROM notes) = 0
 """)
 def b8_strategy_notes(spark, d):
-    scores = strategy.vendor_scores(monthly_purchases(spark, d))
-    weakest = scores.orderBy("score", "source_table", "vendor").limit(50)
-    return strategy.strategy_notes(weakest, forecast(spark, d))
+    return strategy.strategy_notes(strategy.vendor_scores(monthly_purchases(spark, d)), forecast(spark, d))
 
 
 # --- recommendations -----------------------------------------------------------------
@@ -291,7 +288,6 @@ first_critical AS (
 _ACTIONS = {k: " | ".join(v) for k, v in fv.ACTIONS.items()}
 _RECS = f"""
 gaps AS (SELECT source_table, count(*) FILTER (WHERE payment_date IS NULL) AS total_nulls FROM purchase_ledger GROUP BY 1),
-weakest AS (SELECT * FROM vendor_scores ORDER BY score, source_table, vendor LIMIT 50),
 parts AS (
   SELECT 1 AS grp, source_table AS seq, concat('Address missing data in ', source_table) AS title,
          concat('Table ''', source_table, ''' has ', total_nulls, ' records with missing values in critical columns.') AS description,
@@ -311,12 +307,12 @@ parts AS (
   SELECT 4, '1', 'Diversify vendor base to reduce risk',
          concat(n, ' vendors have low reliability scores. Over-reliance on few vendors increases supply chain risk.'),
          'vendor', 'medium', 60, 40, {lit(_ACTIONS["vendor_risk"])}, '', NULL, NULL
-  FROM (SELECT count(*) AS n FROM weakest WHERE score < 60) WHERE n >= 2
+  FROM (SELECT count(*) AS n FROM vendor_scores WHERE score < 60) WHERE n >= 2
   UNION ALL
   SELECT 5, '1', 'Verify MSME status of major vendors',
          concat('Section 43B(h) requires payment to MSME vendors within 45 days. ', n, ' major vendors have unverified MSME status.'),
          'compliance', 'high', 70, 30, {lit(_ACTIONS["msme_check"])}, '', 'Before next filing', NULL
-  FROM (SELECT count(*) AS n FROM weakest WHERE total_value > 100000) WHERE n > 0),
+  FROM (SELECT count(*) AS n FROM vendor_scores WHERE total_value > 100000) WHERE n > 0),
 recs AS (SELECT *, printf('REC-%03d', row_number() OVER (ORDER BY grp, seq)) AS rec_id FROM parts),
 unique_recs AS (SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY grp, seq) = 1),
 ranked AS (SELECT *, CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM unique_recs),
@@ -335,9 +331,8 @@ def critical_first(spark, d):
 
 def all_recommendations(spark, d):
     nulls = catalog.null_totals(st.purchase_ledger(spark, d, "source_table", "payment_date"), ["payment_date"])
-    weakest = (strategy.vendor_scores(monthly_purchases(spark, d))
-               .orderBy("score", "source_table", "vendor").limit(50))
-    return recommend.recommendations(nulls, critical_first(spark, d), forecast(spark, d), weakest, with_msme_check=True)
+    scores = strategy.vendor_scores(monthly_purchases(spark, d))
+    return recommend.recommendations(nulls, critical_first(spark, d), forecast(spark, d), scores, with_msme_check=True)
 
 
 def top_recommendations(spark, d):
@@ -452,7 +447,8 @@ def b15_parsed_replies(spark, d):
 
 @query("b9_strategy_report")
 def b9_strategy_report(spark, d):
-    return report.as_rows(strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of()))
+    parts = strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of())
+    return report.as_rows({k: v for k, v in parts.items() if k != "scores"})
 
 
 @query("b16_full_report")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,13 +36,16 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for written intermediates, below the cluster's shared folder.
 
     The folder named by ``spark.checkpoint.dir`` outlives any one executor. Only
-    where it is unset (tests, a laptop) is a temporary folder made and recorded.
+    a local session may do without it: its one process sees a temporary folder,
+    which is removed when the process ends. On a cluster a missing setting is an
+    error, as executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="khata-shared-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
