@@ -7,7 +7,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.plans import standins as st
@@ -68,7 +68,7 @@ def workbook_bytes(rows: list[list], sheet: str = "Sheet1") -> bytes:
     return out.getvalue()
 
 
-def customer_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_workbooks(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
     """One small workbook per customer, as (path, content): title, blank row, header, one row."""
     def build(batches):
         for pdf in batches:
@@ -77,5 +77,23 @@ def customer_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "content": [workbook_bytes([["Statement"], [], ["Cust Key", "Customer Name", "Acct Bal"], [int(k), n, float(b)]])
                             for k, n, b in zip(pdf["c_custkey"], pdf["c_name"], pdf["c_acctbal"])]})
 
-    return (spread(st.table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+    customers = st.table(spark, sf_dir, "customer")
+    return (spread(customers if which is None else customers.where(which), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
             .mapInPandas(build, "path string, content binary"))
+
+
+def mixed_files(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
+    """CSV files of a hundred customers each, a workbook for every fiftieth customer, and a broken one, as a folder of that
+    day. On day 2 every third CSV has changed, some files are gone, and the broken one still is."""
+    customers = st.table(spark, sf_dir, "customer")
+    block = F.floor(F.col("c_custkey") / 100)
+    balance = F.col("c_acctbal").cast("decimal(12,2)") + F.when((block % 3 == 0) & F.lit(day == 2), 1).otherwise(0)
+    line = F.concat_ws(",", F.col("c_custkey"), F.col("c_name"), balance.cast("decimal(12,2)"))
+    tables = customers.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))
+    tables = tables.where((F.col("block") % 5 != 1) | F.lit(day == 1)).select(
+        F.format_string("/in/Ledger %d.csv", F.col("block")).alias("path"), F.concat_ws(
+            "\n", F.lit("Customers of a block"), F.lit("Cust Key,Customer Name,Acct Bal"), F.col("rows.line")).cast("binary").alias("content"))
+    books = customer_workbooks(spark, sf_dir, (F.col("c_custkey") % 50 == 0) & ((F.col("c_custkey") % 150 != 0) | F.lit(day == 1)))
+    broken = customers.where("c_custkey = 1").select(F.lit("broken.xlsx").alias("path"), F.lit("no zip").cast("binary").alias("content"))
+    files = tables.unionByName(books).unionByName(broken)
+    return files.select("path", "content", F.octet_length("content").cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))

@@ -312,3 +312,40 @@ def s29_removed_file(spark, d):
     count = F.count(F.lit(1)).alias("entries")
     return (left.agg(count).withColumn("store", F.lit("manifest"))
             .unionByName(tables.agg(count).withColumn("store", F.lit("catalog"))))
+
+
+@query("s20_incremental_load", """
+SELECT concat('ledger_', c_custkey // 100) AS source_table, count(*) AS customers, sum(c_custkey) AS keys,
+       CAST(sum(CAST(c_acctbal AS DECIMAL(12,2)) + CASE WHEN (c_custkey // 100) % 3 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS balance
+FROM customer WHERE (c_custkey // 100) % 5 <> 1 GROUP BY 1
+UNION ALL SELECT concat('cust_', c_custkey), 1, c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE)
+FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 150 <> 0
+""")
+def s20_incremental_load(spark, d):
+    dataset, first, second = (shared_dir(spark, n) for n in ("dataset", "manifest", "manifest"))
+    manifest.load_files(fixtures.mixed_files(spark, d, 1), dataset, shared_dir(spark, "none"), first)
+    manifest.load_files(fixtures.mixed_files(spark, d, 2), dataset, first, second)
+    rows = manifest.open_dataset(spark, dataset, manifest.read_manifest(spark, second))
+    return rows.groupBy("source_table").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum(F.col("cust_key").cast("bigint")).alias("keys"),
+        F.sum(F.col("acct_bal").cast("decimal(12,2)")).cast("double").alias("balance"))
+
+
+@query("s6_readers_by_extension", "SELECT 'csv' AS kind, count(*) AS n, sum(o_orderkey) AS keys FROM orders")
+def s6_readers_by_extension(spark, d):
+    path = shared_dir(spark, "one-csv") + "/orders.csv"
+    st.table(spark, d, "orders").select("o_orderkey", "o_custkey").write.option("header", True).csv(path)
+    rows = csv_source.read_by_extension(spark, path, columns={"o_orderkey": "bigint"})
+    return rows.agg(F.lit("csv").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("s14_content_hashes", """
+SELECT concat('c', c_custkey, '.csv') AS filename, md5(concat('Name', chr(10), c_name)) AS file_hash,
+       CAST(strlen(c_name) + 5 AS BIGINT) AS file_size FROM customer
+""")
+def s14_content_hashes(spark, d):
+    content = F.concat_ws("\n", F.lit("Name"), F.col("c_name")).cast("binary")
+    files = st.table(spark, d, "customer").select(
+        F.format_string("/in/c%d.csv", F.col("c_custkey")).alias("path"), content.alias("content"),
+        F.octet_length(content).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return manifest.describe(files).select("filename", "file_hash", "file_size")

@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.functions import fixed_values as fv
-from khata.functions.text import clean_name, clean_name_py, file_extension, strip
-from khata.session import written
+from khata.functions.text import clean_name, clean_name_py, file_extension
+from khata.sources import delimited
 
-COLUMN_BOUND = 5000
-# larger files are read in blocks; accepted uploads are never larger
-SMALL_FILE = 64 * 1024 * 1024
 
 
 def read_clean(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:
     """Files whose first line is the header; names are kept as they are.
 
-    Give a schema for anything large: inferring it reads the files twice.
+    Give a schema for anything large: inferring it reads the files twice. A file
+    whose header differs from the schema ends the job.
     """
     reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    reader = reader.schema(schema).option("enforceSchema", False) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
@@ -38,85 +36,16 @@ def read_by_extension(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"Unsupported file type: {ext}. Supported: .xlsx, .csv")
 
 
-# --- header detection ----------------------------------------------------------------
-#
-# The header of a file is the first of its top lines with the most usual number of
-# commas. Lines without commas do not count, of equally usual numbers the one seen first
-# wins, and a file without commas has its header in the first line.
+# --- files with anything above the header -------------------------------------------
 
-def _commas(line: Column) -> Column:
-    return F.when(strip(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))))
-
-
-def split_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> tuple[list[str] | str | None, list[str]]:
-    """(paths read whole, paths read in blocks): files beyond ``SMALL_FILE`` bytes are read in blocks."""
-    reader = spark.read.format("binaryFile")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    files = reader.load(path).select("path", "length")
-    large = [r["path"] for r in files.where(F.col("length") > SMALL_FILE).collect()]
-    if not large:
-        return path, []
-    return [r["path"] for r in files.where(F.col("length") <= SMALL_FILE).select("path").collect()] or None, large
-
-
-def whole_files(spark: SparkSession, path: str | list[str], glob: str | None = None,
-                look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
-    """One row per small file: source_file, skip_rows, header_line and the lines below as ``body``.
-
-    All of it is worked out inside the row, so there is one scan and no shuffle.
-    """
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    seen = (reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", "\r\n|\n|\r").alias("lines"))
-            .withColumn("commas", F.transform(F.slice("lines", 1, look_at), _commas))
-            .withColumn("ranked", F.filter(F.transform("commas", lambda c, i: F.struct(
-                F.size(F.filter("commas", lambda o: o == c)).alias("n"), (-i).alias("i"), c.alias("c"))), lambda r: r["c"] > 0))
-            .withColumn("skip_rows", F.coalesce(-F.array_max("ranked")["i"], F.lit(0))))
-    return seen.select("source_file", "skip_rows", F.get("lines", F.col("skip_rows")).alias("header_line"),
-                       F.slice("lines", F.col("skip_rows") + 2, F.size("lines")).alias("body"))
-
-
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of large files with their block; lines of the first block are numbered from zero.
-
-    Only the first block of a file is shuffled for the numbers, the rest stays null.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"))
-    number = F.row_number().over(Window.partitionBy("source_file").orderBy("line_id")) - 1
-    first = lines.where(F.col("block") == 0).withColumn("number", number)
-    return first.unionByName(lines.where(F.col("block") > 0).withColumn("number", F.lit(None).cast("int"))).drop("line_id", "block")
-
-
-def header_of_lines(lines: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:
-    top = lines.where(F.col("number") < look_at).withColumn("commas", _commas(F.col("line")))
-    by_count = top.groupBy("source_file", "commas").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "line")).alias("first"))
-    some = F.col("commas") > 0
-    rank = F.struct(some.alias("some"), F.when(some, F.col("n")).otherwise(0).alias("n"), (-F.col("first.number")).alias("i"))
-    return (by_count.groupBy("source_file").agg(F.max_by("first", rank).alias("h"))
-            .select("source_file", F.col("h.number").alias("skip_rows"), F.col("h.line").alias("header_line")))
+def _files(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
 def find_headers(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """source_file, skip_rows and header_line of every file."""
-    small, large = split_files(spark, path, glob)
-    parts = []
-    if small:
-        parts.append(whole_files(spark, small, glob if small is path else None).drop("body"))
-    if large:
-        parts.append(header_of_lines(numbered_lines(spark, large)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def cells_of(line: Column) -> Column:
-    """A CSV line as an array of texts, empty ones as null; quotes are only looked at where there are any."""
-    def unquoted(c):
-        return F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-
-    quoted = F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: unquoted(strip(c)))
-    parts = F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
-    return F.transform(parts, lambda c: F.nullif(strip(c), F.lit("")))
+    return delimited.file_headers(_files(spark, path, glob))
 
 
 def column_names(header: Column, filled: Column) -> Column:
@@ -172,37 +101,17 @@ def read_messy(spark: SparkSession, path: str | list[str], columns: dict[str, st
                glob: str | None = None) -> DataFrame:
     """CSV files with any preamble, many files at once.
 
-    Files may differ in header and columns. The result has ``source_file`` and
-    the named columns; without ``columns`` all names that occur, as text. A value
-    that does not fit its type is null. Files of ordinary size are handled inside
-    one row each: one scan, no join. Larger ones are read in blocks.
+    Files may differ in header and columns, which go by name. The result has ``source_file`` and all columns that occur,
+    as text, or those named in ``columns`` by their types. A value that does not fit its type is null. A file that cannot
+    be read ends the job; ``folder.read_any`` lists it instead.
     """
-    small, large = split_files(spark, path, glob)
-    nameless, parts = numbers_places(columns), []
-    if small:
-        files = (whole_files(spark, small, glob if small is path else None)
-                 .withColumn("header", cells_of(F.col("header_line")))
-                 .withColumn("rows", F.transform(F.filter("body", lambda l: strip(l) != ""), cells_of)))
-        filled = F.transform("header", lambda h, i: F.exists("rows", lambda r: F.get(r, i).isNotNull()) if nameless else F.lit(True))
-        named = files.withColumn("filled", filled).withColumn("names", column_names(F.col("header"), F.col("filled")))
-        parts.append(named_cells(named.select("source_file", "names", F.explode("rows").alias("cells"))))
-    if large:
-        lines = numbered_lines(spark, large)
-        heads = written(header_of_lines(lines), "headers").withColumn("header", cells_of(F.col("header_line")))
-        body = (lines.join(heads.select("source_file", "skip_rows"), "source_file")
-                .where((F.col("number").isNull() | (F.col("number") > F.col("skip_rows"))) & (strip(F.col("line")) != ""))
-                .select("source_file", cells_of(F.col("line")).alias("cells")))
-        parts.append(tables_from_cells(body, heads.select("source_file", "header"), nameless))
-    return with_columns(reduce(DataFrame.unionByName, parts), columns)
+    return with_columns(delimited.or_raise(delimited.file_cells(_files(spark, path, glob))), columns)
 
 
 def with_columns(cells: DataFrame, columns: dict[str, str] | None) -> DataFrame:
-    """Name -> text maps to typed columns."""
+    """Name -> text maps to typed columns; without ``columns`` the names that occur are the schema."""
     if columns is None:
-        found = (cells.select(F.explode(F.map_keys("cells")).alias("name")).distinct()
-                 .orderBy("name").limit(COLUMN_BOUND + 1).collect())
-        if len(found) > COLUMN_BOUND:
-            raise ValueError(f"more than {COLUMN_BOUND} different column names")
+        found = cells.select(F.explode(F.map_keys("cells")).alias("name")).distinct().orderBy("name").collect()
         columns = {r["name"]: "string" for r in found}
     return cells.select("source_file", *[
         F.col("cells")[name].try_cast(dtype).alias(name) for name, dtype in columns.items()])
@@ -211,11 +120,15 @@ def with_columns(cells: DataFrame, columns: dict[str, str] | None) -> DataFrame:
 # --- folders and cleaning ------------------------------------------------------------
 
 def read_folder(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All CSV files of a folder as one frame with ``source_file``; bad lines keep their text in ``_bad``."""
-    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-            .option("columnPruning", False).option("pathGlobFilter", "*.csv").schema(full).csv(folder)
-            .withColumn("source_file", F.col("_metadata.file_path")))
+    """All CSV files of a folder as one frame with ``source_file``, columns by name whatever their order.
+
+    A row with a value that does not fit its type keeps its values as text in ``_bad``.
+    """
+    cells = delimited.or_raise(delimited.file_cells(_files(spark, folder, "*.csv")))
+    lower = {f.name: F.col("cells")[clean_name_py(f.name)] for f in schema.fields}
+    typed = {n: v.try_cast(schema[n].dataType) for n, v in lower.items()}
+    misfit = reduce(Column.__or__, [v.isNotNull() & typed[n].isNull() for n, v in lower.items()])
+    return cells.select(*[v.alias(n) for n, v in typed.items()], F.when(misfit, F.to_json("cells")).alias("_bad"), "source_file")
 
 
 def bad_lines(folder: DataFrame) -> DataFrame:

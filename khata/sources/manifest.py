@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.functions.text import table_name_of
+from khata.session import written
 from khata.sources import csv_source
+from khata.sources.csv_source import with_columns
+from khata.sources.folder import cells_of_files, errors_of, file_name, files_in
 
 MANIFEST = ("filename string, file_path string, file_hash string, file_size bigint, modified_time timestamp, "
             "last_loaded timestamp, table_name string, sheet_type string, row_count bigint")
 
 
-def scan_files(spark: SparkSession, folder: str, with_hash: bool = True) -> DataFrame:
-    """Data files of a folder: name, path, MD5, size and time. Without the hash no content is read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,xlsx,xls}").load(folder))
+def describe(files: DataFrame, with_hash: bool = True) -> DataFrame:
     hashed = [F.md5("content").alias("file_hash")] if with_hash else []
-    return files.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("filename"), F.col("path").alias("file_path"), *hashed,
+    return files.select(file_name(F.col("path")).alias("filename"), F.col("path").alias("file_path"), *hashed,
                         F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"))
 
 
+def scan_files(spark: SparkSession, folder: str, with_hash: bool = True) -> DataFrame:
+    """Data files of a folder: name, path, MD5, size and time. Without the hash no content is read."""
+    return describe(files_in(spark, folder), with_hash)
+
+
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """NEW, DELETED, MODIFIED or UNCHANGED per file name, by content hash."""
     o = old.select("filename", F.col("file_hash").alias("old_hash"), "table_name")
@@ -101,43 +108,59 @@ def listing(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def incremental_load(spark: SparkSession, folder: str, dataset: str, old_manifest: str, new_manifest: str,
-                     columns: dict[str, str]) -> DataFrame:
-    """Load what changed in ``folder`` into ``dataset`` and write the new manifest.
+                     columns: dict[str, str] | None = None) -> DataFrame:
+    """Load what changed in ``folder`` into ``dataset``, write the new manifest, and return the changes with errors."""
+    return load_files(files_in(spark, folder), dataset, old_manifest, new_manifest, columns)
 
-    The dataset has a partition per table; only partitions of changed files are
-    rewritten. A table whose file is gone is no longer in the manifest, and
-    :func:`open_dataset` reads just the tables the manifest names.
+
+def load_files(files: DataFrame, dataset: str, old_manifest: str, new_manifest: str,
+               columns: dict[str, str] | None = None) -> DataFrame:
+    """The same for ``files`` as (path, content, length, modificationTime): CSV files and workbooks.
+
+    New and changed files are loaded, and unchanged ones whose table is gone from the dataset. All columns are kept, as
+    text, unless ``columns`` names some. The dataset has a partition per table and file, so files whose names give one
+    table name do not touch each other; only partitions of loaded files are rewritten. :func:`open_dataset` reads just
+    what the manifest names. A file that cannot be read has its ``error`` in the result and is not in the new manifest, so
+    the next run tries it again.
     """
-    old, files = read_manifest(spark, old_manifest), scan_files(spark, folder)
-    changes = detect_changes(old, files)
-    plan = load_plan(changes)
-    # the reader needs its paths on the driver, as it does when it lists a folder
-    paths = [r["file_path"] for r in plan.join(files, "filename").where(F.lower("filename").endswith(".csv"))
-             .select("file_path").collect()]
-    planned = plan.select(table_name_of(F.col("filename")).alias("source_table"))
-    loaded = spark.createDataFrame([], "table_name string, row_count bigint")
-    if paths:
-        name = table_name_of(F.url_decode(F.element_at(F.split("source_file", "/"), -1)))
-        rows = csv_source.read_messy(spark, paths, columns).withColumn("source_table", name)
-        # rebalance keeps the files of a table together and splits large tables
-        (rows.hint("rebalance", "source_table").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("source_table").parquet(dataset))
-        loaded = (spark.read.parquet(dataset).join(planned, "source_table", "left_semi")
-                  .groupBy(F.col("source_table").alias("table_name")).agg(F.count(F.lit(1)).alias("row_count")))
+    spark = files.sparkSession
+    old, now = read_manifest(spark, old_manifest), describe(files)
+    changes = detect_changes(old, now)
+    plan = written(load_plan(changes, stored_tables(spark, dataset)), "plan")
+    wanted = files.withColumn("filename", file_name(F.col("path"))).join(plan.select("filename"), "filename", "left_semi")
+    cells = cells_of_files(wanted.select("path", "content"))
+    errors = errors_of(cells).select(file_name(F.col("source_file")).alias("filename"), "error")
+    name = file_name(F.col("source_file"))
+    sound = cells.where("error is null").join(cells.where("error is not null").select("source_file"), "source_file", "left_anti")
+    rows = with_columns(sound, columns).withColumns({"source_table": table_name_of(name), "source_name": name})
+    # rebalance keeps the files of a table together and splits large tables
+    (rows.hint("rebalance", "source_table").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("source_table", "source_name").parquet(dataset))
+    counts = sound.groupBy(name.alias("filename")).agg(F.count(F.lit(1)).alias("row_count"))
     # a file without rows leaves no table behind
-    fresh = (plan.join(files, "filename").withColumn("_t", table_name_of(F.col("filename")))
-             .join(loaded, F.col("_t") == F.col("table_name"), "left").select(
-                 "filename", "file_path", "file_hash", "file_size", "modified_time", F.current_timestamp().alias("last_loaded"),
-                 "table_name", F.lit(None).cast("string").alias("sheet_type"), "row_count"))
+    fresh = (plan.select("filename").join(now, "filename").join(errors, "filename", "left_anti").join(counts, "filename", "left").select(
+        "filename", "file_path", "file_hash", "file_size", "modified_time", F.current_timestamp().alias("last_loaded"),
+        F.when(F.col("row_count") > 0, table_name_of(F.col("filename"))).alias("table_name"),
+        F.lit(None).cast("string").alias("sheet_type"), "row_count"))
     gone = changes.where(F.col("change").isin("DELETED", "MODIFIED")).select("filename")
-    write_manifest(forget(old, gone.unionByName(fresh.select("filename"))).unionByName(fresh), new_manifest)
-    return changes
+    write_manifest(forget(old, gone.unionByName(plan.select("filename"))).unionByName(fresh), new_manifest)
+    return changes.join(errors, "filename", "left")
+
+
+def stored_tables(spark: SparkSession, dataset: str) -> DataFrame:
+    """Tables that the dataset holds; none where there is no dataset."""
+    try:
+        return spark.read.parquet(dataset).select(F.col("source_table").alias("table_name")).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "table_name string")
 
 
 def open_dataset(spark: SparkSession, dataset: str, manifest: DataFrame) -> DataFrame:
-    """Rows of the tables the manifest names; the join prunes the partitions of all others."""
-    names = loaded_tables(manifest).select(F.col("table_name").alias("source_table")).distinct()
-    return spark.read.parquet(dataset).join(names, "source_table", "left_semi")
+    """Rows of the files the manifest names; the join prunes the partitions of all others."""
+    names = loaded_tables(manifest).select(F.col("table_name").alias("source_table"), F.col("filename").alias("source_name")).distinct()
+    return spark.read.option("mergeSchema", True).parquet(dataset).join(names, ["source_table", "source_name"], "left_semi")
 
 
 def remove_file(manifest: DataFrame, catalog: DataFrame, filename: str) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from khata.sources.csv_source import numbers_places, tables_from_cells, with_col
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _ROWS_PER_BATCH = 5000
-CELLS = "source_file string, row_no int, cells array<string>, texts array<boolean>"
+CELLS = "source_file string, row_no int, cells array<string>, texts array<boolean>, error string"
 
 
 def _sheet_path(book: zipfile.ZipFile, sheet: str | None) -> str:
@@ -94,18 +94,24 @@ def sheet_rows(content: bytes, sheet: str | None = None) -> Iterator[tuple[int,
 
 
 def workbook_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Cells of workbooks given as (path, content); rows leave in batches, never a file at once."""
+    """Cells of workbooks given as (path, content); rows leave in batches, never a file at once.
+
+    A workbook that is broken or lacks the sheet is one row with its ``error`` and number -1.
+    """
     def read(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows = []
-                for no, cells, texts in sheet_rows(content, sheet):
-                    rows.append((path, no, cells, texts))
-                    if len(rows) == _ROWS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts"])
-                        rows = []
+                try:
+                    for no, cells, texts in sheet_rows(content, sheet):
+                        rows.append((path, no, cells, texts, None))
+                        if len(rows) == _ROWS_PER_BATCH:
+                            yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts", "error"])
+                            rows = []
+                except Exception as e:  # one bad file must not end the scan
+                    rows.append((path, -1, None, None, f"{type(e).__name__}: {e}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts"])
+                    yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts", "error"])
 
     return files.select("path", "content").mapInPandas(read, CELLS)
 
@@ -119,7 +125,7 @@ def header_scores(cells: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> Data
     earlier = sheet.orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     filled = F.filter(F.arrays_zip("cells", "texts"), lambda p: p["cells"].isNotNull() & (p["cells"] != ""))
     texts = F.transform(F.filter("v", lambda p: p["texts"]), lambda p: strip(p["cells"]))
-    top = (cells.where(F.col("row_no") < look_at).withColumn("v", filled).withColumn("t", texts)
+    top = (cells.where(F.col("row_no").between(0, look_at - 1)).withColumn("v", filled).withColumn("t", texts)
            .withColumn("n", F.size("v").cast("double")).withColumn("s", F.size("t"))
            .withColumn("width", F.max(F.size("cells")).over(sheet))
            .withColumn("after_sparse", F.coalesce(F.max(F.col("n") <= 2).over(earlier), F.lit(False))))
@@ -149,20 +155,29 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return best.select("source_file", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("header"))
 
 
-def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """``cells`` is read several times here; hand in a written frame, not the parsing plan itself."""
+def named_sheet_cells(cells: DataFrame, count_filled: bool = True) -> DataFrame:
+    """(source_file, cells) with name -> text maps. Workbooks with an error are left out.
+
+    ``cells`` is read several times here; hand in a written frame, not the parsing plan itself.
+    """
     def texts(c):
         return F.transform(c, lambda x: F.nullif(strip(x), F.lit("")))
 
-    heads = header_rows(cells)
-    body = (cells.join(heads.select("source_file", "header_row"), "source_file")
+    sound = cells.join(cells.where("error is not null").select("source_file").distinct(), "source_file", "left_anti")
+    heads = header_rows(sound)
+    body = (sound.join(heads.select("source_file", "header_row"), "source_file")
             .where(F.col("row_no") > F.col("header_row")).select("source_file", texts(F.col("cells")).alias("cells")))
     headers = heads.select("source_file", texts(F.col("header")).alias("header"))
-    return with_columns(tables_from_cells(body, headers, numbers_places(columns)), columns)
+    return tables_from_cells(body, headers, count_filled)
+
+
+def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    return with_columns(named_sheet_cells(cells, numbers_places(columns)), columns)
 
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None,
                    columns: dict[str, str] | None = None) -> DataFrame:
-    """Workbooks below ``path``: first or named sheet, header found, cleaned."""
+    """Workbooks below ``path``: first or named sheet, header found, cleaned. Those that cannot be read are left out;
+    ``folder.read_any`` lists them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return tables_from_workbooks(written(workbook_cells(files, sheet), "cells"), columns)

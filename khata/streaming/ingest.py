@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.functions.text import table_name_of
+from khata.sources import delimited
+from khata.sources.csv_source import with_columns
+
+
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """Rows of CSV files as they arrive, with the table each file stands for.
+    """Rows of CSV files as they arrive, with the table each file stands for. Headers are found and columns go by name,
+    file by file. A file that cannot be read ends the query.
 
     Changed and deleted files do not come through a file stream; they are the
     manifest's business.
     """
-    name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
-            .option("maxFilesPerTrigger", max_files).schema(schema).csv(folder)
-            .withColumn("source_table", table_name_of(name)))
+    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .option("maxFilesPerTrigger", max_files).schema(FILES).load(folder))
+    columns = {f.name: f.dataType.simpleString() for f in schema.fields}
+    rows = with_columns(delimited.or_raise(delimited.file_cells(files)), columns)
+    name = F.url_decode(F.element_at(F.split(F.col("source_file"), "/"), -1))
+    return rows.withColumn("source_table", table_name_of(name)).drop("source_file")
 
 
 def load_new_files(spark: SparkSession, folder: str, schema: T.StructType, dataset: str, checkpoint: str,

@@ -1,6 +1,7 @@
 """Files on disk: CSV, workbooks, manifests, catalogs, streams."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from khata.operators.metrics import usage
 from khata.plans.fixtures import workbook_bytes
 from khata.session import build_session, shared_dir, spread
-from khata.sources import csv_source, manifest, stores, workbook
+from khata.sources import csv_source, folder, manifest, stores, workbook
 from khata.streaming import ingest, running_metrics
 
 
@@ -28,18 +29,14 @@ def test_clean_csv_keeps_names(spark, tmp_path):
     assert df.columns == ["Bill No", "Total"] and df.first()["Total"] == 5
 
 
-@pytest.mark.parametrize("small", [1 << 20, 0])
-def test_header_detection(spark, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(csv_source, "SMALL_FILE", small)
+def test_header_detection(spark, tmp_path):
     d = write(tmp_path / "h", plain__csv="a,b,c\n1,2,3\n", title__csv="Acme Ltd\nPeriod, 2021\n\na,b,c\n1,2,3\n4,5,6\n",
               none__csv="x\ny\n", tie__csv="a,b\nc,d,e\n1,2\n1,2,3\n")
     got = {r.source_file.rsplit("/", 1)[1]: r.skip_rows for r in csv_source.find_headers(spark, d).collect()}
     assert got == {"plain.csv": 0, "title.csv": 3, "none.csv": 0, "tie.csv": 0}
 
 
-@pytest.mark.parametrize("small", [1 << 20, 60, 0])
-def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path, monkeypatch, small):
-    monkeypatch.setattr(csv_source, "SMALL_FILE", small)
+def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path):
     d = write(tmp_path / "m", a__csv='Acme\n\nBill No,Total Amt,,\nB1,"5",,x\nB2,7,,\nbill_no,total_amt,,\n,,,\n',
               b__csv='Bill No,Other,Other\n"B3, x",1,2\n')
     got = sorted(tuple(r)[1:] for r in csv_source.read_messy(spark, d, {
@@ -48,18 +45,75 @@ def test_messy_folder_is_cleaned_by_default_d17(spark, tmp_path, monkeypatch, sm
     assert csv_source.read_messy(spark, d).columns == ["source_file", "bill_no", "col_2", "other", "other_1", "total_amt"]
 
 
-def test_large_file_in_several_blocks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(csv_source, "SMALL_FILE", 1000)
+def test_rows_leave_in_batches(spark, tmp_path):
     d = write(tmp_path / "l", big__csv="Title\nk,v\n" + "".join(f"{i},{i}\n" for i in range(20000)))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        df = csv_source.read_messy(spark, d, {"k": "int", "v": "int"})
-        got = df.agg(F.count("*"), F.sum("k"), F.min("k")).first()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = csv_source.read_messy(spark, d, {"k": "int", "v": "int"}).agg(F.count("*"), F.sum("k"), F.min("k")).first()
     assert tuple(got) == (20000, sum(range(20000)), 0)
 
 
+def test_quoted_cells(spark, tmp_path):
+    wide = ",".join(f'"c{i}"' for i in range(20000))
+    d = write(tmp_path / "q", wide__csv=wide + "\n" + ",".join('"1,5"' for _ in range(20000)) + "\n",
+              broken__csv='a,b\n"one\ntwo ""x""",2\n5" pipe,3\n')
+    got = csv_source.read_messy(spark, d, {"c0": "string", "c19999": "string", "a": "string", "b": "int"}).collect()
+    assert sorted(tuple(r)[1:] for r in got if r.a is None) == [("1,5", "1,5", None, None)]
+    assert sorted(tuple(r)[3:] for r in got if r.a) == [('5" pipe', 3), ('one\ntwo "x"', 2)]
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    d = write(tmp_path / "o", one__csv="a,b\n1,x\n", two__csv="b,a\ny,2\n")
+    schema = T.StructType.fromDDL("a INT, b STRING")
+    for rows in (csv_source.read_folder(spark, d, schema), csv_source.read_messy(spark, d, {"a": "int", "b": "string"})):
+        assert sorted((r.a, r.b) for r in rows.collect()) == [(1, "x"), (2, "y")]
+    dataset = str(tmp_path / "ds")
+    ingest.load_new_files(spark, d, schema, dataset, str(tmp_path / "check"))
+    assert sorted((r.a, r.b) for r in spark.read.parquet(dataset).collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(Exception, match="header|Header"):
+        csv_source.read_clean(spark, d, "a INT, b STRING").collect()
+
+
+def test_mixed_folder_lists_what_cannot_be_read(spark, tmp_path):
+    d = write(tmp_path / "mixed", a__csv="Bill No,Amt\nB1,1\n", old__xls="x")
+    (tmp_path / "mixed" / "book.xlsx").write_bytes(workbook_bytes([["Bill No", "Party", "Amt"], ["B2", "Z", 2]]))
+    (tmp_path / "mixed" / "broken.xlsx").write_bytes(b"no zip")
+    rows, errors = folder.read_any(spark, d)
+    assert sorted((r.bill_no, r.amt, r.party) for r in rows.collect()) == [("B1", "1", None), ("B2", "2", "Z")]
+    got = {r.source_file.rsplit("/", 1)[1]: r.error for r in errors.collect()}
+    assert set(got) == {"broken.xlsx", "old.xls"} and "BadZipFile" in got["broken.xlsx"] and "Unsupported" in got["old.xls"]
+    rows, errors = folder.read_any(spark, d, sheet="Other")
+    assert rows.count() == 1 and errors.count() == 3
+
+
+def test_incremental_load_of_a_mixed_folder(spark, tmp_path):
+    d = write(tmp_path / "data", **{"a b__csv": "Bill No,Amt\nB1,1\n", "a-b__csv": "Bill No,Other\nB2,9\n"})
+    book = tmp_path / "data" / "book.xlsx"
+    book.write_bytes(workbook_bytes([["Bill No", "Party", "Amt"], ["B3", "Z", 3]]))
+    (tmp_path / "data" / "bad.xlsx").write_bytes(b"no zip")
+    dataset, m = str(tmp_path / "ds"), [str(tmp_path / f"m{i}") for i in range(4)]
+
+    def state(n):
+        return sorted((r.source_name, r.bill_no, r.amt, r.other) for r in
+                      manifest.open_dataset(spark, dataset, manifest.read_manifest(spark, m[n])).collect())
+
+    first = manifest.incremental_load(spark, d, dataset, str(tmp_path / "none"), m[0])
+    assert {r.filename for r in first.where("error is not null").collect()} == {"bad.xlsx"}
+    whole = [("a b.csv", "B1", "1", None), ("a-b.csv", "B2", None, "9"), ("book.xlsx", "B3", "3", None)]
+    assert state(0) == whole
+    # one of two files with one table name changes; the broken one is mended
+    write(tmp_path / "data", **{"a b__csv": "Bill No,Amt\nB1,10\n"})
+    (tmp_path / "data" / "bad.xlsx").write_bytes(workbook_bytes([["Bill No", "Party", "Amt"], ["B4", "Y", 4]]))
+    second = manifest.incremental_load(spark, d, dataset, m[0], m[1])
+    assert (names(second, "MODIFIED"), names(second, "NEW")) == (["a b.csv"], ["bad.xlsx"])
+    whole = [("a b.csv", "B1", "10", None), whole[1], ("bad.xlsx", "B4", "4", None), whole[2]]
+    assert state(1) == whole
+    # a table lost from the dataset is loaded again
+    shutil.rmtree(tmp_path / "ds" / "source_table=book")
+    manifest.incremental_load(spark, d, dataset, m[1], m[2])
+    assert state(2) == whole
+    assert names(manifest.incremental_load(spark, d, dataset, m[2], m[3]), "UNCHANGED") == ["a b.csv", "a-b.csv", "bad.xlsx", "book.xlsx"]
+    assert state(3) == whole
+
+
 def test_folder_reports_bad_lines(spark, tmp_path):
     d = write(tmp_path / "b", good__csv="a,b\n1,x\n2,y\n", bad__csv="a,b\none,x\n3,y\n", skip__txt="a,b\n1,2\n")
     df = csv_source.read_folder(spark, d, T.StructType.fromDDL("a INT, b STRING"))
