@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.llm import hashing as H
-from khata.llm.frames import connected, kept
+from khata.llm.frames import connected, kept, packed
 
 #: Counters of the sketch that tells very frequent n-grams, and the pieces it is added up in.
 COUNTERS, PIECES = 1 << 19, 64
@@ -33,8 +33,8 @@ COUNTERS, PIECES = 1 << 19, 64
 FREQUENT = 100
 #: Ranges beyond differences + 1.
 SPARE = 2
-#: Texts and bytes of a block of a large cluster.
-BLOCK_TEXTS, BLOCK_BYTES = 400, 4 << 20
+#: Texts and n-grams of a block of a large cluster.
+BLOCK_TEXTS, BLOCK_GRAMS = 400, 1 << 19
 #: Weight of the logarithm in DivideSkip's number of long lists.
 MU = 0.01
 
@@ -231,15 +231,19 @@ def t_occurrence(sets: list[np.ndarray], block: np.ndarray, like: Likeness) -> l
     return links
 
 
-def links_within(members: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) found in the clusters of ``members`` (id, text, cluster), one task's work per pair of blocks."""
-    size = F.octet_length("text")
-    sums = members.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum(size).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    placed = members.join(sums.select("cluster", blocks.alias("blocks")), "cluster").withColumn(
+def links_within(rows: DataFrame, clusters: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) between ``rows`` (id, text) of one of the ``clusters`` (id, cluster, size): one group per pair of blocks.
+
+    Blocks are laid out without the texts, which move once to meet their places and once to their groups. Places grow
+    with the corpus, so they are never broadcast.
+    """
+    sums = clusters.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum("size").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    places = clusters.join(sums.select("cluster", blocks.alias("blocks")), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text")
+    places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    paired = rows.join(places.hint("merge"), "id")
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -248,7 +252,9 @@ def links_within(members: DataFrame, like: Likeness) -> DataFrame:
         found = np.array(t_occurrence(sets, group["block"].to_numpy(), like), np.int64).reshape(-1, 2)
         return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
-    return paired.groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long")
+    # small in bytes and costly per byte: one partition per task, not as many as fit a size
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paired.repartition(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
@@ -267,14 +273,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likenes
     for end in ("a", "b"):  # equal sets stand as one
         near = near.join(of.select(F.col("id").alias(end), F.col("head").alias("to")), end).drop(end).withColumnRenamed("to", end)
     clusters = kept(connected(near.select("a", "b"), "clusters"), "clusters")
-    members = rows.join(clusters.select("id", F.col("component").alias("cluster")), "id")
+    placed = clusters.join(named.groupBy("id").agg(F.sum("n").alias("size")), "id").select("id", F.col("component").alias("cluster"), "size")
     same = of.select(F.col("id").alias("a"), F.col("head").alias("b")).union(of.select(F.col("id"), F.col("last")))
-    reached = connected(links_within(members, like).union(same), "components")
+    reached = connected(links_within(rows, placed, like).union(same), "components")
     return sizes.select("id", "n").join(reached, "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id. Rows with a null id stay."""
-    found = join(docs, key, text, like).where("id <> component").select(F.col("id").alias("_other")).distinct()
-    return docs.join(found, docs[f"`{key}`"].cast("long") == F.col("_other"), "left_anti")
+    others = join(docs, key, text, like).where("id <> component").select(F.col("id").alias("other")).distinct()
+    rows = packed(docs, key=F.col(f"`{key}`").cast("long"))
+    return rows.join(others, F.col("key") == F.col("other"), "left_anti").select("row.*")
