@@ -82,13 +82,14 @@ def rate_in_description(df: DataFrame, description: str, card: DataFrame | list[
 
     ``card`` is a list of (name, rate) or a frame with ``pos``. A small card
     becomes a CASE expression, so the rows never move. A larger one is joined
-    on exact pieces of the distinct descriptions.
+    on exact pieces of the distinct descriptions. Either way names are compared
+    in the lower case of Spark, and null and empty names stand for nothing.
     """
     entries = card if isinstance(card, list) else card_entries(card, name, rate)
     if entries is not None:
         text = F.lower(F.col(description))
         return df.withColumn("correct_rate", first_entry(
-            lambda n: text.contains(n.lower()), entries, 1, "decimal(6,2)"))
+            lambda n: text.contains(F.lower(F.lit(n))), [e for e in entries if e[0]], 1, "decimal(6,2)"))
 
     texts = df.select(F.lower(description).alias("_text")).distinct()
     hits = containing(texts, "_text", card.select("pos", F.lower(name).alias("_name"), rate), "_name")
@@ -121,6 +122,20 @@ def pieces_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
                  .join(needles, F.col("_piece") == F.col(needle)).drop("_piece", "_n"))
 
 
+def rate_by_name_in(df: DataFrame, query: str, card: DataFrame) -> DataFrame:
+    """:func:`rate_by_name` for a card of any size: a frame of pos, kind, name, code, rate, category, note.
+
+    Distinct query texts are looked for in the card's names; goods come first by their ``pos``. An empty text is in
+    every name; a null one has no rate.
+    """
+    texts = df.select(F.lower(query).alias("_q")).distinct().where("_q is not null")
+    names = card.where("name is not null").select("pos", F.lower("name").alias("_name"))
+    hits = containing(names, "_name", texts, "_q").groupBy("_q").agg(F.min("pos").alias("_pos"))
+    first = names.agg(F.min("pos").alias("_pos")).where("_pos is not null").select(F.lit("").alias("_q"), "_pos")
+    found = hits.unionByName(first).join(card.withColumnRenamed("pos", "_pos"), "_pos").drop("_pos")
+    return df.withColumn("_q", F.lower(query)).join(found, "_q", "left").drop("_q")
+
+
 def rate_by_name(df: DataFrame, query: str, goods: list[tuple], services: list[tuple]) -> DataFrame:
     """First card row whose name holds the query text; goods come before services.
 

@@ -69,8 +69,8 @@ def first_copies(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def add_documents(store: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Store plus the fresh rows whose id it does not hold yet."""
-    return store.unionByName(fresh.join(store.select(key), key, "left_anti"), allowMissingColumns=True)
+    """Store plus the fresh rows whose id it does not hold yet, one row per id."""
+    return store.unionByName(fresh.dropDuplicates([key]).join(store.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 # --- nearest vectors -----------------------------------------------------------------

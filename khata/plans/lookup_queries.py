@@ -9,6 +9,7 @@ from khata.operators import lookups, windows
 from khata.plans import standins as st
 from khata.plans.duck import any_contains, lit, values
 from khata.plans.registry import query
+from khata.session import shared_dir
 from khata.sources import dimensions as dim
 
 GOODS = values(fv.GOODS_CARD, "g", "pos, hsn_code, item_name, category, gst_rate, cess_rate")
@@ -275,3 +276,46 @@ def w6_running_balance(spark, d):
     bank = st.from_sql(spark, d, st.BANK_SQL).withColumn("change", F.col("credit") - F.col("debit"))
     out = windows.running_total(bank, "change", "ts", ["event_id"], "balance")
     return out.select("event_id", *[F.col(c).cast("double").alias(c) for c in ("credit", "debit", "balance")])
+
+
+#: A card of every part: some thousand rows at the larger scales, a few hundred at the smallest.
+_PART_CARD = "SELECT p_partkey AS pos, 'goods' AS kind, p_name AS name, concat('C', p_partkey) AS code, p_size % 28 AS rate FROM part"
+
+
+@query("j4_rate_by_name_large_card", f"""
+WITH card AS ({_PART_CARD}), q AS (SELECT p_partkey, substr(p_name, 3, 5) AS item FROM part),
+hit AS (SELECT item, min(pos) AS pos FROM (SELECT DISTINCT item FROM q) q JOIN card ON contains(lower(name), lower(item)) GROUP BY item)
+SELECT q.p_partkey, q.item, c.code, CAST(c.rate AS DOUBLE) AS rate FROM q LEFT JOIN hit USING (item) LEFT JOIN card c USING (pos)
+""")
+def j4_rate_by_name_large_card(spark, d):
+    part = st.table(spark, d, "part")
+    card = part.select(F.col("p_partkey").alias("pos"), F.lit("goods").alias("kind"), F.col("p_name").alias("name"),
+                       F.format_string("C%d", F.col("p_partkey")).alias("code"), (F.col("p_size") % 28).alias("rate"),
+                       F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("note"))
+    out = lookups.rate_by_name_in(part.select("p_partkey", F.substring("p_name", 3, 5).alias("item")), "item", card)
+    return out.select("p_partkey", "item", "code", F.col("rate").cast("double").alias("rate"))
+
+
+@query("j5_item_rate_large_card", f"""
+WITH card AS ({_PART_CARD}), t AS (SELECT p_partkey, concat('box of ', upper(p_name), ' x') AS description FROM part),
+hit AS (SELECT description, min(pos) AS pos FROM (SELECT DISTINCT description FROM t) t JOIN card ON contains(lower(description), lower(name)) GROUP BY 1)
+SELECT t.p_partkey, CAST(c.rate AS DOUBLE) AS correct_rate FROM t LEFT JOIN hit USING (description) LEFT JOIN card c USING (pos)
+""")
+def j5_item_rate_large_card(spark, d):
+    part = st.table(spark, d, "part")
+    card = part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("item_name"), (F.col("p_size") % 28).alias("gst_rate"))
+    texts = part.select("p_partkey", F.concat(F.lit("box of "), F.upper("p_name"), F.lit(" x")).alias("description"))
+    out = lookups.rate_in_description(texts, "description", card)
+    return out.select("p_partkey", F.col("correct_rate").cast("double").alias("correct_rate"))
+
+
+@query("s23_card_csv", """
+SELECT row_number() OVER (ORDER BY p_partkey) AS pos, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS hsn_code, p_name AS item_name,
+       CAST(p_size AS VARCHAR) AS gst_rate FROM part
+""")
+def s23_card_csv(spark, d):
+    path = shared_dir(spark, "card")
+    (st.table(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("hsn_code"), F.col("p_name").alias("item_name"),
+                                       F.col("p_size").alias("gst_rate"))
+     .repartitionByRange(3, "hsn_code").sortWithinPartitions("hsn_code").write.option("header", True).csv(path))
+    return dim.read_dimension(spark, path, ["hsn_code", "item_name", "gst_rate"], "hsn_code")

@@ -76,11 +76,14 @@ def column_names(header: list[str | None], filled: set[int] | None) -> list[str
     return names
 
 
-def parsed(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]]]]:
-    """(row number, name-value pairs) of every row with a value that does not repeat the header."""
+def parsed(content: bytes, skip: int | None = None) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(row number, name-value pairs) of every row with a value that does not repeat the header.
+
+    ``skip`` is the number of lines above the header; by default it is found.
+    """
     csv.field_size_limit(1 << 30)
     text = decoded(content)
-    skip, _ = header_line(text)
+    skip = header_line(text)[0] if skip is None else skip
     header = next(table_rows(text, skip), [])
     clean = [clean_name_py(h or "") for h in header]
     filled = None
@@ -93,7 +96,7 @@ def parsed(content: bytes) -> Iterator[tuple[int, list[tuple[str, str]]]]:
             yield no, pairs
 
 
-def file_cells(files: DataFrame, limit: int = fv.UPLOAD_LIMIT_BYTES) -> DataFrame:
+def file_cells(files: DataFrame, limit: int = fv.UPLOAD_LIMIT_BYTES, skip: int | None = None) -> DataFrame:
     """Rows of CSV files given as (path, content); a file that cannot be read is one row with its ``error``."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows):
@@ -105,7 +108,7 @@ def file_cells(files: DataFrame, limit: int = fv.UPLOAD_LIMIT_BYTES) -> DataFram
                 try:
                     if content is None or len(content) > limit:
                         raise ValueError(f"File too large: more than {limit} bytes" if content else "File without content")
-                    for no, pairs in parsed(content):
+                    for no, pairs in parsed(content, skip):
                         rows.append((path, no, pairs, None))
                         if len(rows) == _ROWS_PER_BATCH:
                             yield made(rows)

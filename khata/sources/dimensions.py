@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from khata.functions import fixed_values as fv
+from khata.functions.text import clean_name, clean_name_py
+from khata.sources import delimited
 
 GOODS = ["pos", "hsn_code", "item_name", "category", "gst_rate", "cess_rate"]
 SERVICES = ["pos", "sac_code", "service_name", "category", "gst_rate", "condition"]
@@ -71,13 +72,22 @@ def compliance_rules(spark: SparkSession) -> DataFrame:
 
 
 def read_dimension(spark: SparkSession, path: str, columns: list[str], key: str | None = None) -> DataFrame:
-    """A dimension CSV with every column as text (codes keep their leading zeros).
+    """A dimension CSV, or a folder of some, with every column as text (codes keep their leading zeros).
 
-    ``pos`` is the line order inside the file: Spark reads a file's splits in
-    order of their offset, and ``monotonically_increasing_id`` follows it for the
-    single split such a small file has.
+    ``pos`` counts rows in the order of file names and lines, however the files are split. A header that lacks one of the
+    ``columns`` ends the job.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = (spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
-          .withColumn("pos", F.monotonically_increasing_id() + 1))
+    files = spark.read.format("binaryFile").load(path)
+    cells = delimited.or_raise(delimited.file_cells(files, skip=0))
+    last = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    base = cells.groupBy("source_file").agg((F.max("row_no") + 1).alias("n")).select(
+        "source_file", F.coalesce(F.sum("n").over(last), F.lit(0)).alias("base"))
+    names = {c: clean_name_py(c) for c in columns}
+    heads = delimited.file_headers(files).select(F.transform(F.split("header_line", ","), clean_name).alias("h"))
+    missing = heads.select(F.explode(F.array_except(F.array(*[F.lit(n) for n in names.values()]), "h")).alias("c")).agg(
+        F.collect_set("c").alias("c")).first()["c"]
+    if missing:
+        raise ValueError(f"no column {', '.join(sorted(missing))} in {path}")
+    df = cells.join(base, "source_file").select(
+        *[F.col("cells")[n].alias(c) for c, n in names.items()], (F.col("base") + F.col("row_no") + 1).cast("bigint").alias("pos"))
     return df.where(F.col(key).isNotNull()) if key else df

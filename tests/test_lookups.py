@@ -129,3 +129,20 @@ def test_likely_spelling_matches_brute_force(spark):
         if near:
             want.add((a, max(near)[1]))
     assert got == want
+
+
+def test_one_answer_for_every_card_size(spark):
+    """Empty, null and upper-case names, in a card of a few rows and in one of many."""
+    few = [(1, "", 28), (2, None, 18), (3, "LAPTOP", 12), (4, "Laptop bag", 5)]
+    many = few + [(5 + i, f"other thing {i}", 1) for i in range(400)]
+    texts = spark.createDataFrame([(1, "big laptop bag"), (2, "pen"), (3, None), (4, "")], "k int, description string")
+    got = []
+    for rows in (few, many):
+        card = spark.createDataFrame(rows, "pos int, item_name string, gst_rate int")
+        out = lookups.rate_in_description(texts, "description", card)
+        got.append({r.k: r.correct_rate and int(r.correct_rate) for r in out.collect()})
+    assert got[0] == got[1] == {1: 12, 2: None, 3: None, 4: None}
+    full = [(p, "goods", n, str(p), r, None, None) for p, n, r in many]
+    card = spark.createDataFrame(full, "pos int, kind string, name string, code string, rate int, category string, note string")
+    queries = spark.createDataFrame([(1, "TOP"), (2, "nothing"), (3, None), (4, "")], "k int, q string")
+    assert {r.k: r.code for r in lookups.rate_by_name_in(queries, "q", card).collect()} == {1: "3", 2: None, 3: None, 4: "1"}
