@@ -13,8 +13,6 @@ from khata.functions.text import contains_any, file_stem, month_index_in
 from khata.operators.lookups import containing
 from khata.session import written
 
-CATALOG_BLOCK = 500
-
 
 # --- columns and their kinds ---------------------------------------------------------
 
@@ -92,6 +90,47 @@ def profile(df: DataFrame, table: str = "source_table", approximate: bool = Fals
                       as_map("_n_", data).alias("null_percentages"))
 
 
+def sample_rows(df: DataFrame, order: list[str], table: str = "source_table", n: int = 3) -> DataFrame:
+    """The first ``n`` rows of every table by ``order``, with their ``place``.
+
+    Tables are first cut into parts by a hash of the order columns, so no table is sorted in one task.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    by = [F.col(c) for c in order]
+    first = df.withColumn("_part", part).withColumn("_p", F.row_number().over(Window.partitionBy(table, "_part").orderBy(*by)))
+    place = F.row_number().over(Window.partitionBy(table).orderBy(*by))
+    few = first.where(F.col("_p") <= n).drop("_part", "_p").withColumn("place", place)
+    return few.where(F.col("place") <= n)
+
+
+def records(df: DataFrame, order: list[str], table: str = "source_table") -> DataFrame:
+    """The catalog record of every table of a family: profile, period, description, keywords, sample rows, columns with
+    sample values, example questions, and the related columns' names."""
+    data = [c for c in df.columns if c != table]
+    kinds = {c: k for k in ("number", "date", "text") for c in columns_of_kind(df.select(*data), k)}
+    text = lambda c: F.col(c).cast("string")
+    samples = sample_rows(df, order, table).groupBy(table).agg(
+        F.array_sort(F.collect_list(F.struct("place", F.array(*[text(c) for c in data]).alias("values")))).alias("_s"))  # at most three
+    rows = F.transform("_s", lambda x: F.map_from_arrays(F.array(*[F.lit(c) for c in data]), x["values"]))
+
+    def values(i):
+        return F.array_distinct(F.filter(F.transform("_s", lambda x: x["values"][i]), lambda v: v.isNotNull()))
+
+    columns = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString().upper()).alias("type"),
+                                 values(i).alias("sample_values")) for i, c in enumerate(data)])
+    profiled = profile(df, table)
+    listed = profiled.select(F.col(table).alias("table_name"), F.explode(F.array(*[F.struct(
+        F.lit(i).alias("pos"), F.lit(c).alias("column_name"), F.lit(kinds.get(c, "text")).alias("kind")) for i, c in enumerate(data)])).alias("c"))
+    questions = example_questions(listed.select("table_name", "c.*")).withColumnRenamed("table_name", table)
+    source = F.concat(F.col(table), F.lit(".csv"))
+    out = profiled.join(samples, table, "left").join(questions, table, "left")
+    dated = "min_date" in out.columns
+    return out.select(
+        *profiled.columns, *([period_label(F.col("min_date"), F.col("max_date")).alias("period")] if dated else []),
+        description(source).alias("description"), keywords(source, F.col(table), F.array(*[F.lit(c) for c in data])).alias("keywords"),
+        rows.alias("sample_rows"), columns.alias("columns"), "example_questions")
+
+
 def overview(df: DataFrame, table: str = "source_table", first_columns: int = 5) -> DataFrame:
     """Rows, columns, date range and null counts of the first columns per table."""
     data = [c for c in df.columns if c != table]
@@ -260,6 +299,12 @@ def related_to(columns: DataFrame, table_name: str) -> DataFrame:
             .where(F.col("table_name") != table_name).select("table_name", "via"))
 
 
+def relation_lines(columns: DataFrame, table_name: str) -> DataFrame:
+    """A line per table related to one table: ``a ↔ b (via x, y)``. All pairs of a catalog are never made."""
+    return related_to(columns, table_name).select(F.concat(
+        F.lit(f"  {table_name} ↔ "), "table_name", F.lit(" (via "), F.array_join("via", ", "), F.lit(")")).alias("line"))
+
+
 # --- choosing tables for a question --------------------------------------------------
 
 def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFrame, n: int = 3) -> DataFrame:
@@ -267,43 +312,38 @@ def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFr
 
     Five points per keyword in the question, three per part of the table name,
     two for a consolidated table, four for a word of its period. ``catalog`` has
-    pos, table_name, keywords and period. The catalog travels to the questions as
-    an array constant, block by block, so questions are only projected: no pair
-    of question and table is ever a row.
+    pos, table_name, keywords and period. Words are postings of the tables that
+    have them: questions meet the distinct words that they hold, and those the
+    postings. Of tables that score without any word, the first ``n`` are enough.
     """
-    catalog = written(catalog.select("pos", "table_name", "keywords", "period"), "catalog")
-    size = catalog.count()
-    parts = catalog.select("pos", "table_name", "keywords", F.split(F.lower("table_name"), "_").alias("parts"),
-                           F.split(F.lower("period"), " ").alias("period"),
-                           F.when(F.lower("table_name").rlike("consolidated|all"), 2).otherwise(0).alias("bonus"))
-    order = Window.orderBy("pos")
-    parts = parts.withColumn("_block", F.floor((F.row_number().over(order) - 1) / CATALOG_BLOCK))
-    # each distinct word is looked for in a question once, however many tables have it
-    words = catalog.select(F.explode(F.concat(F.transform("keywords", F.lower), F.split(F.lower("table_name"), "_"),
-                                              F.split(F.lower("period"), " "))).alias("w"))
-    out = (questions.select(key, F.lower(question).alias("_q"))
-           .withColumn("_words", words.agg(F.collect_set("w")).scalar())
-           .withColumn("_hits", F.filter("_words", lambda w: F.col("_q").contains(w))))
-    tops = []
-    for b in range(max(1, -(-size // CATALOG_BLOCK))):
-        block = parts.where(F.col("_block") == b).agg(F.array_sort(F.collect_list(
-            F.struct("pos", "table_name", "keywords", "parts", "period", "bonus"))))
-        out = out.withColumn(f"_cat{b}", block.scalar())
-        tops.append(f"_cat{b}")
-
-    def score(t):
-        def hits(words):
-            return F.size(F.filter(words, lambda w: F.array_contains("_hits", w)))
-        period = F.when(F.array_join(t["period"], "") == "", 0).otherwise(
-            F.when(F.exists(t["period"], lambda w: F.array_contains("_hits", w)), 4).otherwise(0))
-        return hits(F.transform(t["keywords"], F.lower)) * 5 + hits(t["parts"]) * 3 + t["bonus"] + period
-
-    for c in tops:
-        scored = F.transform(F.col(c), lambda t: F.struct((-score(t)).alias("k"), t["pos"].alias("pos"),
-                                                          t["table_name"].alias("table_name")))
-        out = out.withColumn(c, F.slice(F.array_sort(scored), 1, n))
-    best = F.slice(F.array_sort(F.concat(*tops)), 1, n)
-    good = F.filter(best, lambda t: t["k"] < 0)
-    chosen = F.when(F.size(good) > 0, good).otherwise(F.slice(best, 1, 1))
-    return out.select(key, F.transform(chosen, lambda t: F.struct(
-        t["table_name"].alias("table_name"), (-t["k"]).cast("bigint").alias("score"))).alias("tables"))
+    def words(column, points, period):
+        return catalog.select("pos", F.explode(column).alias("word")).select(
+            "pos", "word", F.lit(points).alias("points"), F.lit(period).alias("period"))
+
+    keywords = F.transform("keywords", F.lower)
+    parts, period = F.split(F.lower("table_name"), "_"), F.split(F.lower("period"), " ")
+    dated = F.when(F.array_join(period, "") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(period))
+    postings = words(keywords, 5, 0).unionByName(words(parts, 3, 0)).unionByName(words(dated, 0, 4))
+    postings = postings.groupBy("word", "pos").agg(F.sum("points").alias("points"), F.max("period").alias("period"))
+    # an empty word is in every question
+    empty = postings.where("word = ''").select("pos", (F.col("points") + F.col("period")).alias("empty"))
+    bonus = F.when(F.lower("table_name").rlike("consolidated|all"), 2).otherwise(0)
+    base = catalog.select("pos", "table_name", bonus.alias("bonus")).join(empty, "pos", "left").select(
+        "pos", "table_name", (F.col("bonus") + F.coalesce("empty", F.lit(0))).alias("base"))
+
+    texts = questions.select(key, F.lower(question).alias("_q"))
+    hits = containing(texts, "_q", postings.where("word <> ''").select("word").distinct(), "word")
+    scored = (hits.select(key, "word").join(postings, "word").groupBy(key, "pos").agg(
+        F.sum("points").alias("points"), F.max("period").alias("period")).join(base, "pos").select(
+            key, "pos", "table_name", (F.col("points") + F.col("period") + F.col("base")).alias("score")))
+    # tables that score by themselves, and the first one for questions that nothing scores for: n + 1 rows
+    ready = base.where("base > 0").orderBy(F.desc("base"), "pos").limit(n).unionByName(base.orderBy("pos").limit(1)).distinct()
+    listed = ready.agg(F.collect_list(F.struct("pos", "table_name", F.col("base").alias("score")))).scalar()
+    always = texts.select(key, F.explode(listed).alias("_t")).select(key, "_t.*")
+    both = scored.unionByName(always).groupBy(key, "pos", "table_name").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))
+    best = both.withColumn("_place", place).where(F.col("_place") <= n)
+    rows = F.array_sort(F.collect_list(F.struct("_place", "table_name", F.col("score").cast("bigint").alias("score"))))
+    chosen = F.filter("_rows", lambda t: (t["score"] > 0) | (t["_place"] == 1))
+    return best.groupBy(key).agg(rows.alias("_rows")).select(key, F.transform(
+        chosen, lambda t: F.struct(t["table_name"].alias("table_name"), t["score"].alias("score"))).alias("tables"))

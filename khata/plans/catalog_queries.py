@@ -341,3 +341,36 @@ def m13_column_info(spark, d):
     info = catalog.column_info(spark, {"events": events}).select("column_name", "type")
     filled = events.agg(*[F.count(c).alias(c) for c in events.columns]).unpivot([], events.columns, "column_name", "filled")
     return info.join(filled, "column_name")
+
+
+_LEDGER_SAMPLE = ["bill_no", "item", "vendor", "total_value"]
+
+
+@query("m1_catalog_records", st.WITH_LEDGER + """,
+firsts AS (SELECT *, row_number() OVER (PARTITION BY source_table ORDER BY bill_no, item, vendor, total_value) AS place FROM purchase_ledger
+           QUALIFY place <= 3)
+SELECT source_table, (SELECT count(*) FROM purchase_ledger p WHERE p.source_table = f.source_table) AS row_count,
+       string_agg(concat(bill_no, '|', item, '|', vendor), ';' ORDER BY place) AS sample,
+       array_to_string(list_sort(list_distinct(list(bill_no))), ',') AS bill_values,
+       concat('Total of total_value; Sum of total_value by bill_no; Count by bill_no; Show all data from ', source_table) AS questions
+FROM firsts f GROUP BY source_table
+""")
+def m1_catalog_records(spark, d):
+    found = catalog.records(st.purchase_ledger(spark, d, "source_table", *_LEDGER_SAMPLE), _LEDGER_SAMPLE)
+    return found.select(
+        "source_table", "row_count", F.array_join(F.transform("sample_rows", lambda r: F.concat_ws(
+            "|", r["bill_no"], r["item"], r["vendor"])), ";").alias("sample"),
+        F.array_join(F.array_sort(F.col("columns")[0]["sample_values"]), ",").alias("bill_values"), F.array_join("example_questions", "; ").alias("questions"))
+
+
+@query("m12_relation_lines", f"""
+WITH {COLUMNS_DUCK},
+c AS (SELECT table_name, lower(column_name) AS name FROM cols WHERE lower(column_name) NOT IN ({_GENERIC})),
+one AS (SELECT min(table_name) AS t FROM cat WHERE starts_with(table_name, 'purchase'))
+SELECT concat('  ', t, ' ↔ ', b.table_name, ' (via ', string_agg(DISTINCT b.name, ', ' ORDER BY b.name), ')') AS line
+FROM one, c a, c b WHERE a.table_name = t AND a.name = b.name AND b.table_name <> t GROUP BY t, b.table_name
+""")
+def m12_relation_lines(spark, d):
+    columns = catalog_columns(spark, d)
+    first = columns.where(F.col("table_name").startswith("purchase")).agg(F.min("table_name").alias("t")).first()["t"]
+    return catalog.relation_lines(columns, first)

@@ -70,11 +70,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A scan of more splits than this is never spread, so at most about a gigabyte is ever moved for it.
+SPREAD_SPLITS = 8
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give idle cores work when a scan has fewer splits than there are cores.
+    """Give idle cores work when a small scan has fewer splits than there are cores.
 
-    Costly row work on a small file would otherwise run in one task. A scan that
-    already has a split per core, as any large one does, is returned as it is.
+    Costly row work on a small file would otherwise run in one task. A scan of
+    more than ``SPREAD_SPLITS`` splits is returned as it is on a cluster of any size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if splits < min(cores, SPREAD_SPLITS + 1) else df
