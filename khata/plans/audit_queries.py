@@ -231,10 +231,9 @@ SELECT (SELECT CAST(sum(total_value) AS DOUBLE) / greatest(1.0::DOUBLE, CAST(cou
        (SELECT CAST(sum(total_value) AS DOUBLE) / CAST(count(DISTINCT date_trunc('month', invoice_date)) AS DOUBLE) FROM sales) AS by_calendar
 """)
 def a12_monthly_average(spark, d):
-    amount = F.coalesce(F.sum("total_value"), F.lit(0)).cast("double")
-    return sales(spark, d).agg(
-        (amount / F.greatest(F.lit(1.0), F.count(F.lit(1)).cast("double") / F.lit(30.0))).alias("by_rows"),
-        (amount / F.greatest(F.lit(1.0), F.count_distinct(F.trunc("invoice_date", "month")).cast("double"))).alias("by_calendar"))
+    register = sales(spark, d)
+    return spark.range(1).select(strategy.monthly_average(register, "v").scalar().alias("by_rows"),
+                                 strategy.monthly_average(register, "v", "calendar").scalar().alias("by_calendar"))
 
 
 _ITEMS = f"""

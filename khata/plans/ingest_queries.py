@@ -149,10 +149,10 @@ def s12_header_issues(spark, d):
 
 @query("s13_saved_table", _BY_STATUS)
 def s13_saved_table(spark, d):
-    path = shared_dir(spark, "saved-orders")
     df = st.table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    df.write.mode("overwrite").parquet(path)
-    stores.register_view(spark.read.parquet(path), "khata_saved_orders")
+    stores.drop_table(spark, "khata_orders")
+    stores.save_table(df, "khata_orders", shared_dir(spark, "saved-orders"))
+    stores.register_view(spark.table("khata_orders"), "khata_saved_orders")
     return _by_status(spark.table("khata_saved_orders"))
 
 
@@ -204,7 +204,7 @@ SELECT table_name FROM o WHERE table_name IS NOT NULL AND NOT EXISTS (SELECT 1 F
 """)
 def j12_lost_tables(spark, d):
     state = manifest.loaded_tables(st.from_sql(spark, d, st.OLD_FILES_SQL))
-    return state.join(_loaded(spark, d), "table_name", "left_anti").select("table_name")
+    return manifest.lost_tables(state, _loaded(spark, d)).select("table_name")
 
 
 @query("s17_tables_to_drop", _CHANGES + "SELECT table_name FROM changes WHERE change = 'DELETED' AND table_name IS NOT NULL")

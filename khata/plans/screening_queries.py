@@ -225,7 +225,13 @@ def c9_escaped_output(spark, d):
         "prompt_id", tx.html_escape(F.col("prompt")).alias("html"), tx.json_escape(F.col("prompt")).alias("json"))
 
 
-@query("c9_without_artifacts")
+# RE2 has no look-ahead: sections are split at the marks instead
+@query("c9_without_artifacts", f"""
+WITH a AS (SELECT prompt_id, regexp_replace(regexp_replace(regexp_replace(prompt, '<\\|.*?\\|>', '', 'gis'), '\\[INST\\].*?\\[/INST\\]', '', 'gis'),
+                  '<<SYS>>.*?<</SYS>>', '', 'gis') AS t FROM ({st.duck(st.PROMPTS_SQL)})),
+p AS (SELECT prompt_id, string_split(t, '###') AS parts FROM a)
+SELECT prompt_id, {strip("concat(parts[1], array_to_string(list_transform(list_filter(parts[2:], lambda x: NOT regexp_matches(x, '^\\s*(system|human|assistant)\\s*:', 'is')), lambda x: concat('###', x)), ''))")} AS clean FROM p
+""")
 def c9_without_artifacts(spark, d):
     return spread(st.from_sql(spark, d, st.PROMPTS_SQL)).select(
         "prompt_id", screening.without_artifacts(F.col("prompt")).alias("clean"))

@@ -45,8 +45,12 @@ def load_plan(changes: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     if tables is None:
         return plan
     kept = changes.where((F.col("change") == "UNCHANGED") & F.col("table_name").isNotNull())
-    lost = kept.join(tables.select("table_name"), "table_name", "left_anti").select("filename", F.lit("NEW").alias("change"))
-    return plan.unionByName(lost)
+    return plan.unionByName(lost_tables(kept, tables).select("filename", F.lit("NEW").alias("change")))
+
+
+def lost_tables(loaded: DataFrame, tables: DataFrame) -> DataFrame:
+    """Of the ``loaded`` files those whose table is gone."""
+    return loaded.join(tables.select("table_name"), "table_name", "left_anti")
 
 
 def tables_to_drop(changes: DataFrame) -> DataFrame:

@@ -55,8 +55,10 @@ def for_tenant(df: DataFrame, customer_id: str) -> DataFrame:
     return df.where(F.col("customer_id") == tenant_id(F.lit(customer_id)))
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """A table of the catalog, in the warehouse or at ``path``."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def register_view(df: DataFrame, name: str) -> None:
