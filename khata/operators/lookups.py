@@ -118,7 +118,8 @@ def pieces_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
     lengths = needles.agg(F.collect_set(F.length(needle))).scalar()
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_n") + 1, F.lit(1)))
     pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.col("_n"))))
-    return (texts.withColumn("_n", F.explode(lengths)).withColumn("_piece", F.explode(pieces))
+    # of a text shorter than a length there is no piece of it
+    return (texts.withColumn("_n", F.explode(lengths)).where(F.length(text) >= F.col("_n")).withColumn("_piece", F.explode(pieces))
                  .join(needles, F.col("_piece") == F.col(needle)).drop("_piece", "_n"))
 
 
