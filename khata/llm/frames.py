@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from khata.session import shared_dir
+from khata.session import written as kept
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,13 +18,6 @@ def packed(df: DataFrame, **extra: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in extra.items()])
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at a time. One text that is longer is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Words are runs of bytes other than these.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
