@@ -1,10 +1,12 @@
 """Near-duplicate texts: links between sets of word n-grams of a given Jaccard similarity, and their components.
 
-1. Signatures bring likely partners together. Sets of like size are cut into hash ranges, one more than two linked sets
-   can have differences (and two more, so that empty ranges need not count), so linked sets agree in a whole range that is
-   not empty. N-grams that very many texts hold are left out of this step; a linked pair has no more differences without
-   them. Texts that agree in a range form candidate clusters.
-2. A T-occurrence search runs within each cluster. It keeps an inverted index of the sets. For a set, its longest lists are
+1. A set can only have a link if the required share of its n-grams stands in other sets too. Which do is found by
+   fingerprints, all over the corpus; sets with too few are out.
+2. Signatures bring likely partners together. Sets of like size are cut into hash ranges, one more than two linked sets
+   can have differences (and some more, so that empty ranges need not count), so linked sets agree in a whole range that is
+   not empty. N-grams that no other set has, or very many, are left out of this step; a linked pair has no more differences
+   without them. Texts that agree in a range form candidate clusters.
+3. A T-occurrence search runs within each cluster. It keeps an inverted index of the sets. For a set, its longest lists are
    put aside; the others are merged and counted; texts that can still reach the required overlap are probed for in the
    long lists by binary search (DivideSkip), and those that reach it are linked. A large cluster is cut into blocks, and
    the search runs for each pair of blocks.
@@ -25,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from khata.llm import hashing as H
+from khata.llm import substrings
 from khata.llm.frames import connected, kept, packed
 
 #: Counters of the sketch that tells very frequent n-grams, and the pieces it is added up in.
 COUNTERS, PIECES = 1 << 19, 64
 #: Frequent: more than twice the mean counter and this.
 FREQUENT = 100
-#: Ranges beyond differences + 1.
-SPARE = 2
+#: Ranges beyond differences + 1: these, and this share of the others.
+SPARE, SPARE_SHARE = 2, 4
+#: N-grams of a bucket of fingerprints.
+BUCKETS = 48
 #: Texts and n-grams of a block of a large cluster.
 BLOCK_TEXTS, BLOCK_GRAMS = 400, 1 << 19
 #: Weight of the logarithm in DivideSkip's number of long lists.
@@ -46,19 +51,21 @@ class Likeness(NamedTuple):
     part: int = 80
     whole: int = 100
 
-    def classes(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
-        """First size of every size class up to ``largest``, and the ranges that its sets are cut into (0: equal sets only).
+    def classes(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First size of every size class up to ``largest``, the ranges that its sets are cut into (0: equal sets only), and
+        how many of those may be empty.
 
         The partner of a set, if larger, is in the same class or the next one.
         """
-        first, ranges, low = [], [], 1
+        first, ranges, spare, low = [], [], [], 1
         while low <= largest:
             high = low * self.whole // self.part
             most = (high + high * self.whole // self.part) * (self.whole - self.part) // (self.whole + self.part)
             first.append(low)
-            ranges.append(most + 1 + SPARE if most else 0)
+            spare.append(SPARE + (most + 1) // SPARE_SHARE)
+            ranges.append(most + 1 + spare[-1] if most else 0)
             low = high + 1
-        return np.array(first), np.array(ranges)
+        return np.array(first), np.array(ranges), np.array(spare)
 
 
 def gram_sets(texts: H.Texts, k: int) -> list[np.ndarray]:
@@ -83,20 +90,43 @@ def each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Arr
             yield batch["id"].slice(texts.first, len(texts.offsets) - 1), gram_sets(texts, k)
 
 
+def digest_of(grams: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+
+
+def content_of(digest: bytes | None) -> int | None:
+    """Half of a set's digest as a number, under which its n-grams go."""
+    return int.from_bytes(digest[:8], "little", signed=True) if digest else None
+
+
 def measured(docs: DataFrame, like: Likeness) -> DataFrame:
-    """(id, n, digest) of every row: size of its set, and 128 bits of it (null for an empty one)."""
+    """(id, n, digest, content) of every row: size of its set, 128 bits of it and 64 of those (null for an empty one)."""
 
     def run(batches):
         for ids, sets in each_set(batches, like.words):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())],
-                                             ["id", "n", "digest"])
+            digests = [digest_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                                              pa.array([content_of(d) for d in digests], pa.int64())], ["id", "n", "digest", "content"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary")
+    return docs.mapInArrow(run, "id long, n long, digest binary, content long")
 
 
-def frequent(docs: DataFrame, like: Likeness) -> np.ndarray:
-    """Which counters hold very frequent n-grams: counted over all texts, once per text. A table of fixed size."""
+def prints_of(docs: DataFrame, like: Likeness, buckets: int) -> DataFrame:
+    """Fingerprints of the n-grams of all sets, packed by bucket for some sets at a time."""
+
+    def run(batches):
+        for _, sets in each_set(batches, like.words):
+            sets = [s for s in sets if len(s)]
+            if sets:
+                contents = np.array([content_of(digest_of(s)) for s in sets], np.int64)
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield substrings.packed_prints(np.concatenate(sets), row, contents, buckets)
+
+    return docs.mapInArrow(run, substrings.PRINTS)
+
+
+def frequent(members: DataFrame, like: Likeness) -> np.ndarray:
+    """Which counters hold very frequent n-grams: counted over all members, once per text. A table of fixed size."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -115,19 +145,21 @@ def frequent(docs: DataFrame, like: Likeness) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
                                          ["piece", "counts"])
 
-    rows = docs.mapInArrow(count, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
+    rows = members.select("id", "text").mapInArrow(count, "piece int, counts binary").repartition(PIECES, "piece").mapInArrow(
+        add, "piece int, counts binary")
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows.collect(), key=lambda r: r["piece"])]
                             or [np.zeros(COUNTERS, np.int64)])
     return counts > 2 * counts.mean() + FREQUENT
 
 
-def signatures(sets: list[np.ndarray], like: Likeness, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): one for each range of each set, for its size class and the one below."""
+def signatures(sets: list[np.ndarray], shared: list[np.ndarray], like: Likeness, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature): one for each range of each set, for its size class and the one below. Of a set, ``shared`` holds
+    what other sets have too; of that the ``hot`` n-grams are left out."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.any():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first, ranges = like.classes(int(sizes.max()))
-    cold = [s[~hot[(s % np.uint64(COUNTERS)).astype(np.int64)]] for s in sets]
+    first, ranges, spare = like.classes(int(sizes.max()))
+    cold = [s[~hot[(s % np.uint64(COUNTERS)).astype(np.int64)]] for s in shared]
     grams, own = np.concatenate(cold), np.repeat(np.arange(len(sets)), [len(c) for c in cold])
     rows, found = [], []
     for below in (0, 1):
@@ -144,22 +176,26 @@ def signatures(sets: list[np.ndarray], like: Likeness, hot: np.ndarray) -> tuple
             rows.append(row[at])
             found.append(H.mix(np.add.reduceat(H.mix(g + np.uint64(1)), at) ^ tag[at]))
         used = np.bincount(row[at], minlength=len(sets))
-        for i in np.flatnonzero((cut > 0) & (cut - used > SPARE)):  # so many empty ranges that they have to count
+        for i in np.flatnonzero((cut > 0) & (cut - used > spare[np.maximum(kind, 0)])):  # so many empty ranges that they have to count
             empty = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), part[row == i])
             rows.append(np.full(len(empty), i))
             found.append(H.mix((np.uint64(kind[i]) << np.uint64(32)) + empty + np.uint64(1 << 63)))
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def likely(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Edges (a, b): texts that agree in a signature, each with the first one that has it."""
-    hot = np.packbits(frequent(docs, like)).tobytes()
+def likely(members: DataFrame, like: Likeness, buckets: int) -> DataFrame:
+    """Edges (a, b) between ``members`` (id, text, marks) that agree in a signature, each with the first one that has it."""
+    hot = np.packbits(frequent(members, like)).tobytes()
 
     def sign(batches):
         bits = np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool)
-        for ids, sets in each_set(batches, like.words):
-            row, found = signatures(sets, like, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids.take(pa.array(row))], ["signature", "id"])
+        for batch in batches:
+            for texts in H.slices(batch["text"]):
+                part = batch.slice(texts.first, len(texts.offsets) - 1)
+                sets = gram_sets(texts, like.words)
+                shared = [s[np.isin(substrings.mark_of(s, buckets), substrings.marked(m))] for s, m in zip(sets, part["marks"].to_pylist())]
+                row, found = signatures(sets, shared, like, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part["id"].take(pa.array(row))], ["signature", "id"])
 
     def meet(batches):
         """Rows come sorted, so the texts of a signature pass one by one."""
@@ -177,7 +213,7 @@ def likely(docs: DataFrame, like: Likeness) -> DataFrame:
             pairs = np.unique(np.stack([ids, heads], axis=1)[ids != heads], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = docs.where("id is not null").mapInArrow(sign, "signature long, id long")
+    rows = members.select("id", "text", "marks").mapInArrow(sign, "signature long, id long")
     return rows.repartition("signature").sortWithinPartitions("signature", "id").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -269,13 +305,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likenes
     named = sizes.where("digest is not null and id is not null")
     heads = named.groupBy("digest").agg(F.min("id").alias("head"))
     of = kept(named.join(heads, "digest").groupBy("id").agg(F.min("head").alias("head"), F.max("head").alias("last")), "heads")
-    near = likely(rows, like)
-    for end in ("a", "b"):  # equal sets stand as one
-        near = near.join(of.select(F.col("id").alias(end), F.col("head").alias("to")), end).drop(end).withColumnRenamed("to", end)
-    clusters = kept(connected(near.select("a", "b"), "clusters"), "clusters")
-    placed = clusters.join(named.groupBy("id").agg(F.sum("n").alias("size")), "id").select("id", F.col("component").alias("cluster"), "size")
+    # one row for each set: the sets that share enough, with what they share
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS, int(size / 6 / substrings.BUCKET))
+    marks = substrings.repeated(prints_of(rows, like, buckets))
+    shared = F.aggregate("marks", F.lit(0), lambda a, m: a + (F.octet_length(m["prints"]) / 4).cast("int"))
+    first = named.join(heads, "digest").where("id = head").select("id", "content", "n").distinct()
+    able = first.join(marks, "content").where(like.whole * shared >= like.part * F.col("n")).groupBy("id").agg(
+        F.max("n").alias("n"), F.flatten(F.collect_list("marks")).alias("marks"))  # one text an id, as a rule
+    members = kept(rows.join(able.hint("merge"), "id"), "members")
+    clusters = kept(connected(likely(members, like, buckets), "clusters"), "clusters")
+    placed = clusters.join(members.groupBy("id").agg(F.sum("n").alias("size")), "id").select("id", F.col("component").alias("cluster"), "size")
     same = of.select(F.col("id").alias("a"), F.col("head").alias("b")).union(of.select(F.col("id"), F.col("last")))
-    reached = connected(links_within(rows, placed, like).union(same), "components")
+    reached = connected(links_within(members.select("id", "text"), placed, like).union(same), "components")
     return sizes.select("id", "n").join(reached, "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component"))
 

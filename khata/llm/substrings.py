@@ -45,30 +45,49 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def packed_prints(h: np.ndarray, row: np.ndarray, contents: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, contents, counts, prints): the low halves of fingerprints by bucket, with how many each text has there.
+
+    ``row`` is the ascending number of each fingerprint's text, ``contents`` are the texts' keys.
+    """
+    bucket = bucket_of(h, buckets).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    row, low = row[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out: list[list] = [[], [], [], []]
+    for b in np.flatnonzero(np.diff(cuts)):
+        r = row[cuts[b] : cuts[b + 1]]
+        edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        counts = np.diff(np.append(edge, len(r))).astype(np.uint32)
+        for column, value in zip(out, (int(b), contents[r[edge]].tobytes(), counts.tobytes(), low[cuts[b] : cuts[b + 1]].tobytes())):
+            column.append(value)
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["bucket", "contents", "counts", "prints"])
+
+
+PRINTS = "bucket int, contents binary, counts binary, prints binary"
+
+
 def fingerprints(rows: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(bucket, contents, counts, prints): for some texts at a time, the low halves of the fingerprints in one bucket."""
+    """Fingerprints of all windows of the texts, packed by bucket for some texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents = batch["content"].to_numpy()
-            for texts in H.slices(batch["text"], 4 * H.SLICE_BYTES):
+            for texts in H.slices(batch["text"]):
                 words, at, h = windows(texts, k)
-                bucket = bucket_of(h, buckets).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                row, low = words.row[at][order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out: list[list] = [[], [], [], []]
-                for b in np.flatnonzero(np.diff(cuts)):
-                    r = row[cuts[b] : cuts[b + 1]]
-                    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    counts = np.diff(np.append(edge, len(r))).astype(np.uint32)
-                    for column, value in zip(out, (int(b), contents[texts.first + r[edge]].tobytes(), counts.tobytes(),
-                                                   low[cuts[b] : cuts[b + 1]].tobytes())):
-                        column.append(value)
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["bucket", "contents", "counts", "prints"])
+                yield packed_prints(h, words.row[at], contents[texts.first :], buckets)
+
+    return rows.select("content", "text").mapInArrow(run, PRINTS)
+
+
+def marked(marks: list[dict]) -> np.ndarray:
+    """Bucket and low half of marked fingerprints as one number each."""
+    return np.concatenate([np.frombuffer(m["prints"], np.uint32).astype(np.uint64) | np.uint64(m["bucket"] << 32) for m in marks])
+
 
-    return rows.select("content", "text").mapInArrow(run, "bucket int, contents binary, counts binary, prints binary")
+def mark_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(h, buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
 def repeated(prints: DataFrame) -> DataFrame:
@@ -106,7 +125,7 @@ def spotted(rows: DataFrame, marks: DataFrame, k: int, buckets: int) -> DataFram
         for batch in batches:
             for texts in H.slices(batch["text"]):
                 words, at, h = windows(texts, k)
-                keys = bucket_of(h, buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+                keys = mark_of(h, buckets)
                 cuts = np.searchsorted(at, words.first)
                 part = batch.slice(texts.first, len(texts.offsets) - 1)
                 raw = texts.data.tobytes()
@@ -116,9 +135,7 @@ def spotted(rows: DataFrame, marks: DataFrame, k: int, buckets: int) -> DataFram
                     a, b = words.first[i], words.first[i + 1]
                     spots = np.zeros(0, np.int64)
                     if given and not copy:
-                        mine = np.concatenate([np.frombuffer(m["prints"], np.uint32).astype(np.uint64) | np.uint64(m["bucket"] << 32)
-                                               for m in given])
-                        spots = at[cuts[i] : cuts[i + 1]][np.isin(keys[cuts[i] : cuts[i + 1]], mine)] - a
+                        spots = at[cuts[i] : cuts[i + 1]][np.isin(keys[cuts[i] : cuts[i + 1]], marked(given))] - a
                     gone = copy and b - a >= k
                     text = raw[texts.offsets[i] : texts.offsets[i + 1]]
                     out[0].append(text if len(spots) else None)
