@@ -77,13 +77,12 @@ def read_dimension(spark: SparkSession, path: str, columns: list[str], key: str
     ``pos`` counts rows in the order of file names and lines, however the files are split. A header that lacks one of the
     ``columns`` ends the job.
     """
-    files = spark.read.format("binaryFile").load(path)
-    cells = delimited.or_raise(delimited.file_cells(files, skip=0))
+    cells = delimited.line_cells(delimited.file_lines(spark, path, recursive=False), skip=0)
     last = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     base = cells.groupBy("source_file").agg((F.max("row_no") + 1).alias("n")).select(
         "source_file", F.coalesce(F.sum("n").over(last), F.lit(0)).alias("base"))
     names = {c: clean_name_py(c) for c in columns}
-    heads = delimited.file_headers(files).select(F.transform(F.split("header_line", ","), clean_name).alias("h"))
+    heads = delimited.file_headers(spark, path, recursive=False).select(F.transform(F.split("header_line", ","), clean_name).alias("h"))
     missing = heads.select(F.explode(F.array_except(F.array(*[F.lit(n) for n in names.values()]), "h")).alias("c")).agg(
         F.collect_set("c").alias("c")).first()["c"]
     if missing:

@@ -12,9 +12,9 @@ from khata.sources import csv_source, delimited, workbook
 GLOB = "*.{csv,xlsx,xls}"
 
 
-def files_in(spark: SparkSession, folder: str) -> DataFrame:
+def files_in(spark: SparkSession, folder: str, glob: str = GLOB) -> DataFrame:
     """path, modificationTime, length and content of all data files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
 def file_name(path: Column) -> Column:
@@ -24,7 +24,7 @@ def file_name(path: Column) -> Column:
 def cells_of_files(files: DataFrame, sheet: str | None = None) -> DataFrame:
     """(source_file, cells, error) of all ``files`` (path, content), read by extension and written once.
 
-    A file that is broken, too large, or of a kind that is not read is one row with its error.
+    A file that is broken or of a kind that is not read is one row with its error.
     """
     kind = file_extension(file_name(F.col("path")))
     tables = delimited.file_cells(files.where(kind == ".csv")).select("source_file", "cells", "error")
@@ -46,9 +46,11 @@ def read_any(spark: SparkSession, folder: str, columns: dict[str, str] | None =
              sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of a folder. Rows have ``source_file`` and all columns that occur, as text, or those named.
 
-    A file with an error gives no rows.
+    A file with an error gives no rows. CSV files are read as lines, so they may be of any size.
     """
-    cells = cells_of_files(files_in(spark, folder), sheet)
+    tables = delimited.line_cells(delimited.file_lines(spark, folder, "*.csv", recursive=False))
+    others = cells_of_files(files_in(spark, folder, "*.{xlsx,xls}"), sheet)
+    cells = tables.select("source_file", "cells", "error").unionByName(others)
     errors = errors_of(cells)
     sound = cells.where("error is null").join(errors, "source_file", "left_anti")
     return csv_source.with_columns(sound, columns), errors

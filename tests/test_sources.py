@@ -1,6 +1,7 @@
 """Files on disk: CSV, workbooks, manifests, catalogs, streams."""
 
 import json
+import random
 import shutil
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from khata.operators.metrics import usage
 from khata.plans.fixtures import workbook_bytes
 from khata.session import build_session, shared_dir, spread
-from khata.sources import csv_source, folder, manifest, stores, workbook
+from khata.sources import csv_source, delimited, dimensions, folder, manifest, stores, workbook
 from khata.streaming import ingest, running_metrics
 
 
@@ -60,6 +61,53 @@ def test_quoted_cells(spark, tmp_path):
     assert sorted(tuple(r)[3:] for r in got if r.a) == [('5" pipe', 3), ('one\ntwo "x"', 2)]
 
 
+def test_files_above_50_mb_are_read_whole(spark, tmp_path):
+    d = tmp_path / "large"
+    d.mkdir()
+    with open(d / "a.csv", "w") as f:
+        f.write("Ledger\nk,note\n")
+        for i in range(60_000):
+            f.write(f'{i},"{"x" * 400}\n{"y" * 500}"\n')
+    assert (d / "a.csv").stat().st_size > 50 * 1024 * 1024
+    for rows in (csv_source.read_messy(spark, str(d), {"k": "int", "note": "string"}),
+                 csv_source.read_by_extension(spark, str(d / "a.csv"), columns={"k": "int", "note": "string"}),
+                 csv_source.read_folder(spark, str(d), T.StructType.fromDDL("k INT, note STRING")), folder.read_any(spark, str(d))[0]):
+        got = rows.agg(F.count("k"), F.sum(F.col("k").cast("long")), F.min(F.length("note")), F.max(F.length("note"))).first()
+        assert tuple(got) == (60_000, sum(range(60_000)), 901, 901)
+    card = dimensions.read_dimension(spark, write(tmp_path / "card", a__csv=(d / "a.csv").read_text().split("\n", 1)[1]), ["k"], "k")
+    assert card.agg(F.count_if(F.col("pos") == F.col("k").cast("long") + 1)).first()[0] == 60_000
+
+
+def test_files_split_anywhere_give_the_rows_of_whole_files(spark, tmp_path, monkeypatch):
+    d, r = tmp_path / "split", random.Random(7)
+    d.mkdir()
+    cells = ["1", "b", "", " c d", '"e,f"', '"g\nh"', '"\n\n"', '"i ""j"" k"', 'l"m', '"n"o', ' "p\r\nq"', "é", "A", '""', "\xa0"]
+    for i in range(12):
+        top = "".join(r.choice(["Title\n", "\n", '"x, y\n', "a,b,c,d\n"]) for _ in range(r.randrange(3)))
+        head = r.choice(["A,B,C", "A,,B", "A,A,Unnamed: 2", 'A,"B\nB",C'])
+        body = ["" if r.random() < 0.1 else ",".join(r.choice(cells) for _ in range(r.choice([2, 3, 3, 3, 4]))) for _ in range(r.randrange(25))]
+        end = r.choice(["\n", "\r\n", "\r"])
+        text = "\n".join([top + head, *body]) + r.choice(["", "\n", '\n1,"never closed\n\n2,3\n'])
+        (d / f"f {i}+%41.csv").write_bytes(r.choice([b"", b"\xef\xbb\xbf"]) + text.replace("\n", end).encode() + r.choice([b"", b"\xff\0"]))
+    expected = {f"file:{p}": sorted((no, sorted(pairs)) for no, pairs in delimited.parsed(p.read_bytes())) for p in d.iterdir()}
+    heads = {f"file:{p}": delimited.header_line(delimited.decoded(p.read_bytes())) for p in d.iterdir()}
+    for chunk, split in ((1 << 20, "64m"), (40, "64m"), (40, "97b"), (1, "300b")):
+        monkeypatch.setattr(delimited, "CHUNK", chunk)
+        before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        for k, v in zip(before, (split, "1b" if split != "64m" else "4m")):
+            spark.conf.set(k, v)
+        try:
+            got = {}
+            for row in delimited.line_cells(delimited.file_lines(spark, str(d))).collect():
+                got.setdefault(row.source_file, []).append((row.row_no, sorted(row.cells.items())))
+            found = {h.source_file: (h.skip_rows, h.header_line) for h in csv_source.find_headers(spark, str(d)).collect()}
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert found == heads
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if v}
+
+
 def test_columns_go_by_name(spark, tmp_path):
     d = write(tmp_path / "o", one__csv="a,b\n1,x\n", two__csv="b,a\ny,2\n")
     schema = T.StructType.fromDDL("a INT, b STRING")
