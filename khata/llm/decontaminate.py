@@ -101,9 +101,12 @@ class Items:
         low = band * step - self.reach
         return item, low, low + step + self.edits[item]
 
-    def align(self, data: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def align(self, data: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, gaps: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(number of the candidate, start, end, edits) of those that align within their band and budget.
 
+        ``gaps`` marks the bytes between texts, which no alignment starts at or takes in: a gap is longer than any item may
+        spend on bytes that it lacks, so what aligns starts and ends in one text.
+
         Column j of row i is the item's first i bytes against the text up to diagonal low + j; the start is free. The row's
         own insertions are a running minimum. Starts travel along with the edits, as the low part of one number.
         """
@@ -117,19 +120,22 @@ class Items:
             for i, c in enumerate(part):
                 pattern[i, : n[i]] = self.bytes[item[c]]
             padded = np.concatenate([np.zeros(longest + width, np.uint8), data, np.zeros(longest + 2 * width, np.uint8)])
+            between = np.concatenate([np.zeros(longest + width, bool), gaps, np.zeros(longest + 2 * width, bool)])
             columns = np.arange(width)
             one, far = 1 << 32, 1 << 50
             outside = (lo[:, None] + columns < 0) | (lo[:, None] + columns > len(data))
+            outside |= between[(lo + longest + width)[:, None] + columns]
             cost = np.where(outside, far, columns[None, :])  # edits * 2**32 + column of the start
             best = np.full((len(part), width), far)
             for i in range(1, longest + 1):
-                text = padded[(lo + i - 1 + longest + width)[:, None] + columns]
+                byte = (lo + i - 1 + longest + width)[:, None] + columns
+                text, barred = padded[byte], between[byte]
                 place = lo[:, None] + columns + i  # end in the text
                 same = (text == pattern[:, i - 1 : i]) & (place > 0) & (place <= len(data))
                 down = np.full_like(cost, far)
                 down[:, :-1] = cost[:, 1:] + one  # a byte of the item that the text lacks
-                now = np.minimum(cost + one * ~same, down)
-                now = np.minimum.accumulate(now - one * columns, axis=1) + one * columns
+                now = np.where(barred, down, np.minimum(cost + one * ~same, down))
+                now = np.where(barred, down, np.minimum.accumulate(now - one * columns, axis=1) + one * columns)
                 now[(place < 0) | (place > len(data))] = far
                 cost = now
                 done = n == i
@@ -162,8 +168,11 @@ class Items:
         gap = int(self.edits.max(initial=0)) + 1  # more than any item may spend, so nothing aligns across texts
         data = np.frombuffer((b"\0" * gap).join(p[2] for p in parts), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(p[2]) + gap for p in parts])])
+        gaps = np.ones(len(data), bool)
+        for at, (_, _, piece) in zip(begin, parts):
+            gaps[at : at + len(piece)] = False
         best: dict[tuple[int, int], Found] = {}
-        for c, start, end, edits, item in ((*a, int(self_item)) for a, self_item in self._aligned(data)):
+        for c, start, end, edits, item in ((*a, int(self_item)) for a, self_item in self._aligned(data, gaps)):
             at = int(np.searchsorted(begin, start, "right")) - 1
             row, offset, _ = parts[at]
             found = Found(row, self.ids[item], start - int(begin[at]) + offset, end - int(begin[at]) + offset, edits)
@@ -172,9 +181,9 @@ class Items:
                 best[row, item] = found
         yield from best.values()
 
-    def _aligned(self, data: np.ndarray):
+    def _aligned(self, data: np.ndarray, gaps: np.ndarray):
         item, low, high = self.candidates(data)
-        for found in self.align(data, item, low, high):
+        for found in self.align(data, item, low, high, gaps):
             yield found, item[found[0]]
 
 

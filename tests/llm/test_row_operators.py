@@ -264,6 +264,16 @@ def test_leaks_do_not_cross_texts():
     assert [f.row for f in own.search([b"", item, b""])] == [1]
 
 
+@pytest.mark.parametrize("cut", [1, 2, 4, 6])
+def test_a_leak_at_the_start_or_end_belongs_to_its_own_text(cut):
+    item = b"a passage that stands at the very start of a text but lacks its first bytes"
+    own = decontaminate.Items([(1, item)])
+    n = len(item) - cut
+    assert list(own.search([b"clean text", item[cut:]])) == [decontaminate.Found(1, 1, 0, n, cut)]
+    assert list(own.search([b"clean text", item[:-cut], b"clean text"])) == [decontaminate.Found(1, 1, 0, n, cut)]
+    assert list(own.search([b"", item[cut:] + b" and more", b""])) == [decontaminate.Found(1, 1, 0, n, cut)]
+
+
 def test_leaks_at_the_edges(spark, edge, nothing):
     items = [(1, "Some words THAT is  long enough"), (2, None), (3, "short"), (4, ""), (5, "some words that is long enough")]
     bench = spark.createDataFrame(items, "item_id long, text string")
