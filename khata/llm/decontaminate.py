@@ -150,6 +150,7 @@ class Items:
     def search(self, texts: list[bytes]) -> Iterator[Found]:
         """The best place of each item in each text that holds it, texts strung together up to ``PIECE`` bytes."""
         parts: list[tuple[int, int, bytes]] = []  # row, offset in its text, bytes
+        best: dict[tuple[int, int], Found] = {}  # over all pieces of a text
         size = 0
         for row, text in enumerate(texts):
             step = PIECE - self.reach if self.reach < PIECE // 2 else PIECE
@@ -157,21 +158,21 @@ class Items:
             for at in cuts:  # neighbouring parts share what an item may span
                 piece = text[at : at + step + self.reach] if len(text) > PIECE else text
                 if size + len(piece) > PIECE and parts:
-                    yield from self._search(parts)
+                    self._search(parts, best)
                     parts, size = [], 0
                 parts.append((row, at, piece))
                 size += len(piece) + 1
         if parts:
-            yield from self._search(parts)
+            self._search(parts, best)
+        yield from best.values()
 
-    def _search(self, parts: list[tuple[int, int, bytes]]) -> Iterator[Found]:
+    def _search(self, parts: list[tuple[int, int, bytes]], best: dict[tuple[int, int], Found]) -> None:
         gap = int(self.edits.max(initial=0)) + 1  # more than any item may spend, so nothing aligns across texts
         data = np.frombuffer((b"\0" * gap).join(p[2] for p in parts), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(p[2]) + gap for p in parts])])
         gaps = np.ones(len(data), bool)
         for at, (_, _, piece) in zip(begin, parts):
             gaps[at : at + len(piece)] = False
-        best: dict[tuple[int, int], Found] = {}
         for c, start, end, edits, item in ((*a, int(self_item)) for a, self_item in self._aligned(data, gaps)):
             at = int(np.searchsorted(begin, start, "right")) - 1
             row, offset, _ = parts[at]
@@ -179,7 +180,6 @@ class Items:
             old = best.get((row, item))
             if old is None or (edits, found.start) < (old.edits, old.start):
                 best[row, item] = found
-        yield from best.values()
 
     def _aligned(self, data: np.ndarray, gaps: np.ndarray):
         item, low, high = self.candidates(data)

@@ -274,6 +274,17 @@ def test_a_leak_at_the_start_or_end_belongs_to_its_own_text(cut):
     assert list(own.search([b"", item[cut:] + b" and more", b""])) == [decontaminate.Found(1, 1, 0, n, cut)]
 
 
+def test_an_item_leaks_once_from_a_text_of_several_pieces(monkeypatch):
+    item = b"a passage that stands in two pieces of a text"
+    fill = b"other words " * 40
+    text = fill + item[1:] + b" " + fill + item + b" " + fill
+    own = decontaminate.Items([(1, item)])
+    whole = list(own.search([text]))
+    assert len(whole) == 1 and whole[0].edits == 0
+    monkeypatch.setattr(decontaminate, "PIECE", 300)
+    assert list(own.search([text])) == whole
+
+
 def test_leaks_at_the_edges(spark, edge, nothing):
     items = [(1, "Some words THAT is  long enough"), (2, None), (3, "short"), (4, ""), (5, "some words that is long enough")]
     bench = spark.createDataFrame(items, "item_id long, text string")
