@@ -1,4 +1,4 @@
-"""The registered queries of the operators, op1 to op10 and the pipeline, and DuckDB texts where SQL can express them."""
+"""The registered queries of the operators, op1 to op13, and DuckDB texts where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import bpe, decontaminate, fixity, jaccard_join, quality, secret_scan, sharding, substrings, toxicity, url_filter
+from khata.llm import bpe, decontaminate, fixity, jaccard_join, manifest, quality, secret_scan, sharding, substrings, toxicity, url_filter
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,61 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document earlier documents already have, in windows of 13 words."""
     found = substrings.repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _crc32_sql(codes: str) -> str:
+    """Unsigned CRC-32 of a list of bytes, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _manifest_sql() -> str:
+    framed = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    row_hash = lambda text: "sha256(" + " || ".join(map(framed, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    levels = lambda start: f"""{start} UNION ALL SELECT grp, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM (
+        SELECT *, count(*) OVER (PARTITION BY grp) AS many FROM %s) WHERE many > 1 GROUP BY grp, level, pos // 8"""
+    runs = lambda name: f"SELECT grp, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {name} GROUP BY ALL"
+    path = lambda rows, name, step: f"""SELECT r.id, {step} + n.level AS level, array_to_string(hs[1:(r.pos // (8 ** n.level)::BIGINT) % 8], '') AS l,
+        array_to_string(hs[(r.pos // (8 ** n.level)::BIGINT) % 8 + 2:], '') AS r
+        FROM {rows} r JOIN {name} n ON n.grp = r.grp AND n.run = r.pos // (8 ** (n.level + 1))::BIGINT
+        WHERE n.level < (SELECT max(level) FROM {name} m WHERE m.grp = r.grp)"""
+    return f"""WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {row_hash('text')} AS leaf,
+        CASE WHEN {_crc32_sql(digits)} % 3 = 0 THEN {row_hash(f"translate(text, '{LETTERS[0]}', '{LETTERS[1]}')")} END AS other FROM documents),
+    leaves AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+    nodes AS ({levels("SELECT grp, 0 AS level, pos, leaf AS h FROM leaves") % "nodes"}),
+    subroots AS (SELECT grp AS name, h, row_number() OVER (ORDER BY grp) - 1 AS pos FROM nodes n
+        WHERE level = (SELECT max(level) FROM nodes m WHERE m.grp = n.grp)),
+    top AS ({levels("SELECT '' AS grp, 0 AS level, pos, h FROM subroots") % "top"}),
+    node_runs AS ({runs("nodes")}), top_runs AS ({runs("top")}),
+    named AS (SELECT id, '' AS grp, s.pos FROM leaves l JOIN subroots s ON s.name = l.grp),
+    steps AS ({path("leaves", "node_runs", 0)} UNION ALL {path("named", "top_runs", 100)}),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level) AS step FROM steps),
+    fold AS (SELECT id, 0 AS step, coalesce(other, leaf) AS h FROM leaves
+        UNION ALL SELECT f.id, f.step + 1, sha256(o.l || f.h || o.r) FROM fold f JOIN ordered o ON o.id = f.id AND o.step = f.step + 1),
+    ends AS (SELECT id, max_by(h, step) AS h FROM fold GROUP BY id),
+    proofs AS (SELECT id, string_agg(l || r, '' ORDER BY level) AS p FROM steps GROUP BY id),
+    root AS (SELECT max_by(h, level) AS root FROM top)
+    SELECT doc_id, leaf, s.h AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+    FROM leaves l JOIN subroots s ON s.name = l.grp JOIN ends e USING (id) LEFT JOIN proofs USING (id), root"""
+
+
+def manifest_rows(docs: DataFrame) -> DataFrame:
+    """Manifest of documents, and what every proof says about a copy in which some texts have lost their capitals."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+                     manifest.leaf(*[F.translate("text", *LETTERS) if c == "text" else F.col(c) for c in fields]))
+    found = manifest.manifest(docs, "doc_id", "lang", fields, {"doc_id": F.col("doc_id"), "other": lowered})
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    again = manifest.folded(F.coalesce("carried.other", "leaf"), F.col("path"))
+    return found.select("carried.doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+                        again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether a tampered copy of it still verifies."""
+    return manifest_rows(table(spark, sf_dir, "documents"))
