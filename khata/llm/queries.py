@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm import bpe, decontaminate, fixity, jaccard_join, manifest, quality, secret_scan, sharding, substrings, toxicity, url_filter
+from khata.llm import (bpe, decontaminate, fixity, jaccard_join, main_text, manifest, quality, secret_scan, sharding, spelling, substrings,
+                       toxicity, url_filter)
 from khata.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,9 +209,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _crc32_sql(codes: str) -> str:
     """Unsigned CRC-32 of a list of bytes, bit by bit."""
     bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
@@ -229,7 +227,7 @@ def _manifest_sql() -> str:
         FROM {rows} r JOIN {name} n ON n.grp = r.grp AND n.run = r.pos // (8 ** (n.level + 1))::BIGINT
         WHERE n.level < (SELECT max(level) FROM {name} m WHERE m.grp = r.grp)"""
     return f"""WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {row_hash('text')} AS leaf,
-        CASE WHEN {_crc32_sql(digits)} % 3 = 0 THEN {row_hash(f"translate(text, '{LETTERS[0]}', '{LETTERS[1]}')")} END AS other FROM documents),
+        CASE WHEN {_crc32_sql(digits)} % 3 = 0 THEN {row_hash(f"translate(text, '{spelling.CAPITALS[0]}', '{spelling.CAPITALS[1]}')")} END AS other FROM documents),
     leaves AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
     nodes AS ({levels("SELECT grp, 0 AS level, pos, leaf AS h FROM leaves") % "nodes"}),
     subroots AS (SELECT grp AS name, h, row_number() OVER (ORDER BY grp) - 1 AS pos FROM nodes n
@@ -252,7 +250,7 @@ def manifest_rows(docs: DataFrame) -> DataFrame:
     """Manifest of documents, and what every proof says about a copy in which some texts have lost their capitals."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     lowered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
-                     manifest.leaf(*[F.translate("text", *LETTERS) if c == "text" else F.col(c) for c in fields]))
+                     manifest.leaf(*[F.translate("text", *spelling.CAPITALS) if c == "text" else F.col(c) for c in fields]))
     found = manifest.manifest(docs, "doc_id", "lang", fields, {"doc_id": F.col("doc_id"), "other": lowered})
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
     again = manifest.folded(F.coalesce("carried.other", "leaf"), F.col("path"))
@@ -264,3 +262,41 @@ def manifest_rows(docs: DataFrame) -> DataFrame:
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether a tampered copy of it still verifies."""
     return manifest_rows(table(spark, sf_dir, "documents"))
+
+
+def _spelling_sql() -> str:
+    codes = """flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda ch:
+        CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195::BIGINT, unicode(ch) - 64] END))"""
+    return f"""WITH RECURSIVE found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{spelling.LETTERS}+')),
+        '{spelling.CAPITALS[0]}', '{spelling.CAPITALS[1]}') AS run FROM documents),
+    runs AS (SELECT doc_id, run, count(*) AS times FROM found WHERE length(run) >= 7 GROUP BY ALL),
+    hashed AS (SELECT run, times, {_crc32_sql(codes)} AS h FROM runs),
+    cut AS (SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+    words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+    spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS other,
+        substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM spots),
+    less AS (SELECT DISTINCT g.word, g.n, w.word AS near, w.n AS near_n FROM gaps g JOIN words w ON g.less = w.word),
+    near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.other = b.other AND a.word <> b.word
+        UNION ALL FROM less UNION ALL SELECT near, near_n, word, n FROM less),
+    tops AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+        row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+        CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM words w LEFT JOIN (FROM tops WHERE place = 1) t USING (word)),
+    chain AS (SELECT word, word AS root, 0 AS step FROM forms
+        UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+    roots AS (SELECT word, max_by(root, step) AS root FROM chain GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+@query("op11_spelling_variants", _spelling_sql())
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its number of near words, the form it varies, and the root of that."""
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_html_extraction")
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
