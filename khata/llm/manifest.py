@@ -127,6 +127,7 @@ def manifest(rows: DataFrame, key: str, group: str, fields: list[str], carried:
     leaves = rows.select(F.concat(F.lit("="), name(group).cast("string")).alias("group"), name(key).alias("key"),
                          leaf(*map(name, fields)).alias("digest"), F.struct(*[v.alias(k) for k, v in carried.items()]).alias("carried"))
     leaves = leaves.withColumn("group", F.coalesce("group", F.lit("")))  # null before all others, and fit to be joined
+    leaves = kept(leaves, "manifest-digests")  # the sort by ranges reads its input twice
     lower = rounds(placed(leaves, ["key", "digest"], "manifest-leaves").drop("key"), "manifest-blocks")
     subroots = lower[0].where(F.col("total") <= BLOCK).select("group", "root")
     for level in lower[1:]:
