@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
 from khata.functions.text import any_of, contains_any, found, has_word, matches_any, strip
+from khata.operators import sql_reads
 
 LEVELS = ["none", "low", "medium", "high", "critical"]
 
@@ -146,41 +146,22 @@ def strict_sql(text: Column) -> Column:
             & ((semicolons == 0) | ((semicolons == 1) & text.endswith(";"))))
 
 
-#: Functions that run code of the JVM, and relations that read what was not handed in.
-FORBIDDEN_CALLS = r"(?i)\b(java_method|reflect|try_reflect|read_files|input_file_name)\s*\("
-#: ``format.`path` ``, with or without quotes, stands for a file.
-FILE_RELATION = r"(?i)\b(text|csv|json|parquet|orc|avro|xml|delta|binaryfile)\s*\.\s*[`\"/]"
-#: Names that FROM and JOIN take, with those after a comma; names of CTEs.
-RELATIONS = r"(?i)\b(?:from|join)\s+((?:[`\w.]+(?:\s+(?:as\s+)?\w+)?\s*,\s*)*[`\w][`\w.]*)"
-CTE_NAMES = r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([`\w]+)\s*(?:\([^)]*\)\s*)?as\s*\("
-
-
 def guarded_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None,
                 row_cap: int | None = None) -> DataFrame:
     """Run a query text only if :func:`screen_sql` passes it and it stays within ``tables``.
 
-    ``tables`` are the frames the text may name in braces. Every other relation
-    must be a CTE of the text: files, catalog tables and calls into the JVM are
-    refused. ``row_cap`` limits an answer that is meant for reading.
+    ``tables`` are the frames the text may name in braces. Every other relation must be a common table expression of the
+    text, and every function one of Spark's own: the parsed plan is searched for files, views and tables of the session,
+    calls into the JVM and commands (:func:`sql_reads.foreign`). ``row_cap`` limits an answer that is meant for reading.
     """
     values = spark.sql("SELECT text FROM VALUES (:sql) AS given(text)", args={"sql": sql})  # folded without a job
     ok = screen_sql(values, "text").first()
     if not ok["is_valid"]:
         raise ValueError("; ".join(ok["issues"]))
     text = ok["clean"].rstrip(";")
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
-    if re.search(FORBIDDEN_CALLS, bare) or re.search(FILE_RELATION, bare):
-        raise ValueError("Query reads files or calls into the JVM")
-    named = {n.split()[0].strip("`").lower() for found in re.findall(RELATIONS, re.sub(r"\{\w+\}", "values", bare)) for n in found.split(",")}
-    ctes = {n.strip("`").lower() for n in re.findall(CTE_NAMES, bare)}
-    if strange := sorted(named - ctes - {"values"}):
-        raise ValueError(f"Unknown tables: {', '.join(strange)}")
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        out = spark.sql(text, **(tables or {}))
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    if issues := sql_reads.foreign(spark, text, tables or {}):
+        raise ValueError("; ".join(issues))
+    out = spark.sql(text, **(tables or {}))
     return out if row_cap is None else out.limit(row_cap)
 
 
