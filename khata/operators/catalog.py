@@ -103,9 +103,13 @@ def sample_rows(df: DataFrame, order: list[str], table: str = "source_table", n:
     return few.where(F.col("place") <= n)
 
 
-def records(df: DataFrame, order: list[str], table: str = "source_table") -> DataFrame:
+def records(df: DataFrame, order: list[str], table: str = "source_table", catalog: DataFrame | None = None) -> DataFrame:
     """The catalog record of every table of a family: profile, period, description, keywords, sample rows, columns with
-    sample values, example questions, and the related columns' names."""
+    sample values, example questions, and its relations: how many other tables share a telling column, and through which.
+
+    ``catalog`` (table_name, column_name) lists the columns of all tables that may be related; by default, those of the family.
+    The related tables themselves come from :func:`related_to`, for one table at a time: a list per record would be all pairs.
+    """
     data = [c for c in df.columns if c != table]
     kinds = {c: k for k in ("number", "date", "text") for c in columns_of_kind(df.select(*data), k)}
     text = lambda c: F.col(c).cast("string")
@@ -123,12 +127,15 @@ def records(df: DataFrame, order: list[str], table: str = "source_table") -> Dat
         F.lit(i).alias("pos"), F.lit(c).alias("column_name"), F.lit(kinds.get(c, "text")).alias("kind")) for i, c in enumerate(data)])).alias("c"))
     questions = example_questions(listed.select("table_name", "c.*")).withColumnRenamed("table_name", table)
     source = F.concat(F.col(table), F.lit(".csv"))
-    out = profiled.join(samples, table, "left").join(questions, table, "left")
+    relations = related_counts(listed.select("table_name", "c.column_name") if catalog is None else catalog)
+    relations = relations.select(F.col("table_name").alias(table), F.struct("related", "via").alias("relations"))
+    out = profiled.join(samples, table, "left").join(questions, table, "left").join(relations, table, "left")
     dated = "min_date" in out.columns
     return out.select(
         *profiled.columns, *([period_label(F.col("min_date"), F.col("max_date")).alias("period")] if dated else []),
         description(source).alias("description"), keywords(source, F.col(table), F.array(*[F.lit(c) for c in data])).alias("keywords"),
-        rows.alias("sample_rows"), columns.alias("columns"), "example_questions")
+        rows.alias("sample_rows"), columns.alias("columns"), "example_questions", F.col("relations.related").alias("related"),
+        F.col("relations.via").alias("related_via"))
 
 
 def overview(df: DataFrame, table: str = "source_table", first_columns: int = 5) -> DataFrame:
@@ -250,53 +257,41 @@ def family_for_questions(questions: DataFrame, question: str, key: str, tables:
             .where(F.col("family").isNotNull()))
 
 
-def schema_classes(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables grouped by the set of their telling column names.
+def schema_classes(columns: DataFrame) -> DataFrame:
+    """(table_name, class, names): the telling column names that a table shares with others; tables of one set are a class.
 
-    Returns (table_name, class) and (class, names, tables). Generic names such as
-    ``id`` or ``date`` do not count.
+    Generic names such as ``id`` or ``date`` do not count, nor do names that no other table has.
     """
     name = F.lower("column_name")
-    telling = F.array_sort(F.collect_set(F.when(~name.isin(*fv.GENERIC_COLUMNS), name)))
-    members = (columns.groupBy("table_name").agg(telling.alias("names"))
-               .withColumn("class", F.md5(F.array_join("names", "\x01"))))
-    classes = members.groupBy("class").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("tables"))
-    return members.select("table_name", "class"), classes
+    told = columns.select("table_name", F.when(~name.isin(*fv.GENERIC_COLUMNS), name).alias("name")).distinct()
+    shared = told.groupBy("name").agg(F.count("*").alias("_n")).where("name is not null and _n > 1").select("name", F.lit(True).alias("_s"))
+    names = F.array_sort(F.collect_set(F.when(F.col("_s"), F.col("name"))))
+    return (told.join(shared, "name", "left").groupBy("table_name").agg(names.alias("names"))
+            .select("table_name", F.md5(F.array_join("names", "\x01")).alias("class"), "names"))
 
 
-def related_classes(classes: DataFrame) -> DataFrame:
-    """Pairs of schema classes that share column names, with those names.
+def related_counts(columns: DataFrame) -> DataFrame:
+    """Per table: how many other tables share a telling column, and through which names.
 
-    A family of thousands of like tables is one class, so its pairs are one row
-    here; :func:`related_to` turns classes back into tables for one table.
+    Tables are numbered; every name has a bitmap of the tables with it, in buckets of 32,768 tables, and a schema class counts
+    the bits of its names' bitmaps together. No pair of tables or classes is made, however many share a name.
     """
-    a = classes.select(F.col("class").alias("a"), F.explode("names").alias("name"))
-    b = classes.select(F.col("class").alias("b"), F.explode("names").alias("name"), F.col("tables").alias("b_tables"))
-    return (a.join(b, "name").groupBy("a", "b", "b_tables")
-            .agg(F.array_sort(F.collect_set("name")).alias("via")))
-
-
-def related_counts(columns: DataFrame) -> DataFrame:
-    """Per table: how many other tables share a telling column, and through which names."""
-    members, classes = schema_classes(columns)
-    others = F.sum(F.col("b_tables") - F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("related")
-    per_class = related_classes(classes).groupBy(F.col("a").alias("class")).agg(others)
-    # a name relates tables as soon as two tables have it
-    names = classes.select("class", "tables", F.explode("names").alias("name"))
-    shared = names.groupBy("name").agg(F.sum("tables").alias("_n")).where(F.col("_n") > 1)
-    via = names.join(shared, "name").groupBy("class").agg(F.array_sort(F.collect_set("name")).alias("via"))
-    out = members.join(per_class, "class", "left").join(via, "class", "left")
-    return out.select("table_name", F.coalesce("related", F.lit(0)).cast("bigint").alias("related"),
-                      F.coalesce("via", F.array().cast("array<string>")).alias("via"))
+    members = written(schema_classes(columns).withColumn("number", F.monotonically_increasing_id()), "schema-classes")
+    bits = members.select("number", F.explode("names").alias("name")).groupBy("name", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    classes = members.groupBy("class").agg(F.first("names").alias("names")).select("class", F.explode("names").alias("name"))
+    together = classes.join(bits, "name").groupBy("class", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("tables"))
+    related = together.groupBy("class").agg((F.sum("tables") - 1).alias("related"))
+    return members.join(related, "class", "left").select(
+        "table_name", F.coalesce("related", F.lit(0)).cast("bigint").alias("related"), F.col("names").alias("via"))
 
 
 def related_to(columns: DataFrame, table_name: str) -> DataFrame:
-    """The tables related to one table, with the shared names."""
-    members, classes = schema_classes(columns)
-    own = members.where(F.col("table_name") == table_name).select(F.col("class").alias("a"))
-    links = related_classes(classes).join(own, "a")
-    return (links.join(members.withColumnRenamed("class", "b"), "b")
-            .where(F.col("table_name") != table_name).select("table_name", "via"))
+    """The tables related to one table, with the shared names: one pass over the columns of the catalog."""
+    name = F.lower("column_name")
+    own = columns.where((F.col("table_name") == table_name) & ~name.isin(*fv.GENERIC_COLUMNS)).select(name.alias("name")).distinct()
+    others = columns.where(F.col("table_name") != table_name).select("table_name", name.alias("name"))
+    return others.join(own, "name").groupBy("table_name").agg(F.array_sort(F.collect_set("name")).alias("via"))
 
 
 def relation_lines(columns: DataFrame, table_name: str) -> DataFrame:

@@ -352,7 +352,8 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY source_table ORDER BY bill_
 SELECT source_table, (SELECT count(*) FROM purchase_ledger p WHERE p.source_table = f.source_table) AS row_count,
        string_agg(concat(bill_no, '|', item, '|', vendor), ';' ORDER BY place) AS sample,
        array_to_string(list_sort(list_distinct(list(bill_no))), ',') AS bill_values,
-       concat('Total of total_value; Sum of total_value by bill_no; Count by bill_no; Show all data from ', source_table) AS questions
+       concat('Total of total_value; Sum of total_value by bill_no; Count by bill_no; Show all data from ', source_table) AS questions,
+       (SELECT count(DISTINCT source_table) - 1 FROM purchase_ledger) AS related, 'bill_no,item,total_value,vendor' AS via
 FROM firsts f GROUP BY source_table
 """)
 def m1_catalog_records(spark, d):
@@ -360,7 +361,8 @@ def m1_catalog_records(spark, d):
     return found.select(
         "source_table", "row_count", F.array_join(F.transform("sample_rows", lambda r: F.concat_ws(
             "|", r["bill_no"], r["item"], r["vendor"])), ";").alias("sample"),
-        F.array_join(F.array_sort(F.col("columns")[0]["sample_values"]), ",").alias("bill_values"), F.array_join("example_questions", "; ").alias("questions"))
+        F.array_join(F.array_sort(F.col("columns")[0]["sample_values"]), ",").alias("bill_values"), F.array_join("example_questions", "; ").alias("questions"),
+        "related", F.array_join("related_via", ",").alias("via"))
 
 
 @query("m12_relation_lines", f"""

@@ -158,6 +158,18 @@ def test_relations_match_all_pairs(spark):
         ("b", ("vendor",)), ("d", ("vendor",)), ("e", ("x",))}
 
 
+def test_relations_of_many_tables(spark):
+    """A name that all of 100,000 distinct schemas have: counts come from bitmaps, no pair is made."""
+    cols = spark.range(100_000).select(F.concat(F.lit("t"), "id").alias("table_name"), F.explode(F.array(
+        F.lit("Vendor"), F.concat(F.lit("own"), "id"), F.concat(F.lit("part"), F.floor(F.col("id") / 50)), F.lit("id"))).alias("column_name"))
+    got = catalog.related_counts(cols)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert [tuple(r) for r in got.groupBy("related", F.size("via")).count().collect()] == [(99_999, 2, 100_000)]
+    few = cols.where(~F.col("column_name").isin("Vendor"))
+    assert [tuple(r) for r in catalog.related_counts(few).groupBy("related").count().collect()] == [(49, 100_000)]
+
+
 def test_table_choice_matches_plain_scores(spark):
     """A catalog of thousands of tables with words common to all, against scoring table by table."""
     listing = [(i, f"purchase_2021_{i:02d}", ["purchase", "2021", m], f"{m} 2021")
