@@ -8,8 +8,9 @@ v led from q. Every token leads to one state from wherever it is read, so a merg
 Copies share what they have in common: a state keeps its parent, the merge that made it and the arc it lost, and whether
 it has an arc for a token follows from those. Answers are kept in a table, filled as pairs are first met.
 
-Encoding goes over a word from left to right. Every prefix has one tokenization, so one state is live at each place: the
-token that ends there is the one whose arc leaves the live state at the place where it starts.
+The labels of the tokens are compiled into one transition table over bytes. Encoding goes over a word from left to right.
+Every prefix has one tokenization, so only one state of the automaton can be live at a place: from there the table is followed
+byte by byte, and of the labels that end on the way the longest is taken for which that state has an arc.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from khata.llm.frames import packed, schema_with
+from khata.llm.frames import packed, release, schema_with, sized
 
 #: Pieces that are remembered, twice over, and the longest of them.
-MEMORY, LONGEST = 150_000, 64
+MEMORY, LONGEST = 100_000, 64
+#: Arcs that are remembered.
+ARCS = 200_000
 ROOT = 0
+#: Bytes of text, or rows, that are encoded before they are handed on.
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -105,7 +110,7 @@ class Automaton:
         key = state * self.size + token
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) >= ARCS:
                 self.arcs.clear()
             found = self.arcs[key] = self.has_arc(state, token)
         return found
@@ -121,31 +126,76 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         dead = {t for t, n in enumerate(self.automaton.born) if n == len(v.merges)}
         self.ids = {s: i for s, i in v.ids.items() if i not in dead}
-        self.longest = max(len(s) for s in v.ids)
+        self._compile()
         self.label = {i: s for s, i in [*v.ids.items(), *v.special.items()]}
         self.new: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
+    def _compile(self) -> None:
+        """The labels of all tokens as one transition table: from a state of the table, by a byte, to the next.
+
+        ``inside`` and ``final`` have the token that a state completes, within a word and at its end.
+        """
+        byte = {c: b for b, c in self.letters.items()}
+        end = self.v.word_end
+        self.steps, self.inside, self.final = {}, [-1], [-1]
+        for label, token in self.ids.items():
+            last = bool(end) and label.endswith(end)
+            body = label[: len(label) - len(end)] if last else label
+            if not body or any(c not in byte for c in body):
+                continue
+            at = 0
+            for c in body:
+                key = at << 8 | byte[c]
+                at = self.steps.get(key, 0)
+                if not at:
+                    at = self.steps[key] = len(self.inside)
+                    self.inside.append(-1)
+                    self.final.append(-1)
+            (self.final if last else self.inside)[at] = token
+        if not end:
+            self.final = self.inside
+
     def encode_word(self, word: str) -> list[int]:
-        """Tokens of one word of the pattern."""
-        symbols = word.encode().decode("latin-1").translate(self.letters)
-        n, ids, arcs, state, size = len(symbols), self.ids, self.automaton.arcs, self.automaton.state, self.automaton.size
-        live, back, begun = [ROOT] + [-1] * n, [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            suffix = self.v.word_end if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(symbols[start:end] + suffix)
-                # a prefix without a token can only end inside one that is met later
-                if token is not None and live[start] >= 0:
-                    ok = arcs.get(live[start] * size + token)
-                    if ok or ok is None and self.automaton.arc(live[start], token):
-                        live[end], back[end], begun[end] = state[token], token, start
-                        break
-        out, at = [], n
-        while at:
-            out.append(back[at])
-            at = begun[at]
-        return out[::-1]
+        """Tokens of one word of the pattern.
+
+        From a place the table is followed as far as labels go, and the longest label that the automaton's state has an arc
+        for is taken. Where nothing leads to the end of the word, a shorter one is; a place that was left is never tried
+        again, as one state only can be live there.
+        """
+        data, steps, inside, final = word.encode(), self.steps.get, self.inside, self.final
+        arcs, known, state, size = self.automaton.arc, self.automaton.arcs.get, self.automaton.state, self.automaton.size
+        n, start, q, left = len(data), 0, ROOT, set()
+        out, path = [], []
+        while start < n:
+            at, end, able = 0, start, []
+            for symbol in data[start:] if start else data:
+                at = steps(at << 8 | symbol)
+                if at is None:
+                    break
+                end += 1
+                token = inside[at] if end < n else final[at]
+                if token >= 0:
+                    able.append((end, token))
+            while True:
+                while able:
+                    end, token = able.pop()
+                    if end not in left:
+                        ok = known(q * size + token)
+                        if ok or ok is None and arcs(q, token):
+                            break
+                else:  # nothing from here
+                    if not path:
+                        return []
+                    left.add(start)
+                    start, q, able = path.pop()
+                    out.pop()
+                    continue
+                break
+            path.append((start, q, able))
+            out.append(token)
+            start, q = end, state[token]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined as this kind of file asks when it names no decoder."""
@@ -188,6 +238,11 @@ class Tokenizer:
         """(number of tokens, ids joined by spaces, decoded text)."""
         return self._joined(list(self._parts(text)))
 
+    def forget(self) -> None:
+        """Give back what was remembered: workers go on to other work."""
+        self.new, self.old = {}, {}
+        self.automaton.arcs.clear()
+
 
 _BUILT: dict[str, Tokenizer] = {}
 
@@ -222,11 +277,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
-                found = [[make[o](*e) for o in outputs] for e in (own.encode(t or "") for t in batch["text"].to_pylist())]
+            for at, n in sized(whole["text"], BATCH_BYTES, 500):
+                batch = whole.slice(at, n)
+                found = [[make[o](*e) for o in outputs] for e in (own.encode(t.as_py() or "") for t in batch["text"])]
                 columns = [pa.array([f[i] for f in found], types.get(o, pa.string())) for i, o in enumerate(outputs)]
                 yield pa.RecordBatch.from_arrays([batch["row"], *columns], schema.fieldNames())
+        own.forget()
+        release()
 
     return rows.mapInArrow(run, schema)
 

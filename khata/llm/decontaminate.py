@@ -9,6 +9,7 @@ Texts and items are compared in lower case with single blanks between words; pla
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,15 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from khata.llm.frames import packed, schema_with
+from khata.llm.frames import packed, release, schema_with, sized
 
 Q = 8
 #: Edits allowed, as a share of an item's bytes.
 RATE = 0.1
 #: Bytes of text handled at a time, of items in one pass over the texts, and bits of the table that is asked first.
 PIECE, ITEM_BYTES, BITS = 2 << 20, 4 << 20, 22
-#: Alignments that run side by side.
-ALIGNED = 256
+#: Alignments that run side by side, and cells of a row of them; places of grams that are counted at a time.
+ALIGNED, CELLS, PLACES = 256, 1 << 20, 1 << 20
+#: Bytes of texts that are searched before they are handed on.
+BATCH_BYTES = 4 << 20
 
 
 def plain(text: str | None) -> bytes:
@@ -54,9 +57,16 @@ class Found(NamedTuple):
 
 
 class Items:
-    """q-grams of the items, sorted, and their bounds. Items shorter than q bytes are left out: they prove nothing."""
+    """q-grams of the items, sorted, and their bounds. Items shorter than q bytes are looked for as they are, as whole words."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+        self.short: dict[bytes, list[int]] = {}
+        for i, b in items:
+            if b and len(b) < Q:
+                self.short.setdefault(b, []).append(i)
+        either = b"|".join(re.escape(b) for b in sorted(self.short))
+        # a look ahead, so that items may overlap
+        self.any_short = re.compile(rb"(?<![\w\x80-\xff])(?=(" + either + rb")(?![\w\x80-\xff]))") if self.short else None
         items = [(i, b) for i, b in items if len(b) >= Q]
         self.ids = [i for i, _ in items]
         self.bytes = [np.frombuffer(b, np.uint8) for _, b in items]
@@ -85,6 +95,29 @@ class Items:
         real = self.grams[k] == g[at]
         at, k = at[real], k[real]
         times = self.count[k]
+        ends, keys, hits, lo = np.cumsum(times), [], [], 0
+        while lo < len(at):  # a common gram has many places; bands are counted from so many at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - times[lo] + PLACES, "right")))
+            key, n = self._bands(at[lo:hi], k[lo:hi])
+            keys.append(key)
+            hits.append(n)
+            lo = hi
+            if len(keys) > 1 and (sum(map(len, keys)) > PLACES or lo == len(at)):
+                key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                keys, hits = [key], [np.bincount(inverse, np.concatenate(hits)).astype(np.int64)]
+        if not keys:
+            return none, none, none
+        key, hits = keys[0], hits[0]
+        item, band = key >> 40, key & ((1 << 40) - 1)
+        good = hits >= self.least[item]
+        item, band = item[good], band[good]
+        step = 2 * self.edits[item] + 8
+        low = band * step - self.reach
+        return item, low, low + step + self.edits[item]
+
+    def _bands(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item and band as one number, shared grams) for the grams ``k`` at the places ``at``."""
+        times = self.count[k]
         each = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         item = self.item[each]
         diagonal = np.repeat(at, times) - self.place[each] + self.reach  # never negative
@@ -93,13 +126,7 @@ class Items:
         # a band goes on for e diagonals beyond its step, so a hit near the start is also in the band before
         early = (diagonal % step <= self.edits[item]) & (band > 0)
         item, band = np.concatenate([item, item[early]]), np.concatenate([band, band[early] - 1])
-        key, hits = np.unique(item << 40 | band, return_counts=True)
-        item, band = key >> 40, key & ((1 << 40) - 1)
-        good = hits >= self.least[item]
-        item, band = item[good], band[good]
-        step = 2 * self.edits[item] + 8
-        low = band * step - self.reach
-        return item, low, low + step + self.edits[item]
+        return np.unique(item << 40 | band, return_counts=True)
 
     def align(self, data: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, gaps: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(number of the candidate, start, end, edits) of those that align within their band and budget.
@@ -111,8 +138,12 @@ class Items:
         own insertions are a running minimum. Starts travel along with the edits, as the low part of one number.
         """
         order = np.argsort(self.n[item], kind="stable")
-        for a in range(0, len(order), ALIGNED):
-            part = order[a : a + ALIGNED]
+        # by length, so that neighbours have bands of like width
+        wide, a = (high - low)[order] + 1, 0
+        while a < len(order):
+            together = int((np.maximum.accumulate(wide[a : a + ALIGNED]) * np.arange(1, len(wide[a : a + ALIGNED]) + 1) <= CELLS).sum())
+            part = order[a : a + max(1, together)]
+            a += len(part)
             n, lo = self.n[item[part]], low[part]
             width = int((high - low)[part].max()) + 1
             longest = int(n.max())
@@ -165,6 +196,13 @@ class Items:
         if parts:
             self._search(parts, best)
         yield from best.values()
+        if self.any_short:
+            for row, text in enumerate(texts):
+                seen = set()
+                for m in self.any_short.finditer(text):
+                    if m.group(1) not in seen:
+                        seen.add(m.group(1))
+                        yield from (Found(row, i, m.start(), m.start() + len(m.group(1)), 0) for i in self.short[m.group(1)])
 
     def _search(self, parts: list[tuple[int, int, bytes]], best: dict[tuple[int, int], Found]) -> None:
         gap = int(self.edits.max(initial=0)) + 1  # more than any item may spend, so nothing aligns across texts
@@ -203,22 +241,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
 
     Leaks are structs (item, start, end, edits), the best place of each item, by item and start. Row by row over whole
     texts, without a shuffle; a benchmark of more than one block is searched for block after block. Null and empty texts
-    have no leaks; nor do items of less than ``Q`` bytes, or null ones, leak. Of repeated items each leaks by itself.
+    have no leaks, and null and empty items do not leak. Items of less than ``Q`` bytes leak where they stand as they are, as
+    whole words. Of repeated items each leaks by itself.
     """
     kind = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item", "start", "end", "edits")]))
-    rows = packed(docs, text=F.col(f"`{text}`"), leaks=F.array().cast(kind))
-    schema = schema_with(rows.select("row", "text"), ("leaks", kind))
+    rows = packed(docs, text=F.col(f"`{text}`"))
+    schema = schema_with(rows.select("row"), ("leaks", kind))
     arrow = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "start", "end", "edits")]))
-    for items in items_in_blocks(benchmark, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value, rate)
-            for batch in batches:
-                found = [list(x or []) for x in batch["leaks"].to_pylist()]
-                for f in own.search([plain(t) for t in batch["text"].to_pylist()]):
-                    found[f.row].append({"item": f.item, "start": f.start, "end": f.end, "edits": f.edits})
-                yield pa.RecordBatch.from_arrays([batch["row"], batch["text"], pa.array(found, arrow)], schema.fieldNames())
-
-        rows = rows.mapInArrow(run, schema)
-    return rows.select("row", F.array_sort("leaks").alias("leaks"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(items) for items in items_in_blocks(benchmark, item_key, item_text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Items(blocks[0].value, rate) if len(blocks) == 1 else None
+        for whole in batches:
+            for at, n in sized(whole["text"], BATCH_BYTES, len(whole)):
+                batch = whole.slice(at, n)
+                texts, found = [plain(t.as_py()) for t in batch["text"]], [[] for _ in range(n)]
+                for block in blocks:
+                    for f in (only or Items(block.value, rate)).search(texts):
+                        found[f.row].append((f.item, f.start, f.end, f.edits))
+                rows = [[dict(zip(("item", "start", "end", "edits"), f, strict=True)) for f in fs] for fs in found]
+                yield pa.RecordBatch.from_arrays([batch["row"], pa.array(rows, arrow)], schema.fieldNames())
+        release()
+
+    return rows.mapInArrow(run, schema).select("row", F.array_sort("leaks").alias("leaks"))

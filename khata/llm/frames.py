@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,3 +49,21 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         before = after
     stars = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def sized(texts: pa.Array, limit: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(start, number of rows) of slices of a string column: at most ``rows`` rows, and ``limit`` bytes or one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (total + size > limit or i - start >= rows):
+            yield start, i - start
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes) - start
+
+
+def release() -> None:
+    """At the end of a task: hand back what Arrow holds on to. Workers are used again by tasks of other operators."""
+    pa.default_memory_pool().release_unused()

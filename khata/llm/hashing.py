@@ -27,9 +27,9 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
+    """Powers of the base and of its inverse, for no more than ``SLICE_BYTES`` bytes."""
     if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES)
+        n = SLICE_BYTES + 1
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             row = np.full(n, base, np.uint64)
             row[0] = 1
@@ -45,11 +45,33 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprint of each span of bytes."""
+    """Fingerprint of each span of bytes; spans stand in order and do not overlap.
+
+    Sums run over at most ``SLICE_BYTES`` at a time: spans that fit together are hashed together, a longer one piece by piece.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + SLICE_BYTES, "right"))
+        if to > at:
+            out[at:to] = _sums(data[base : int(ends[to - 1])], starts[at:to] - base, ends[at:to] - base)
+        else:
+            to, sofar, factor = at + 1, np.zeros(1, np.uint64), 1
+            for piece in range(base, int(ends[at]), SLICE_BYTES):
+                part = data[piece : min(piece + SLICE_BYTES, int(ends[at]))]
+                sofar += _sums(part, np.zeros(1, np.int64), np.full(1, len(part))) * np.uint64(factor)
+                factor = factor * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+            out[at] = sofar[0]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the values of each span's bytes, each times the base to the power of its place in the span."""
     power, inverse = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return (sums[ends] - sums[starts]) * inverse[starts]
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -304,7 +304,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likenes
     sizes = kept(measured(rows, like), "sets")
     named = sizes.where("digest is not null and id is not null")
     heads = named.groupBy("digest").agg(F.min("id").alias("head"))
-    of = kept(named.join(heads, "digest").groupBy("id").agg(F.min("head").alias("head"), F.max("head").alias("last")), "heads")
+    same = kept(named.join(heads, "digest").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "heads")
     # one row for each set: the sets that share enough, with what they share
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, int(size / 6 / substrings.BUCKET))
@@ -316,14 +316,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likenes
     members = kept(rows.join(able.hint("merge"), "id"), "members")
     clusters = kept(connected(likely(members, like, buckets), "clusters"), "clusters")
     placed = clusters.join(members.groupBy("id").agg(F.sum("n").alias("size")), "id").select("id", F.col("component").alias("cluster"), "size")
-    same = of.select(F.col("id").alias("a"), F.col("head").alias("b")).union(of.select(F.col("id"), F.col("last")))
     reached = connected(links_within(members.select("id", "text"), placed, like).union(same), "components")
     return sizes.select("id", "n").join(reached, "id", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id. Rows with a null id stay."""
+    """``docs`` with one row of each component: that of the smallest id.
+
+    Rows of one id are one document, of which the row with words and the smallest digest stays. Of rows with a null id one
+    stays for each text.
+    """
     others = join(docs, key, text, like).where("id <> component").select(F.col("id").alias("other")).distinct()
-    rows = packed(docs, key=F.col(f"`{key}`").cast("long"))
-    return rows.join(others, F.col("key") == F.col("other"), "left_anti").select("row.*")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = packed(docs, key=F.col(f"`{key}`").cast("long"), blank=~body.rlike(r"[^\x20\x09-\x0D]"), digest=F.sha2(body, 256))
+    left = rows.join(others, F.col("key") == F.col("other"), "left_anti").withColumn(
+        "one", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), "digest"))
+    # few as a rule, and known before texts are moved for them
+    repeated = kept(docs.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{key}`").cast("long").cast("string")), F.sha2(body, 256)).alias("one"))
+                    .groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "repeated")
+    several = left.join(repeated, "one", "left_semi").groupBy("one").agg(F.min_by("row", F.struct("blank", "digest")).alias("row"))
+    return left.join(repeated, "one", "left_anti").select("row").union(several.select("row")).select("row.*")

@@ -42,6 +42,9 @@ WORD_RULES = [GlobRule(g, "block", g) for g in (
     "*spam*", "*spam*/**", "*adult*", "*adult*/**", "*casino*", "*casino*/**", "*.xxx", "*.xxx/**",
     "**/login/**", "**/wp-admin/**", "**/ads/**", "**.exe", "**.zip")]
 
+#: Characters of a text that are turned to codes at a time.
+STRIP = 256
+
 
 class Automaton:
     """Masks of a list of globs."""
@@ -82,18 +85,20 @@ class Automaton:
         for lo in range(0, len(order), 2048):
             part = order[lo : lo + 2048]
             sizes = np.array([len(texts[i]) for i in part])
-            width, now = int(sizes.max(initial=0)), np.tile(self.start, (len(part), 1))
-            codes = np.zeros((width, len(part)), np.intp)
-            for k, i in enumerate(part):
-                codes[: len(texts[i]), k] = [self.code.get(c, 0) for c in texts[i]]
-            first = 0
-            for at in range(width):
-                first = int(np.searchsorted(sizes, at, "right"))  # shorter texts have ended
-                d = now[first:]
-                moved = d << np.uint64(1)
-                moved[:, 1:] |= d[:, :-1] >> np.uint64(63)
-                c = codes[at, first:]
-                now[first:] = (moved & self.reach[c]) | (d & self.stay[c])
+            now = np.tile(self.start, (len(part), 1))
+            for strip in range(0, int(sizes.max(initial=0)), STRIP):  # no array is as wide as the longest text
+                begun = int(np.searchsorted(sizes, strip, "right"))  # shorter texts have ended
+                codes = np.zeros((STRIP, len(part) - begun), np.uint16)
+                for k, i in enumerate(part[begun:]):
+                    piece = texts[i][strip : strip + STRIP]
+                    codes[: len(piece), k] = [self.code.get(c, 0) for c in piece]
+                for at in range(min(STRIP, int(sizes[-1]) - strip)):
+                    first = int(np.searchsorted(sizes, strip + at, "right"))
+                    d = now[first:]
+                    moved = d << np.uint64(1)
+                    moved[:, 1:] |= d[:, :-1] >> np.uint64(63)
+                    c = codes[at, first - begun :]
+                    now[first:] = (moved & self.reach[c]) | (d & self.stay[c])
             out[part] = np.stack([(now[:, w] & m) != 0 for w, m in self.finals], axis=1)
         return out
 

@@ -146,7 +146,20 @@ def test_near_copies_at_the_edges(edge, nothing):
     assert {(r["id"], r["component"]) for r in rows} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (None, None)}
     assert jaccard_join.join(nothing).count() == 0
     left = jaccard_join.first_of_each(edge)
-    assert left.columns == edge.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 5, 5, 7]
+    assert left.columns == edge.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 5, 7]
+
+
+def test_ids_with_several_texts(spark):
+    """An id with three texts links what has any of them; of repeated ids and of null ids with one text, one row stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c), (10, a), (10, b), (10, c), (11, a + " end"), (20, "x y z"), (20, "p q r"), (20, None),
+                                  (None, a), (None, a), (None, b), (None, None), (None, "")], "doc_id long, text string")
+    like = jaccard_join.Likeness(3, 90, 100)
+    got = {(r["id"], r["component"]) for r in jaccard_join.join(docs, like=like).collect()}
+    assert got == {(i, 1) for i in (1, 2, 3, 10, 11)} | {(20, 20), (None, None)}
+    left = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.first_of_each(docs, like=like).collect()))
+    one = min("x y z", "p q r", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert left == [(0, ""), (0, a), (0, b), (1, a), (20, one)]
 
 
 # repeated passages
