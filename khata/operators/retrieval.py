@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.functions import fixed_values as fv
-from khata.session import rows_if_small, written
-
-# a task compares a batch of chunks with all query vectors of a pass at once
-QUERY_BOUND = 1024
+from khata.session import written
 
 
 # --- chunks --------------------------------------------------------------------------
@@ -77,63 +74,135 @@ def add_documents(store: DataFrame, fresh: DataFrame, key: str = "chunk_id") ->
 
 def nearest(chunks: DataFrame, queries: DataFrame, n: int = fv.NEAREST_DEFAULT, where: Column | None = None,
             chunk_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """The ``n`` nearest chunks by cosine distance per query: query_id, place, chunk id, distance.
+    """The ``n`` nearest chunks by cosine distance per query: query_id, place, chunk id, distance. Exact, for any number of queries.
 
-    ``where`` filters the chunks first. A limited number of query vectors goes to
-    every task, which keeps its own best ``n`` per query; only those meet in the
-    final ranking. More queries than that are worked off in passes, each written
-    before the next begins, so the driver never holds more than one pass.
+    ``where`` filters the chunks first; rows without a vector are nobody's neighbours. Vectors of length one are dealt into
+    cells around some of them, the pivots. A cell of radius r around p holds nothing nearer to a query q than |q - p| - r, and
+    all of it is within |q - p| + r, so cells beyond those that surely hold n neighbours are skipped. What is left meets in
+    blocks: some chunks of a cell and some of its queries in one task, which keeps the best ``n`` of each query; only those are
+    ranked.
     """
-    pool = chunks if where is None else chunks.where(where)
-    wanted = queries.select(query_id, vector)
-
-    def ranked(rows):
-        best = _best_per_task(pool, rows, queries, n, chunk_id, vector, query_id)
-        place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", chunk_id))
-        return best.withColumn("place", place).where(F.col("place") <= n)
-
-    rows = rows_if_small(wanted, QUERY_BOUND)
-    if rows is not None:
-        return ranked(rows)
-    passes = math.ceil(wanted.count() / (QUERY_BOUND // 2))
-    bucket = F.pmod(F.xxhash64(query_id), F.lit(passes))
-    done = [written(ranked(wanted.where(bucket == p).collect()), "nearest") for p in range(passes)]
-    return reduce(DataFrame.unionByName, done)
-
-
-def _best_per_task(pool, query_rows, queries, n, chunk_id, vector, query_id):
-    ids = [r[query_id] for r in query_rows]
-    wanted = np.array([r[vector] for r in query_rows], dtype=np.float64)
-    if len(ids):
-        wanted = wanted / _norms(wanted)
-    schema = (queries.select(query_id).schema.add("distance", T.DoubleType()).add(pool.schema[chunk_id]))
-
-    def search(batches):
-        best_d: list[np.ndarray] = [np.empty(0)] * len(ids)
-        best_k: list[np.ndarray] = [np.empty(0, dtype=object)] * len(ids)
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            keys = pdf[chunk_id].to_numpy()
-            have = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            distances = 1.0 - (have / _norms(have)) @ wanted.T
-            for q in range(len(ids)):
-                d = np.concatenate([best_d[q], distances[:, q]])
-                k = np.concatenate([best_k[q], keys])
-                if len(d) > n:
-                    near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-                    d, k = d[near], k[near]
-                order = np.lexsort((k.astype(keys.dtype), d))[:n]
-                best_d[q], best_k[q] = d[order], k[order]
-        rows = [(ids[q], float(d), k) for q in range(len(ids)) for d, k in zip(best_d[q], best_k[q])]
-        yield pd.DataFrame(rows, columns=[query_id, "distance", chunk_id])
-
-    return pool.select(chunk_id, vector).mapInPandas(search, schema)
-
-
-def _norms(m: np.ndarray) -> np.ndarray:
+    pool = (chunks if where is None else chunks.where(where)).where(F.col(vector).isNotNull()).select(chunk_id, vector)
+    asked = written(queries.where(F.col(vector).isNotNull()).select(query_id, vector), "queries")
+    sample = pool.orderBy(F.xxhash64(chunk_id, vector)).limit(PIVOTS).select(vector).collect()
+    if not sample:
+        return asked.where("false").select(query_id, F.lit(1).alias("place"), F.lit(None).cast(pool.schema[chunk_id].dataType).alias(chunk_id),
+                                           F.lit(1.0).alias("distance"))
+    pivots = _unit(np.array([r[0] for r in sample], dtype=np.float64))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, reach = _cells(_matrix(batch[vector]), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(reach)], [*batch.schema.names, "cell", "reach"])
+
+    cells = pool.mapInArrow(dealt, _with(pool, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())))
+    found = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect()}
+    around = Around(pivots, [(c, found[c]["n"], found[c]["radius"]) for c in sorted(found)], n)
+    query_parts = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell = around.reachable(_matrix(batch[vector]))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(cell, pa.int32())], [*batch.schema.names, "cell"])
+
+    parts = F.create_map(*[F.lit(x) for c in found for x in (c, -(-found[c]["n"] // POOL_BLOCK))])
+    part = lambda key, count: F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), count).cast("int")
+    left = cells.drop("reach").withColumn("i", part(chunk_id, parts[F.col("cell")])).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    right = asked.mapInArrow(wanted, _with(asked, T.StructField("cell", T.IntegerType()))).withColumn("j", part(query_id, F.lit(query_parts))).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
+
+    def search(have: pa.Table, want: pa.Table) -> pa.Table:
+        row, col, d = _best(_unit(_matrix(have[vector])), have[chunk_id], _unit(_matrix(want[vector])), n)
+        return pa.table({query_id: want[query_id].take(pa.array(row)), "distance": pa.array(d), chunk_id: have[chunk_id].take(pa.array(col))})
+
+    schema = _with(asked.select(query_id), T.StructField("distance", T.DoubleType()), pool.schema[chunk_id])
+    at = ["cell", "i", "j"]
+    best = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(search, schema)
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", chunk_id))
+    return best.withColumn("place", place).where(F.col("place") <= n)
+
+
+#: Cells, and vectors of a block on either side.
+PIVOTS, POOL_BLOCK, QUERY_BLOCK = 32, 8192, 1024
+
+
+def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*df.schema.fields, *fields])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    return np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 0))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero stays zero."""
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.where(length == 0, 1.0, length)
+    return m / np.where(length == 0, 1.0, length)
+
+
+def _from_pivots(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, ((unit * unit).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * unit @ pivots.T)))
+
+
+def _cells(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each row and the way to it. Zero vectors, which are as far from all, have cell -1."""
+    if not len(m):
+        return np.zeros(0, np.int32), np.zeros(0)
+    unit = _unit(m)
+    ways = _from_pivots(unit, pivots)
+    cell = ways.argmin(axis=1)
+    return np.where((unit != 0).any(axis=1), cell, -1).astype(np.int32), ways[np.arange(len(m)), cell]
+
+
+class Around:
+    """The cells: (number, vectors, radius) each."""
+
+    def __init__(self, pivots: np.ndarray, cells: list[tuple[int, int, float]], n: int):
+        self.pivots, self.n = pivots, n
+        self.cells, self.size = np.array([c for c, _, _ in cells], np.int32), np.array([s for _, s, _ in cells])
+        self.radius = np.array([r for _, _, r in cells])
+
+    def reachable(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that may hold one of a row's n nearest."""
+        if not len(m):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        unit = _unit(m)
+        ways = _from_pivots(unit, self.pivots)[:, np.maximum(self.cells, 0)]
+        # zero vectors are at cosine distance 1 of everything: square root of 2 on the scale of vectors of length one
+        low = np.where(self.cells < 0, np.sqrt(2.0), ways - self.radius)
+        high = np.where(self.cells < 0, np.sqrt(2.0), ways + self.radius)
+        order = np.argsort(high, axis=1)
+        enough = (np.cumsum(self.size[order], axis=1) >= self.n).argmax(axis=1)
+        bound = np.take_along_axis(high, order, axis=1)[np.arange(len(m)), enough]
+        if self.size.sum() < self.n:
+            bound[:] = np.inf
+        bound[~(unit != 0).any(axis=1)] = np.inf
+        row, at = np.nonzero(low <= bound[:, None] + 1e-6)
+        return row, self.cells[at]
+
+
+def _best(have: np.ndarray, ids: pa.ChunkedArray, want: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``want``, row of ``have``, distance) of the ``n`` nearest of each; ties go to the smaller id."""
+    if not len(have) or not len(want):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    by_id = np.asarray(pc.sort_indices(ids))
+    rank = np.empty(len(by_id), np.int64)
+    rank[by_id] = np.arange(len(by_id))
+    rows, cols, found = [], [], []
+    for lo in range(0, len(want), 256):
+        d = 1.0 - want[lo : lo + 256] @ have.T
+        last = np.partition(d, n - 1, axis=1)[:, n - 1 : n] if len(have) > n else np.full((len(d), 1), np.inf)
+        q, k = np.nonzero(d <= last)
+        order = np.lexsort((rank[k], d[q, k], q))
+        q, k = q[order], k[order]
+        first = np.searchsorted(q, np.arange(len(d)))
+        keep = np.arange(len(q)) - first[q] < n
+        rows.append(q[keep] + lo)
+        cols.append(k[keep])
+        found.append(d[q[keep], k[keep]])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(found)
 
 
 def centroids(vectors: DataFrame, label: str, vector: str = "embedding") -> DataFrame:

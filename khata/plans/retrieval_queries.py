@@ -117,6 +117,19 @@ def k4_nearest(spark, d):
     return _near_row(_search(spark, d))
 
 
+@query("k4_nearest_of_all", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.e, b.e)) AS place,
+                list_cosine_distance(a.e, b.e) AS distance FROM v a, v b QUALIFY place <= 5)
+SELECT vec_id AS query_id, CAST(place AS BIGINT) AS place, abs(round(distance, 6)) AS distance FROM near
+""")
+def k4_nearest_of_all(spark, d):
+    """Every vector as a query."""
+    vectors = st.table(spark, d, "embeddings")
+    found = retrieval.nearest(vectors, vectors.select(F.col("vec_id").alias("query_id"), "embedding"))
+    return found.select("query_id", F.col("place").cast("bigint").alias("place"), F.abs(F.round("distance", 6)).alias("distance"))
+
+
 @query("w5_nearest_place", _near() + "SELECT CAST(query_id AS BIGINT) AS query_id, vec_id FROM near WHERE place = 1")
 def w5_nearest_place(spark, d):
     return _search(spark, d).where(F.col("place") == 1).select(F.col("query_id").cast("bigint").alias("query_id"), "vec_id")

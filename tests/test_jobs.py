@@ -1,6 +1,8 @@
 """Audit, strategy, recommendations, catalog and retrieval on small inputs."""
 
 import datetime as dt
+import math
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -229,19 +231,40 @@ def test_chunks_cover_the_text_and_keep_words(spark):
     assert at == len(body)
 
 
-@pytest.mark.parametrize("bound", [4096, 8])
-def test_nearest_matches_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(retrieval, "QUERY_BOUND", bound)
-    rng = np.random.default_rng(0)
-    have, want = rng.normal(size=(300, 8)), rng.normal(size=(20, 8))
-    have[17] = have[5]
-    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(have)], "vec_id bigint, embedding array<double>").repartition(5)
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(want)], "query_id bigint, embedding array<double>")
-    got = {(r.query_id, r.place): r.vec_id for r in retrieval.nearest(chunks, queries, 4).collect()}
-    d = 1 - (want @ have.T) / np.linalg.norm(want, axis=1)[:, None] / np.linalg.norm(have, axis=1)[None, :]
-    for q in range(20):
-        best = sorted(range(300), key=lambda i: (round(d[q, i], 12), i))[:4]
-        assert [got[(q, p)] for p in (1, 2, 3, 4)] == best
+@pytest.mark.parametrize("pool_block,query_block,pivots,n", [(8192, 1024, 32, 4), (7, 5, 3, 4), (1, 1, 1, 2), (50, 3, 200, 500)])
+def test_nearest_matches_brute_force(spark, monkeypatch, pool_block, query_block, pivots, n):
+    """Clustered vectors, equal ones, zero ones on both sides, repeated ids, missing vectors, fewer chunks than wanted."""
+    for name, value in (("POOL_BLOCK", pool_block), ("QUERY_BLOCK", query_block), ("PIVOTS", pivots)):
+        monkeypatch.setattr(retrieval, name, value)
+    r = random.Random(7)
+    centers = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    vecs = [[x + r.gauss(0, 0.1) for x in r.choice(centers)] for _ in range(120)] + [[0.0] * 6] * 3 + [centers[0]] * 4
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(500, None)]
+    asked = [(1000 + i, v) for i, v in enumerate(r.sample(vecs, 25) + [[0.0] * 6, centers[1]])] + [(2000, None)]
+    schema = "vec_id long, embedding array<double>"
+    got = {}
+    for x in retrieval.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema.replace("vec_id", "query_id")), n).collect():
+        got.setdefault(x.query_id, []).append((x.place, x.vec_id, x.distance))
+
+    def cosine(a, b):
+        la, lb = (math.sqrt(sum(x * x for x in v)) or 1.0 for v in (a, b))
+        return 1.0 - sum(x * y for x, y in zip(a, b)) / (la * lb)
+
+    assert set(got) == {q for q, v in asked if v}
+    for q, v in asked:
+        if v:
+            want = sorted((round(cosine(v, w), 9), i) for i, w in rows if w)[:n]
+            found = sorted((round(d, 9) + 0.0, i) for _, i, d in got[q])
+            assert [d for d, _ in found] == pytest.approx([d for d, _ in want], abs=1e-8) and len({p for p, _, _ in got[q]}) == len(want)
+            clear = want[-1][0] - 1e-7  # ids are as in brute force but for ties at the end
+            assert {i for d, i in found if d < clear} == {i for d, i in want if d < clear}
+
+
+def test_nearest_of_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    assert retrieval.nearest(empty, some).count() == 0
+    assert retrieval.nearest(some.withColumnRenamed("query_id", "vec_id"), empty.withColumnRenamed("vec_id", "query_id")).count() == 0
 
 
 def test_pages_and_context(spark):
