@@ -319,7 +319,7 @@ def choose_tables(questions: DataFrame, question: str, key: str, catalog: DataFr
     parts, period = F.split(F.lower("table_name"), "_"), F.split(F.lower("period"), " ")
     dated = F.when(F.array_join(period, "") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(period))
     postings = words(keywords, 5, 0).unionByName(words(parts, 3, 0)).unionByName(words(dated, 0, 4))
-    postings = postings.groupBy("word", "pos").agg(F.sum("points").alias("points"), F.max("period").alias("period"))
+    postings = written(postings.groupBy("word", "pos").agg(F.sum("points").alias("points"), F.max("period").alias("period")), "postings")
     # an empty word is in every question
     empty = postings.where("word = ''").select("pos", (F.col("points") + F.col("period")).alias("empty"))
     bonus = F.when(F.lower("table_name").rlike("consolidated|all"), 2).otherwise(0)

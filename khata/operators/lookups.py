@@ -101,9 +101,8 @@ def rate_in_description(df: DataFrame, description: str, card: DataFrame | list[
 def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """All (text, needle) rows where the needle occurs in the text.
 
-    A small set of needles is tested inside each text row. Otherwise every text is
-    cut into its distinct pieces of each needle length, and pieces and needles
-    meet on equality: only true hits are ever produced, never all pairs.
+    A small set of needles is tested inside each text row. Otherwise texts and needles meet in the rarest letters that a
+    needle has: only needles that may be in a text are ever tested, never all pairs.
     """
     needles = needles.where(F.length(needle) > 0)
     if rows_if_small(needles.select(needle), CARD_BOUND) is not None:
@@ -111,16 +110,40 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
         hits = F.filter("_needles", lambda n: F.col(text).contains(n[needle]))
         return (texts.withColumn("_needles", listed).withColumn("_hit", F.explode(hits))
                      .select(*texts.columns, "_hit.*"))
-    return pieces_join(texts, text, needles, needle)
+    return anchored_join(texts, text, needles, needle)
 
 
-def pieces_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    lengths = needles.agg(F.collect_set(F.length(needle))).scalar()
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.col("_n") + 1, F.lit(1)))
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.col("_n"))))
-    # of a text shorter than a length there is no piece of it
-    return (texts.withColumn("_n", F.explode(lengths)).where(F.length(text) >= F.col("_n")).withColumn("_piece", F.explode(pieces))
-                 .join(needles, F.col("_piece") == F.col(needle)).drop("_piece", "_n"))
+#: Letters of a gram, and letters of a text that are cut into grams at a time.
+GRAM, WINDOW = 3, 4096
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` letters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"))
+
+
+def anchored_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """All (text, needle) rows where the needle occurs in the text.
+
+    Each needle stands under that of its grams which fewest needles have; needles shorter than a gram are grams themselves.
+    Every distinct text is cut into its grams once, window by window; grams meet anchors on equality, and each text is then
+    searched for the needles that it may hold.
+    """
+    size, digest = F.least(F.length(needle), F.lit(GRAM)), F.md5(text)
+    own = needles.select(F.col(needle).alias("_anchored")).distinct()
+    cut = own.select("_anchored", F.explode(F.array_distinct(F.when(F.length("_anchored") >= GRAM, _grams(F.col("_anchored"), GRAM)).otherwise(
+        F.array("_anchored")))).alias("_gram"))
+    common = cut.groupBy("_gram").agg(F.count("*").alias("_n"))
+    anchors = cut.join(common, "_gram").groupBy("_anchored").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    sizes = [r[0] for r in needles.select(size.alias("s")).distinct().collect()]  # three at most
+    window = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{WINDOW + GRAM - 1}}})).{{1,{WINDOW}}}"))
+    windows = texts.select(text).distinct().select(digest.alias("_digest"), F.explode(window).alias("_window"))
+    grams = windows.select("_digest", F.explode(F.array_distinct(F.concat(
+        F.array().cast("array<string>"), *[_grams(F.col("_window"), s) for s in sizes]))).alias("_gram"))
+    maybe = grams.join(anchors, "_gram").groupBy("_digest").agg(F.collect_set("_anchored").alias("_maybe"))
+    hits = texts.withColumn("_digest", digest).join(maybe, "_digest").withColumn(
+        "_anchored", F.explode(F.filter("_maybe", lambda n: F.col(text).contains(n))))
+    return hits.join(needles, F.col("_anchored") == F.col(needle)).select(*texts.columns, *needles.columns)
 
 
 def rate_by_name_in(df: DataFrame, query: str, card: DataFrame) -> DataFrame:

@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def likely_spelling(df: DataFrame, name: str) -> DataFrame:
-    """For every distinct name: the most frequent name one edit away, if more frequent than itself.
+def _places(text: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+
+
+def _cut(text: Column, i: Column, filler: str) -> Column:
+    return F.concat(F.substr(text, F.lit(1), i - 1), F.lit(filler), F.substr(text, i + 1))
+
+
+def _shorter(text: Column) -> Column:
+    """The text without one of its letters, for each of them."""
+    return F.array_distinct(F.transform(_places(text), lambda i: _cut(text, i, "")))
+
 
-    Names one substitution apart share a pattern with one position blanked out;
-    names one letter apart in length share the shorter name. Each pattern keeps
-    only its most frequent name, so names are never paired with all their like.
+def _blanked(text: Column) -> Column:
+    """The text with one place blanked out, for each place, marked with the place."""
+    return F.transform(_places(text), lambda i: F.concat(i.cast("string"), F.lit("\x01"), _cut(text, i, "\x02")))
+
+
+def _blanked_twice(text: Column) -> Column:
+    """The text with two places blanked out; none for texts of one letter."""
+    pairs = F.flatten(F.transform(_places(text), lambda i: F.transform(F.filter(_places(text), lambda j: j > i), lambda j: F.struct(
+        i.alias("i"), j.alias("j")))))
+    return F.transform(pairs, lambda p: F.concat(p["i"].cast("string"), F.lit("\x01"), p["j"].cast("string"), F.lit("\x01"),
+                                                 _cut(_cut(text, p["j"], "\x02"), p["i"], "\x02")))
+
+
+def likely_spelling(df: DataFrame, name: str, edits: int = 1) -> DataFrame:
+    """For every distinct name: the most frequent name at most ``edits`` (1 or 2) edits away, if more frequent than itself.
+
+    Names meet in patterns of a kind in which any two of them are that near: places blanked out in both, letters left out of
+    both, or letters left out of the longer one and places blanked out. So a pattern keeps only its most frequent name, no
+    distance has to be worked out, and names are never paired with all their like.
     """
+    if edits not in (1, 2):
+        raise ValueError("one or two edits")
     names = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("uses"))
-    me = F.struct("uses", "name")
-    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
-
-    def cut(i, filler):
-        return F.concat(F.substr(F.col("name"), F.lit(1), i - 1), F.lit(filler), F.substr(F.col("name"), i + 1))
+    text, me = F.col("name"), F.struct("uses", "name")
 
-    blanked = names.select("name", "uses", F.explode(F.transform(places, lambda i: F.concat(
-        i.cast("string"), F.lit("\x01"), cut(i, "\x02")))).alias("key"))
-    shorter = names.select("name", "uses", F.explode(F.array_distinct(F.transform(places, lambda i: cut(i, "")))).alias("key"))
+    def spelled(rows: DataFrame, forms: Column) -> DataFrame:
+        return rows.select("name", "uses", F.explode(forms).alias("key"))
 
-    lead = blanked.groupBy("key").agg(F.max(me).alias("best"))
-    swaps = blanked.join(lead, "key").select("name", "uses", "best")
-    longest = shorter.groupBy("key").agg(F.max(me).alias("best"))
-    grown = names.join(longest, F.col("name") == F.col("key")).select("name", "uses", "best")
-    owners = names.select(F.col("name").alias("key"), F.struct("uses", "name").alias("best"))
-    cropped = shorter.join(owners, "key").select("name", "uses", "best")
+    def meeting(rows: DataFrame, others: DataFrame) -> DataFrame:
+        return rows.join(others.groupBy("key").agg(F.max(me).alias("best")), "key").select("name", "uses", "best")
 
-    found = swaps.unionByName(grown).unionByName(cropped).where(F.col("best") > me)
+    own = names.withColumn("key", text)
+    blanked, shorter = spelled(names, _blanked(text)), spelled(names, _shorter(text))
+    met = [meeting(blanked, blanked), meeting(own, shorter), meeting(shorter, own)]
+    if edits == 2:
+        twice, least = spelled(names, _blanked_twice(text)), spelled(shorter, _shorter(F.col("key")))
+        both = spelled(shorter, _blanked(F.col("key")))  # one letter left out, one place blanked
+        met += [meeting(twice, twice), meeting(shorter, shorter), meeting(own, least), meeting(least, own),
+                meeting(blanked, both), meeting(both, blanked)]
+    found = reduce(DataFrame.unionByName, met).where(F.col("best") > me)
     return found.groupBy("name", "uses").agg(F.max("best").alias("b")).select(
         "name", "uses", F.col("b.name").alias("likely"), F.col("b.uses").alias("likely_uses"))

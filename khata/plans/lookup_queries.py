@@ -162,7 +162,7 @@ SELECT lower(description) AS description, item_name, CAST(pos AS BIGINT) AS pos
 def w1_first_match(spark, d):
     texts = (st.from_sql(spark, d, PART_TEXT_SQL).select(F.lower("description").alias("description")).distinct())
     card = dim.goods_card(spark).select("pos", "item_name", F.lower("item_name").alias("needle"))
-    hits = lookups.pieces_join(texts, "description", card, "needle")
+    hits = lookups.anchored_join(texts, "description", card, "needle")
     return hits.groupBy("description").agg(F.min_by("item_name", "pos").alias("item_name"),
                                            F.min("pos").cast("bigint").alias("pos"))
 

@@ -313,16 +313,25 @@ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey
 """
 
 
-@query("x3_name_spelling", f"""
+def _spelling_sql(edits):
+    return f"""
 WITH n AS (SELECT vendor AS name, count(*) AS uses FROM ({st.duck(SPELLED_SQL)}) GROUP BY 1)
 SELECT a.name, a.uses, arg_max(b.name, (b.uses, b.name)) AS likely, arg_max(b.uses, (b.uses, b.name)) AS likely_uses
-FROM n a JOIN n b ON a.name <> b.name AND levenshtein(a.name, b.name) <= 1 AND (b.uses, b.name) > (a.uses, a.name)
+FROM n a JOIN n b ON a.name <> b.name AND levenshtein(a.name, b.name) <= {edits} AND (b.uses, b.name) > (a.uses, a.name)
 GROUP BY 1, 2
-""")
+"""
+
+
+@query("x3_name_spelling", _spelling_sql(1))
 def x3_name_spelling(spark, d):
     return names.likely_spelling(st.from_sql(spark, d, SPELLED_SQL), "vendor")
 
 
+@query("x3_name_spelling_two_edits", _spelling_sql(2))
+def x3_name_spelling_two_edits(spark, d):
+    return names.likely_spelling(st.from_sql(spark, d, SPELLED_SQL), "vendor", edits=2)
+
+
 _RUNS = f"""
 WITH s AS (SELECT upper(trim(sql_text, concat(' ', chr(10)))) AS s FROM ({st.duck(st.SQL_TEXTS_SQL)})),
 r AS (SELECT CASE WHEN s = '' THEN 'empty' WHEN length(s) > 10000 THEN 'too long' WHEN NOT (starts_with(s, 'SELECT') OR starts_with(s, 'WITH')) THEN 'not a query'

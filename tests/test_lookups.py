@@ -108,11 +108,14 @@ def test_value_at_rank_matches_sorting(spark):
         assert got[k] == vals[int(len(vals) * 0.95)]
 
 
-def test_likely_spelling_matches_brute_force(spark):
+@pytest.mark.parametrize("edits", [1, 2])
+def test_likely_spelling_matches_brute_force(spark, edits):
     rnd = random.Random(4)
     base = ["ENTERPRISES", "ENTERPRICES", "TRADERS", "TRADER", "STORE", "STORES", "AB", "BA", "A", ""]
-    texts = [rnd.choice(base) for _ in range(300)] + ["TRADERZ", "XTRADERS", "ENTERRISES"]
-    got = {(r.name, r.likely) for r in names.likely_spelling(spark.createDataFrame([(t,) for t in texts], "n string"), "n").collect()}
+    texts = [rnd.choice(base) for _ in range(300)] + ["TRADERZ", "XTRADERS", "ENTERRISES", "TARDERS", "STROE", "ETERPRISESS", "ÉNTERPRICE", "B"]
+    texts += ["".join(rnd.choice("AB") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "n string")
+    got = {(r.name, r.likely) for r in names.likely_spelling(rows, "n", edits).collect()}
 
     def edit(a, b):
         row = list(range(len(b) + 1))
@@ -125,7 +128,7 @@ def test_likely_spelling_matches_brute_force(spark):
     uses = {t: texts.count(t) for t in set(texts)}
     want = set()
     for a in uses:
-        near = [(uses[b], b) for b in uses if a != b and edit(a, b) <= 1 and (uses[b], b) > (uses[a], a)]
+        near = [(uses[b], b) for b in uses if a != b and edit(a, b) <= edits and (uses[b], b) > (uses[a], a)]
         if near:
             want.add((a, max(near)[1]))
     assert got == want
@@ -146,3 +149,29 @@ def test_one_answer_for_every_card_size(spark):
     card = spark.createDataFrame(full, "pos int, kind string, name string, code string, rate int, category string, note string")
     queries = spark.createDataFrame([(1, "TOP"), (2, "nothing"), (3, None), (4, "")], "k int, q string")
     assert {r.k: r.code for r in lookups.rate_by_name_in(queries, "q", card).collect()} == {1: "3", 2: None, 3: None, 4: "1"}
+
+
+def test_anchored_search_matches_plain_search(spark, monkeypatch):
+    """Needles of one letter up to whole texts, over windows that cut needles apart."""
+    monkeypatch.setattr(lookups, "WINDOW", 50)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abé ") for _ in range(rnd.randint(1, 90))) for _ in range(400)]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(40)] + [words[0], "", "😀ab", None]
+    words += ["😀a", "nowhere", "", None]
+    found = lookups.anchored_join(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t",
+                                  spark.createDataFrame(list(enumerate(words)), "n int, w string").where("w <> ''"), "w")
+    assert found.columns == ["k", "t", "n", "w"]
+    want = {(k, n) for k, t in enumerate(texts) for n, w in enumerate(words) if t and w and w in t}
+    got = [(r.k, r.n) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_many_needles_in_long_texts(spark):
+    """10,000 needles of 40 lengths over texts of 1 MB."""
+    rnd = random.Random(9)
+    needles = ["".join(rnd.choice("abcdefghij") for _ in range(3 + i % 40)) for i in range(10_000)]
+    texts = [" ".join(rnd.choice(needles) if rnd.random() < 0.002 else "filler text" for _ in range(88_000)) for _ in range(2)]
+    found = lookups.anchored_join(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t",
+                                  spark.createDataFrame([(n,) for n in set(needles)], "w string"), "w")
+    got = {(r.k, r.w) for r in found.select("k", "w").collect()}
+    assert got == {(k, n) for k, t in enumerate(texts) for n in set(needles) if n in t}
