@@ -25,6 +25,15 @@ def orders_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def order_files(spark: SparkSession, sf_dir: str, every: int) -> str:
+    """A CSV file of one order, for one order in ``every``, in a folder that has the file's name."""
+    path = shared_dir(spark, "order-files")
+    orders = st.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
+    (orders.select(F.concat(F.lit("order "), "o_orderkey", F.lit(".csv")).alias("name"), "o_orderkey", "o_custkey")
+     .write.option("header", True).partitionBy("name").csv(path))
+    return path
+
+
 def messy_csv(spark: SparkSession, sf_dir: str) -> str:
     """A file per nation: title lines, a header, one line per customer, the header once more, an empty column."""
     path = shared_dir(spark, "messy-csv")

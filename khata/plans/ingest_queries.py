@@ -156,9 +156,16 @@ def s13_saved_table(spark, d):
     return _by_status(spark.table("khata_saved_orders"))
 
 
-@query("s14_file_manifest")
+@query("s14_file_manifest", """
+SELECT concat('order ', o_orderkey, '.csv') AS filename, md5(concat('o_orderkey,o_custkey', chr(10), o_orderkey, ',', o_custkey, chr(10))) AS file_hash,
+       CAST(strlen(concat(o_orderkey, o_custkey)) + 23 AS BIGINT) AS file_size
+FROM orders WHERE o_orderkey % 500 = 0
+""")
 def s14_file_manifest(spark, d):
-    return manifest.scan_files(spark, fixtures.orders_csv(spark, d)).select("filename", "file_hash", "file_size")
+    """Digests of real files, one for every five hundredth order, as a folder scan finds them."""
+    folder = fixtures.order_files(spark, d, 500)
+    return manifest.scan_files(spark, folder, recursive=True).select(
+        F.regexp_extract("file_path", "/name=([^/]+)/", 1).alias("filename"), "file_hash", "file_size").withColumn("filename", F.url_decode("filename"))
 
 
 _CHANGES = f"""
@@ -244,7 +251,11 @@ def u3_file_sets(spark, d):
 @query("s19_manifest_store", _CHANGES + "SELECT filename, file_hash, file_size, table_name FROM o")
 def s19_manifest_store(spark, d):
     path = shared_dir(spark, "manifest")
-    manifest.write_manifest(st.from_sql(spark, d, st.OLD_FILES_SQL), path)
+    files = st.from_sql(spark, d, st.OLD_FILES_SQL)
+    manifest.write_manifest(files.where(F.col("file_size") % 2 == 0), path)
+    rest = files.where(F.col("file_size") % 2 != 0)
+    # overwritten in place with what was read from it
+    manifest.write_manifest(manifest.read_manifest(spark, path).unionByName(rest, allowMissingColumns=True), path)
     return manifest.read_manifest(spark, path).select("filename", "file_hash", "file_size", "table_name")
 
 
@@ -261,7 +272,8 @@ def s21_catalog_store(spark, d):
     fresh = names.where(bank | sales).select(
         F.when(bank, F.concat("table_name", F.lit("_new"))).otherwise(F.col("table_name")).alias("table_name"),
         F.lit("fresh").alias("description"))
-    return stores.upsert(stores.read_catalog(spark, path), fresh).select("table_name", "description")
+    stores.write_catalog(stores.upsert(stores.read_catalog(spark, path), fresh), path)
+    return stores.read_catalog(spark, path).select("table_name", "description")
 
 
 @query("s22_metrics_store", f"WITH log AS ({st.duck(st.METRICS_SQL)}) SELECT name, type, count(*) AS records, max(value) AS max_value FROM log GROUP BY 1, 2")

@@ -16,11 +16,18 @@ from khata.streaming import ingest, running_metrics
 SELECT o_orderstatus, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total FROM orders GROUP BY 1
 """)
 def st1_new_files(spark, d):
-    folder, dataset, checkpoint = fixtures.orders_csv(spark, d), shared_dir(spark, "stream-orders"), shared_dir(spark, "stream-check")
-    schema = T.StructType.fromDDL(fixtures.ORDERS_CSV)
-    ingest.load_new_files(spark, folder, schema, dataset, checkpoint)
+    """Orders as they come in three rounds, the last with files that cannot be read beside them."""
+    folder, dataset, checkpoint = shared_dir(spark, "stream-orders"), shared_dir(spark, "stream-rows"), shared_dir(spark, "stream-check")
+    orders, schema = st.table(spark, d, "orders"), T.StructType.fromDDL(fixtures.ORDERS_CSV)
+    for part in range(3):
+        some = orders.where(F.col("o_orderkey") % 3 == part).selectExpr(
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "CAST(o_orderdate AS DATE) AS o_orderdate")
+        some.write.option("header", True).csv(f"{folder}/{part}")
+        if part == 2:
+            some.limit(1).select(F.lit("no workbook").alias("value")).coalesce(1).write.text(f"{folder}/broken.xlsx")
+        ingest.load_new_files(spark, folder, schema, dataset, checkpoint)
     ingest.load_new_files(spark, folder, schema, dataset, checkpoint)  # nothing new: the same files count once
-    return spark.read.parquet(dataset).groupBy("o_orderstatus").agg(
+    return ingest.read_rows(spark, dataset, schema).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("total"))
 
 
@@ -30,11 +37,14 @@ SELECT CAST(ts AS DATE) AS day, name, count(*) AS calls, CAST(sum(CAST(value AS
 FROM log GROUP BY 1, 2
 """)
 def st2_running_metrics(spark, d):
-    given = st.table(spark, d, "events")
-    events = (spark.readStream.schema(given.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-              .withColumn("ts", F.col("ts").cast("timestamp")))
-    log = spark.sql(st.METRICS_SQL, events=events)
-    path, checkpoint = shared_dir(spark, "metrics"), shared_dir(spark, "metrics-check")
-    running_metrics.run(running_metrics.windowed(log), path, checkpoint)
-    out = running_metrics.latest(spark.read.parquet(path))
+    """The log as it comes in two rounds, the second with rows of all days, most of them later than the watermark."""
+    log = spark.sql(st.METRICS_SQL, events=st.table(spark, d, "events")).select("name", "value", F.col("ts").cast("timestamp").alias("ts"))
+    source, path, checkpoint = (shared_dir(spark, n) for n in ("metrics-log", "metrics", "metrics-check"))
+    late = F.pmod(F.xxhash64("name", "ts", "value"), F.lit(3)) == 0
+    for part, rows in enumerate((log.where(~late), log.where(late))):
+        rows.write.parquet(f"{source}/{part}")
+        stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(source)
+        running_metrics.run(stream, path, checkpoint)
+        running_metrics.compact(spark, path)
+    out = running_metrics.latest(spark, path)
     return out.select(F.to_date("window_start").alias("day"), "name", "calls", F.col("total").cast("double").alias("total"), "max_value", "min_value")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.functions.text import table_name_of
 from khata.session import written
-from khata.sources import csv_source
+from khata.sources import csv_source, delimited, snapshots
 from khata.sources.csv_source import with_columns
-from khata.sources.folder import cells_of_files, errors_of, file_name, files_in
+from khata.sources.digests import file_digests
+from khata.sources.folder import cells_of_files, errors_of, file_name
 
 MANIFEST = ("filename string, file_path string, file_hash string, file_size bigint, modified_time timestamp, "
             "last_loaded timestamp, table_name string, sheet_type string, row_count bigint")
@@ -22,9 +25,12 @@ def describe(files: DataFrame, with_hash: bool = True) -> DataFrame:
                         F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"))
 
 
-def scan_files(spark: SparkSession, folder: str, with_hash: bool = True) -> DataFrame:
-    """Data files of a folder: name, path, MD5, size and time. Without the hash no content is read."""
-    return describe(files_in(spark, folder), with_hash)
+def scan_files(spark: SparkSession, folder: str, with_hash: bool = True, recursive: bool = False) -> DataFrame:
+    """Data files of a folder: name, path, MD5, size and time, for files of any size. Without the hash no content is read."""
+    found = file_digests(spark, folder, hashed=with_hash, recursive=recursive)
+    columns = ["file_hash"] if with_hash else []
+    return found.select(file_name(F.col("path")).alias("filename"), F.col("path").alias("file_path"), *columns,
+                        F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"))
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,21 +87,23 @@ def forget(manifest: DataFrame, filenames: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A written manifest; empty where there is none or where a line cannot be read."""
+    """The last written manifest; empty where there is none or where a line cannot be read."""
     empty = spark.createDataFrame([], MANIFEST)
-    try:
-        raw = (spark.read.schema(MANIFEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    raw = snapshots.read(spark, path, MANIFEST + ", _bad string", columnNameOfCorruptRecord="_bad")
+    if raw is None:  # a plain file of lines, as other programs write it
+        try:
+            raw = spark.read.schema(MANIFEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(f"{path}/*.json")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return empty
-        raise
     broken = raw.agg(F.coalesce(F.bool_or(F.col("_bad").isNotNull() | F.col("filename").isNull()), F.lit(False))).scalar()
     return raw.where(~broken).drop("_bad")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Write to a path other than the one ``manifest`` is read from."""
-    manifest.write.mode("overwrite").json(path)
+    """A new snapshot of the manifest; ``manifest`` may come from the same path."""
+    snapshots.write(manifest, path)
 
 
 def accepted(files: DataFrame) -> DataFrame:
@@ -113,8 +121,26 @@ def listing(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def incremental_load(spark: SparkSession, folder: str, dataset: str, old_manifest: str, new_manifest: str,
                      columns: dict[str, str] | None = None) -> DataFrame:
-    """Load what changed in ``folder`` into ``dataset``, write the new manifest, and return the changes with errors."""
-    return load_files(files_in(spark, folder), dataset, old_manifest, new_manifest, columns)
+    """Load what changed in ``folder`` into ``dataset``, write the new manifest, and return the changes with errors.
+
+    Files may be of any size: they are hashed as streams, and CSV files are read as lines, each split over many tasks. The
+    manifests may be one path. See :func:`load_files` for what is loaded.
+    """
+    now = written(scan_files(spark, folder), "files")
+    return _load(spark, now, dataset, old_manifest, new_manifest, columns, lambda plan: cells_at(spark, [
+        r["file_path"] for r in now.join(plan, "filename", "left_semi").select("file_path").collect()]))
+
+
+def cells_at(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_file, cells, error) of the files at ``paths``, by extension; see :func:`folder.cells_of_files`."""
+    named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]  # names, not patterns
+    tables, others = ([p for p in named if p.lower().endswith(".csv") == is_csv] for is_csv in (True, False))
+    books = spark.read.format("binaryFile").load(others) if others else spark.createDataFrame([], "path string, content binary")
+    cells = cells_of_files(books.select("path", "content"))
+    if tables:
+        lines = delimited.line_cells(delimited.file_lines(spark, tables, recursive=False))
+        cells = cells.unionByName(lines.select("source_file", "cells", "error"))
+    return cells
 
 
 def load_files(files: DataFrame, dataset: str, old_manifest: str, new_manifest: str,
@@ -127,12 +153,18 @@ def load_files(files: DataFrame, dataset: str, old_manifest: str, new_manifest:
     what the manifest names. A file that cannot be read has its ``error`` in the result and is not in the new manifest, so
     the next run tries it again.
     """
-    spark = files.sparkSession
-    old, now = read_manifest(spark, old_manifest), describe(files)
-    changes = detect_changes(old, now)
+    def cells(plan: DataFrame) -> DataFrame:
+        wanted = files.withColumn("filename", file_name(F.col("path"))).join(plan.select("filename"), "filename", "left_semi")
+        return cells_of_files(wanted.select("path", "content"))
+
+    return _load(files.sparkSession, describe(files), dataset, old_manifest, new_manifest, columns, cells)
+
+
+def _load(spark: SparkSession, now: DataFrame, dataset: str, old_manifest: str, new_manifest: str, columns: dict[str, str] | None, cells_of) -> DataFrame:
+    old = read_manifest(spark, old_manifest)
+    changes = written(detect_changes(old, now), "changes")
     plan = written(load_plan(changes, stored_tables(spark, dataset)), "plan")
-    wanted = files.withColumn("filename", file_name(F.col("path"))).join(plan.select("filename"), "filename", "left_semi")
-    cells = cells_of_files(wanted.select("path", "content"))
+    cells = cells_of(plan)
     errors = errors_of(cells).select(file_name(F.col("source_file")).alias("filename"), "error")
     name = file_name(F.col("source_file"))
     sound = cells.where("error is null").join(cells.where("error is not null").select("source_file"), "source_file", "left_anti")
@@ -152,13 +184,15 @@ def load_files(files: DataFrame, dataset: str, old_manifest: str, new_manifest:
 
 
 def stored_tables(spark: SparkSession, dataset: str) -> DataFrame:
-    """Tables that the dataset holds; none where there is no dataset."""
+    """Tables that the dataset holds, by the names of its folders; none where there is no dataset. No row is read."""
     try:
-        return spark.read.parquet(dataset).select(F.col("source_table").alias("table_name")).distinct()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(dataset)
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "table_name string")
+    name = F.url_decode(F.regexp_extract("path", "/source_table=([^/]*)/", 1))
+    return files.select(name.alias("table_name")).where("table_name <> ''").distinct()
 
 
 def open_dataset(spark: SparkSession, dataset: str, manifest: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from khata.functions.rules import tenant_id
+from khata.sources import snapshots
 
 CATALOG = ("table_name string, source_file string, description string, data_type string, row_count bigint, "
            "columns array<struct<name:string,type:string,description:string>>, keywords array<string>, "
@@ -18,11 +19,14 @@ PROFILE = ("customer_id string, company_name string, gstin string, email string,
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CATALOG).json(path)
+    """The last written catalog, empty where there is none."""
+    found = snapshots.read(spark, path, CATALOG)
+    return spark.createDataFrame([], CATALOG) if found is None else found
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    catalog.write.mode("overwrite").json(path)
+    """A new snapshot; ``catalog`` may come from the same path, and readers keep the one that they have begun."""
+    snapshots.write(catalog, path)
 
 
 def upsert(catalog: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Files on disk: CSV, workbooks, manifests, catalogs, streams."""
 
+import hashlib
 import json
 import random
 import shutil
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from khata.operators.metrics import usage
 from khata.plans.fixtures import workbook_bytes
 from khata.session import build_session, shared_dir, spread
-from khata.sources import csv_source, delimited, dimensions, folder, manifest, stores, workbook
+from khata.sources import csv_source, delimited, digests, dimensions, folder, manifest, snapshots, stores, workbook
 from khata.streaming import ingest, running_metrics
 
 
@@ -115,7 +116,7 @@ def test_columns_go_by_name(spark, tmp_path):
         assert sorted((r.a, r.b) for r in rows.collect()) == [(1, "x"), (2, "y")]
     dataset = str(tmp_path / "ds")
     ingest.load_new_files(spark, d, schema, dataset, str(tmp_path / "check"))
-    assert sorted((r.a, r.b) for r in spark.read.parquet(dataset).collect()) == [(1, "x"), (2, "y")]
+    assert sorted((r.a, r.b) for r in ingest.read_rows(spark, dataset, schema).collect()) == [(1, "x"), (2, "y")]
     with pytest.raises(Exception, match="header|Header"):
         csv_source.read_clean(spark, d, "a INT, b STRING").collect()
 
@@ -309,24 +310,100 @@ def test_file_stream_takes_each_file_once(spark, tmp_path):
     d = write(tmp_path / "in", one__csv="a,b\n1,x\n")
     schema = T.StructType.fromDDL("a INT, b STRING")
     dataset, check = str(tmp_path / "out"), str(tmp_path / "check")
+    assert ingest.read_rows(spark, dataset, schema).count() == 0
     ingest.load_new_files(spark, d, schema, dataset, check)
-    write(tmp_path / "in", **{"Two-b__csv": "a,b\n2,y\n3,z\n"})
+    write(tmp_path / "in", **{"Two-b__csv": "a,b\n2,y\n3,z\n", "odd [1] {x}__csv": "b,a\nw,4\n"})
+    (tmp_path / "in" / "book.xlsx").write_bytes(workbook_bytes([["A", "B", "C"], [5, "v", "c"]]))
+    (tmp_path / "in" / "bad.xlsx").write_bytes(b"no workbook")
     ingest.load_new_files(spark, d, schema, dataset, check)
-    got = sorted((r.source_table, r.a) for r in spark.read.parquet(dataset).collect())
-    assert got == [("one", 1), ("two_b", 2), ("two_b", 3)]
+    want = [("book", 5, "v"), ("odd_[1]_{x}", 4, "w"), ("one", 1, "x"), ("two_b", 2, "y"), ("two_b", 3, "z")]
+    got = lambda: sorted((r.source_table, r.a, r.b) for r in ingest.read_rows(spark, dataset, schema).collect())
+    assert got() == want
+    files = {r.filename: (r.row_count, r.error is None, r.batch_id) for r in ingest.read_files(spark, dataset).collect()}
+    assert files == {"one.csv": (1, True, 0), "Two-b.csv": (2, True, 1), "odd [1] {x}.csv": (1, True, 1), "book.xlsx": (1, True, 1), "bad.xlsx": (0, False, 1)}
+    # the last batch is run again, as after a failure before its commit
+    (tmp_path / "check" / "commits" / "1").unlink()
+    (tmp_path / "check" / "commits" / ".1.crc").unlink(missing_ok=True)
+    ingest.load_new_files(spark, d, schema, dataset, check)
+    assert got() == want and ingest.read_files(spark, dataset).count() == 5
+    # rows of a batch that broke off before its manifest do not count
+    shutil.copytree(tmp_path / "out" / "rows" / "batch_id=1", tmp_path / "out" / "rows" / "batch_id=2")
+    assert got() == want
 
 
-def test_running_metrics_over_two_batches(spark, tmp_path):
-    schema = "name string, value double, ts timestamp"
+def test_running_metrics_over_batches(spark, tmp_path):
+    """Rows far behind the watermark count like others, and are counted as late; compaction and replay change nothing."""
     src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
 
     def add(rows):
         df = spark.createDataFrame(rows, "name string, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(src)
-        log = spark.readStream.schema(schema).parquet(src)
-        running_metrics.run(running_metrics.windowed(log), out, check)
-
-    add([("a", 1.0, "2024-01-01 01:00:00"), ("a", 5.0, "2024-01-02 01:00:00")])
-    add([("a", 2.0, "2024-01-01 09:00:00")])
-    got = {str(r.window_start)[:10]: (r.calls, float(r.total)) for r in running_metrics.latest(spark.read.parquet(out)).collect()}
-    assert got == {"2024-01-01": (2, 3.0), "2024-01-02": (1, 5.0)}
+        running_metrics.run(spark.readStream.schema("name string, value double, ts timestamp").parquet(src), out, check)
+
+    def figures():
+        return {str(r.window_start)[:10]: (r.calls, float(r.total), r.max_value, r.min_value, r.late_calls)
+                for r in running_metrics.latest(spark, out).collect()}
+
+    running_metrics.compact(spark, out)
+    assert figures() == {}
+    add([("a", 1.0, "2024-01-01 01:00:00"), ("a", 5.0, "2024-01-09 01:00:00")])
+    add([("a", 2.0, "2024-01-01 09:00:00"), ("a", 7.0, "2024-01-08 09:00:00")])
+    want = {"2024-01-01": (2, 3.0, 2.0, 1.0, 1), "2024-01-08": (1, 7.0, 7.0, 7.0, 0), "2024-01-09": (1, 5.0, 5.0, 5.0, 0)}
+    assert figures() == want
+    running_metrics.compact(spark, out)
+    running_metrics.compact(spark, out)
+    assert figures() == want
+    add([("a", 4.0, "2024-01-01 10:00:00")])
+    want["2024-01-01"] = (3, 7.0, 4.0, 1.0, 2)
+    assert figures() == want
+    (tmp_path / "check" / "commits" / "2").unlink()
+    (tmp_path / "check" / "commits" / ".2.crc").unlink(missing_ok=True)
+    running_metrics.run(spark.readStream.schema("name string, value double, ts timestamp").parquet(src), out, check)
+    assert figures() == want
+    shutil.copytree(tmp_path / "out" / "added" / "batch_id=2", tmp_path / "out" / "added" / "batch_id=3")  # broke off before its mark
+    assert figures() == want
+
+
+# --- digests and snapshots -----------------------------------------------------------
+
+def test_digests_stream_files(spark, tmp_path):
+    """Files larger than the buffer, as those above 2 GB are larger than the usual one; sparse, empty and hidden files."""
+    d = tmp_path / "files"
+    (d / "sub").mkdir(parents=True)
+    data = bytes(range(256)) * 5000
+    (d / "large é.csv").write_bytes(data)
+    (d / "sub" / "empty.CSV").write_bytes(b"")
+    (d / "sub" / "empty.csv").write_bytes(b"")
+    (d / "sub" / "_hidden.csv").write_bytes(b"x")
+    (d / "note.txt").write_bytes(b"x")
+    with open(d / "sparse.xlsx", "wb") as f:
+        f.truncate(300 << 20)
+    rows = {r.path.rsplit("/", 1)[-1]: (r.length, r.file_hash) for r in digests.file_digests(spark, str(d), buffer=1000 * 1024).collect()}
+    zeros = hashlib.md5()
+    for _ in range(300):
+        zeros.update(bytes(1 << 20))
+    assert rows == {"large é.csv": (len(data), hashlib.md5(data).hexdigest()), "empty.csv": (0, hashlib.md5(b"").hexdigest()),
+                    "sparse.xlsx": (300 << 20, zeros.hexdigest())}
+    assert digests.file_digests(spark, str(d), hashed=False).where("file_hash is not null").count() == 0
+    assert digests.file_digests(spark, str(tmp_path / "nowhere")).count() == 0
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(str(d))
+    ours = digests.file_digests(spark, str(d), globs=("*.csv",))
+    assert {r.path for r in listed.select("path").collect()} == {r.path for r in ours.where("length > 0").collect()}
+    assert digests.file_digests(spark, str(d), recursive=False).count() == 2
+
+
+def test_snapshots(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "a int"
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], schema)
+    values = lambda df: sorted(r.a for r in df.collect())
+    assert snapshots.read(spark, path, schema) is None
+    assert snapshots.write(frame(1, 2), path) == 1
+    reader = snapshots.read(spark, path, schema)
+    assert snapshots.write(reader.where("a = 2").unionByName(frame(3)), path) == 2  # in place
+    assert values(reader) == [1, 2] and values(snapshots.read(spark, path, schema)) == [2, 3]  # a reader keeps what it began with
+    with pytest.raises(Exception):  # a write that breaks off
+        snapshots.write(spark.range(1).select(F.raise_error(F.lit("stop")).cast("int").alias("a")), path)
+    assert values(snapshots.read(spark, path, schema)) == [2, 3]
+    (tmp_path / "store" / "commits" / "00000003" / "_temporary").mkdir(parents=True)  # a commit that breaks off
+    assert snapshots.write(frame(9), path) == 4 and values(snapshots.read(spark, path, schema)) == [9]
+    assert snapshots.write(frame(), path) == 5 and values(snapshots.read(spark, path, schema)) == []
