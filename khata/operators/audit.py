@@ -93,14 +93,14 @@ def issues_from(df: DataFrame, checks: list[Column], keep: list[str]) -> DataFra
     return each.where(F.col("_i").isNotNull()).select(*keep, "_i.*")
 
 
-def _with_rate(ledger: DataFrame, card) -> DataFrame:
+def with_rate(ledger: DataFrame, card) -> DataFrame:
     """The ledger with ``correct_rate``; without a description column there is nothing to look up."""
     item = role_column(ledger.columns, "description")
     return rate_in_description(ledger, item, card) if item else ledger
 
 
 def check_rates(ledger: DataFrame, card, keep: list[str]) -> DataFrame:
-    return issues_from(_with_rate(ledger, card), [rate_issue(ledger.columns)], keep)
+    return issues_from(with_rate(ledger, card), [rate_issue(ledger.columns)], keep)
 
 
 def check_blocked(ledger: DataFrame, keep: list[str], strict: bool = False) -> DataFrame:
@@ -116,7 +116,7 @@ def audit(ledger: DataFrame, card, as_of: Column, keep: list[str] | None = None,
     """All checks, one row per issue. Name only the ``fields`` you need: texts that
     nobody reads are then never built."""
     cols = ledger.columns
-    return issues_from(_with_rate(ledger, card), [
+    return issues_from(with_rate(ledger, card), [
         rate_issue(cols, fields), blocked_issue(cols, fields), ageing_issue(cols, as_of, fields)], keep or [])
 
 

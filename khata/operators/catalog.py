@@ -141,12 +141,21 @@ def records(df: DataFrame, order: list[str], table: str = "source_table", catalo
 def overview(df: DataFrame, table: str = "source_table", first_columns: int = 5) -> DataFrame:
     """Rows, columns, date range and null counts of the first columns per table."""
     data = [c for c in df.columns if c != table]
-    dated = next((c for c in data if any(w in c.lower() for w in ("date", "time", "created", "invoice"))), None)
+    dated = dated_column(data)
     aggs = [F.count(F.lit(1)).alias("row_count")]
     if dated:
         aggs += [F.min(dated).cast("string").alias("min_date"), F.max(dated).cast("string").alias("max_date")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in data[:first_columns]]
-    out = df.groupBy(table).agg(*aggs)
+    return overview_rows(df.groupBy(table).agg(*aggs), table, data, dated is not None, first_columns)
+
+
+def dated_column(data: list[str]) -> str | None:
+    """The first column that a date range is taken from."""
+    return next((c for c in data if any(w in c.lower() for w in ("date", "time", "created", "invoice"))), None)
+
+
+def overview_rows(out: DataFrame, table: str, data: list[str], dated: bool, first_columns: int) -> DataFrame:
+    """The overview from counts per table."""
     nulls = F.array_compact(F.array(*[
         F.when(F.col(f"_n_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"_n_{c}"))) for c in data[:first_columns]]))
     return out.select(table, "row_count", F.lit(len(data)).cast("bigint").alias("column_count"),

@@ -22,11 +22,16 @@ def vendor_scores(ledger: DataFrame, by_table: bool = True) -> DataFrame:
     total = F.coalesce(F.sum(amount), F.lit(0)) if amount else F.lit(0)
     out = ledger.where(F.col(vendor).isNotNull()).groupBy(*keys).agg(
         n.alias("transactions"), total.cast("double").alias("total_value"))
+    return scored(out, ["source_table"] if by_table else [], vendor)
+
+
+def scored(totals: DataFrame, keys: list[str], vendor: str) -> DataFrame:
+    """Score and risk for each row of transactions and value."""
     score = F.least(F.lit(fv.VENDOR_SCORE_MAX),
                     F.col("transactions") * fv.VENDOR_SCORE_STEP + fv.VENDOR_BASE_SCORE)
     risks = F.array_compact(F.array(F.when(F.col("transactions") < fv.VENDOR_MIN_HISTORY, "Limited transaction history")))
-    return out.select(
-        *(["source_table"] if by_table else []), F.substring(vendor, 1, 50).alias("vendor"),
+    return totals.select(
+        *keys, F.substring(vendor, 1, 50).alias("vendor"),
         "transactions", "total_value", score.cast("bigint").alias("score"), risks.alias("risk_factors"))
 
 
@@ -55,10 +60,13 @@ def monthly_average(ledger: DataFrame, name: str, mode: str = "rows") -> DataFra
 def cash_flow(sales: DataFrame, purchases: DataFrame, as_of: Column,
               months: int = fv.FORECAST_MONTHS, mode: str = "rows") -> DataFrame:
     """Projected inflow, outflow, tax and net for the coming months."""
-    averages = (sales.sparkSession.range(1).select(
-        monthly_average(sales, "v", mode).scalar().alias("avg_in"),
-        monthly_average(purchases, "v", mode).scalar().alias("avg_out"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("i")))
+    return projected(monthly_average(sales, "v", mode), monthly_average(purchases, "v", mode), as_of, months)
+
+
+def projected(incoming: DataFrame, outgoing: DataFrame, as_of: Column, months: int = fv.FORECAST_MONTHS) -> DataFrame:
+    """The projection from two frames of one average each."""
+    averages = (incoming.sparkSession.range(1).select(incoming.scalar().alias("avg_in"), outgoing.scalar().alias("avg_out"))
+                .select("*", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("i")))
     growth = F.lit(1.0) + F.col("i") * F.lit(0.05)
     day = F.date_add(as_of, F.lit(30) * (F.col("i") + 1))
     out = averages.select(

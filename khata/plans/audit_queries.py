@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from khata.functions import fixed_values as fv
-from khata.operators import audit, catalog, recommend, report, strategy
+from khata.operators import audit, catalog, recommend, report, strategy, summary
 from khata.plans import standins as st
 from khata.plans.duck import any_contains, lit
 from khata.plans.lookup_queries import GOODS, ITEM_RATES
-from khata.plans.registry import query
+from khata.plans.registry import ORACLE, query
+from khata.session import written
 
 AS_OF_SQL = f"DATE '{st.AS_OF}'"
 KEEP = ["source_table", "bill_no"]
@@ -329,13 +330,17 @@ def critical_first(spark, d):
 
 
 def all_recommendations(spark, d):
-    nulls = catalog.null_totals(st.purchase_ledger(spark, d, "source_table", "payment_date"), ["payment_date"])
-    scores = strategy.vendor_scores(monthly_purchases(spark, d))
-    return recommend.recommendations(nulls, critical_first(spark, d), forecast(spark, d), scores, with_msme_check=True)
+    """From a summary of the ledger: vendors are scored by month, gaps counted by table."""
+    lines = ledger(spark, d, "source_table", "source_month", "bill_no", "invoice_date", "payment_date", "vendor", "total_value")
+    found = summary.summarize(lines, st.as_of(), ["payment_date"], ISSUE_ORDER, scored_by="source_month")
+    critical = summary.first_critical(lines, found, st.as_of(), ISSUE_ORDER)
+    return recommend.recommendations(summary.null_totals(found), critical, summary.forecast(sales(spark, d), found, st.as_of()),
+                                     summary.vendor_scores(found), with_msme_check=True)
 
 
 def top_recommendations(spark, d):
-    return recommend.prioritized(recommend.without_repeats(all_recommendations(spark, d)))
+    """At most ten rows, written as some queries read them more than once."""
+    return written(recommend.prioritized(recommend.without_repeats(all_recommendations(spark, d))), "recommendations")
 
 
 def _rec_row(recs):
@@ -444,16 +449,55 @@ def b15_parsed_replies(spark, d):
     return out.withColumn("actions", F.array_join("actions", " | "))
 
 
-@query("b9_strategy_report")
-def b9_strategy_report(spark, d):
-    parts = strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of())
-    return report.as_rows({k: v for k, v in parts.items() if k != "scores"})
+def _lines(section, source, keys=(), texts=(), amounts=()):
+    """Report lines of a section in DuckDB; ``texts`` and ``amounts`` are names of columns."""
+    fields = [f"{{'field': '{t}', 'text': CAST({t} AS VARCHAR), 'amount': CAST(NULL AS DOUBLE)}}" for t in texts]
+    fields += [f"{{'field': '{n}', 'text': CAST(NULL AS VARCHAR), 'amount': round(CAST({n} AS DOUBLE), 2)}}" for n in amounts]
+    item = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    return f"SELECT '{section}' AS section, {item} AS item, unnest([{', '.join(fields)}], recursive := true) FROM ({source})"
+
+
+_RISKS = "CASE WHEN transactions < 3 THEN 'Limited transaction history' ELSE '' END AS risk_factors"
+_FORECAST_LINES = _lines("forecast", "FROM forecast", ["period"], [], ["month_no", "inflows", "outflows", "confidence", "tax", "net"])
+_NOTES = ORACLE["b8_strategy_notes"]
+_NOTE_ROWS = _NOTES[_NOTES.index("v AS (SELECT count(*)"):_NOTES.index("SELECT CAST(pos AS BIGINT)")]
+_NOTE_LINES = _lines("notes", """SELECT CAST(pos AS BIGINT) AS pos, note FROM notes
+  UNION ALL SELECT 0, 'No immediate strategic concerns identified.' WHERE (SELECT count(*) FROM notes) = 0""", ["pos"], ["note"])
+_VENDOR_FIELDS = (["source_table", "vendor"], ["risk_factors"], ["transactions", "total_value", "score"])
 
 
-@query("b16_full_report")
+def _best_vendors(n):
+    return f"SELECT *, {_RISKS} FROM vendor_scores ORDER BY score DESC, source_table, vendor LIMIT {n}"
+
+
+@query("b9_strategy_report", WITH_CASH + "," + _MONTHLY + "," + _NOTE_ROWS + " UNION ALL ".join([
+    _lines("vendors", _best_vendors(20), *_VENDOR_FIELDS), _FORECAST_LINES, _NOTE_LINES,
+    _lines("insights", _ITEMS, ["source_table", "item"], ["insight"], ["revenue", "place"])]))
+def b9_strategy_report(spark, d):
+    parts = strategy.strategy_report(sales(spark, d), monthly_purchases(spark, d), st.as_of())
+    return report.as_lines({k: v for k, v in parts.items() if k != "scores"})
+
+
+_BY_TABLE = _MONTHLY.replace("concat('purchase_', strftime(invoice_date, '%Y_%m')) AS source_table", "source_table")
+_REPORT_RECS = _RECS.replace("FROM ranked ORDER BY rank, impact DESC, rec_id LIMIT 10", "FROM ranked WHERE grp <> 5 ORDER BY rank, impact DESC, rec_id LIMIT 7")
+_REPORT_NULLS = ", ".join(f"CASE WHEN count(*) FILTER ({c} IS NULL) > 0 THEN concat('{n}: ', count(*) FILTER ({c} IS NULL)) END" for n, c in (
+    ("bill_no", "bill_no"), ("invoice_date", "invoice_date"), ("payment_date", "payment_date"), ("description", "description"), ("gst_rate", "charged_rate")))
+_A15 = ORACLE["a15_audit_totals"]
+
+
+@query("b16_full_report", WITH_ISSUES + "," + _CASH + "," + _BY_TABLE + "," + _FIRST_CRITICAL.replace("source_table, bill_no, description", "source_table, description")
+       + "," + _REPORT_RECS + "," + _NOTE_ROWS.rstrip() + "," + _SUMMARY[:_SUMMARY.index("SELECT total_savings, critical")].rstrip() + " ".join(["", " UNION ALL ".join([
+           _lines("overview", f"""SELECT source_table, count(*) AS row_count, 9 AS column_count, min(CAST(invoice_date AS VARCHAR)) AS min_date,
+             max(CAST(invoice_date AS VARCHAR)) AS max_date, array_to_string(list_filter([{_REPORT_NULLS}], lambda x: x IS NOT NULL), '; ') AS null_columns
+             FROM purchase_ledger GROUP BY 1""", ["source_table"], ["min_date", "max_date", "null_columns"], ["row_count", "column_count"]),
+           _lines("audit", _A15[_A15.index("SELECT *, concat('Issues Found"):], [], ["summary"], ["issues", "critical", "warning", "info", "total_savings", "total_risk"]),
+           _lines("vendors", _best_vendors(5), *_VENDOR_FIELDS), _FORECAST_LINES, _NOTE_LINES,
+           _lines("recommendations", "SELECT * REPLACE (replace(actions, ' | ', '; ') AS actions) FROM top_recs", ["rec_id"], ["seq", "title", "description", "category", "priority", "actions", "related", "deadline"],
+                  ["grp", "impact", "effort", "savings"]),
+           _lines("summary", "SELECT summary FROM (" + _SUMMARY[_SUMMARY.index("SELECT total_savings, critical"):] + ")", [], ["summary"])])]))
 def b16_full_report(spark, d):
     purchases = ledger(spark, d, "source_table", "bill_no", "invoice_date", "payment_date", "description", "gst_rate",
                        "taxable_value", "cgst_amount", "total_value", "vendor")
     parts = report.full_report(purchases, sales(spark, d), ITEM_RATES, st.as_of(),
                                ["source_table", "description", "amount_impact"], ["payment_date"])
-    return report.as_rows(parts)
+    return report.as_lines(parts)

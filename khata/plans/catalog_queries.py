@@ -57,20 +57,6 @@ cols AS (SELECT table_name, unnest(string_split({COLUMN_LIST}, ',')) AS column_n
 
 # --- profiles ------------------------------------------------------------------------
 
-@query("m1_table_profile")
-def m1_table_profile(spark, d):
-    df = st.purchase_ledger(spark, d, "source_table", "vendor", "item", "invoice_date", "payment_date", "taxable_value", "total_value")
-    p = catalog.profile(df)
-    source = F.concat(F.col("source_table"), F.lit(".csv"))
-    return p.select(
-        "source_table", "row_count", "column_count", "data_type", "min_date", "max_date",
-        catalog.period_label(F.col("min_date"), F.col("max_date")).alias("period"),
-        catalog.description(source).alias("description"),
-        F.array_join(catalog.keywords(source, F.col("source_table"), F.array(*[F.lit(c) for c in df.columns[1:]])), ",").alias("keywords"),
-        F.to_json("unique_counts").alias("unique_counts"), F.to_json("numeric_sums").alias("numeric_sums"),
-        F.to_json("null_percentages").alias("null_percentages"))
-
-
 @query("m2_table_statistics", st.WITH_LEDGER + """
 SELECT source_table, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, count(DISTINCT vendor) AS vendors, count(DISTINCT item) AS items,
        CAST(sum(taxable_value) AS DOUBLE) AS taxable, CAST(sum(total_value) AS DOUBLE) AS total,
@@ -150,6 +136,37 @@ def m6_description(spark, d):
     return source_files(spark, d).select("o_orderkey", catalog.description(F.col("source_file")).alias("description"))
 
 
+def _described(source):
+    """``description`` of the files of a DuckDB relation with ``source_file``."""
+    return f"""(SELECT *, CASE WHEN y <> '' AND m IS NOT NULL THEN concat('Data for ', upper(m[1]), m[2:], ' ', y)
+  WHEN y <> '' THEN concat('Data from ', y) ELSE concat('Data from ', replace(replace({STEM}, '_', ' '), '-', ' ')) END AS description
+FROM (SELECT *, regexp_extract(source_file, '20\\d{{2}}', 0) AS y, {_MONTH} AS m FROM ({source})))"""
+
+
+_PROFILED = ["vendor", "item", "invoice_date", "payment_date", "taxable_value", "total_value"]
+_PROFILE_WORDS = _KEYWORDS.replace("['bill', 'no', 'vendor', 'name', 'total', 'value']", str([w for c in _PROFILED for w in c.split("_")]))
+
+
+@query("m1_table_profile", st.WITH_LEDGER + f""",
+p AS (SELECT source_table, count(*) AS row_count, CAST(6 AS BIGINT) AS column_count, 'unknown' AS data_type, min(invoice_date) AS a, max(invoice_date) AS b,
+        count(DISTINCT vendor) AS vendors, count(DISTINCT item) AS items, CAST(sum(taxable_value) AS DOUBLE) AS taxable, CAST(sum(total_value) AS DOUBLE) AS total,
+        {", ".join(f"round(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*)::DOUBLE, 6) AS null_{c}" for c in _PROFILED)},
+        concat(source_table, '.csv') AS source_file FROM purchase_ledger GROUP BY source_table)
+SELECT * EXCLUDE (a, b, y, m, source_file), a AS min_date, b AS max_date, {_PERIOD} AS period, {_PROFILE_WORDS} AS keywords FROM {_described("FROM p")}
+""")
+def m1_table_profile(spark, d):
+    df = st.purchase_ledger(spark, d, "source_table", *_PROFILED)
+    source = F.concat(F.col("source_table"), F.lit(".csv"))
+    return catalog.profile(df).select(
+        "source_table", "row_count", "column_count", "data_type", "min_date", "max_date",
+        catalog.period_label(F.col("min_date"), F.col("max_date")).alias("period"),
+        catalog.description(source).alias("description"),
+        F.array_join(catalog.keywords(source, F.col("source_table"), F.array(*[F.lit(c) for c in _PROFILED])), ",").alias("keywords"),
+        F.col("unique_counts.vendor").alias("vendors"), F.col("unique_counts.item").alias("items"),
+        F.col("numeric_sums.taxable_value").alias("taxable"), F.col("numeric_sums.total_value").alias("total"),
+        *[F.round(F.col("null_percentages")[c], 6).alias(f"null_{c}") for c in _PROFILED])
+
+
 _KIND = "CASE WHEN column_name IN ('total_value', 'rating', 'credit', 'debit', 'balance') THEN 'number' WHEN contains(column_name, 'date') THEN 'date' ELSE 'text' END"
 
 
@@ -317,7 +334,15 @@ def m12_catalog_lines(spark, d):
         catalog.description(F.concat("source_table", F.lit(".csv"))), F.lit(len(df.columns) - 1), F.col("rows")).alias("line"))
 
 
-@query("m12_schema_texts")
+@query("m12_schema_texts", f"""
+WITH {COLUMNS_DUCK},
+span AS (SELECT CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem),
+listing AS (SELECT table_name, concat(table_name, '.csv') AS source_file, count(*) AS n,
+  string_agg(concat('    "', column_name, '" (', upper({_KIND}), ')'), chr(10) ORDER BY pos) AS body FROM cols GROUP BY table_name)
+SELECT table_name, concat('TABLE: ', table_name, chr(10), '  Source: ', source_file, chr(10), '  Description: ', description, chr(10),
+  '  Date range: ', a, ' to ', b, ' (', {_PERIOD}, ')', chr(10), '  Columns:', chr(10), body, chr(10), '  Total rows: ', n) AS schema_text
+FROM {_described("FROM listing")}, span
+""")
 def m12_schema_texts(spark, d):
     cols = catalog_columns(spark, d).withColumn("type", F.upper("kind"))
     spans = st.table(spark, d, "lineitem").agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("b"))

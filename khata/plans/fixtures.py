@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from khata.plans import standins as st
 from khata.session import shared_dir, spread
+from khata.sources.digests import file_system
 
 ORDERS_CSV = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate DATE"
 
@@ -25,12 +27,31 @@ def orders_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def order_files(spark: SparkSession, sf_dir: str, every: int) -> str:
-    """A CSV file of one order, for one order in ``every``, in a folder that has the file's name."""
-    path = shared_dir(spark, "order-files")
-    orders = st.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
-    (orders.select(F.concat(F.lit("order "), "o_orderkey", F.lit(".csv")).alias("name"), "o_orderkey", "o_custkey")
-     .write.option("header", True).partitionBy("name").csv(path))
+def customer_files(spark: SparkSession, sf_dir: str) -> str:
+    """A text file of all customers per nation, in a folder for each."""
+    path = shared_dir(spark, "customer-files")
+    rows = st.table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat_ws(",", "c_custkey", "c_name").alias("value"))
+    (rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value")
+     .write.partitionBy("c_nationkey").text(path))
+    return path
+
+
+def tenant_folders(spark: SparkSession, sf_dir: str) -> str:
+    """A workspace with a folder and a profile per supplier; some profiles name no company, some cannot be read."""
+    path = shared_dir(spark, "workspace")
+    tenants = st.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+
+    def write(batches):
+        for pdf in batches:
+            for key, name, state in zip(pdf["s_suppkey"], pdf["s_name"], pdf["s_nationkey"]):
+                system, folder, _ = file_system(f"{path}/tenant_{key}")
+                system.create_dir(folder)
+                profile = {"company_name": None if key % 5 == 0 else name, "state_code": str(state)}
+                with system.open_output_stream(f"{folder}/profile.json") as f:
+                    f.write(b"{broken" if key % 7 == 3 else json.dumps(profile, indent=1).encode())
+            yield pdf[["s_suppkey"]]
+
+    tenants.mapInPandas(write, tenants.select("s_suppkey").schema).write.format("noop").mode("overwrite").save()
     return path
 
 

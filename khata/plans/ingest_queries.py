@@ -157,15 +157,23 @@ def s13_saved_table(spark, d):
 
 
 @query("s14_file_manifest", """
-SELECT concat('order ', o_orderkey, '.csv') AS filename, md5(concat('o_orderkey,o_custkey', chr(10), o_orderkey, ',', o_custkey, chr(10))) AS file_hash,
-       CAST(strlen(concat(o_orderkey, o_custkey)) + 23 AS BIGINT) AS file_size
-FROM orders WHERE o_orderkey % 500 = 0
+SELECT concat('c_nationkey=', c_nationkey) AS folder, md5(concat(string_agg(concat(c_custkey, ',', c_name), chr(10) ORDER BY c_custkey), chr(10))) AS file_hash,
+       CAST(sum(strlen(concat(c_custkey, ',', c_name)) + 1) AS BIGINT) AS file_size
+FROM customer GROUP BY c_nationkey
 """)
 def s14_file_manifest(spark, d):
-    """Digests of real files, one for every five hundredth order, as a folder scan finds them."""
-    folder = fixtures.order_files(spark, d, 500)
-    return manifest.scan_files(spark, folder, recursive=True).select(
-        F.regexp_extract("file_path", "/name=([^/]+)/", 1).alias("filename"), "file_hash", "file_size").withColumn("filename", F.url_decode("filename"))
+    """Digests of real files of all customers, a file per nation, as a folder scan finds them."""
+    found = manifest.scan_files(spark, fixtures.customer_files(spark, d), recursive=True, globs=("*.txt",))
+    return found.select(F.element_at(F.split("file_path", "/"), -2).alias("folder"), "file_hash", "file_size")
+
+
+@query("s24_tenant_profiles", """
+SELECT concat('tenant_', s_suppkey) AS customer_id, CASE WHEN s_suppkey % 5 = 0 THEN concat('tenant_', s_suppkey) ELSE s_name END AS company_name, CAST(s_nationkey AS VARCHAR) AS state_code
+FROM supplier WHERE s_suppkey % 7 <> 3
+""")
+def s24_tenant_profiles(spark, d):
+    """Profiles of all tenants of a workspace by company; broken ones are left out."""
+    return stores.read_profiles(spark, fixtures.tenant_folders(spark, d)).select("customer_id", "company_name", "state_code")
 
 
 _CHANGES = f"""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 COLUMNS = "path string, length bigint, modificationTime timestamp, file_hash string"
+DATA_FILES = ("*.csv", "*.xlsx", "*.xls")
 #: Bytes read at a time, and bytes of files of one task; a larger file is a task of its own.
 BUFFER, TASK_BYTES = 4 << 20, 256 << 20
 
@@ -81,7 +82,7 @@ class FileDigests(DataSource):
         return _Reader(dict(self.options))
 
 
-def file_digests(spark: SparkSession, folder: str, globs: tuple[str, ...] = ("*.csv", "*.xlsx", "*.xls"), hashed: bool = True,
+def file_digests(spark: SparkSession, folder: str, globs: tuple[str, ...] = DATA_FILES, hashed: bool = True,
                  recursive: bool = True, buffer: int = BUFFER) -> DataFrame:
     """path, length, modificationTime and file_hash (null unless ``hashed``) of the files in ``folder``; hidden ones are left out."""
     spark.dataSource.register(FileDigests)

@@ -12,7 +12,7 @@ from khata.functions.text import table_name_of
 from khata.session import written
 from khata.sources import csv_source, delimited, snapshots
 from khata.sources.csv_source import with_columns
-from khata.sources.digests import file_digests
+from khata.sources.digests import DATA_FILES, file_digests
 from khata.sources.folder import cells_of_files, errors_of, file_name
 
 MANIFEST = ("filename string, file_path string, file_hash string, file_size bigint, modified_time timestamp, "
@@ -25,9 +25,10 @@ def describe(files: DataFrame, with_hash: bool = True) -> DataFrame:
                         F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"))
 
 
-def scan_files(spark: SparkSession, folder: str, with_hash: bool = True, recursive: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, folder: str, with_hash: bool = True, recursive: bool = False,
+               globs: tuple[str, ...] = DATA_FILES) -> DataFrame:
     """Data files of a folder: name, path, MD5, size and time, for files of any size. Without the hash no content is read."""
-    found = file_digests(spark, folder, hashed=with_hash, recursive=recursive)
+    found = file_digests(spark, folder, globs, with_hash, recursive)
     columns = ["file_hash"] if with_hash else []
     return found.select(file_name(F.col("path")).alias("filename"), F.col("path").alias("file_path"), *columns,
                         F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_time"))
