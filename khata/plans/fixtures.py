@@ -36,6 +36,30 @@ def customer_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Customers per nation as a CSV file or a workbook; for every fourth nation a broken workbook too."""
+    path = shared_dir(spark, "mixed-folder")
+    rows = st.table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+
+    def write(pdf):
+        nation, pdf = int(pdf["c_nationkey"].iloc[0]), pdf.sort_values("c_custkey")
+        table = [["Cust Key", "Customer Name", "Nation"], *([int(k), n, nation] for k, n in zip(pdf["c_custkey"], pdf["c_name"]))]
+        is_book = nation % 2 == 1
+        text = "\n".join(",".join(map(str, row)) for row in table) + "\n"
+        files = {f"nation-{nation}.{'xlsx' if is_book else 'csv'}": workbook_bytes(table) if is_book else text.encode()}
+        if nation % 4 == 0:
+            files[f"broken-nation-{nation}.xlsx"] = b"no workbook"
+        system, folder, _ = file_system(path)
+        system.create_dir(folder)
+        for name, content in files.items():
+            with system.open_output_stream(f"{folder}/{name}") as f:
+                f.write(content)
+        return pdf[["c_nationkey"]].head(1)
+
+    rows.groupBy("c_nationkey").applyInPandas(write, rows.select("c_nationkey").schema).write.format("noop").mode("overwrite").save()
+    return path
+
+
 def tenant_folders(spark: SparkSession, sf_dir: str) -> str:
     """A workspace with a folder and a profile per supplier; some profiles name no company, some cannot be read."""
     path = shared_dir(spark, "workspace")

@@ -11,7 +11,7 @@ from khata.plans import standins as st
 from khata.plans.duck import strip
 from khata.plans.registry import query
 from khata.session import shared_dir, written
-from khata.sources import csv_source, manifest, stores, workbook
+from khata.sources import csv_source, folder, manifest, stores, workbook
 
 _BY_STATUS = """
 SELECT o_orderstatus, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total,
@@ -37,6 +37,21 @@ def s7_csv_folder(spark, d):
     return csv_source.bad_lines(folder).agg(F.sum("lines").alias("orders"), F.sum("cells").alias("cells"), F.sum("bad_lines").alias("bad_lines"))
 
 
+@query("s7_mixed_folder", """
+SELECT 'rows' AS what, concat('nation ', c_nationkey) AS source, count(*) AS n, sum(c_custkey) AS keys FROM customer GROUP BY c_nationkey
+UNION ALL SELECT 'error', concat('nation ', c_nationkey), count(*), 0 FROM customer WHERE c_nationkey % 4 = 0 GROUP BY c_nationkey
+""")
+def s7_mixed_folder(spark, d):
+    """Customers as CSV files and workbooks, one per nation, beside files that cannot be read; those are listed."""
+    rows, errors = folder.read_any(spark, fixtures.mixed_folder(spark, d), {"cust_key": "bigint"})
+    nation = F.concat(F.lit("nation "), F.regexp_extract("source_file", r"nation-(\d+)", 1)).alias("source")
+    found = rows.groupBy(nation).agg(F.count("*").alias("n"), F.sum("cust_key").alias("keys"))
+    listed = errors.groupBy(nation).agg(F.count_if(F.col("error").isNotNull()).alias("files"))
+    # a broken file stands for all customers of its nation
+    sizes = st.table(spark, d, "customer").groupBy(F.concat(F.lit("nation "), "c_nationkey").alias("source")).agg(F.count("*").alias("n"))
+    return found.select(F.lit("rows").alias("what"), "source", "n", "keys").unionByName(
+        listed.where("files = 1").join(sizes, "source").select(F.lit("error").alias("what"), "source", "n", F.lit(0).cast("bigint").alias("keys")))
+
 
 def _nation():
     return F.regexp_extract("source_file", r"c_nationkey=(\d+)", 1).cast("bigint").alias("nation")

@@ -100,7 +100,7 @@ def read_messy(spark: SparkSession, path: str | list[str], columns: dict[str, st
     as text, or those named in ``columns`` by their types. A value that does not fit its type is null. A file that cannot
     be read ends the job; ``folder.read_any`` lists it instead.
     """
-    return with_columns(delimited.line_cells(delimited.file_lines(spark, path, glob)), columns)
+    return with_columns(delimited.or_raise(delimited.line_cells(delimited.file_lines(spark, path, glob))), columns)
 
 
 def with_columns(cells: DataFrame, columns: dict[str, str] | None) -> DataFrame:
@@ -119,7 +119,7 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
 
     A row with a value that does not fit its type keeps its values as text in ``_bad``.
     """
-    cells = delimited.line_cells(delimited.file_lines(spark, folder, "*.csv"))
+    cells = delimited.or_raise(delimited.line_cells(delimited.file_lines(spark, folder, "*.csv")))
     lower = {f.name: F.col("cells")[clean_name_py(f.name)] for f in schema.fields}
     typed = {n: v.try_cast(schema[n].dataType) for n, v in lower.items()}
     misfit = reduce(Column.__or__, [v.isNotNull() & typed[n].isNull() for n, v in lower.items()])

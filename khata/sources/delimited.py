@@ -232,14 +232,20 @@ def chunk_headers(chunks: DataFrame) -> DataFrame:
     return tops.mapInArrow(read, "source_file string, skip_rows int, header_line string")
 
 
-def placed(chunks: DataFrame, skip: int | None = None) -> DataFrame:
+def placed(chunks: DataFrame, skip: int | None = None, spans: bool = True) -> DataFrame:
     """source_file, block and no of the chunks from the header on, with ``inside`` and ``open`` (whether the chunk starts and
-    ends within a quoted cell), ``begun`` (the rows that begin in it) and ``base`` (those before it; the header is row 0)."""
+    ends within a quoted cell), ``begun`` (the rows that begin in it) and ``base`` (those before it; the header is row 0).
+
+    Without ``spans`` no chunk ends within a quoted cell, so none starts in one.
+    """
     slim = chunks.drop("text").withColumn("above", F.coalesce(F.sum("lines").over(_before()), F.lit(0)))
     if skip is None:
         slim = slim.join(chunk_headers(chunks).select("source_file", F.col("skip_rows").alias("skip")), "source_file")
     else:
         slim = slim.withColumn("skip", F.lit(skip))
+    if not spans:
+        rows = slim.where("above >= skip").withColumns({"inside": F.lit(False), "open": F.lit(False), "begun": F.col("rows_from_0")})
+        return rows.select("source_file", "block", "no", "inside", "open", "begun", F.coalesce(F.sum("begun").over(_before()), F.lit(0)).alias("base"))
     upto = Window.partitionBy("source_file").orderBy("block", "no").rowsBetween(Window.unboundedPreceding, 0)
     # a chunk keeps, turns or sets what it starts with; turns are counted, and the last set value counts from there
     turn = (F.col("open_from_0") == 1) & (F.col("open_from_1") == 0)
@@ -316,13 +322,32 @@ def line_cells(lines: DataFrame, skip: int | None = None) -> DataFrame:
     return chunk_cells(written(file_chunks(lines), "chunks"), skip)
 
 
+def unclosed(places: DataFrame) -> DataFrame:
+    """source_file and row number of files that end within a quoted cell; the row is that in which the quote opens."""
+    at = F.struct("block", "no")
+    return places.groupBy("source_file").agg(F.max_by("open", at).alias("open"), F.max(F.when(F.col("begun") > 0, F.col("base") + F.col("begun") - 1)).alias("row")
+                                             ).where("open").select("source_file", "row")
+
+
 def chunk_cells(chunks: DataFrame, skip: int | None = None) -> DataFrame:
-    places = written(placed(chunks, skip), "places")
-    all_chunks = chunks.select("source_file", "block", "no", "text").join(places, ["source_file", "block", "no"])
-    # a row across chunks is a chunk of one row
-    one = _across(all_chunks).select("source_file", F.col("number").alias("block"), F.lit(0).cast("bigint").alias("no"), "text",
-                                     F.lit(False).alias("inside"), F.lit(False).alias("open"), F.lit(1).cast("bigint").alias("begun"), F.col("number").alias("base"))
-    sound = all_chunks.unionByName(one)
+    """Rows of the chunks of files. A file that ends within a quoted cell is one row with its error: what follows the quote, were
+    it the rest of a large file, is never put together."""
+    # files start outside of quotes; if no chunk leaves a quote open that it has not found open, none is ever within one
+    spans = not chunks.where("open_from_0 <> 0").isEmpty()
+    places = written(placed(chunks, skip, spans), "places")
+    errors = None
+    if spans:
+        broken = written(unclosed(places), "unclosed")
+        places = places.join(broken.select("source_file"), "source_file", "left_anti")
+        errors = broken.select("source_file", F.lit(-1).cast("bigint"), F.lit(None).cast("map<string,string>"), F.concat(
+            F.lit("Quote that is not closed in row "), F.col("row").cast("string")))
+    sound = all_chunks = chunks.select("source_file", "block", "no", "text").join(places, ["source_file", "block", "no"])
+    if spans:
+        # a row across chunks is a chunk of one row
+        one = _across(all_chunks).select("source_file", F.col("number").alias("block"), F.lit(0).cast("bigint").alias("no"), "text",
+                                         F.lit(False).alias("inside"), F.lit(False).alias("open"), F.lit(1).cast("bigint").alias("begun"),
+                                         F.col("number").alias("base"))
+        sound = all_chunks.unionByName(one)
 
     def head(chunk):
         return ((chunk["source_file"], row, doubtful(row)) for n, row in itertools.islice(_own_rows(chunk), 1) if n == 0)
@@ -344,7 +369,8 @@ def chunk_cells(chunks: DataFrame, skip: int | None = None) -> DataFrame:
         names = column_names(chunk["header"], set(chunk["used"] or ()) if chunk["doubtful"] else None)
         return ((chunk["source_file"], n - 1, pairs, None) for n, row in _own_rows(chunk) if n > 0 and (pairs := named(names, row)))
 
-    return _over_chunks(sound.join(headers, "source_file"), cells, _ARROW, CELLS)
+    found = _over_chunks(sound.join(headers, "source_file"), cells, _ARROW, CELLS)
+    return found if errors is None else found.union(errors)
 
 
 def file_headers(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:

@@ -77,7 +77,7 @@ def read_dimension(spark: SparkSession, path: str, columns: list[str], key: str
     ``pos`` counts rows in the order of file names and lines, however the files are split. A header that lacks one of the
     ``columns`` ends the job.
     """
-    cells = delimited.line_cells(delimited.file_lines(spark, path, recursive=False), skip=0)
+    cells = delimited.or_raise(delimited.line_cells(delimited.file_lines(spark, path, recursive=False), skip=0))
     last = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     base = cells.groupBy("source_file").agg((F.max("row_no") + 1).alias("n")).select(
         "source_file", F.coalesce(F.sum("n").over(last), F.lit(0)).alias("base"))

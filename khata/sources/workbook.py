@@ -177,7 +177,10 @@ def tables_from_workbooks(cells: DataFrame, columns: dict[str, str] | None = Non
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None,
                    columns: dict[str, str] | None = None) -> DataFrame:
-    """Workbooks below ``path``: first or named sheet, header found, cleaned. Those that cannot be read are left out;
-    ``folder.read_any`` lists them."""
+    """Workbooks below ``path``: first or named sheet, header found, cleaned. One that cannot be read is an error;
+    ``folder.read_any`` reads the others and lists it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return tables_from_workbooks(written(workbook_cells(files, sheet), "cells"), columns)
+    cells = written(workbook_cells(files, sheet), "cells")
+    if broken := cells.where("error is not null").select("source_file", "error").first():
+        raise ValueError(f"{broken['source_file']}: {broken['error']}")
+    return tables_from_workbooks(cells, columns)

@@ -109,6 +109,19 @@ def test_files_split_anywhere_give_the_rows_of_whole_files(spark, tmp_path, monk
         assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if v}
 
 
+def test_unclosed_quote_is_an_error_of_its_file(spark, tmp_path, monkeypatch):
+    """A stray quote does not make one row of the rest of a file; rows with line breaks over many chunks still are rows."""
+    monkeypatch.setattr(delimited, "CHUNK", 40)
+    stray = "a,b\n1,x\n2,\"oops\n" + "".join(f"{i},y\n" for i in range(3, 400))
+    good = "a,b\n1,x\n2,\"" + "line\n" * 60 + "end\"\n3,z\n"
+    d = write(tmp_path / "o", stray__csv=stray, good__csv=good)
+    rows, errors = folder.read_any(spark, d)
+    assert sorted((r.a, len(r.b)) for r in rows.collect()) == [("1", 1), ("2", 303), ("3", 1)]
+    assert [(r.source_file.rsplit("/", 1)[1], r.error) for r in errors.collect()] == [("stray.csv", "Quote that is not closed in row 2")]
+    with pytest.raises(Exception, match="Quote that is not closed"):
+        csv_source.read_messy(spark, d).collect()
+
+
 def test_columns_go_by_name(spark, tmp_path):
     d = write(tmp_path / "o", one__csv="a,b\n1,x\n", two__csv="b,a\ny,2\n")
     schema = T.StructType.fromDDL("a INT, b STRING")
@@ -198,6 +211,16 @@ def test_workbook(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in rows.collect()) == [("B1", "Shah", 10.5, None), ("B2", "Rao", 7.0, None), ("B9", None, None, 1)]
 
 
+def test_broken_workbook_is_an_error(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "plain.xlsx").write_bytes(workbook_bytes([["Bill No", "Party", "Amt"], ["B9", "Z", 1]]))
+    (tmp_path / "w" / "bad.xlsx").write_bytes(b"no zip")
+    with pytest.raises(ValueError, match="bad.xlsx: .*BadZipFile"):
+        workbook.read_workbooks(spark, str(tmp_path / "w"))
+    with pytest.raises(ValueError, match="bad.xlsx"):
+        csv_source.read_by_extension(spark, str(tmp_path / "w" / "bad.xlsx"))
+
+
 def test_workbook_sheet_by_name(spark):
     with pytest.raises(ValueError, match="no sheet"):
         list(workbook.sheet_rows(workbook_bytes([["a"]]), "Other"))
