@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from khata.llm import (bpe, decontaminate, fixity, jaccard_join, main_text, manifest, quality, secret_scan, sharding, spelling, substrings,
                        toxicity, url_filter)
-from khata.llm.frames import table
+from khata.llm.frames import kept, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,25 +167,23 @@ _FIXITY_SQL = f"""WITH records AS (SELECT page_id, page_id // {fixity.PER_ARCHIV
     || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
     || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10)
     || chr(13) || chr(10) AS r FROM pages),
-placed AS (SELECT page_id, archive, row_number() OVER w - 1 AS number, CAST(sum(strlen(r)) OVER w - strlen(r) AS BIGINT) AS "start",
+placed AS (SELECT page_id, archive, page_id - archive * {fixity.PER_ARCHIVE} AS number, CAST(sum(strlen(r)) OVER w - strlen(r) AS BIGINT) AS "start",
     CAST(sum(strlen(r)) OVER w AS BIGINT) AS "end", sha256(r) AS first_digest FROM records
-    WINDOW w AS (PARTITION BY archive ORDER BY page_id, sha256(r) ROWS UNBOUNDED PRECEDING))
+    WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING))
 SELECT page_id, archive, number, "start", "end", CASE WHEN page_id % {LOST[0]} = {LOST[1]} THEN 'missing' ELSE 'changed' END AS status,
     first_digest FROM placed WHERE page_id % {LOST[0]} = {LOST[1]} OR page_id % {TURNED[0]} = {TURNED[1]}"""
 
 
 @query("op4_merkle_fixity", _FIXITY_SQL)
 def op4_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Damage of a second replica of all pages, located by Merkle trees. The replica's records keep their places."""
+    """Damage of a second replica of all pages, from which records are lost and in which bytes are turned, located by Merkle trees."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    every = lambda column, n: F.coalesce(F.pmod(column, F.lit(n[0])) == n[1], F.lit(False))
-    turned = pages.withColumn("html", F.when(every("page_id", TURNED), F.overlay("html", F.lit("~"), F.lit(1))).otherwise(F.col("html")))
-    whole = fixity.manifest(pages, "page_id", "url", "html")
-    damaged = fixity.manifest(turned, "page_id", "url", "html").where(~every("key", LOST))
-    first = fixity.tree(whole.drop("key"), "replica1")
-    found = fixity.audit(first, fixity.tree(damaged.drop("key"), "replica2", first.top))
-    return found.join(whole.select("archive", "number", "start", "end", F.col("key").alias("page_id")), ["archive", "number"]).select(
-        "page_id", "archive", "number", "start", "end", "status", "first_digest")
+    every = lambda n: F.coalesce(F.pmod("page_id", F.lit(n[0])) == n[1], F.lit(False))
+    turned = pages.where(~every(LOST)).withColumn("html", F.when(every(TURNED), F.overlay("html", F.lit("~"), F.lit(1))).otherwise(F.col("html")))
+    whole = kept(fixity.manifest(pages, "page_id", "url", "html"), "replica1-manifest")
+    found = fixity.audit(fixity.tree(whole, "replica1"), fixity.tree(fixity.manifest(turned, "page_id", "url", "html"), "replica2"))
+    return found.join(whole.select("archive", "number", "start", "end"), ["archive", "number"]).select(
+        (F.col("archive") * fixity.PER_ARCHIVE + F.col("number")).alias("page_id"), "archive", "number", "start", "end", "status", "first_digest")
 
 
 _SUBSTRING_SQL = r"""WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
