@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +30,18 @@ def build_session(app: str = "khata", master: str | None = None, **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers, once a session, so that jobs with Python parts run from any folder."""
+    root = Path(__file__).resolve().parent
+    if not any(Path(f).name == f"{root.name}.zip" for f in spark.sparkContext.listFiles):
+        folder = tempfile.mkdtemp(prefix="khata-package-")  # the driver serves it as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    return spark
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
