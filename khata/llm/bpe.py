@@ -6,7 +6,8 @@ its v arc, so v can no longer follow u, and every state with a u arc gets an arc
 v led from q. Every token leads to one state from wherever it is read, so a merge adds one state at most.
 
 Copies share what they have in common: a state keeps its parent, the merge that made it and the arc it lost, and whether
-it has an arc for a token follows from those. Answers are kept in a table, filled as pairs are first met.
+it has an arc for a token follows from those; how merges met at the border of two tokens tells the same in a few steps.
+Answers are kept in a table, filled as pairs are first met.
 
 The labels of the tokens are compiled into one transition table over bytes. Encoding goes over a word from left to right.
 Every prefix has one tokenization, so only one state of the automaton can be live at a place: from there the table is followed
@@ -76,25 +77,26 @@ class Automaton:
 
     def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]]):
         size = max(ids.values(), default=0) + 1
-        self.left, self.born = [-1] * size, [-1] * size  # first half and merge of a token; -1: a base symbol
+        self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size  # halves and merge of a token; -1: a base symbol
         self.state = [ROOT] * size  # where a token leads
         self.parent, self.made, self.lost = [-1], [-1], [-1]
+        self.rank: dict[int, int] = {}  # merges by their pair
         self.arcs: dict[int, bool] = {}
         self.size = size
         for rank, (a, b) in enumerate(merges):
             u, v, joined = ids[a], ids[b], ids[a + b]
-            if not self.has_arc(self.state[u], v):
+            if not self.follows(u, v):
                 self.born[joined] = len(merges)  # no word holds this pair when its turn comes
                 continue
-            self.left[joined], self.born[joined], self.state[joined] = u, rank, self.state[v]
+            self.left[joined], self.right[joined], self.born[joined], self.state[joined] = u, v, rank, self.state[v]
+            self.rank[u * size + v] = rank
             self.parent.append(self.state[u])
             self.made.append(rank)
             self.lost.append(v)
             self.state[u] = len(self.parent) - 1
-        self.arcs.clear()  # those were asked before all merges were in
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether a state has an arc for a token: back over copies, and over first halves of later tokens."""
+        """Whether a state has an arc for a token, by its making: back over copies, and over first halves of later tokens."""
         while state != ROOT:
             if self.lost[state] == token:
                 return False
@@ -106,13 +108,30 @@ class Automaton:
                 state = self.parent[state]
         return True
 
-    def arc(self, state: int, token: int) -> bool:
-        key = state * self.size + token
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            found = self.arcs[key] = self.has_arc(state, token)
+    def follows(self, before: int, token: int) -> bool:
+        """The same for the state that ``before`` leads to, in as many steps as the two tokens have halves at their border.
+
+        The arc was lost if, before the halves that meet there were joined to what they are, a merge of theirs had its turn.
+        Where the second token's last merge and that one are the same, the one further left came first.
+        """
+        left, right, born, rank, size = self.left, self.right, self.born, self.rank.get, self.size
+        turn = len(rank.__self__) + len(born)
+        while True:
+            found = rank(before * size + token)
+            if found is not None and found < turn:
+                return False
+            if born[before] > born[token]:
+                turn, before = born[before], right[before]
+            elif born[token] >= 0:
+                turn, token = born[token] + 1, left[token]
+            else:
+                return True
+
+    def arc(self, before: int, token: int) -> bool:
+        """:meth:`follows`, remembered."""
+        if len(self.arcs) >= ARCS:
+            self.arcs.clear()
+        found = self.arcs[before * self.size + token] = before < 0 or self.follows(before, token)
         return found
 
 
@@ -132,29 +151,22 @@ class Tokenizer:
         self.old: dict[str, tuple[int, str, str]] = {}
 
     def _compile(self) -> None:
-        """The labels of all tokens as one transition table: from a state of the table, by a byte, to the next.
-
-        ``inside`` and ``final`` have the token that a state completes, within a word and at its end.
-        """
+        """The labels of all tokens as one transition table: each state has the next ones by byte, and the tokens that it
+        completes within a word and at its end."""
         byte = {c: b for b, c in self.letters.items()}
         end = self.v.word_end
-        self.steps, self.inside, self.final = {}, [-1], [-1]
+        self.table = [{}, -1, -1]
         for label, token in self.ids.items():
             last = bool(end) and label.endswith(end)
             body = label[: len(label) - len(end)] if last else label
             if not body or any(c not in byte for c in body):
                 continue
-            at = 0
+            at = self.table
             for c in body:
-                key = at << 8 | byte[c]
-                at = self.steps.get(key, 0)
-                if not at:
-                    at = self.steps[key] = len(self.inside)
-                    self.inside.append(-1)
-                    self.final.append(-1)
-            (self.final if last else self.inside)[at] = token
-        if not end:
-            self.final = self.inside
+                at = at[0].setdefault(byte[c], [{}, -1, -1])
+            at[2 if last else 1] = token
+            if not end:
+                at[2] = token
 
     def encode_word(self, word: str) -> list[int]:
         """Tokens of one word of the pattern.
@@ -163,20 +175,22 @@ class Tokenizer:
         for is taken. Where nothing leads to the end of the word, a shorter one is; a place that was left is never tried
         again, as one state only can be live there.
         """
-        data, steps, inside, final = word.encode(), self.steps.get, self.inside, self.final
-        arcs, known, state, size = self.automaton.arc, self.automaton.arcs.get, self.automaton.state, self.automaton.size
-        n, start, q, left = len(data), 0, ROOT, set()
+        data, table = word.encode(), self.table
+        arcs, known, size = self.automaton.arc, self.automaton.arcs.get, self.automaton.size
+        n, start, q, left = len(data), 0, -1, set()  # q: the token that leads to the live state
         out, path = [], []
         while start < n:
-            at, end, able = 0, start, []
+            at, end, able = table, start, []
             for symbol in data[start:] if start else data:
-                at = steps(at << 8 | symbol)
+                at = at[0].get(symbol)
                 if at is None:
                     break
                 end += 1
-                token = inside[at] if end < n else final[at]
-                if token >= 0:
-                    able.append((end, token))
+                if at[1] >= 0 and end < n:
+                    able.append((end, at[1]))
+            else:
+                if at[2] >= 0:
+                    able.append((end, at[2]))
             while True:
                 while able:
                     end, token = able.pop()
@@ -194,7 +208,7 @@ class Tokenizer:
                 break
             path.append((start, q, able))
             out.append(token)
-            start, q = end, state[token]
+            start, q = end, token
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -223,20 +237,29 @@ class Tokenizer:
     def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
-    def _parts(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def encode(self, text: str) -> tuple[int, str, str]:
+        """(number of tokens, ids joined by spaces, decoded text)."""
+        n, ids, labels, known = 0, [], [], self.new.get
         for part in self.cut.split(text) if self.cut and "<" in text else [text]:
             if part in self.v.special:
-                yield 1, str(self.v.special[part]), part
+                n += 1
+                ids.append(str(self.v.special[part]))
+                labels.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no form of its own at the end of a word
             for piece in part.lower().replace("\n", " ").split(" "):
-                if piece and (found := self._piece(piece))[0]:
-                    yield found
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """(number of tokens, ids joined by spaces, decoded text)."""
-        return self._joined(list(self._parts(text)))
+                found = known(piece)
+                if found is None:
+                    if not piece:
+                        continue
+                    found = self._piece(piece)
+                    known = self.new.get  # may have been turned over
+                if found[0]:
+                    n += found[0]
+                    ids.append(found[1])
+                    labels.append(found[2])
+        return n, " ".join(ids), " ".join(labels)
 
     def forget(self) -> None:
         """Give back what was remembered: workers go on to other work."""

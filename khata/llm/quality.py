@@ -24,7 +24,8 @@ class Band(NamedTuple):
 
 #: Short texts have little to repeat and carry the frame's own bytes, so their band lies higher.
 BANDS = [Band(0, 0.0, 9.9), Band(200, 0.12, 0.95), Band(1000, 0.10, 0.85), Band(5000, 0.08, 0.75), Band(50000, 0.06, 0.70)]
-#: Chunks of this many bytes are compressed on their own; the last one only if it is at least half as long.
+#: Chunks of this many bytes are compressed on their own, in texts that have one; a last one that is shorter than half of that
+#: has the band of a text of its length.
 CHUNK = 4096
 CHUNK_BAND = Band(CHUNK // 2, 0.08, 0.85)
 #: The text fails if more than this share of its chunks lie outside the band.
@@ -70,21 +71,25 @@ def word_figures(texts: H.Texts) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup_lines, repeated]
 
 
+def band_of(size: int) -> Band:
+    return next(b for b in reversed(BANDS) if size >= b.least)
+
+
 def judged(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[bool, float, int, int, int]:
     """Verdict of the bands, ratio of the whole, chunks, chunks below and above their band."""
     if not raw:
         return False, 0.0, 0, 0, 0
     ratio = len(press.compress(raw)) / len(raw)
-    band = next(b for b in reversed(BANDS) if len(raw) >= b.least)
+    band = band_of(len(raw))
     low = high = chunks = 0
-    if len(raw) >= 2 * CHUNK:
+    if len(raw) >= CHUNK:
         for at in range(0, len(raw), CHUNK):
             piece = raw[at : at + CHUNK]
-            if len(piece) >= CHUNK_BAND.least:
-                chunks += 1
-                r = len(press.compress(piece)) / len(piece)
-                low += r < CHUNK_BAND.low
-                high += r > CHUNK_BAND.high
+            own = CHUNK_BAND if len(piece) >= CHUNK_BAND.least else band_of(len(piece))
+            chunks += 1
+            r = len(press.compress(piece)) / len(piece)
+            low += r < own.low
+            high += r > own.high
     ok = band.low <= ratio <= band.high and low + high <= BAD_CHUNKS * chunks
     return ok, ratio, chunks, low, high
 

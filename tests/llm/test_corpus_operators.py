@@ -1,6 +1,7 @@
 """Operators that compare documents: shards, near copies, repeated passages, replicas, toxicity, and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -70,6 +71,24 @@ def test_shards(spark):
     assert all(fewer[r["doc_id"]] == r["shard"] for r in rows if r["shard"] < 7)  # only the lost shard's rows move
 
 
+def test_shards_match_plain_rendezvous(spark):
+    """Shards, grown shards, sizes and slots of the query, recomputed draw by draw."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    draws = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array(*[F.xxhash64("doc_id", F.lit(i)) for i in range(17)]).alias("h")).collect()
+
+    def best(hashes):
+        lots = [-1.0 / math.log(((h & 0xFFFFFFFFFFFFFFFF) >> 12) / 2**52 + 0.5 / 2**52) for h in hashes]
+        return max(range(len(lots)), key=lambda i: (lots[i], i))
+
+    want = sorted((r["doc_id"], len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()), best(r["h"][:16]), best(r["h"])) for r in draws)
+    rows = queries.op7_sharding(spark, SF).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in rows) == want
+    for s in range(16):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert {r["law"] for r in rows} == {"key"}
+
+
 def test_slots(spark, edge, nothing, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 3)
     repeated = spark.createDataFrame([(i % 5 if i < 40 else i, None if i % 3 else i) for i in range(100)], "k long, v long")
