@@ -72,13 +72,23 @@ def _column_no(ref: str) -> int:
     return n - 1
 
 
+def _shared_strings(book: zipfile.ZipFile) -> Iterator[str]:
+    """The texts that cells refer to, streamed out of the zip; no tree of them is held."""
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return
+    with book.open("xl/sharedStrings.xml") as part:
+        root = None
+        for event, e in ElementTree.iterparse(part, ("start", "end")):
+            root = e if root is None else root
+            if event == "end" and e.tag == f"{_NS}si":
+                yield "".join(t.text or "" for t in e.iter(f"{_NS}t"))
+                root.clear()
+
+
 def sheet_rows(content: bytes, sheet: str | None = None) -> Iterator[tuple[int, list, list]]:
     """(row number, texts, is-text flags) of one sheet, streamed out of the zip."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_NS}si"):
-                shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
+        shared = list(_shared_strings(book))
         dates = _date_styles(book)
         with book.open(_sheet_path(book, sheet)) as part:
             for _, row in ElementTree.iterparse(part):
