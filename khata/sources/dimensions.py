@@ -75,7 +75,7 @@ def read_dimension(spark: SparkSession, path: str, columns: list[str], key: str
     """A dimension CSV, or a folder of some, with every column as text (codes keep their leading zeros).
 
     ``pos`` counts rows in the order of file names and lines, however the files are split. A header that lacks one of the
-    ``columns`` ends the job.
+    ``columns`` ends the job. Files are counted up in one window, a row per file.
     """
     cells = delimited.or_raise(delimited.line_cells(delimited.file_lines(spark, path, recursive=False), skip=0))
     last = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
