@@ -16,6 +16,7 @@ byte by byte, and of the labels that end on the way the longest is taken for whi
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -147,6 +148,7 @@ class Tokenizer:
         self.ids = {s: i for s, i in v.ids.items() if i not in dead}
         self._compile()
         self.label = {i: s for s, i in [*v.ids.items(), *v.special.items()]}
+        self.number = {i: str(i) for i in self.label}
         self.new: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
@@ -217,25 +219,25 @@ class Tokenizer:
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
         """(tokens, their ids, their labels) of a piece without blanks; what is asked again is kept in two generations."""
-        found = self.new.get(piece)
+        found = self.old.get(piece)
         if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                words = self.split(piece)
-                if len(words) == 1:
-                    ids = self.encode_word(words[0])
-                    found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                else:
-                    found = self._joined([self._piece(w) for w in words])
-            if len(piece) <= LONGEST:
-                if len(self.new) >= MEMORY:
-                    self.old, self.new = self.new, {}
-                self.new[piece] = found
+            words = self.split(piece)
+            if len(words) == 1:
+                found = self._word(words[0])
+            else:
+                parts = [self.new.get(w) or self._piece(w) for w in words]
+                found = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if len(piece) <= LONGEST:
+            if len(self.new) >= MEMORY:
+                self.old, self.new = self.new, {}
+            self.new[piece] = found
         return found
 
-    @staticmethod
-    def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    def _word(self, word: str) -> tuple[int, str, str]:
+        ids, number, label = self.encode_word(word), self.number, self.label
+        if len(ids) == 1:
+            return 1, number[ids[0]], label[ids[0]]
+        return len(ids), " ".join([number[i] for i in ids]), " ".join([label[i] for i in ids])
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of tokens, ids joined by spaces, decoded text)."""
@@ -299,14 +301,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", outputs: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(shared.value)
+        gc.disable()  # nothing here has cycles, and what is remembered is costly to go over
+        try:
+            yield from encoded(own, batches)
+        finally:
+            gc.enable()
+            own.forget()
+            release()
+
+    def encoded(own: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at, n in sized(whole["text"], BATCH_BYTES, 500):
                 batch = whole.slice(at, n)
                 found = [[make[o](*e) for o in outputs] for e in (own.encode(t.as_py() or "") for t in batch["text"])]
                 columns = [pa.array([f[i] for f in found], types.get(o, pa.string())) for i, o in enumerate(outputs)]
                 yield pa.RecordBatch.from_arrays([batch["row"], *columns], schema.fieldNames())
-        own.forget()
-        release()
 
     return rows.mapInArrow(run, schema)
 
