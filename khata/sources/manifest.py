@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,12 @@ from khata.sources.digests import DATA_FILES, file_digests
 from khata.sources.folder import cells_of_files, errors_of, file_name
 
 MANIFEST = ("filename string, file_path string, file_hash string, file_size bigint, modified_time timestamp, "
-            "last_loaded timestamp, table_name string, sheet_type string, row_count bigint")
+            "last_loaded timestamp, table_name string, sheet_type string, row_count bigint, stored_in string")
+#: Files of one load up to which each has a folder of its own in the dataset; the rows of more go to one pool, as making, moving
+#: and listing a folder for every small file would be most of the work.
+FOLDERS = 200
+#: Folder of the pools, hidden from readers of the folders of tables.
+POOLS = "_pools"
 
 
 def describe(files: DataFrame, with_hash: bool = True) -> DataFrame:
@@ -79,8 +85,13 @@ def summary(changes: DataFrame, tables: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.bool_or((F.col("change") != "UNCHANGED") | lost), F.lit(False)).alias("needs_reload"))
 
 
+def loaded_manifest(manifest: DataFrame) -> DataFrame:
+    """The entries of files that became tables."""
+    return manifest.where(F.col("table_name").isNotNull() & (F.col("table_name") != ""))
+
+
 def loaded_tables(manifest: DataFrame) -> DataFrame:
-    return manifest.where(F.col("table_name").isNotNull() & (F.col("table_name") != "")).select("filename", "table_name")
+    return loaded_manifest(manifest).select("filename", "table_name")
 
 
 def forget(manifest: DataFrame, filenames: DataFrame) -> DataFrame:
@@ -149,43 +160,60 @@ def load_files(files: DataFrame, dataset: str, old_manifest: str, new_manifest:
     """The same for ``files`` as (path, content, length, modificationTime): CSV files and workbooks.
 
     New and changed files are loaded, and unchanged ones whose table is gone from the dataset. All columns are kept, as
-    text, unless ``columns`` names some. The dataset has a partition per table and file, so files whose names give one
-    table name do not touch each other; only partitions of loaded files are rewritten. :func:`open_dataset` reads just
-    what the manifest names. A file that cannot be read has its ``error`` in the result and is not in the new manifest, so
+    text, unless ``columns`` names some. A load of up to ``FOLDERS`` files has a partition per table and file, so files whose
+    names give one table name do not touch each other; only partitions of loaded files are rewritten. A load of more files is
+    a pool that is written once, and the manifest has its name in ``stored_in``; rows that a later load replaces stay behind
+    there. :func:`open_dataset` reads just what the manifest names. A file that cannot be read has its ``error`` in the result and is not in the new manifest, so
     the next run tries it again.
     """
     def cells(plan: DataFrame) -> DataFrame:
         wanted = files.withColumn("filename", file_name(F.col("path"))).join(plan.select("filename"), "filename", "left_semi")
         return cells_of_files(wanted.select("path", "content"))
 
-    return _load(files.sparkSession, describe(files), dataset, old_manifest, new_manifest, columns, cells)
+    return _load(files.sparkSession, written(describe(files), "files"), dataset, old_manifest, new_manifest, columns, cells)
 
 
 def _load(spark: SparkSession, now: DataFrame, dataset: str, old_manifest: str, new_manifest: str, columns: dict[str, str] | None, cells_of) -> DataFrame:
     old = read_manifest(spark, old_manifest)
     changes = written(detect_changes(old, now), "changes")
-    plan = written(load_plan(changes, stored_tables(spark, dataset)), "plan")
+    plan = written(load_plan(changes, held_tables(spark, dataset, old)), "plan")
     cells = cells_of(plan)
     errors = errors_of(cells).select(file_name(F.col("source_file")).alias("filename"), "error")
     name = file_name(F.col("source_file"))
     sound = cells.where("error is null").join(cells.where("error is not null").select("source_file"), "source_file", "left_anti")
     rows = with_columns(sound, columns).withColumns({"source_table": table_name_of(name), "source_name": name})
     # rebalance keeps the files of a table together and splits large tables
-    (rows.hint("rebalance", "source_table").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("source_table", "source_name").parquet(dataset))
+    rows, pool = rows.hint("rebalance", "source_table"), None
+    if plan.count() > FOLDERS:
+        pool = f"load-{uuid.uuid4().hex}"
+        rows.write.parquet(_pool_path(dataset, pool))
+    else:
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("source_table", "source_name").parquet(dataset))
     counts = sound.groupBy(name.alias("filename")).agg(F.count(F.lit(1)).alias("row_count"))
     # a file without rows leaves no table behind
     fresh = (plan.select("filename").join(now, "filename").join(errors, "filename", "left_anti").join(counts, "filename", "left").select(
         "filename", "file_path", "file_hash", "file_size", "modified_time", F.current_timestamp().alias("last_loaded"),
         F.when(F.col("row_count") > 0, table_name_of(F.col("filename"))).alias("table_name"),
-        F.lit(None).cast("string").alias("sheet_type"), "row_count"))
+        F.lit(None).cast("string").alias("sheet_type"), "row_count", F.lit(pool).cast("string").alias("stored_in")))
     gone = changes.where(F.col("change").isin("DELETED", "MODIFIED")).select("filename")
     write_manifest(forget(old, gone.unionByName(plan.select("filename"))).unionByName(fresh), new_manifest)
     return changes.join(errors, "filename", "left")
 
 
+def _pool_path(dataset: str, pool: str) -> str:
+    return f"{dataset}/{POOLS}/stored_in={pool}"
+
+
+def _pools(manifest: DataFrame) -> list[str]:
+    """The pools that the manifest names, at most one a load."""
+    if "stored_in" not in manifest.columns:
+        return []
+    return sorted(r["stored_in"] for r in loaded_manifest(manifest).where("stored_in is not null").select("stored_in").distinct().collect())
+
+
 def stored_tables(spark: SparkSession, dataset: str) -> DataFrame:
-    """Tables that the dataset holds, by the names of its folders; none where there is no dataset. No row is read."""
+    """Tables that have folders in the dataset, by their names; none where there is no dataset. No row is read."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(dataset)
     except AnalysisException as e:
@@ -196,10 +224,37 @@ def stored_tables(spark: SparkSession, dataset: str) -> DataFrame:
     return files.select(name.alias("table_name")).where("table_name <> ''").distinct()
 
 
+def held_tables(spark: SparkSession, dataset: str, manifest: DataFrame) -> DataFrame:
+    """Tables of the manifest that the dataset holds in every place that the manifest names for them."""
+    held = stored_tables(spark, dataset).withColumn("stored_in", F.lit(None).cast("string"))
+    for pool in _pools(manifest):
+        try:
+            tables = spark.read.schema("source_table string").parquet(_pool_path(dataset, pool)).select(F.col("source_table").alias("table_name"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        held = held.unionByName(tables.distinct().withColumn("stored_in", F.lit(pool)))
+    named = loaded_manifest(manifest).select("table_name", "stored_in").distinct()
+    have = held.select(F.col("table_name").alias("_t"), F.col("stored_in").alias("_s"))
+    gone = named.join(have, (F.col("table_name") == F.col("_t")) & F.col("stored_in").eqNullSafe(F.col("_s")), "left_anti")
+    return named.select("table_name").distinct().join(gone.select("table_name"), "table_name", "left_anti")
+
+
 def open_dataset(spark: SparkSession, dataset: str, manifest: DataFrame) -> DataFrame:
-    """Rows of the files the manifest names; the join prunes the partitions of all others."""
-    names = loaded_tables(manifest).select(F.col("table_name").alias("source_table"), F.col("filename").alias("source_name")).distinct()
-    return spark.read.option("mergeSchema", True).parquet(dataset).join(names, ["source_table", "source_name"], "left_semi")
+    """Rows of the files the manifest names, from their folders and pools; the join prunes the partitions of all others."""
+    have = loaded_manifest(manifest)
+    names = have.select(F.col("table_name").alias("source_table"), F.col("filename").alias("source_name"),
+                        F.col("stored_in") if "stored_in" in have.columns else F.lit(None).cast("string").alias("stored_in")).distinct()
+    pools, in_folders, keys = _pools(manifest), names.where("stored_in is null"), ["source_table", "source_name"]
+    rows = None
+    if pools:
+        found = spark.read.option("mergeSchema", True).option("basePath", f"{dataset}/{POOLS}").parquet(*[_pool_path(dataset, p) for p in pools])
+        rows = found.join(names, [*keys, "stored_in"], "left_semi").drop("stored_in")
+    if not pools or not in_folders.isEmpty():
+        found = spark.read.option("mergeSchema", True).parquet(dataset).join(in_folders, keys, "left_semi")
+        rows = found if rows is None else rows.unionByName(found, allowMissingColumns=True)
+    return rows
 
 
 def remove_file(manifest: DataFrame, catalog: DataFrame, filename: str) -> tuple[DataFrame, DataFrame]:

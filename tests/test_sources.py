@@ -176,6 +176,36 @@ def test_incremental_load_of_a_mixed_folder(spark, tmp_path):
     assert state(3) == whole
 
 
+def test_loads_of_many_files_are_one_pool(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "FOLDERS", 2)
+    d = write(tmp_path / "data", **{"a b__csv": "Bill No,Amt\nB1,1\n", "a-b__csv": "Bill No,Other\nB2,9\n", "c__csv": "Bill No\nB3\n"})
+    (tmp_path / "data" / "bad.xlsx").write_bytes(b"no zip")
+    dataset, m = str(tmp_path / "ds"), [str(tmp_path / f"m{i}") for i in range(6)]
+    state = lambda n: sorted(((r.source_name, r.bill_no, r.amt, r.other) for r in
+                              manifest.open_dataset(spark, dataset, manifest.read_manifest(spark, m[n])).collect()), key=repr)
+    pools = lambda: sorted((tmp_path / "ds" / "_pools").iterdir(), key=lambda p: p.stat().st_mtime)
+    manifest.incremental_load(spark, d, dataset, str(tmp_path / "none"), m[0])
+    assert state(0) == [("a b.csv", "B1", "1", None), ("a-b.csv", "B2", None, "9"), ("c.csv", "B3", None, None)]
+    assert not list((tmp_path / "ds").glob("source_table=*")) and len(pools()) == 1
+    # two files (one that is still broken) go to folders, beside the pool, which keeps the rows that no longer count
+    write(tmp_path / "data", **{"a b__csv": "Bill No,Amt\nB1,10\n"})
+    assert names(manifest.incremental_load(spark, d, dataset, m[0], m[1]), "MODIFIED") == ["a b.csv"]
+    whole = [("a b.csv", "B1", "10", None), ("a-b.csv", "B2", None, "9"), ("c.csv", "B3", None, None)]
+    assert state(1) == whole and state(0)[1:] == whole[1:] and len(pools()) == 1
+    # a changed file, a new one and the broken one are a second pool; a deleted one goes
+    write(tmp_path / "data", **{"a b__csv": "Bill No,Amt\nB1,100\n", "e__csv": "Bill No,Amt\nB5,5\n"})
+    (tmp_path / "data" / "c.csv").unlink()
+    manifest.incremental_load(spark, d, dataset, m[1], m[2])
+    whole = [("a b.csv", "B1", "100", None), whole[1], ("e.csv", "B5", "5", None)]
+    assert state(2) == whole and len(pools()) == 2
+    # a lost pool: all of its tables are loaded again, with the other file of a table that two files share
+    shutil.rmtree(pools()[1])
+    manifest.incremental_load(spark, d, dataset, m[2], m[3])
+    assert state(3) == whole and len(pools()) == 2
+    manifest.incremental_load(spark, d, dataset, m[3], m[4])
+    assert state(4) == whole and state(3) == whole
+
+
 def test_folder_reports_bad_lines(spark, tmp_path):
     d = write(tmp_path / "b", good__csv="a,b\n1,x\n2,y\n", bad__csv="a,b\none,x\n3,y\n", skip__txt="a,b\n1,2\n")
     df = csv_source.read_folder(spark, d, T.StructType.fromDDL("a INT, b STRING"))
