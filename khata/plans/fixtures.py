@@ -15,6 +15,8 @@ from khata.plans import standins as st
 from khata.session import shared_dir, spread
 from khata.sources.digests import file_system
 
+#: Workbooks that one task makes.
+BOOKS_PER_TASK = 10_000
 ORDERS_CSV = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate DATE"
 
 
@@ -132,8 +134,11 @@ def customer_workbooks(spark: SparkSession, sf_dir: str, which: Column | None =
                             for k, n, b in zip(pdf["c_custkey"], pdf["c_name"], pdf["c_acctbal"])]})
 
     customers = st.table(spark, sf_dir, "customer")
-    return (spread(customers if which is None else customers.where(which), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
-            .mapInPandas(build, "path string, content binary"))
+    customers = customers if which is None else customers.where(which)
+    dealt, tasks = spread(customers, "c_custkey"), -(-customers.count() // BOOKS_PER_TASK)
+    if tasks > dealt.rdd.getNumPartitions():  # a file of few bytes a row has few splits however many rows
+        dealt = customers.repartition(tasks, "c_custkey")
+    return dealt.select("c_custkey", "c_name", "c_acctbal").mapInPandas(build, "path string, content binary")
 
 
 def mixed_files(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from khata.operators.metrics import usage
+from khata.plans import fixtures
 from khata.plans.fixtures import workbook_bytes
 from khata.session import build_session, shared_dir, spread
 from khata.sources import csv_source, delimited, digests, dimensions, folder, manifest, snapshots, stores, workbook
@@ -251,6 +252,12 @@ def test_broken_workbook_is_an_error(spark, tmp_path):
         csv_source.read_by_extension(spark, str(tmp_path / "w" / "bad.xlsx"))
 
 
+def test_workbooks_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "BOOKS_PER_TASK", 10)
+    books = fixtures.customer_workbooks(spark, "/root/testdata/sf0.001")
+    assert books.rdd.getNumPartitions() == 15 and books.select("path").distinct().count() == 150
+
+
 def test_workbook_sheet_by_name(spark):
     with pytest.raises(ValueError, match="no sheet"):
         list(workbook.sheet_rows(workbook_bytes([["a"]]), "Other"))
