@@ -29,6 +29,8 @@ from khata.session import written
 CELLS = "source_file string, row_no bigint, cells map<string,string>, error string"
 _ARROW = pa.schema([("source_file", pa.string()), ("row_no", pa.int64()), ("cells", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 _ROWS_PER_BATCH = 5000
+#: Bytes of files whose rows leave together.
+_BYTES_PER_BATCH = 1 << 20
 #: Characters of a chunk of lines.
 CHUNK = 1 << 20
 #: ``open_from_0`` and ``rows_from_0`` hold for a start outside quotes: whether the end is inside, and the rows that begin.
@@ -120,24 +122,40 @@ def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows_of, broken, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows ``rows_of(path, content)`` of all files, those of many small files in one batch, and never a large file at once.
+
+    A file that cannot be read gives the row ``broken(path, error)`` behind its rows so far.
+    """
+    rows, size = [], 0
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            path, content = path.as_py(), content.as_py()
+            try:
+                for row in rows_of(path, content):
+                    rows.append(row)
+                    if len(rows) == _ROWS_PER_BATCH:
+                        yield _made(rows, schema)
+                        rows, size = [], 0
+            except Exception as e:  # one bad file must not end the scan
+                rows.append(broken(path, f"{type(e).__name__}: {e}"))
+            size += len(content or b"")
+            if rows and (size >= _BYTES_PER_BATCH or len(rows) >= _ROWS_PER_BATCH):
+                yield _made(rows, schema)
+                rows, size = [], 0
+    if rows:
+        yield _made(rows, schema)
+
+
 def file_cells(files: DataFrame) -> DataFrame:
     """Rows of CSV files given as (path, content); a file that cannot be read is one row with its ``error``."""
+    def rows_of(path, content):
+        if content is None:
+            raise ValueError("File without content")
+        return ((path, no, pairs, None) for no, pairs in parsed(content))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                rows = []
-                try:
-                    if content is None:
-                        raise ValueError("File without content")
-                    for no, pairs in parsed(content):
-                        rows.append((path, no, pairs, None))
-                        if len(rows) == _ROWS_PER_BATCH:
-                            yield _made(rows, _ARROW)
-                            rows = []
-                except Exception as e:  # one bad file must not end the scan; its rows so far go out with the error
-                    rows.append((path, -1, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield _made(rows, _ARROW)
+        return gathered(batches, rows_of, lambda path, error: (path, -1, None, error), _ARROW)
 
     return files.select("path", "content").mapInArrow(read, CELLS)
 

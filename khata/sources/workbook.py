@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +17,13 @@ from khata.functions import fixed_values as fv
 from khata.functions.text import strip
 from khata.session import written
 from khata.sources.csv_source import numbers_places, tables_from_cells, with_columns
+from khata.sources.delimited import gathered
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_ROWS_PER_BATCH = 5000
 CELLS = "source_file string, row_no int, cells array<string>, texts array<boolean>, error string"
+_ARROW = pa.schema([("source_file", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("texts", pa.list_(pa.bool_())),
+                    ("error", pa.string())])
 
 
 def _sheet_path(book: zipfile.ZipFile, sheet: str | None) -> str:
@@ -104,26 +106,17 @@ def sheet_rows(content: bytes, sheet: str | None = None) -> Iterator[tuple[int,
 
 
 def workbook_cells(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Cells of workbooks given as (path, content); rows leave in batches, never a file at once.
+    """Cells of workbooks given as (path, content); rows leave in batches, never a file at once, many small files together.
 
     A workbook that is broken or lacks the sheet is one row with its ``error`` and number -1.
     """
-    def read(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                try:
-                    for no, cells, texts in sheet_rows(content, sheet):
-                        rows.append((path, no, cells, texts, None))
-                        if len(rows) == _ROWS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts", "error"])
-                            rows = []
-                except Exception as e:  # one bad file must not end the scan
-                    rows.append((path, -1, None, None, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["source_file", "row_no", "cells", "texts", "error"])
-
-    return files.select("path", "content").mapInPandas(read, CELLS)
+    def rows_of(path, content):
+        return ((path, no, cells, texts, None) for no, cells, texts in sheet_rows(content, sheet))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(batches, rows_of, lambda path, error: (path, -1, None, None, error), _ARROW)
+
+    return files.select("path", "content").mapInArrow(read, CELLS)
 
 
 def header_scores(cells: DataFrame, look_at: int = fv.HEADER_SCAN_LINES) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,6 +253,22 @@ def test_broken_workbook_is_an_error(spark, tmp_path):
         csv_source.read_by_extension(spark, str(tmp_path / "w" / "bad.xlsx"))
 
 
+def test_small_files_leave_in_common_batches(monkeypatch):
+    good, rows_of = workbook_bytes([["a", 1], ["b", 2]]), lambda path, content: ((path, no, cells, texts, None) for no, cells, texts in workbook.sheet_rows(content))
+    files = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(100)], "content": [b"no zip" if i == 7 else None if i == 8 else good for i in range(100)]})
+    made = lambda: list(delimited.gathered(iter([files, files]), rows_of, lambda path, e: (path, -1, None, None, e), workbook._ARROW))
+    one = made()
+    assert [b.num_rows for b in one] == [2 * (98 * 2 + 2)]
+    assert [(r["source_file"], r["cells"]) for r in one[0].slice(12, 5).to_pylist()] == [
+        ("f6", ["a", "1"]), ("f6", ["b", "2"]), ("f7", None), ("f8", None), ("f9", ["a", "1"])]
+    # no more rows, and not those of more bytes of files, at once
+    monkeypatch.setattr(delimited, "_ROWS_PER_BATCH", 3)
+    assert max(b.num_rows for b in made()) == 3 and pa.Table.from_batches(made()).to_pylist() == one[0].to_pylist()
+    monkeypatch.setattr(delimited, "_ROWS_PER_BATCH", 5000)
+    monkeypatch.setattr(delimited, "_BYTES_PER_BATCH", 1)
+    assert {b.num_rows for b in made()} <= {1, 2, 3} and pa.Table.from_batches(made()).to_pylist() == one[0].to_pylist()
+
+
 def test_workbooks_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "BOOKS_PER_TASK", 10)
     books = fixtures.customer_workbooks(spark, "/root/testdata/sf0.001")
