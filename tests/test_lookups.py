@@ -134,6 +134,14 @@ def test_likely_spelling_matches_brute_force(spark, edits):
     assert got == want
 
 
+def test_patterns_of_names_are_moved_once(spark, capsys):
+    rows = spark.createDataFrame([("Suplier#1",), ("Supplier#1",), ("Supplier#1",), ("Supplier#23",), ("a\x01b\x02",), ("a\x01b",), ("",)], "n string")
+    found = names.likely_spelling(rows, "n", 2)
+    assert {(r.name, r.likely) for r in found.collect()} == {("Suplier#1", "Supplier#1"), ("Supplier#23", "Supplier#1"), ("a\x01b", "a\x01b\x02")}
+    found.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("hashpartitioning(key") <= 1
+
+
 def test_one_answer_for_every_card_size(spark):
     """Empty, null and upper-case names, in a card of a few rows and in one of many."""
     few = [(1, "", 28), (2, None, 18), (3, "LAPTOP", 12), (4, "Laptop bag", 5)]
