@@ -102,8 +102,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int = fv.NEAREST_DEFAULT,
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cell = around.reachable(_matrix(batch[vector]))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(cell, pa.int32())], [*batch.schema.names, "cell"])
+            for lo in range(0, batch.num_rows, ASKED_AT_ONCE):  # a query may go to all cells
+                yield _sent(batch.slice(lo, ASKED_AT_ONCE), vector, around)
 
     parts = F.create_map(*[F.lit(x) for c in found for x in (c, -(-found[c]["n"] // POOL_BLOCK))])
     part = lambda key, count: F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), count).cast("int")
@@ -123,8 +123,12 @@ def nearest(chunks: DataFrame, queries: DataFrame, n: int = fv.NEAREST_DEFAULT,
     return best.withColumn("place", place).where(F.col("place") <= n)
 
 
-#: Cells, and vectors of a block on either side.
-PIVOTS, POOL_BLOCK, QUERY_BLOCK = 32, 8192, 1024
+#: Cells, and vectors of a block on either side; a vector is moved once for every block of the other side.
+PIVOTS, POOL_BLOCK, QUERY_BLOCK = 32, 8192, 8192
+#: Queries that are copied to their cells in one batch.
+ASKED_AT_ONCE = 512
+#: Distances that are held at once, whatever the size of a block.
+DISTANCES = 1 << 19
 
 
 def _with(df: DataFrame, *fields: T.StructField) -> T.StructType:
@@ -183,6 +187,12 @@ class Around:
         return row, self.cells[at]
 
 
+def _sent(asked: pa.RecordBatch, vector: str, around: Around) -> pa.RecordBatch:
+    """A row of ``asked`` for each cell that it has to reach."""
+    row, cell = around.reachable(_matrix(asked[vector]))
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in asked.columns), pa.array(cell, pa.int32())], [*asked.schema.names, "cell"])
+
+
 def _best(have: np.ndarray, ids: pa.ChunkedArray, want: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``want``, row of ``have``, distance) of the ``n`` nearest of each; ties go to the smaller id."""
     if not len(have) or not len(want):
@@ -191,8 +201,9 @@ def _best(have: np.ndarray, ids: pa.ChunkedArray, want: np.ndarray, n: int) -> t
     rank = np.empty(len(by_id), np.int64)
     rank[by_id] = np.arange(len(by_id))
     rows, cols, found = [], [], []
-    for lo in range(0, len(want), 256):
-        d = 1.0 - want[lo : lo + 256] @ have.T
+    step = max(1, DISTANCES // len(have))
+    for lo in range(0, len(want), step):
+        d = 1.0 - want[lo : lo + step] @ have.T
         last = np.partition(d, n - 1, axis=1)[:, n - 1 : n] if len(have) > n else np.full((len(d), 1), np.inf)
         q, k = np.nonzero(d <= last)
         order = np.lexsort((rank[k], d[q, k], q))

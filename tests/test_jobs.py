@@ -6,6 +6,7 @@ import random
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,39 @@ def test_chunks_cover_the_text_and_keep_words(spark):
     assert at == len(body)
 
 
+def test_memory_of_a_block_does_not_grow_with_it(monkeypatch):
+    rnd, order, held = np.random.default_rng(5), np.lexsort, []
+    have, want = (rnd.integers(-3, 4, size=(n, 8)).astype(float) for n in (3000, 300))  # whole numbers: no rounding
+    have[100:] = have[0]  # ties
+    ids = pa.chunked_array([pa.array(rnd.permutation(len(have)))])
+
+    def lexsort(keys):
+        held.append(len(keys[0]))
+        return order(keys)
+
+    monkeypatch.setattr(np, "lexsort", lexsort)
+    monkeypatch.setattr(retrieval, "DISTANCES", 6000)
+    row, col, d = retrieval._best(have, ids, want, 5)
+    assert max(held) <= 6000 and (np.bincount(row) == 5).all()
+    far, name = 1.0 - want @ have.T, ids.to_numpy()
+    for q in range(300):
+        best = np.argsort(far[q] * 10_000 + name)[:5]
+        assert col[row == q].tolist() == best.tolist() and d[row == q].tolist() == far[q][best].tolist()
+
+
+def test_queries_go_to_cells_in_small_batches(spark, monkeypatch):
+    most, sent = 40, retrieval._sent
+    monkeypatch.setattr(retrieval, "ASKED_AT_ONCE", most)
+    vectors = np.random.default_rng(6).normal(size=(500, 6)).tolist()
+    asked = pa.RecordBatch.from_pydict({"query_id": list(range(500)), "embedding": vectors})
+    pivots = retrieval._unit(np.array(vectors[:32]))
+    around = retrieval.Around(pivots, [(c, 20, 2.0) for c in range(32)], 5)
+    assert sent(asked.slice(40, most), "embedding", around).num_rows == most * 32
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    assert retrieval.nearest(rows, rows.withColumnRenamed("vec_id", "query_id"), 2).where("place = 1 and query_id = vec_id").count() == 500
+
+
+
 @pytest.mark.parametrize("pool_block,query_block,pivots,n", [(8192, 1024, 32, 4), (7, 5, 3, 4), (1, 1, 1, 2), (50, 3, 200, 500)])
 def test_nearest_matches_brute_force(spark, monkeypatch, pool_block, query_block, pivots, n):
     """Clustered vectors, equal ones, zero ones on both sides, repeated ids, missing vectors, fewer chunks than wanted."""
