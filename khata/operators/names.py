@@ -68,8 +68,9 @@ def _within_two(names: DataFrame) -> DataFrame:
     side = F.col("side")
     given = F.when(side == 0, F.col("best_1")).when(side == 1, F.col("best_0")).otherwise(F.col("best_2"))
     back = met.select("via", "best", "side", *there).withColumn("given", given).where(F.col("given") > F.col("best"))
-    better = hubs.join(back.groupBy("via").agg(F.max("given").alias("given")), "via", "left")
-    return stands.join(better.select("via", F.coalesce("given", "best").alias("best")), "via").select("name", "uses", "best")
+    # an explode counts as large as what it is made of, so without hints its rows would be broadcast by way of the driver
+    better = hubs.join(back.groupBy("via").agg(F.max("given").alias("given")).hint("merge"), "via", "left")
+    return stands.hint("merge").join(better.select("via", F.coalesce("given", "best").alias("best")), "via").select("name", "uses", "best")
 
 
 def likely_spelling(df: DataFrame, name: str, edits: int = 1) -> DataFrame:

@@ -142,6 +142,19 @@ def test_patterns_of_names_are_moved_once(spark, capsys):
     assert capsys.readouterr().out.split("Initial Plan")[0].count("hashpartitioning(key") <= 1
 
 
+def test_hubs_of_names_are_never_broadcast(spark):
+    """However small the names are on disk: an explode makes many times as much of them."""
+    rows = spark.createDataFrame([("Suplier#1",), ("Supplier#1",), ("Supplier#1",)], "n string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = names.likely_spelling(rows, "n", 2)
+        assert [(r.name, r.likely) for r in found.collect()] == [("Suplier#1", "Supplier#1")]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_answer_for_every_card_size(spark):
     """Empty, null and upper-case names, in a card of a few rows and in one of many."""
     few = [(1, "", 28), (2, None, 18), (3, "LAPTOP", 12), (4, "Laptop bag", 5)]
