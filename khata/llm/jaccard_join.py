@@ -12,7 +12,7 @@
    the search runs for each pair of blocks.
 
 A link within a component that is already known is not written, so a cluster of m texts gives less than m links a task,
-not all pairs. Equal sets are one set throughout. Sets are of 64-bit fingerprints of the n-grams.
+not all pairs. Equal sets are one set from step 2 on. Sets are of 64-bit fingerprints of the n-grams.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ FREQUENT = 100
 SPARE, SPARE_SHARE = 2, 4
 #: N-grams of a bucket of fingerprints.
 BUCKETS = 48
+#: Texts of a slice, which are numbered in 16 bits.
+SLICE_TEXTS = 1 << 16
+PRINTS = "slice long, bucket int, texts binary, counts binary, prints binary"
+SLICED = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("texts", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
 #: Texts and n-grams of a block of a large cluster.
 BLOCK_TEXTS, BLOCK_GRAMS = 400, 1 << 19
 #: Weight of the logarithm in DivideSkip's number of long lists.
@@ -112,17 +116,75 @@ def measured(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def prints_of(docs: DataFrame, like: Likeness, buckets: int) -> DataFrame:
-    """Fingerprints of the n-grams of all sets, packed by bucket for some sets at a time."""
+    """Fingerprints of the n-grams of all sets, packed by bucket for a slice of some texts at a time.
+
+    A text goes by its number in the slice, so what a fingerprint takes does not grow with the buckets. What the numbers
+    stand for (ids, contents, sizes) is one row for each slice, in a bucket beyond the others.
+    """
 
     def run(batches):
-        for _, sets in each_set(batches, like.words):
-            sets = [s for s in sets if len(s)]
-            if sets:
-                contents = np.array([content_of(digest_of(s)) for s in sets], np.int64)
-                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                yield substrings.packed_prints(np.concatenate(sets), row, contents, buckets)
+        for ids, sets in each_set(batches, like.words):
+            full = np.flatnonzero([len(s) > 0 for s in sets])
+            for at in range(0, len(full), SLICE_TEXTS):
+                some = full[at : at + SLICE_TEXTS]
+                own = [sets[i] for i in some]
+                sizes = [len(s) for s in own]
+                names = np.array([ids.to_numpy()[some], [content_of(digest_of(s)) for s in own], sizes], np.int64).tobytes()
+                key = int.from_bytes(hashlib.blake2b(names, digest_size=8).digest(), "little", signed=True)
+                packed = substrings.packed_prints(np.concatenate(own), np.repeat(np.arange(len(own)), sizes),
+                                                  np.arange(len(own), dtype=np.uint16), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(packed), pa.int64()), *packed.columns], SLICED.names)
+                yield pa.RecordBatch.from_pylist([{"slice": key, "bucket": buckets + key % buckets, "texts": names, "counts": b"", "prints": b""}], SLICED)
+
+    return docs.select("id", "text").mapInArrow(run, PRINTS)
+
+
+def shared_of(prints: DataFrame, like: Likeness, buckets: int) -> DataFrame:
+    """(id, content, n, marks) of every row of which enough fingerprints stand in another row too, with those.
+
+    Copies of a text count as other rows here. A bucket is a group, and then a slice is.
+    """
 
-    return docs.mapInArrow(run, substrings.PRINTS)
+    def meet(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        if bucket >= buckets:
+            return group
+        joined = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
+        part = np.repeat(np.arange(len(group)), [len(t) // 2 for t in group["texts"].to_pylist()])
+        text, low = np.repeat(part << 16 | joined("texts", np.uint16), joined("counts", np.uint32)), joined("prints", np.uint32)
+        order = np.argsort(low)
+        start = np.flatnonzero(np.concatenate([[True], low[order][1:] != low[order][:-1]]))
+        by = text[order]
+        differ = np.minimum.reduceat(by, start) != np.maximum.reduceat(by, start)
+        chosen = np.sort(order[np.repeat(differ, np.diff(np.append(start, len(low))))])
+        text, low = text[chosen], low[chosen]
+        ends = np.append(np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])), len(text)) if len(text) else np.zeros(1, np.int64)
+        owner = text[ends[:-1]]
+        cuts = np.searchsorted(owner >> 16, np.arange(len(group) + 1))
+        out: list[dict] = []
+        for i in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[i], cuts[i + 1]
+            out.append({"slice": group["slice"][int(i)].as_py(), "bucket": bucket, "texts": (owner[a:b] & 0xFFFF).astype(np.uint16).tobytes(),
+                        "counts": np.diff(ends[a : b + 1]).astype(np.uint32).tobytes(), "prints": low[ends[a] : ends[b]].tobytes()})
+        return pa.Table.from_pylist(out, SLICED)
+
+    def gather(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        names = next((r["texts"] for r in rows if r["bucket"] >= buckets), None)
+        if names is None:
+            raise RuntimeError("the texts came in another order when a lost task ran again: write them to files first")
+        ids, contents, sizes = np.frombuffer(names, np.int64).reshape(3, -1)
+        rows = [r for r in rows if r["bucket"] < buckets]
+        text = np.concatenate([np.zeros(0, np.uint16), *[np.repeat(np.frombuffer(r["texts"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows]])
+        mark = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["prints"], np.uint32) | np.uint64(r["bucket"] << 32) for r in rows]])
+        order = np.argsort(text, kind="stable")
+        mark, cuts = mark[order], np.searchsorted(text[order], np.arange(len(ids) + 1))
+        has = np.flatnonzero(like.whole * np.diff(cuts) >= like.part * sizes)
+        return pa.table({"id": ids[has], "content": contents[has], "n": sizes[has],
+                         "marks": pa.array([mark[cuts[i] : cuts[i + 1]].tobytes() for i in has], pa.binary())})
+
+    found = prints.groupBy("bucket").applyInArrow(meet, PRINTS)
+    return found.groupBy("slice").applyInArrow(gather, "id long, content long, n long, marks binary")
 
 
 def frequent(members: DataFrame, like: Likeness) -> np.ndarray:
@@ -193,7 +255,7 @@ def likely(members: DataFrame, like: Likeness, buckets: int) -> DataFrame:
             for texts in H.slices(batch["text"]):
                 part = batch.slice(texts.first, len(texts.offsets) - 1)
                 sets = gram_sets(texts, like.words)
-                shared = [s[np.isin(substrings.mark_of(s, buckets), substrings.marked(m))] for s, m in zip(sets, part["marks"].to_pylist())]
+                shared = [s[np.isin(substrings.mark_of(s, buckets), np.frombuffer(b"".join(m), np.uint64))] for s, m in zip(sets, part["marks"].to_pylist())]
                 row, found = signatures(sets, shared, like, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), part["id"].take(pa.array(row))], ["signature", "id"])
 
@@ -308,11 +370,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likenes
     # one row for each set: the sets that share enough, with what they share
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, int(size / 6 / substrings.BUCKET))
-    marks = substrings.repeated(prints_of(rows, like, buckets))
-    shared = F.aggregate("marks", F.lit(0), lambda a, m: a + (F.octet_length(m["prints"]) / 4).cast("int"))
-    first = named.join(heads, "digest").where("id = head").select("id", "content", "n").distinct()
-    able = first.join(marks, "content").where(like.whole * shared >= like.part * F.col("n")).groupBy("id").agg(
-        F.max("n").alias("n"), F.flatten(F.collect_list("marks")).alias("marks"))  # one text an id, as a rule
+    found = shared_of(prints_of(rows.where("id is not null"), like, buckets), like, buckets)
+    first = named.join(heads, "digest").where("id = head").select("id", F.col("content").alias("own")).distinct()
+    able = first.join(found, "id").where("content = own")
+    # written before texts move, so that they never lie on disk beside the fingerprints
+    able = kept(able.groupBy("id").agg(F.max("n").alias("n"), F.collect_list("marks").alias("marks")), "able")  # one text an id, as a rule
     members = kept(rows.join(able.hint("merge"), "id"), "members")
     clusters = kept(connected(likely(members, like, buckets), "clusters"), "clusters")
     placed = clusters.join(members.groupBy("id").agg(F.sum("n").alias("size")), "id").select("id", F.col("component").alias("cluster"), "size")
@@ -327,13 +389,13 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", like
     Rows of one id are one document, of which the row with words and the smallest digest stays. Of rows with a null id one
     stays for each text.
     """
-    others = join(docs, key, text, like).where("id <> component").select(F.col("id").alias("other")).distinct()
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = packed(docs, key=F.col(f"`{key}`").cast("long"), blank=~body.rlike(r"[^\x20\x09-\x0D]"), digest=F.sha2(body, 256))
-    left = rows.join(others, F.col("key") == F.col("other"), "left_anti").withColumn(
-        "one", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), "digest"))
+    number, body = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    name = lambda i: F.concat(F.lit("="), i.cast("string"))
+    one = F.coalesce(name(number), F.sha2(body, 256)).alias("one")
+    others = kept(join(docs, key, text, like).where("id <> component").select(name(F.col("id")).alias("one")).distinct(), "others")
     # few as a rule, and known before texts are moved for them
-    repeated = kept(docs.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{key}`").cast("long").cast("string")), F.sha2(body, 256)).alias("one"))
-                    .groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"), "repeated")
-    several = left.join(repeated, "one", "left_semi").groupBy("one").agg(F.min_by("row", F.struct("blank", "digest")).alias("row"))
-    return left.join(repeated, "one", "left_anti").select("row").union(several.select("row")).select("row.*")
+    repeated = kept(docs.select(one).groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one").join(others, "one", "left_anti"), "repeated")
+    rows = packed(docs, one=one, blank=~body.rlike(r"[^\x20\x09-\x0D]"), digest=F.sha2(body, 256))
+    several = rows.join(repeated, "one", "left_semi").groupBy("one").agg(F.min_by("row", F.struct("blank", "digest")).alias("row"))
+    # what goes and what is repeated leave in one join, so that texts move once
+    return rows.join(others.union(repeated), "one", "left_anti").select("row").union(several.select("row")).select("row.*")

@@ -159,6 +159,23 @@ def test_frequent_shingles_lose_no_link(spark, monkeypatch):
     assert got == brute_components(texts, like)
 
 
+def test_texts_never_move_beside_their_fingerprints(spark, monkeypatch):
+    plans, write = {}, jaccard_join.kept
+    monkeypatch.setattr(jaccard_join, "kept", lambda df, label: (plans.update({label: df._jdf.queryExecution().toString()}), write(df, label))[1])
+    texts = variants(random.Random(8), 60, words=50, edits=3)
+    got = {x["id"]: (x["n"], x["component"]) for x in jaccard_join.join(docs_of(spark, texts), like=jaccard_join.Likeness(2, 70, 100)).collect()}
+    assert got == brute_components(texts, jaccard_join.Likeness(2, 70, 100))
+    assert "InArrow" not in plans["members"]
+
+
+def test_fingerprints_stay_small_in_many_buckets(spark):
+    """An n-gram takes 4 bytes, and its text 6 more where no other one of it is in the bucket; a corpus of 60 GB has 4,000 buckets."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(200)], "id long, text string").coalesce(1)
+    prints = jaccard_join.prints_of(docs, jaccard_join.Likeness(), 4000)
+    size = sum(sum(len(v) for v in row if isinstance(v, bytes | bytearray)) for row in prints.collect())
+    assert size < 11 * 200 * 296
+
+
 def test_near_copies_at_the_edges(edge, nothing):
     rows = jaccard_join.join(edge).collect()
     assert len(rows) == edge.count()
